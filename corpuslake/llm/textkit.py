@@ -29,12 +29,16 @@ class Rolling:
     """Hashes of any byte ranges of an array after one pass; powers are kept and grown on demand."""
 
     def __init__(self, seed: int) -> None:
+        self.seed = seed
         rng = np.random.default_rng(seed)
         self.table = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.base = int(rng.integers(1, 2**62)) * 4 + 1
         self.inverse = pow(self.base, -1, 2**64)
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
+    def __reduce__(self):
+        return Rolling, (self.seed,)
+
     def _powers(self, n: int) -> None:
         if len(self.up) < n:
             size = max(n, 1 << 16, min(2 * len(self.up), 1 << 22))
@@ -49,6 +53,7 @@ class Rolling:
         return out
 
     def ranges(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        self._powers(len(prefix))
         return mix((prefix[end] - prefix[start]) * self.down[start] + (end - start).astype(np.uint64) * MIX2)
 
 
