@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from corpuslake.llm.line_dedup import OP7_SQL, op7_line_dedup
+from corpuslake.llm.near_dedup import op6_near_dedup
 from corpuslake.llm.suffix_dedup import op8_suffix_dedup
 
 QUERIES = {
+    "op6_near_dedup": op6_near_dedup,
+    "op7_line_dedup": op7_line_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_line_dedup": OP7_SQL,
+}
