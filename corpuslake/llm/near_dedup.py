@@ -8,7 +8,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslake.llm.common import components, materialize, read
@@ -165,8 +165,14 @@ def _in_order(df: DataFrame, *then: str) -> DataFrame:
     return df.repartition("part").sortWithinPartitions("part", *then)
 
 
+def row_ids() -> Column:
+    """A row's doc_id, or for rows without one a number from its text."""
+    return F.coalesce("doc_id", F.lit(NO_ID) + F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
+
+
 def near_duplicates(docs: DataFrame, width: int, percent: int = 80, block: int = 64) -> DataFrame:
-    """For every document (doc_id, text): doc_id, n_shingles, component_id and kept, linked at Jaccard >= percent/100.
+    """For every document (doc_id, text): doc_id, n_shingles, component_id and kept, linked at Jaccard >= percent/100;
+    row_id (row_ids() gives the same) and stays, which says the same as kept for rows without doc_id too.
 
     1. One pass over the texts: set size, a 128-bit signature of the set, band keys and the odd sketch of its min-hashes.
     2. Equal sets are one class from here on, so copies cost one row each whatever their number.
@@ -179,7 +185,7 @@ def near_duplicates(docs: DataFrame, width: int, percent: int = 80, block: int =
     Null or empty texts have no shingles and no links. Rows that share a doc_id count as one document as far as links go.
     A row without doc_id can be linked; its component_id is the smallest doc_id reachable, or null if there is none.
     """
-    rows = docs.select("doc_id", "text").withColumn("id", F.coalesce("doc_id", F.lit(NO_ID) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))))
+    rows = docs.select("doc_id", "text", row_ids().alias("id"))
     features = materialize(rows.mapInArrow(partial(_features, width=width), "id long, doc_id long, n long, s1 long, s2 long, keys array<long>, sketch binary"), "near-features")
     classes = materialize(features.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("node")), "near-classes")
     firsts = materialize(features.where("n > 0").join(classes.select(F.col("node").alias("id")).distinct(), "id").dropDuplicates(["id"]).select("id", "keys", "sketch"), "near-firsts")
@@ -212,9 +218,9 @@ def near_duplicates(docs: DataFrame, width: int, percent: int = 80, block: int =
     found = materialize(classes.join(joined, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component")), "near-found")
     out = features.select("doc_id", "id", "n", F.when(F.col("n") > 0, F.col("s1")).alias("s1"), "s2").join(found, ["s1", "s2"], "left")
     component = F.coalesce("component", "id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(component < NO_ID, component).alias("component_id"), F.col("doc_id").eqNullSafe(F.when(component < NO_ID, component)).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(component < NO_ID, component).alias("component_id"), F.col("doc_id").eqNullSafe(F.when(component < NO_ID, component)).alias("kept"), F.col("id").alias("row_id"), (F.col("id") == component).alias("stays"))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates of all documents on 4-word shingles."""
-    return near_duplicates(read(spark, sf_dir, "documents"), 4)
+    return near_duplicates(read(spark, sf_dir, "documents"), 4).drop("row_id", "stays")
