@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from corpuslake.plans import cards, corpus, dialogue, retrieval
+
+QUERIES = corpus.Q.queries | dialogue.Q.queries | retrieval.Q.queries | cards.Q.queries
+ORACLES = corpus.Q.oracles | dialogue.Q.oracles | retrieval.Q.oracles | cards.Q.oracles
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["leakfree_split"](spark, sf_dir)
+    """Documents normalised, deduplicated, filtered and split without leaks; counts by split."""
+    return QUERIES["split_manifest"](spark, sf_dir)
