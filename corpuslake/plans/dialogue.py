@@ -1,3 +1,151 @@
-from corpuslake.plans.registry import Registry
+"""Queries over conversations, pages and event streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpuslake.functions import text as T
+from corpuslake.operators import activation, dialogue, sft
+from corpuslake.plans.registry import Registry, table
 
 Q = Registry()
+
+
+def turns(spark, sf_dir):
+    return table(spark, sf_dir, "conversations")
+
+
+@Q("""SELECT conv_id, turn, len(list(text) OVER w) AS n_context, array_to_string(list(role || ':' || length(text)) OVER w, '|') AS context
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) ORDER BY 1, 2""".replace("len(list(text) OVER w)", "count(text) OVER w").replace("array_to_string(list(role || ':' || length(text)) OVER w, '|')", "coalesce(string_agg(role || ':' || length(text), '|') OVER w, '')"))
+def context_window(spark, sf_dir):
+    out = dialogue.rolling_context(turns(spark, sf_dir), "conv_id", "turn", ["role", "text"])
+    shown = F.array_join(F.transform("context_before", lambda t: F.concat(t["role"], F.lit(":"), F.length(t["text"]))), "|")
+    return out.select("conv_id", "turn", F.size("context_before").cast("long").alias("n_context"), shown.alias("context"))
+
+
+@Q("""SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN nxt ELSE role END AS other, role = 'assistant' AS ego_first
+FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) WHERE nxt IS NOT NULL AND (role = 'assistant') <> (nxt = 'assistant')""")
+def adjacency_pairs(spark, sf_dir):
+    return dialogue.adjacent(turns(spark, sf_dir), "conv_id", "turn", "role", "assistant")
+
+
+@Q("""WITH a AS (SELECT CASE WHEN role = 'assistant' THEN nxt ELSE role END AS role, count(*) AS n FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations)
+WHERE nxt IS NOT NULL AND (role = 'assistant') <> (nxt = 'assistant') GROUP BY 1)
+SELECT role, count(DISTINCT conv_id) AS scenes, count(*) AS lines, coalesce(any_value(n), 0) AS adjacent FROM conversations LEFT JOIN a USING (role) GROUP BY role""")
+def speaker_inventory(spark, sf_dir):
+    t = turns(spark, sf_dir)
+    near = dialogue.adjacent(t, "conv_id", "turn", "role", "assistant").groupBy(F.col("other").alias("role")).agg(F.count("*").alias("adjacent"))
+    own = t.groupBy("role").agg(F.count_distinct("conv_id").alias("scenes"), F.count("*").alias("lines"))
+    return own.join(near, "role", "left").select("role", "scenes", "lines", F.coalesce("adjacent", F.lit(0)).alias("adjacent"))
+
+
+@Q("""WITH n AS (SELECT *, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS run FROM n)
+SELECT user_id, run, event_type, min(ts) AS first, max(ts) AS last, count(*) AS n, string_agg(props, chr(10) ORDER BY ts, event_id) AS text FROM r GROUP BY 1, 2, 3""")
+def turn_merge(spark, sf_dir):
+    return dialogue.merged_runs(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type", "props")
+
+
+@Q("""WITH m AS (SELECT event_id, user_id, event_type, props, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t0 FROM events),
+h AS (SELECT *, sum(CASE WHEN t0 IS DISTINCT FROM event_type THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY before NULLS FIRST, event_id) AS run FROM m)
+SELECT min(event_id) AS head, count(*) AS n_merged, max(event_id) AS last_id FROM h GROUP BY user_id, run""")
+def chain_merge(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events").withColumn("before", F.lag("event_id").over(w)).withColumn("gid", F.concat_ws(":", "user_id", "event_type"))
+    out = dialogue.merged_chains(rows.select("event_id", "before", "gid", "props"), "event_id", "before", "gid", "props")
+    return out.select("head", F.size("merged_ids").cast("long").alias("n_merged"), F.array_max("merged_ids").alias("last_id"))
+
+
+@Q("""WITH b AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations),
+k AS (SELECT conv_id, 4 + (max(role) FILTER (WHERE back = 1) = 'user')::INT AS kept FROM b GROUP BY conv_id),
+p AS (SELECT conv_id, kept + coalesce((max(role) FILTER (WHERE back = kept) = 'assistant' AND max(role) FILTER (WHERE back = kept + 1) = 'user')::INT, 0) AS kept FROM b JOIN k USING (conv_id) GROUP BY conv_id, kept)
+SELECT conv_id, turn, n >= 3 AND back > kept AS compacted FROM b JOIN p USING (conv_id)""")
+def compaction_split(spark, sf_dir):
+    return dialogue.compaction_split(turns(spark, sf_dir), "conv_id", "turn", "role").select("conv_id", "turn", "compacted")
+
+
+@Q("SELECT conv_id, coalesce(substr(trim(regexp_replace(arg_min(text, turn) FILTER (WHERE role = 'user'), '[\\r\\n]+', ' ', 'g')), 1, 60), 'untitled') AS title FROM conversations GROUP BY conv_id")
+def session_title(spark, sf_dir):
+    return dialogue.session_titles(turns(spark, sf_dir), "conv_id", "turn")
+
+
+@Q("SELECT conv_id, turn, role FROM conversations WHERE role <> 'system' OR starts_with(text, '[summary]')")
+def history_filter(spark, sf_dir):
+    return dialogue.persistent(turns(spark, sf_dir)).select("conv_id", "turn", "role")
+
+
+@Q("SELECT conv_id, sha256(string_agg('[' || role || '] ' || text, chr(10) ORDER BY turn)) AS transcript_sha, count(*) AS n FROM conversations GROUP BY conv_id")
+def transcript(spark, sf_dir):
+    held = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    return turns(spark, sf_dir).groupBy("conv_id").agg(F.sha2(T.transcript(held), 256).alias("transcript_sha"), F.count("*").alias("n"))
+
+
+@Q("""SELECT c.conv_id, c.n_messages, u.updated FROM (SELECT conv_id, count(*) AS n_messages FROM conversations GROUP BY conv_id) c
+JOIN (SELECT user_id, epoch_us(max(ts)) // 1000 AS updated FROM events GROUP BY user_id) u ON c.conv_id = u.user_id ORDER BY updated DESC, conv_id DESC LIMIT 20""")
+def recent_sessions(spark, sf_dir):
+    n = turns(spark, sf_dir).groupBy("conv_id").agg(F.count("*").alias("n_messages"))
+    at = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("conv_id")).agg(F.unix_millis(F.max(F.col("ts").cast("timestamp"))).alias("updated"))
+    return n.join(at, "conv_id").orderBy(F.desc("updated"), F.desc("conv_id")).limit(20)
+
+
+PAGE = "regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?i)<br[ ]*/?>', chr(10), 'g')"
+RESOLVED = f"regexp_replace({PAGE}, '<[^>]*>', '', 'g')"
+for _name, _value in T.ENTITIES.items():
+    RESOLVED = f"replace({RESOLVED}, '{_name}', '{_value.replace(chr(39), chr(39) * 2)}')"
+
+
+@Q(f"SELECT page_id, sha256(array_to_string(list_filter(list_transform(string_split({RESOLVED}, chr(10)), lambda x: regexp_replace(x, '^{T.BLANK}+|{T.BLANK}+$', '', 'g')), lambda x: x <> ''), chr(10))) AS text_sha FROM pages")
+def html_clean(spark, sf_dir):
+    body = F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</(script|style)>", "")
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(T.clean_markup(body), 256).alias("text_sha"))
+
+
+@Q("SELECT page_id, replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '&amp;', '&') AS title, len(regexp_extract_all(html, '(?i)<p[ >]'))::BIGINT AS n_paragraphs FROM pages")
+def html_titles(spark, sf_dir):
+    title = F.replace(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1), F.lit("&amp;"), F.lit("&"))
+    return table(spark, sf_dir, "pages").select("page_id", title.alias("title"), F.regexp_count("html", F.lit("(?i)<p[ >]")).cast("long").alias("n_paragraphs"))
+
+
+TOUCH = "t AS (SELECT user_id, event_type || ':' || (json_extract_string(props, '$.k')::BIGINT % 20) AS card, ts, event_id FROM events)"
+
+
+def touches(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("long") % 20
+    return table(spark, sf_dir, "events").select("user_id", F.concat_ws(":", "event_type", k).alias("card"), "ts", "event_id")
+
+
+@Q(f"""WITH {TOUCH}, l AS (SELECT user_id, card, max((ts, event_id)) AS last_at FROM t GROUP BY 1, 2)
+SELECT user_id, card, row_number() OVER (PARTITION BY user_id ORDER BY last_at DESC, card DESC)::INT AS rank FROM l QUALIFY rank <= 6""")
+def lru_active(spark, sf_dir):
+    return activation.active_sets(touches(spark, sf_dir), "user_id", ["ts", "event_id"], "card", 6).select("user_id", "card", "rank")
+
+
+@Q(f"""WITH {TOUCH}, l AS (SELECT user_id, card, max((ts, event_id)) AS last_at FROM t GROUP BY 1, 2),
+a AS (SELECT user_id, string_agg(card, ', ' ORDER BY rank) AS cards FROM (SELECT user_id, card, row_number() OVER (PARTITION BY user_id ORDER BY last_at DESC, card DESC) AS rank FROM l) WHERE rank <= 6 GROUP BY user_id),
+s AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS sys FROM conversations WHERE role = 'system' GROUP BY conv_id)
+SELECT c.conv_id, sha256(concat_ws(chr(10) || chr(10), CASE WHEN trim(sys) <> '' THEN sys END, CASE WHEN cards IS NOT NULL THEN 'Active: ' || cards END, 'Turns: ' || n)) AS prompt_sha
+FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) c LEFT JOIN s USING (conv_id) LEFT JOIN a ON a.user_id = c.conv_id""")
+def prompt_compose(spark, sf_dir):
+    t = turns(spark, sf_dir)
+    held = lambda item: F.array_sort(F.collect_list(item))
+    active = activation.active_sets(touches(spark, sf_dir), "user_id", ["ts", "event_id"], "card", 6)
+    cards = active.groupBy(F.col("user_id").alias("conv_id")).agg(F.array_join(F.transform(held(F.struct("rank", "card")), lambda s: s["card"]), ", ").alias("cards"))
+    system = t.where("role = 'system'").groupBy("conv_id").agg(F.array_join(F.transform(held(F.struct("turn", "text")), lambda s: s["text"]), "\n").alias("system"))
+    out = t.groupBy("conv_id").agg(F.count("*").alias("n")).join(system, "conv_id", "left").join(cards, "conv_id", "left")
+    prompt = T.sections(F.col("system"), F.concat(F.lit("Active: "), F.col("cards")), F.concat(F.lit("Turns: "), F.col("n")))
+    return out.select("conv_id", F.sha2(prompt, 256).alias("prompt_sha"))
+
+
+@Q("""WITH p AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev, role FROM conversations),
+n AS (SELECT conv_id, turn, len(string_split(prev, ' ')) AS u, len(string_split(text, ' ')) AS c FROM p WHERE role = 'assistant' AND prev IS NOT NULL),
+k AS (SELECT *, least(c, 117) AS kept, least(u, 117 - least(c, 117)) AS tail FROM n)
+SELECT conv_id, turn, (3 + kept + tail)::INT AS n_input, kept::INT AS n_label, (u - tail)::INT AS user_cut, (c - kept)::INT AS completion_cut FROM k""")
+def token_budget(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    p = turns(spark, sf_dir).withColumn("prev", F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))).where("role = 'assistant' and prev is not null")
+    ids = lambda c: F.transform(F.split(c, " "), lambda w: F.length(w))
+    out = sft.packed(p.select("conv_id", "turn", F.array(*map(F.lit, (1, 2, 3))).alias("s"), ids("prev").alias("u"), ids("text").alias("c")), "s", "u", "c", 120)
+    return out.select("conv_id", "turn", F.size("input_ids").alias("n_input"), F.size(F.filter("labels", lambda x: x >= 0)).alias("n_label"), "user_cut", "completion_cut")
