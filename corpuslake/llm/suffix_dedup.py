@@ -66,7 +66,7 @@ def _batch(schema: pa.Schema, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(cols[f.name]).view(np.int64) if isinstance(cols[f.name], np.ndarray) and cols[f.name].dtype == np.uint64 else cols[f.name], f.type) for f in schema], schema=schema)
 
 
-_RUNS = pa.schema([("k", pa.int64()), ("j", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("a", pa.int32()), ("gram", pa.int64()), ("whole", pa.int64())])
+_RUNS = pa.schema([("k", pa.int64()), ("j", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("a", pa.int32()), ("gram", pa.int64()), ("whole", pa.int64())])
 
 
 def _runs(length: int, gram: int):
@@ -100,10 +100,11 @@ def _resolve(rows: DataFrame, lead: str, whole: list[str], name: str) -> DataFra
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
-    zip_ = zstandard.ZstdCompressor(level=1)
+    zip_ = zstandard.ZstdCompressor(level=3)
     for b in slices(batches, "text"):
         data, at = utf8(b.column("text"))
-        yield pa.RecordBatch.from_arrays([b.column("k"), b.column("j"), pa.array([zip_.compress(data[x:y].tobytes()) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], names=["k", "j", "z"])
+        packed = pa.array([zip_.compress(data[x:y].tobytes()) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k"), b.column("j"), packed], names=["doc_id", "k", "j", "z"])
 
 
 def _bodies(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -123,7 +124,7 @@ def _few(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Reco
             yield b.slice(i, rows)
 
 
-_BLOCKS = pa.schema([("k", pa.int64()), ("j", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("gram", pa.int64()), ("core", pa.int64()), ("whole", pa.int64())])
+_BLOCKS = pa.schema([("k", pa.int64()), ("j", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("gram", pa.int64()), ("core", pa.int64()), ("whole", pa.int64())])
 
 
 def _blocks(length: int):
@@ -143,14 +144,14 @@ def _blocks(length: int):
                 # a window of the block contains all bytes from its last start to the end of its first window
                 core = _TWO.ranges(two, np.maximum(last, 0), np.minimum(first + length, len(data))) if len(run) else np.zeros(0, np.uint64)
                 g = gram[run].astype(np.uint64) + block.astype(np.uint64)
-                out.append((np.full(len(run), k), np.full(len(run), j), s1, s2, gram[run], mix(core ^ mix(g)), mix(_TWO.ranges(two, s1, s2 + length) + mix((a[run] - s1).astype(np.uint64)))))
+                out.append((np.full(len(run), k), np.full(len(run), j, np.int32), s1, s2, gram[run], mix(core ^ mix(g)), mix(_TWO.ranges(two, s1, s2 + length) + mix((a[run] - s1).astype(np.uint64)))))
             if out:
                 yield _batch(_BLOCKS, **{f.name: np.concatenate(x) for f, x in zip(_BLOCKS, zip(*out, strict=True), strict=True)})
 
     return task
 
 
-_WINDOWS = pa.schema([("k", pa.int64()), ("j", pa.int64()), ("lo", pa.int32()), ("gram", pa.int64()), ("whole", pa.int64())])
+_WINDOWS = pa.schema([("k", pa.int64()), ("j", pa.int32()), ("lo", pa.int32()), ("gram", pa.int64()), ("whole", pa.int64())])
 
 
 def _windows(length: int):
@@ -160,26 +161,26 @@ def _windows(length: int):
             for k, j, data, (lo, hi, gram) in _bodies(b):
                 n = hi - lo + 1
                 s = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                out.append((np.full(len(s), k), np.full(len(s), j), s, np.repeat(gram, n), _TWO.ranges(_TWO.prefix(data), s, s + length)))
+                out.append((np.full(len(s), k), np.full(len(s), j, np.int32), s, np.repeat(gram, n), _TWO.ranges(_TWO.prefix(data), s, s + length)))
             if out:
                 yield _batch(_WINDOWS, **{f.name: np.concatenate(x) for f, x in zip(_WINDOWS, zip(*out, strict=True), strict=True)})
 
     return task
 
 
-_CUT = pa.schema([("k", pa.int64()), ("j", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+_CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
 
 def _cut(length: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _few(batches):
             out = []
-            for k, j, data, (lo, hi) in _bodies(b):
+            for doc, (_, _, data, (lo, hi)) in zip(b.column("doc_id").to_pylist(), _bodies(b), strict=True):
                 edge = np.zeros(len(data) + 1, dtype=np.int64)
                 np.add.at(edge, lo, 1)
                 np.add.at(edge, hi + length, -1)
                 gone = np.cumsum(edge)[:-1] > 0
-                out.append((k, j, int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), data[~gone].tobytes()))
+                out.append((doc, len(data), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), data[~gone].tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _CUT, strict=True)], schema=_CUT)
 
@@ -202,24 +203,23 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """
     if gram + BLOCK > length:
         raise ValueError("length must be at least gram + 16")
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"k": F.xxhash64("doc_id", "text"), "j": F.xxhash64("text", "doc_id", F.lit(7))})
-    text = keyed.select("k", "j", "text").where(F.octet_length("text") >= length)
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"k": F.xxhash64("doc_id", "text"), "j": F.hash("text", "doc_id")})
+    text = keyed.where(F.octet_length("text") >= length)
     ddl = lambda schema: ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'binary' if f.type == pa.binary() else 'long'}" for f in schema)
-    runs = materialize(text.mapInArrow(_runs(length, gram), ddl(_RUNS)), "suffix-runs")
+    runs = materialize(text.select("k", "j", "text").mapInArrow(_runs(length, gram), ddl(_RUNS)), "suffix-runs")
     hit = _resolve(runs, "gram", ["gram", "whole"], "suffix-run")
 
     listed = lambda rows, *cols: rows.groupBy("k", "j").agg(F.collect_list(F.struct(*cols)).alias("spans"))
-    packed = text.mapInArrow(_pack, "k long, j long, z binary")
-    work = materialize(packed.join(hit.select("k", "j").distinct(), ["k", "j"]).dropDuplicates(["k", "j"]), "suffix-work")
+    pack = lambda rows: rows.mapInArrow(_pack, "doc_id long, k long, j int, z binary")
+    work = materialize(pack(text).drop("doc_id").join(hit.where("pool").select("k", "j").distinct(), ["k", "j"]).dropDuplicates(["k", "j"]), "suffix-work")
     blocks = materialize(work.join(listed(hit.where("pool"), "lo", "hi", "a", "gram"), ["k", "j"]).mapInArrow(_blocks(length), ddl(_BLOCKS)), "suffix-blocks")
     part = _resolve(blocks, "core", ["core", "gram", "whole"], "suffix-block")
     windows = materialize(work.join(listed(part.where("pool"), "lo", "hi", "gram"), ["k", "j"]).mapInArrow(_windows(length), ddl(_WINDOWS)), "suffix-windows")
     again = materialize(windows.groupBy("gram", "whole").agg(F.count("*").alias("n")).where("n > 1"), "suffix-window-again")
     single = windows.join(again, ["gram", "whole"]).select("k", "j", "lo", F.col("lo").alias("hi"))
     spans = hit.where("full").select("k", "j", "lo", "hi").union(part.where("full").select("k", "j", "lo", "hi")).union(single)
-    cut = work.join(listed(spans, "lo", "hi"), ["k", "j"]).mapInArrow(_cut(length), ddl(_CUT))
-    out = keyed.select("doc_id", "k", "j", "text").join(cut, ["k", "j"], "left")
-    return out.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept", F.encode("text", "UTF-8")).alias("kept"))
+    none = F.array().cast("array<struct<lo:int,hi:int>>")
+    return pack(keyed).join(listed(spans, "lo", "hi"), ["k", "j"], "left").select("doc_id", "k", "j", "z", F.coalesce("spans", none).alias("spans")).mapInArrow(_cut(length), ddl(_CUT))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
