@@ -8,7 +8,7 @@ from corpuslake.llm.language_id import op9_language_id
 from corpuslake.llm.licenses import op2_licenses
 from corpuslake.llm.line_dedup import OP7_SQL, op7_line_dedup
 from corpuslake.llm.mixing import op4_mix
-from corpuslake.llm.near_dedup import op6_near_dedup
+from corpuslake.llm.near_dedup import OP6_SQL, op6_near_dedup
 from corpuslake.llm.secrets import op5_secrets
 from corpuslake.llm.suffix_dedup import op8_suffix_dedup
 from corpuslake.llm.surrogates import op1_surrogates
@@ -28,5 +28,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op3_decontaminate": OP3_SQL,
+    "op6_near_dedup": OP6_SQL,
     "op7_line_dedup": OP7_SQL,
 }
