@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslake.llm.common import fresh, read
@@ -130,9 +130,15 @@ def find_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
     return docs.withColumn(body, F.coalesce("text", F.lit(""))).mapInArrow(lambda it: _task(it, flat, share, body, name), schema), name
 
 
+def fullest(found: Column) -> Column:
+    """Of matches that overlap, those that none surpasses in containment (versions of a licence differ in one word)."""
+    return F.filter(found, lambda m: ~F.exists(found, lambda o: (o["start"] < m["end"]) & (m["start"] < o["end"]) & (o["containment"] > m["containment"])))
+
+
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence notices of every document."""
+    """Licence notices of every document, the fullest of those that overlap."""
     found, name = find_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = found.withColumn(name, fullest(F.col(name)))
     listed = F.array_join(F.transform(name, lambda m: F.concat_ws(":", m["license"], m["start"], m["end"])), ",")
     best = F.array_max(F.transform(name, lambda m: m["containment"]))
     return found.select("doc_id", F.size(name).cast("long").alias("n_matches"), F.array_join(F.array_sort(F.array_distinct(F.transform(name, lambda m: m["license"]))), ",").alias("licenses"), listed.alias("spans"), best.alias("containment"))

@@ -1,7 +1,7 @@
 import random
 import re
 
-from corpuslake.llm.licenses import TEMPLATES, find_licenses
+from corpuslake.llm.licenses import TEMPLATES, find_licenses, fullest
 
 
 def words(t):
@@ -44,3 +44,9 @@ def test_matches_brute_force(spark):
 
 def test_empty(spark):
     assert find_licenses(spark.createDataFrame([], "doc_id long, text string"))[0].count() == 0
+
+
+def test_fullest_of_overlapping(spark):
+    out, name = find_licenses(spark.createDataFrame([(1, "This is licensed under the GNU General Public License, version 3. Released under the MIT License")], "doc_id long, text string"))
+    assert [m.license for m in out.select(fullest(out[name]).alias("m")).first().m] == ["GPL-3.0", "MIT"]
+    assert {m.license for m in out.first()[name]} == {"GPL-2.0", "GPL-3.0", "MIT"}
