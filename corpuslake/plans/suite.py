@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslake.plans import cards, corpus, dialogue, retrieval
+from corpuslake.plans import cards, corpus, dialogue, more, retrieval
 
-QUERIES = corpus.Q.queries | dialogue.Q.queries | retrieval.Q.queries | cards.Q.queries
-ORACLES = corpus.Q.oracles | dialogue.Q.oracles | retrieval.Q.oracles | cards.Q.oracles
+QUERIES = corpus.Q.queries | dialogue.Q.queries | retrieval.Q.queries | cards.Q.queries | more.Q.queries
+ORACLES = corpus.Q.oracles | dialogue.Q.oracles | retrieval.Q.oracles | cards.Q.oracles | more.Q.oracles
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
