@@ -41,7 +41,7 @@ class Rolling:
 
     def _powers(self, n: int) -> None:
         if len(self.up) < n:
-            size = max(n, 1 << 16, min(2 * len(self.up), 1 << 22))
+            size = -(-n // 65536) * 65536
             with np.errstate(over="ignore"):
                 self.up = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, self.base, np.uint64)]))
                 self.down = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, self.inverse, np.uint64)]))
@@ -68,7 +68,7 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at - at[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds about so many bytes of text at most (a longer document comes alone)."""
     for batch in batches:
         _, at = utf8(batch.column(batch.schema.get_field_index(text)))
