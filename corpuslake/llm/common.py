@@ -73,22 +73,28 @@ def sha256_hex(text: Column) -> Column:
 def components(edges: DataFrame, name: str, src: str = "src", dst: str = "dst") -> DataFrame:
     """Connected components of an undirected edge table: (node, component), component = smallest node.
 
-    Each round takes the smallest label among neighbours, then label = label of label (pointer doubling), so the
-    number of rounds grows with the logarithm of a chain. Nodes with no edge are not in the result. Every round is
-    written to the shared folder; nothing is gathered on the driver but one count.
+    Each round every node takes the smallest of its neighbours, then that one's own choice (pointer doubling); edges are
+    contracted to the choices, and those inside one choice are gone, so later rounds work on what is left. Nodes with no
+    edge are not in the result. Every round is written to the shared folder; nothing is gathered on the driver but one count.
     """
-    both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b")
-    both = materialize(both.union(both.select("b", "a")).distinct(), f"{name}-edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), f"{name}-labels")
+    ordered = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = materialize(ordered(edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))), f"{name}-pairs")
+    labels = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = materialize(labels.join(near, "node").select("node", F.least("label", "near").alias("mid"), F.col("label").alias("old")), f"{name}-step")
-        up = step.select(F.col("node").alias("mid"), F.col("mid").alias("up"))
-        new = materialize(step.join(up, "mid").select("node", F.least("mid", "up").alias("label"), "old"), f"{name}-labels")
-        changed = new.where("label <> old").limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
-            return labels.select("node", F.col("label").alias("component"))
+        both = pairs.union(pairs.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
+        step = materialize(both.select("node", F.least("node", "low").alias("label")), f"{name}-step")
+        up = step.select(F.col("node").alias("label"), F.col("label").alias("up"))
+        chosen = materialize(step.join(up, "label").select("node", F.least("label", "up").alias("choice")), f"{name}-chosen")
+        if labels is None:
+            labels = chosen.select("node", F.col("choice").alias("component"))
+        else:
+            new = chosen.select(F.col("node").alias("component"), "choice")
+            labels = materialize(labels.join(new, "component", "left").select("node", F.coalesce("choice", "component").alias("component")), f"{name}-labels")
+        side = lambda c: chosen.select(F.col("node").alias(c), F.col("choice").alias(f"{c}2"))
+        left = pairs.join(side("a"), "a").join(side("b"), "b").select(F.col("a2").alias("a"), F.col("b2").alias("b"))
+        pairs = materialize(ordered(left), f"{name}-pairs")
+        if not pairs.limit(1).count():
+            return labels
 
 
 Query = Callable[[SparkSession, str], DataFrame]
