@@ -16,7 +16,8 @@ LENGTH = 400
 #: Bytes of the leading digit.
 GRAM = 64
 _ONE, _TWO = Rolling(81), Rolling(82)
-_BITS = np.uint64(26)
+#: Bits of a position beside its hash in one number: texts of up to 4 GB have the same anchors as short ones.
+_BITS = np.uint64(32)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -90,8 +91,9 @@ def _resolve(rows: DataFrame, lead: str, whole: list[str], name: str) -> DataFra
     again = materialize(rows.groupBy(lead).count().where("count > 1").select(lead), f"{name}-again")
     kept = materialize(rows.join(again, lead), f"{name}-kept")
     kinds = materialize(kept.groupBy(*whole).agg(F.count("*").alias("n"), F.min("k").alias("first")), f"{name}-kinds")
-    mixed = kinds.groupBy(lead).agg((F.count("*") > 1).alias("mixed"))
-    known = materialize(kinds.join(mixed, lead), f"{name}-known")
+    # written, so that Spark can split a digit with very many strings where it meets them
+    mixed = materialize(kinds.groupBy(lead).agg(F.count("*").alias("kinds")).where("kinds > 1"), f"{name}-mixed")
+    known = materialize(kinds.join(mixed, lead, "left").select(*kinds.columns, F.col("kinds").isNotNull().alias("mixed")), f"{name}-known")
     return materialize(
         kept.join(known, whole).select(*kept.columns, (F.col("n") > 1).alias("full"), (F.col("mixed") & ((F.col("n") == 1) | (F.col("k") == F.col("first")))).alias("pool")).where("full or pool"), f"{name}-hit"
     )
