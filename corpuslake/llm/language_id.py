@@ -1,4 +1,4 @@
-"""Language identification by interpolated Kneser-Ney character models held in sorted hash arrays."""
+"""Language identification by interpolated Kneser-Ney character models held in sorted arrays, in shards of the shared folder."""
 
 from __future__ import annotations
 
@@ -8,15 +8,15 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslake.llm.common import fresh, materialize, read
 from corpuslake.llm.textkit import slices
 
 ORDER = 4
-#: Entries of all languages' models together; of a language's grams the most frequent are kept within its share.
-MODEL_GRAMS = 2_000_000
+DISCOUNT = 0.75
+#: Entries of a shard (about; the shards are ranges of grams), and shards that a Python worker keeps.
+SHARD_GRAMS, KEPT_SHARDS = 500_000, 16
 #: Grams that a training task holds before it passes them on.
 HELD = 1 << 19
 #: Code points that are classified; all above are no letters.
@@ -92,14 +92,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Kneser-Ney models of all languages side by side.
+    """Kneser-Ney models of all languages side by side, in memory: what the shards are tested against.
 
     For each order: sorted packed grams with a row of log-probabilities (one for each language), and sorted packed
     contexts with a row of log back-off weights. Looking up costs one binary search for known grams, whatever the number
     of languages; an unknown gram adds its context's weight and goes on with the next shorter gram.
     """
 
-    def __init__(self, langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]], discount: float = 0.75) -> None:
+    def __init__(self, langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]], discount: float = DISCOUNT) -> None:
         self.langs, self.grams, self.contexts = langs, [], []
         every = [np.unique(np.concatenate([c for c, _ in counts]))]
         levels = [counts]
@@ -150,40 +150,118 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, lang: str = "lang", model_grams: int = MODEL_GRAMS) -> Model | None:
+@lru_cache(maxsize=KEPT_SHARDS)
+def _shard(uri: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted grams, their languages' numbers and values of a file in the shared folder."""
+    import pyarrow.fs
+    import pyarrow.parquet as pq
+
+    fs, path = pyarrow.fs.FileSystem.from_uri(uri)
+    t = pq.read_table(path, columns=["code", "l", "v"], filesystem=fs, partitioning=None)
+    return t["code"].to_numpy(), t["l"].to_numpy().astype(np.int16), t["v"].to_numpy()
+
+
+class Shards:
+    """Every language's model over every gram that was counted, as files of the shared folder.
+
+    For each order two tables, one of grams with their log-probability and one of contexts with their log back-off weight,
+    a row for each language that has them; each is cut into files by ranges of grams. Only the names and bounds of the files, and
+    a few numbers a language, are held here; a worker loads one file after another and looks up a block's distinct grams in it.
+    """
+
+    def __init__(self, langs: list[str], floor: float, mean: np.ndarray, sd: np.ndarray, files: dict[tuple[str, int], list[tuple[int, int, str]]]) -> None:
+        self.langs, self.floor, self.mean, self.sd, self.files = langs, floor, mean, sd, files
+        # where the files do not stay in a worker's memory, larger blocks of text share each reading of them
+        whole = sum(map(len, files.values())) <= KEPT_SHARDS
+        self.block = max(1 << 12, (1 << (18 if whole else 23)) * 16 // max(16, len(langs)))
+
+    def _values(self, table: tuple[str, int], codes: np.ndarray) -> np.ndarray:
+        """A row for each of the sorted codes and a column for each language; NaN where the table has none."""
+        out = np.full((len(codes), len(self.langs)), np.nan, dtype=np.float32)
+        for low, high, uri in self.files.get(table, []):
+            a, b = np.searchsorted(codes, low), np.searchsorted(codes, high, "right")
+            if a < b:
+                code, lang, v = _shard(uri)
+                first = np.searchsorted(code, codes[a:b])
+                size = np.searchsorted(code, codes[a:b], "right") - first
+                at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+                out[np.repeat(np.arange(a, b), size), lang[at]] = v[at]
+        return out
+
+    def _known(self, codes: np.ndarray, order: int) -> np.ndarray:
+        if not order:
+            return np.full((len(codes), len(self.langs)), self.floor, dtype=np.float32)
+        out = self._values(("grams", order), codes)
+        miss = np.flatnonzero(np.isnan(out).any(axis=1))
+        if len(miss):
+            heads, head = np.unique((codes[miss].view(np.uint64) >> np.uint64(16)).view(np.int64), return_inverse=True)
+            tails, tail = np.unique(codes[miss] & ((1 << (16 * (order - 1))) - 1), return_inverse=True)
+            less = np.nan_to_num(self._values(("contexts", order), heads))[head] + self._known(tails, order - 1)[tail]
+            out[miss] = np.where(np.isnan(out[miss]), less, out[miss])
+        return out
+
+    def lookup(self, codes: np.ndarray) -> np.ndarray:
+        distinct, where = np.unique(codes.view(np.int64), return_inverse=True)
+        return self._known(distinct, ORDER)[where]
+
+
+def train(docs: DataFrame, lang: str = "lang", shard_grams: int = SHARD_GRAMS) -> Shards | None:
     """A model from all rows with a text and a language; None if there are none.
 
-    Every text is counted on Spark; the driver gets the grams within model_grams entries and nothing else."""
+    Every text is counted and every counted gram of every order is kept, whatever their number; probabilities and the entropy to
+    expect are joined and aggregated on Spark. The driver gets names and bounds of files of about shard_grams entries."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(lang).cast("string").alias("lang"), "text").where("lang is not null and text is not null")
     counts = materialize(rows.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "language-grams")
-    langs = [r["lang"] for r in counts.select("lang").distinct().limit(model_grams + 1).collect()]
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().limit(1001).collect())
     if not langs:
         return None
     if len(langs) > 1000:
         raise ValueError("more than 1000 languages: the models would not be bounded")
-    share = max(1, model_grams // len(langs))
-    if counts.count() > model_grams:
-        # the least count that keeps a language within its share, from a histogram of counts
-        upto = F.sum("kinds").over(W.partitionBy("lang").orderBy(F.desc("n")))
-        least = counts.groupBy("lang", "n").agg(F.count("*").alias("kinds")).withColumn("upto", upto).where(F.col("upto") <= share).groupBy("lang").agg(F.min("n").alias("least"))
-        counts = counts.join(least, "lang").where("n >= least").drop("least")
-    pdf = counts.toPandas()
-    langs = [x for x in langs if (pdf["lang"] == x).any()]
-    out = []
-    for name in sorted(langs):
-        own = pdf[pdf["lang"] == name]
-        code, n = own["code"].to_numpy().astype(np.int64).view(np.uint64), own["n"].to_numpy().astype(np.int64)
-        order = np.argsort(code)
-        out.append((code[order], n[order]))
-    return Model(sorted(langs), out) if out else None
+    numbers = F.broadcast(spark.createDataFrame(list(enumerate(langs)), "l int, lang string"))
+    levels = {ORDER: counts.join(numbers, "lang").select("l", "code", "n")}
+    for order in range(ORDER - 1, 0, -1):
+        # continuation counts: how many different symbols stand before the gram
+        shorter = F.col("code").bitwiseAND(F.lit((1 << (16 * order)) - 1).cast("long"))
+        levels[order] = materialize(levels[order + 1].groupBy("l", shorter.alias("code")).agg(F.count("*").alias("n")), "language-level")
+    floor = float(np.log(1.0 / max(2, levels[1].select("code").distinct().count())))
+    tables: dict[tuple[str, int], DataFrame] = {}
+    for order in range(1, ORDER + 1):
+        files = max(1, -(-levels[order].count() // shard_grams))
+        sharded = lambda df, name: materialize(df.repartitionByRange(files, "code").sortWithinPartitions("code", "l"), f"language-{name}")  # noqa: B023, E731
+        level = levels[order].withColumn("head", F.shiftrightunsigned("code", 16))
+        weight = F.lit(DISCOUNT) * F.col("kinds") / F.col("total")
+        contexts = level.groupBy("l", F.col("head").alias("code")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        tables["contexts", order] = sharded(contexts.withColumn("v", F.log(weight).cast("float")), "contexts")
+        joined = level.join(tables["contexts", order].select("l", F.col("code").alias("head"), "total", "kinds"), ["l", "head"])
+        if order == 1:
+            joined = joined.withColumn("low", F.lit(float(np.exp(floor))))
+        else:
+            tail = F.col("code").bitwiseAND(F.lit((1 << (16 * (order - 1))) - 1).cast("long"))
+            low = tables["grams", order - 1].select("l", F.col("code").alias("tail"), F.exp(F.col("v").cast("double")).alias("low"))
+            joined = joined.withColumn("tail", tail).join(low, ["l", "tail"])
+        p = (F.col("n") - DISCOUNT) / F.col("total") + weight * F.col("low")
+        # what each occurrence would cost had it not been counted: the entropy to expect of new texts
+        left = -F.log(F.greatest(F.col("n") - 1 - DISCOUNT, F.lit(0.0)) / F.greatest(F.col("total") - 1, F.lit(1)) + weight * F.col("low"))
+        tables["grams", order] = sharded(joined.select("l", "code", F.log(p).cast("float").alias("v"), "n", left.alias("left")), "order")
+    mean, sd = np.zeros(len(langs)), np.zeros(len(langs))
+    n, x = F.col("n").cast("double"), F.col("left")
+    for r in tables["grams", ORDER].groupBy("l").agg(F.sum(n).alias("n"), F.sum(n * x).alias("x"), F.sum(n * x * x).alias("xx")).collect():
+        mean[r["l"]] = r["x"] / r["n"]
+        sd[r["l"]] = np.sqrt(max(0.0, r["xx"] / r["n"] - mean[r["l"]] ** 2))
+    found: dict[tuple[str, int], list[tuple[int, int, str]]] = {}
+    for key, df in tables.items():
+        bounds = df.select("code", F.input_file_name().alias("uri")).groupBy("uri").agg(F.min("code").alias("low"), F.max("code").alias("high"))
+        found[key] = sorted((r["low"], r["high"], r["uri"]) for r in bounds.collect())
+    return Shards(langs, floor, mean, sd, found)
 
 
 _FOUND = "lang_pred string, score double, entropy double, rejected boolean"
 
 
 def _predict(model, batches: Iterator[pa.RecordBatch], names: list[str], body: str) -> Iterator[pa.RecordBatch]:
-    m: Model | None = model.value if model is not None else None
-    for b in slices(batches, body, 1 << 18):
+    m: Shards | None = model.value if model is not None else None
+    for b in slices(batches, body, m.block if m is not None else 1 << 18):
         n = b.num_rows
         pred, score, entropy, rejected = [UNKNOWN] * n, np.zeros(n), np.zeros(n), np.ones(n, dtype=bool)
         code, at = grams(b.column(body))
@@ -205,7 +283,7 @@ def _predict(model, batches: Iterator[pa.RecordBatch], names: list[str], body: s
         yield pa.RecordBatch.from_arrays(cols, names=[*[x for x in b.schema.names if x != body], *names])
 
 
-def identify(docs: DataFrame, model: Model | None) -> tuple[DataFrame, dict[str, str]]:
+def identify(docs: DataFrame, model: Shards | None) -> tuple[DataFrame, dict[str, str]]:
     """docs with four more columns (names as returned): lang_pred, score, entropy and rejected.
 
     lang_pred is the language whose model gives the least cross-entropy a symbol; `und` for a text that is null or has no

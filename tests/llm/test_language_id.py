@@ -51,3 +51,24 @@ def test_held_out_accuracy(spark):
     got = op9_language_id(spark, "/root/testdata/sf0.001").alias("g").join(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "doc_id")
     r = got.where("held_out").selectExpr("count(*) n", "avg(cast(lang_pred = lang as int)) acc").first()
     assert r.n > 20 and r.acc >= 0.95
+
+
+def test_every_gram_is_kept_whatever_the_size_of_a_shard(spark):
+    """Symbols of all the 16 bits; the same results from one shard as from many, and those of the model in memory over all grams."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    letters = {"x": "abcdefg", "y": "efghijk", "z": "가나다힣漢字"}
+    rows = [(i, " ".join("".join(rng.choices(letters[la], k=4)) for _ in range(60)), la) for i, la in enumerate(["x", "y", "z"] * 8)]
+    rows += [(100, "abce efgh unseen qq 漢a", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    many = train(df, "lang", 50)
+    out = [sorted(map(tuple, identify(df, m)[0].select("doc_id", "lang_pred", "entropy", "rejected").collect())) for m in (many, train(df))]
+    assert out[0] == out[1]
+    assert max(map(len, many.files.values())) > 10
+    own = [np.unique(grams(pa.array([t for _, t, la in rows if la == x]))[0], return_counts=True) for x in "xyz"]
+    full = Model(["x", "y", "z"], own)
+    codes, _ = grams(pa.array([t for _, t, _ in rows]))
+    assert many.lookup(codes) == pytest.approx(full.lookup(codes), abs=1e-4)
+    assert many.floor == full.floor and many.mean == pytest.approx(full.mean, abs=1e-6) and many.sd == pytest.approx(full.sd, abs=1e-6)
