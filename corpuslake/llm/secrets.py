@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,10 +19,14 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: A word that makes a context sensitive, then at most 64 characters of the line, then the candidate.
-CANDIDATE = re.compile(r"(?:key|token|secret|passw|auth|credential|bearer|private|signature|session|cookie)[^\n]{0,64}?(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[0-9])([A-Za-z0-9+/_=-]{16,})", re.IGNORECASE | re.ASCII)
+#: A word that makes a context sensitive (words may overlap), and a candidate: a whole run, with `=` as its padding only.
+WORD = re.compile(r"(?=(key|token|secret|passw|auth|credential|bearer|private|signature|session|cookie))", re.IGNORECASE | re.ASCII)
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{14,}(?:=+(?![A-Za-z0-9+/_=-]))?")
+DIGIT = re.compile(r"[0-9]")
 #: One linear-time pattern that every document with any span matches; the rest is never looked at again.
 ANY = r"(?i:password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|(?i:key|token|secret|passw|auth|credential|bearer|private|signature|session|cookie)[^\n]{0,64}[A-Za-z0-9+/_=-]{16}"
+#: Least length of a candidate, and most characters of its line between a sensitive word and it.
+LEAST, REACH = 16, 64
 #: Characters of code around a candidate that its compressor has seen, and marginal bytes a character from which it is new.
 AROUND, NOVELTY = 256, 0.6
 #: Identifiers that code is made of; the compressor knows them before it starts (fixed values).
@@ -53,13 +58,21 @@ def spans(text: str, novelty: Novelty, threshold: float = NOVELTY) -> list[dict]
     out = [("assign", *m.span(), None) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     out += [("access", *m.span(), None) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     out += [("hex", *m.span(), None) for m in HEX.finditer(text)]
-    taken = sorted((s, e) for _, s, e, _ in out)
-    at = 0
-    while m := CANDIDATE.search(text, at):
-        start, end = m.span(1)
-        at = end
-        if not any(s < end and start < e for s, e in taken):
-            new = novelty.bytes(text[max(0, start - AROUND) : start], m[1], text[end : end + AROUND])
+    taken: list[list[int]] = []
+    for start, end in sorted((s, e) for _, s, e, _ in out):
+        if taken and start < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], end)
+        else:
+            taken.append([start, end])
+    words = sorted(m.end(1) for m in WORD.finditer(text))
+    for m in CANDIDATE.finditer(text) if words else ():
+        start, end = m.span()
+        last = bisect_right(words, start) - 1
+        if end - start < LEAST or last < 0 or start - words[last] > REACH or "\n" in text[words[last] : start] or not DIGIT.search(m[0]):
+            continue
+        near = bisect_left(taken, end, key=lambda x: x[0]) - 1
+        if near < 0 or taken[near][1] <= start:
+            new = novelty.bytes(text[max(0, start - AROUND) : start], m[0], text[end : end + AROUND])
             if new >= threshold * (end - start):
                 out.append(("novel", start, end, new))
     return [{"kind": k, "start": s, "end": e, "novelty": n} for k, s, e, n in sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))]
@@ -82,8 +95,8 @@ def find_secrets(docs: DataFrame, threshold: float = NOVELTY) -> tuple[DataFrame
     """docs (text and others) with one more column (its name is returned): spans, an array of kind, start, end (code points, end
     exclusive) and novelty, by start and then kind.
 
-    assign, access and hex are fixed patterns, leftmost and non-overlapping per kind. novel: a string of 16 characters or
-    more with a digit, within 64 characters after a sensitive word of its line, that touches none of those, and whose marginal
+    assign, access and hex are fixed patterns, leftmost and non-overlapping per kind. novel: every string of 16 characters or
+    more with a digit (`=` only as its padding), within 64 characters after a sensitive word of its line, that touches none of those, and whose marginal
     compressed size after the 256 characters on either side and a dictionary of identifiers is 0.6 bytes a character or more.
     Whole texts are searched, by one scan; nothing is shuffled. A null or empty text has no spans; repeated rows get equal results.
     """
