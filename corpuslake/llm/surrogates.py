@@ -29,10 +29,19 @@ PATTERNS = {
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])",
-    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,5}(?![0-9])",
+    "phone": "|".join([
+        r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
+        r"\+[0-9]{1,3}(?:[ .-][0-9])?(?:[ .-][0-9]{2,8}){2,5}(?![0-9])",
+        r"\+[0-9]{1,3}[ .-][0-9]{6,12}(?![0-9])",
+        r"\+[0-9]{4,8}(?:[ .-][0-9]{2,8}){1,4}(?![0-9])",
+        r"\+[0-9]{7,15}(?![0-9])",
+        r"(?<![0-9])(?<![0-9][.-])(?:1[ .-])?[0-9]{3}(?:-[0-9]{3}-|\.[0-9]{3}\.| [0-9]{3} )[0-9]{4}(?![0-9]|[.-][0-9])",
+    ]),
     "name": rf"(?<!\p{{L}})(?:(?:{_TITLE})\.? (?:(?:{_NAME}) )?\p{{Lu}}\p{{L}}+|(?:{_NAME}) \p{{Lu}}\p{{L}}+)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What every match of any pattern holds, and is cheap to find; documents without it are not looked at again.
+CHEAP = rf"@|[0-9]{{3}}|\+[0-9]|(?:[0-9]{{1,3}}\.){{3}}|(?<!\p{{L}})(?:{_TITLE}|{_NAME})(?!\p{{L}})"
 
 
 def kind_of(entity: Column) -> Column:
@@ -156,8 +165,7 @@ def pseudonymize(docs: DataFrame, key: str = "surrogates-1") -> tuple[DataFrame,
     k, j, new = (fresh(docs.columns, x) for x in ("k", "j", "replaced"))
     text = F.coalesce("text", F.lit(""))
     keys = {"k": F.xxhash64("doc_id", text), "j": F.hash(text, "doc_id")}
-    cheap = F.col("text").rlike(rf"@|[0-9]{{3}}|(?:[0-9]{{1,3}}\.){{3}}|(?<!\p{{L}})(?:{_TITLE}|{_NAME})(?!\p{{L}})")
-    found = docs.where(cheap).select(*(c.alias(n) for n, c in keys.items()), F.posexplode(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("pos", "entity"))
+    found = docs.where(F.col("text").rlike(CHEAP)).select(*(c.alias(n) for n, c in keys.items()), F.posexplode(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("pos", "entity"))
     found = materialize(found.dropDuplicates(["k", "j", "pos"]).withColumn("kind", kind_of(F.col("entity"))).withColumn("value", norm(F.col("kind"), F.col("entity"))), "pii-found")
     mapped = surrogate_map(found, key)
     kind, entity, value = F.col("kind"), F.col("entity"), F.col("new")

@@ -1,6 +1,8 @@
 import re
 
-from corpuslake.llm.surrogates import GIVEN, pseudonymize
+from pyspark.sql import functions as F
+
+from corpuslake.llm.surrogates import CHEAP, GIVEN, kind_of, pseudonymize
 
 TEXTS = [
     (1, "Write to Ann.Lee42@Mail8.example.com or ann.lee42@mail8.example.com; call +1 (386) 555-3733."),
@@ -48,5 +50,23 @@ def test_distinct_over_many(spark):
     assert len(got) == 600
 
 
+def test_every_form_alone_in_its_text(spark):
+    forms = {
+        "phone": ["+49 30 12 34 56 78", "+49-30-12-34-56-78", "+33 1 23 45 67 89", "+15551234567", "+49 30 123456", "+91 98765 43210", "+49 1711234567", "+4930 12345678", "555-123-4567", "555.123.4567", "555 123 4567", "1-555-123-4567", "(555) 123-4567", "(555)1234567", "+1 (386) 555-3733"],
+        "email": ["a@b.de"], "ip": ["1.2.3.4"], "ssn": ["123-45-6789"], "card": ["4041 8949 7460 8795", "4041894974608795"], "name": ["Mr. Li", "Анна Ли", "Dr Xu"],
+    }
+    rows = [(i, x, k) for i, (k, x) in enumerate((k, x) for k, xs in forms.items() for x in xs)]
+    df = spark.createDataFrame(rows, "doc_id long, entity string, kind string")
+    assert not df.where(~F.col("entity").rlike(CHEAP) | (kind_of(F.col("entity")) != F.col("kind"))).count()
+    out = pseudonymize(df.withColumn("text", F.concat(F.lit("to "), "entity", F.lit(" or so."))))[0].collect()
+    for r in out:
+        assert r[f"n_{r.kind}"] == 1 and r.entity not in r.text and r.text.startswith("to ") and r.text.endswith(" or so."), r
+        if r.kind == "phone":
+            assert re.sub("[0-9]", "0", r.text) == f"to {re.sub('[0-9]', '0', r.entity)} or so."
+    left = ["v 10.20.30", "+5 is 5", "2024-01-02", "12345-555-123-4567", "0.5551234567"]
+    df = spark.createDataFrame(list(enumerate(left)), "doc_id long, text string")
+    assert sorted(r.text for r in pseudonymize(df)[0].collect()) == sorted(left)
+
+
 def test_empty(spark):
     assert pseudonymize(spark.createDataFrame([], "doc_id long, text string"))[0].count() == 0
