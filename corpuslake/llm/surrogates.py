@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,19 +138,22 @@ def _filled(entity: Column, digits: Column) -> Column:
     return F.array_join(F.zip_with(gaps, each, lambda g, d: F.concat(g, F.coalesce(d, F.lit("")))), "")
 
 
+def given_names(key: str) -> dict[str, str]:
+    """Given name -> surrogate: in each list of a script and gender the next one in a keyed order, so one-to-one and never itself."""
+    out = {}
+    for names in GIVEN.values():
+        order = sorted(names, key=lambda x: hashlib.sha256(f"{key}{x}".encode()).digest())
+        out |= dict(zip(order, order[1:] + order[:1], strict=True))
+    return out
+
+
 def _named(entity: Column, surname: Column, key: str) -> Column:
     """Title kept, given name from the list of its script and gender, and the surname given."""
     tokens = F.split(entity, " ")
     head = F.slice(tokens, 1, F.size(tokens) - 1)
 
-    def other(t: Column) -> Column:
-        out = t
-        for names in GIVEN.values():
-            v = F.conv(F.substring(F.sha2(F.concat(F.lit(key), t), 256), 1, 8), 16, 10).cast("long")
-            out = F.when(t.isin(names), F.element_at(F.array(*map(F.lit, names)), (v % len(names)).cast("int") + 1)).otherwise(out)
-        return out
-
-    return F.array_join(F.concat(F.transform(head, other), F.array(surname)), " ")
+    given = F.create_map(*(F.lit(x) for pair in given_names(key).items() for x in pair))
+    return F.array_join(F.concat(F.transform(head, lambda t: F.coalesce(F.try_element_at(given, t), t)), F.array(surname)), " ")
 
 
 def pseudonymize(docs: DataFrame, key: str = "surrogates-1") -> tuple[DataFrame, dict[str, str]]:

@@ -2,7 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from corpuslake.llm.surrogates import CHEAP, GIVEN, kind_of, pseudonymize
+from corpuslake.llm.surrogates import CHEAP, GIVEN, given_names, kind_of, pseudonymize
 
 TEXTS = [
     (1, "Write to Ann.Lee42@Mail8.example.com or ann.lee42@mail8.example.com; call +1 (386) 555-3733."),
@@ -68,5 +68,15 @@ def test_every_form_alone_in_its_text(spark):
     assert sorted(r.text for r in pseudonymize(df)[0].collect()) == sorted(left)
 
 
+def test_people_of_one_surname_stay_apart(spark):
+    people = [f"{g} {'Smith' if script == 'latin' else 'Петров'}" for (script, _), names in GIVEN.items() for g in names]
+    got = [r.text for r in pseudonymize(spark.createDataFrame(list(enumerate(people)), "doc_id long, text string"))[0].collect()]
+    assert len(set(got)) == len(people) and len({x.split()[1] for x in got}) == 2
+    for key in ("surrogates-1", "other key"):
+        new = given_names(key)
+        assert all(k != v for k, v in new.items()) and all({new[x] for x in names} == set(names) for names in GIVEN.values())
+    assert given_names("surrogates-1") != given_names("other key")
+
+
 def test_empty(spark):
     assert pseudonymize(spark.createDataFrame([], "doc_id long, text string"))[0].count() == 0
