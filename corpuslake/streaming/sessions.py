@@ -14,23 +14,29 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def _lru(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, size: int) -> Iterator[pd.DataFrame]:
-    """Rows of a micro-batch come in no order, so they are sorted first; state is the set, newest first, and the turns seen."""
-    cards, n = state.get if state.exists else ([], 0)
-    cards, out = list(cards), []
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    for event, card in zip(rows["event_id"], rows["card"], strict=True):
-        cards = [card, *(c for c in cards if c != card)][:size]
-        n += 1
-        out.append((key[0], event, n, ",".join(cards)))
-    state.update((cards, n))
-    yield pd.DataFrame(out, columns=["user_id", "event_id", "n", "active"])
+    """State is the set, newest first, with each card's newest time and event, and the turns seen; batches are folded one by one."""
+    cards, times, events, n = state.get if state.exists else ([], [], [], 0)
+    newest = {c: (int(t), int(e)) for c, t, e in zip(cards, times, events, strict=True)}
+    for rows in batches:
+        out = []
+        rows = rows.sort_values(["ts", "event_id"])
+        for ts, event, card in zip(rows["ts"], rows["event_id"], rows["card"], strict=True):
+            at = (int(pd.Timestamp(ts).value), int(event))
+            newest[card] = max(at, newest.get(card, at))
+            # a card that drops out is older than `size` others, and those only grow newer
+            newest = dict(sorted(newest.items(), key=lambda x: x[1], reverse=True)[:size])
+            n += 1
+            out.append((key[0], event, n, ",".join(newest)))
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "n", "active"])
+    state.update((list(newest), [t for t, _ in newest.values()], [e for _, e in newest.values()], n))
 
 
 def active_sets(touches: DataFrame, size: int) -> DataFrame:
     """A stream of touches (user_id, event_id, ts, card) to the active set after each: user_id, event_id, n and active, newest first.
 
-    A card touched moves to the front; beyond `size` the oldest goes. State is `size` cards a conversation."""
-    return touches.groupBy("user_id").applyInPandasWithState(partial(_lru, size=size), "user_id long, event_id long, n long, active string", "cards array<string>, n long", "append", GroupStateTimeout.NoTimeout)
+    The set holds the `size` cards whose newest (ts, event_id) seen so far are the latest, so the set after all touches does not
+    depend on the order in which they come. State is `size` cards a conversation."""
+    return touches.groupBy("user_id").applyInPandasWithState(partial(_lru, size=size), "user_id long, event_id long, n long, active string", "cards array<string>, times array<long>, events array<long>, n long", "append", GroupStateTimeout.NoTimeout)
 
 
 def _compaction(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, limit: float) -> Iterator[pd.DataFrame]:

@@ -37,6 +37,19 @@ def test_query_equals_its_sql(spark, db, name):
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in rel.fetchall()), key=repr)
 
 
+def test_active_sets_do_not_depend_on_the_order_of_files(spark, db, tmp_path):
+    """Newest events in the first files, two triggers."""
+    path, rows = f"{tmp_path}/events.parquet", spark.read.parquet(f"{SF}/events.parquet").orderBy("ts", "event_id").toPandas()
+    os.mkdir(path)
+    for i in range(10):
+        file = f"{path}/part-{i}.parquet"
+        rows.iloc[len(rows) * (9 - i) // 10 : len(rows) * (10 - i) // 10].to_parquet(file, index=False, coerce_timestamps="us")
+        os.utime(file, (1_700_000_000 + i, 1_700_000_000 + i))
+    got = sorted((r.user_id, r.active) for r in suite.QUERIES["lru_stream"](spark, str(tmp_path)).select("user_id", "active").collect())
+    rel = db.sql(suite.ORACLES["lru_stream"])
+    assert got == sorted(rel.select("user_id, active").fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
