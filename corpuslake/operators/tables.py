@@ -5,19 +5,38 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir (one of our own where that is unset) and read again: lineage is cut."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. A local master may go without, and gets one of its own;
+    on a cluster executors would each write to their own disk, so that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(folder := tempfile.mkdtemp(prefix="spark-"))
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: lineage is cut."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*written: DataFrame | None) -> None:
+    """Deletes tables of settled() that nothing reads any more; any other frame is left alone."""
+    for df in written:
+        if (path := getattr(df, "written_to", None)) is not None:
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def min_labels(edges: DataFrame, left: str, right: str) -> DataFrame:
@@ -33,6 +52,7 @@ def min_labels(edges: DataFrame, left: str, right: str) -> DataFrame:
         mid = settled(labels.join(near, "node").select("node", F.least("label", "low").alias("mid"), "label"), "labels")
         jump = mid.select(F.col("node").alias("mid"), F.col("mid").alias("up"))
         new = settled(mid.join(jump, "mid").select("node", "label", F.least("mid", "up").alias("next")), "labels")
+        discard(mid)
         labels = new.select("node", F.col("next").alias("label"))
         if not new.where("label <> next").limit(1).count():
             return labels.select("node", F.col("label").alias("component"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import partial
@@ -12,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from corpuslake.operators.tables import shared_folder
+
 
 def _lru(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, size: int) -> Iterator[pd.DataFrame]:
     """State is the set, newest first, with each card's newest time and event, and the turns seen; batches are folded one by one."""
@@ -63,10 +64,7 @@ def compactions(turns: DataFrame, capacity: int, threshold: float = 0.8) -> Data
 
 
 def _folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        spark.sparkContext.setCheckpointDir(shared := tempfile.mkdtemp(prefix="spark-"))
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def run_once(spark: SparkSession, out: DataFrame) -> DataFrame:
