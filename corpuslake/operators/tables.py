@@ -33,7 +33,7 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 def discard(*written: DataFrame | None) -> None:
     """Deletes tables of settled() that nothing reads any more; any other frame is left alone."""
     for df in written:
-        if (path := getattr(df, "written_to", None)) is not None:
+        if df is not None and (path := df.__dict__.get("written_to")) is not None:
             jvm = df.sparkSession._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
