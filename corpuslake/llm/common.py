@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslake.operators.tables import discard, settled, shared_folder
+
+__all__ = ["ascii_lower", "bounded_broadcast", "components", "discard", "fresh", "materialize", "read", "sha256_hex", "shared_folder", "small_batches"]
+
 #: Nothing above these figures is ever broadcast by a hint of ours.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 16 << 20
@@ -26,22 +28,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: lineage is cut and survives lost executors."""
-    spark = df.sparkSession
-    small_batches(spark)
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Writes df once to the shared folder and reads it back: lineage is cut and survives lost executors. discard() deletes it."""
+    small_batches(df.sparkSession)
+    return settled(df, name)
 
 
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, row_bytes: int | None = None) -> DataFrame:
@@ -73,28 +63,37 @@ def sha256_hex(text: Column) -> Column:
 def components(edges: DataFrame, name: str, src: str = "src", dst: str = "dst") -> DataFrame:
     """Connected components of an undirected edge table: (node, component), component = smallest node.
 
-    Each round every node takes the smallest of its neighbours, then that one's own choice (pointer doubling); edges are
-    contracted to the choices, and those inside one choice are gone, so later rounds work on what is left. Nodes with no
-    edge are not in the result. Every round is written to the shared folder; nothing is gathered on the driver but one count.
+    Random-priority contraction: every round draws new priorities, each node takes the neighbour (or itself) of the least one, then
+    that one's own choice, and edges are contracted to the choices. Priorities don't follow the ids, so a chain in id order
+    shrinks like any other graph: at least half of the nodes that still have edges are gone after a round, in expectation, and
+    rounds grow with the logarithm of their number. Nodes with no edge are not in the result. Tables of a round are written to the
+    shared folder and deleted when the next one stands; nothing is gathered on the driver but whether edges are left.
     """
     ordered = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = materialize(ordered(edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))), f"{name}-pairs")
-    labels = None
+    labels, turn = None, 0
     while True:
-        both = pairs.union(pairs.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
-        step = materialize(both.select("node", F.least("node", "low").alias("label")), f"{name}-step")
-        up = step.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        chosen = materialize(step.join(up, "label").select("node", F.least("label", "up").alias("choice")), f"{name}-chosen")
+        rank = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("p"), F.col(c).alias("id"))  # noqa: B023, E731
+        near = pairs.union(pairs.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min(rank("b")).alias("near"))
+        step = materialize(near.select("node", F.least(rank("node"), "near")["id"].alias("label")), f"{name}-step")
+        up = step.select(F.col("node").alias("label"), F.col("label").alias("choice"))
+        chosen = materialize(step.join(up, "label").select("node", "choice"), f"{name}-chosen")
+        discard(step)
         if labels is None:
-            labels = chosen.select("node", F.col("choice").alias("component"))
+            labels = materialize(chosen.select("node", F.col("choice").alias("component")), f"{name}-labels")
         else:
             new = chosen.select(F.col("node").alias("component"), "choice")
-            labels = materialize(labels.join(new, "component", "left").select("node", F.coalesce("choice", "component").alias("component")), f"{name}-labels")
-        side = lambda c: chosen.select(F.col("node").alias(c), F.col("choice").alias(f"{c}2"))
+            old, labels = labels, materialize(labels.join(new, "component", "left").select("node", F.coalesce("choice", "component").alias("component")), f"{name}-labels")
+            discard(old)
+        side = lambda c: chosen.select(F.col("node").alias(c), F.col("choice").alias(f"{c}2"))  # noqa: B023, E731
         left = pairs.join(side("a"), "a").join(side("b"), "b").select(F.col("a2").alias("a"), F.col("b2").alias("b"))
-        pairs = materialize(ordered(left), f"{name}-pairs")
+        old, pairs = pairs, materialize(ordered(left), f"{name}-pairs")
+        discard(old, chosen)
+        turn += 1
         if not pairs.limit(1).count():
-            return labels
+            break
+    smallest = labels.groupBy("component").agg(F.min("node").alias("smallest"))
+    return materialize(labels.join(smallest, "component").select("node", F.col("smallest").alias("component")), f"{name}-components")
 
 
 Query = Callable[[SparkSession, str], DataFrame]
