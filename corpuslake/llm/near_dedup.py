@@ -16,9 +16,10 @@ from corpuslake.llm.textkit import mix, shingle_sets, slices
 
 #: At a similarity of 0.8 a pair shares no band with a probability of (1 - 0.8**4)**28 < 4e-7.
 BANDS, ROWS = 28, 4
-#: Bits of an odd sketch, and the estimate below which a bucket's pair is no candidate (over 5 standard errors under 0.8).
-BITS, LOW = 512, 0.55
-#: Rows of a bucket that one task compares; larger buckets are dealt out, each part with the bucket's first document.
+#: Bits of an odd sketch, the estimate below which a bucket's pair is no candidate (over 5 standard errors under 0.8), and the
+#: one from which a row follows a leader and needs no comparisons of its own but with what the leader's ring holds.
+BITS, LOW, CORE = 512, 0.55, 0.9
+#: Rows of a bucket that one task compares; larger buckets are dealt into parts, whose leaders are all candidates of the bucket's first row.
 BUCKET = 2000
 #: Stands above every doc_id for rows without one.
 NO_ID = 1 << 62
@@ -90,26 +91,50 @@ def _edges(src: list, dst: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], schema=_EDGES)
 
 
+def sketch_links(bits: np.ndarray, low: float, core: float = CORE, rows: int = 256) -> tuple[list[int], list[int], list[int]]:
+    """Links whose components are those of all pairs with an estimate of low or more, and the leaders; never more than a link a row and leader.
+
+    A row leads, and rows of estimate `core` or more follow it and leave. XOR counts obey the triangle inequality, so what is near a
+    follower is further from its leader by the follower's own count at most: only rows of that ring are compared with the followers
+    as well, and they stay in the pool whatever comes out."""
+    most, inner = most_bits(low), most_bits(core)
+    edge = most + inner
+    left, src, dst, heads = np.arange(len(bits)), [], [], []
+    while len(left):
+        lead, left = left[0], left[1:]
+        heads.append(int(lead))
+        away = np.bitwise_count(bits[left] ^ bits[lead]).sum(axis=1)
+        near, follows = away <= most, away <= inner
+        ring, crowd = np.flatnonzero((away > most) & (away <= edge)), left[follows]
+        for i in range(0, len(ring) if len(crowd) else 0, rows):
+            part = ring[i : i + rows]
+            met = np.zeros(len(part), dtype=bool)
+            for j in range(0, len(crowd), rows):
+                met |= (np.bitwise_count(bits[left[part], None] ^ bits[None, crowd[j : j + rows]]).sum(axis=2) <= most).any(axis=1)
+            near[part[met]] = True
+        src += [int(lead)] * int(near.sum())
+        dst += left[near].tolist()
+        left = left[~follows]
+    return src, dst, heads
+
+
 def _leaders(batches: Iterator[pa.RecordBatch], low: float) -> Iterator[pa.RecordBatch]:
-    """In each bucket a document leads, and those whose sketches are near enough follow it; the rest choose another leader."""
-    most = most_bits(low)
+    """Candidate links of each part; where a bucket has several parts, all their leaders are linked to the bucket's first row."""
     src, dst, n = [], [], 0
     for g in _groups(batches, "part"):
-        ids = g.column("id").to_numpy()
-        if len(ids) < 2:
-            continue
+        ids, first = g.column("id").to_numpy(), g.column("first")[0].as_py()
         bits = np.frombuffer(b"".join(g.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(ids), -1)
-        while len(ids) > 1:
-            near = np.bitwise_count(bits[1:] ^ bits[0]).sum(axis=1) <= most
-            if near.any():
-                dst.append(ids[1:][near])
-                src.append(np.full(len(dst[-1]), ids[0]))
-                n += len(dst[-1])
-            ids, bits = ids[1:][~near], bits[1:][~near]
+        a, b, heads = sketch_links(bits, low) if len(ids) > 1 else ([], [], [0])
+        src.append(ids[np.array(a, dtype=np.int64)])
+        dst.append(ids[np.array(b, dtype=np.int64)])
+        if first is not None:
+            src.append(np.full(len(heads), first))
+            dst.append(ids[np.array(heads)])
+        n += len(src[-1]) + len(a)
         if n > 50_000:
             yield _edges(src, dst)
             src, dst, n = [], [], 0
-    if n:
+    if src:
         yield _edges(src, dst)
 
 
@@ -170,14 +195,15 @@ def row_ids() -> Column:
     return F.coalesce("doc_id", F.lit(NO_ID) + F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
 
 
-def near_duplicates(docs: DataFrame, width: int, percent: int = 80, block: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int, percent: int = 80, block: int = 64, bucket: int = BUCKET) -> DataFrame:
     """For every document (doc_id, text): doc_id, n_shingles, component_id and kept, linked at Jaccard >= percent/100;
     row_id (row_ids() gives the same) and stays, which says the same as kept for rows without doc_id too.
 
     1. One pass over the texts: set size, a 128-bit signature of the set, band keys and the odd sketch of its min-hashes.
     2. Equal sets are one class from here on, so copies cost one row each whatever their number.
     3. Classes that share a band key meet; the XOR population count of their odd sketches rules out pairs far below the
-       threshold, and a bucket gives at most as many candidate edges as it has members. Each bucket has an order of its own.
+       threshold. What is left of the links joins the same classes as all pairs above it would, whatever a bucket's size: buckets of
+       more than `bucket` classes are dealt into parts, and the leaders of all parts are candidates of the bucket's first class.
     4. Components of the candidate edges are where links can be. Inside them full sets are compared exactly: in blocks,
        and where a component has several blocks, block by block; pairs that links join already are skipped.
     5. Components of the confirmed links, carried back to every document.
@@ -192,10 +218,10 @@ def near_duplicates(docs: DataFrame, width: int, percent: int = 80, block: int =
 
     bands = firsts.select("id", F.explode("keys").alias("key"))
     many = materialize(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1"), "near-buckets")
-    parts = F.ceil(F.col("n") / BUCKET)
-    dealt = bands.join(many, "key").select("id", F.xxhash64("key", F.pmod(F.xxhash64("key", "id"), parts)).alias("part"))
-    extra = many.where(F.col("n") > BUCKET).select(F.col("first").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("p"), "key").select("id", F.xxhash64("key", "p").alias("part"))
-    met = materialize(dealt.union(extra).distinct(), "near-met")
+    parts = F.ceil(F.col("n") / bucket)
+    # first is null where all members of the bucket meet in one part
+    met = bands.join(many, "key").select("id", F.xxhash64("key", F.pmod(F.xxhash64("key", "id"), parts)).alias("part"), F.when(parts > 1, F.col("first")).alias("first"))
+    met = materialize(met, "near-met")
     ordered = _in_order(met.join(firsts.select("id", "sketch"), "id").withColumn("turn", F.xxhash64("part", "id")), "turn")
     candidates = ordered.mapInArrow(partial(_leaders, low=min(LOW, percent / 100 - 0.25)), "src long, dst long")
     member = components(candidates, "near-candidates")

@@ -1,7 +1,9 @@
 import random
 import re
 
-from corpuslake.llm.near_dedup import near_duplicates
+import numpy as np
+
+from corpuslake.llm.near_dedup import BANDS, ROWS, most_bits, near_duplicates, odd_sketches, sketch_links
 
 
 def brute(rows, width):
@@ -46,3 +48,39 @@ def test_matches_brute_force(spark):
 
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string"), 4).count() == 0
+
+
+def test_buckets_in_parts_lose_no_link(spark):
+    """Parts of four rows; a family of near copies is far larger."""
+    rng = random.Random(8)
+    rows = make(rng)
+    words, n = [f"w{rng.randint(0, 500)}" for _ in range(120)], 10**6
+    for i in range(60):
+        w = list(words)
+        for _ in range(3):
+            w[rng.randrange(len(w))] = f"y{rng.randint(0, 10**6)}"
+        rows.append((n + i, " ".join(w)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, block=5, bucket=4).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=str) == brute(rows, 4)
+
+
+def test_sketch_links_join_what_all_pairs_would(spark):
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        mins = np.repeat(rng.integers(0, 2**63, (6, BANDS * ROWS), dtype=np.uint64), 12, axis=0)
+        for row in mins:
+            spots = rng.random(len(row)) < rng.choice([0.02, 0.1, 0.3, 0.5])
+            row[spots] = rng.integers(0, 2**63, spots.sum(), dtype=np.uint64)
+        bits = odd_sketches(mins).view(np.uint64)
+        near = np.bitwise_count(bits[:, None] ^ bits[None]).sum(axis=2) <= most_bits(0.55)
+
+        def labels(pairs):
+            root = list(range(len(bits)))
+            for a, b in pairs:
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+            return root
+
+        src, dst, heads = sketch_links(bits, 0.55)
+        assert all(near[a, b] or any(near[b]) for a, b in zip(src, dst, strict=True))
+        assert labels(zip(src, dst, strict=True)) == labels(np.argwhere(near).tolist()) and len(heads) <= len(bits)
