@@ -148,6 +148,8 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
 
 def confirmed(ids: np.ndarray, label: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
     """Links that join all sets of the group which similarity chains connect; pairs known to be joined (same label) are skipped."""
+    if (label == label[0]).all():
+        return [], []
     size = np.array([len(s) for s in sets], dtype=np.int64)
     start = np.cumsum(size) - size
     words, dense = np.unique(np.concatenate(sets), return_inverse=True)
@@ -205,7 +207,8 @@ def near_duplicates(docs: DataFrame, width: int, percent: int = 80, block: int =
        threshold. What is left of the links joins the same classes as all pairs above it would, whatever a bucket's size: buckets of
        more than `bucket` classes are dealt into parts, and the leaders of all parts are candidates of the bucket's first class.
     4. Components of the candidate edges are where links can be. Inside them full sets are compared exactly: in blocks,
-       and where a component has several blocks, block by block; pairs that links join already are skipped.
+       in blocks dealt anew, and where a component of several blocks is not all joined by then, block by block; pairs that
+       links join already are skipped.
     5. Components of the confirmed links, carried back to every document.
 
     Null or empty texts have no shingles and no links. Rows that share a doc_id count as one document as far as links go.
@@ -235,11 +238,15 @@ def near_duplicates(docs: DataFrame, width: int, percent: int = 80, block: int =
     large = sets.where("blocks > 1")
     links = inside
     if large.limit(1).count():
-        label = components(inside, "near-inside")
-        across = large.join(label.select(F.col("node").alias("id"), F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        across = across.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("with <> block")
-        across = across.select("id", "label", "set", F.xxhash64("component", F.least("block", "with"), F.greatest("block", "with")).alias("part"))
-        links = materialize(inside.union(_in_order(across).mapInArrow(partial(_confirm, percent=percent), "src long, dst long")), "near-links")
+        labelled = lambda links, name: large.join(components(links, name).select(F.col("node").alias("id"), F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        # dealt anew, so that a family of close copies is one label before any block meets all others
+        mixed = labelled(inside, "near-inside").select("id", "label", "set", F.xxhash64("component", F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks"))).alias("part"))
+        links = materialize(inside.union(_in_order(mixed).mapInArrow(partial(_confirm, percent=percent), "src long, dst long")), "near-links")
+        parted = materialize(labelled(links, "near-mixed").select("id", "label", "component", "block", "blocks"), "near-parted")
+        apart = parted.groupBy("component").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("component")
+        across = parted.join(apart, "component").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("with <> block")
+        across = across.select("id", "label", F.xxhash64("component", F.least("block", "with"), F.greatest("block", "with")).alias("part")).join(large.select("id", "set"), "id")
+        links = materialize(links.union(_in_order(across).mapInArrow(partial(_confirm, percent=percent), "src long, dst long")), "near-links")
     joined = components(links, "near-joined")
     found = materialize(classes.join(joined, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component")), "near-found")
     out = features.select("doc_id", "id", "n", F.when(F.col("n") > 0, F.col("s1")).alias("s1"), "s2").join(found, ["s1", "s2"], "left")
