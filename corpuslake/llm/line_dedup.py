@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import fresh, materialize, read
+from corpuslake.llm.common import bounded_broadcast, fresh, materialize, read
 from corpuslake.llm.textkit import LOWER, SPACE, Rolling, mix, slices, utf8
 
-#: Keys of one shard of the index, and lines that one task probes against it.
-SHARD_KEYS, PROBES = 50_000, 20_000
+#: Keys of one shard of the index (about 250 KB of arrays), and lines that probe one copy of it (about 1 MB).
+SHARD_KEYS, PROBES = 10_000, 20_000
 _ONE, _TWO = Rolling(71), Rolling(72)
 _LINES = pa.schema([("k", pa.int64()), ("j", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("lead", pa.bool_()), ("h1", pa.int64()), ("h2", pa.int64())])
 
@@ -51,6 +51,10 @@ def _lines(least: int):
     return task
 
 
+def salt(level: int) -> np.uint64:
+    return np.uint64(level * 0x9E3779B97F4A7C15 % 2**64)
+
+
 def build_mph(keys: np.ndarray, gamma: float = 2.0) -> tuple[list[int], np.ndarray]:
     """Levels of bitmaps: a key's slot at a level counts if no other key has it; the others go on to the next level.
 
@@ -58,7 +62,7 @@ def build_mph(keys: np.ndarray, gamma: float = 2.0) -> tuple[list[int], np.ndarr
     sizes, maps, level = [], [], 0
     while len(keys):
         n = max(64, int(gamma * len(keys)))
-        slot = (mix(keys + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(n)).astype(np.int64)
+        slot = (mix(keys + salt(level)) % np.uint64(n)).astype(np.int64)
         alone = np.bincount(slot, minlength=n) == 1
         sizes.append(n)
         maps.append(alone)
@@ -71,38 +75,43 @@ def probe_mph(sizes: list[int], bits: np.ndarray, keys: np.ndarray) -> np.ndarra
     rank = np.concatenate([[0], np.cumsum(bits)])
     out, left, base = np.full(len(keys), -1, dtype=np.int64), np.arange(len(keys)), 0
     for level, n in enumerate(sizes):
-        slot = (mix(keys[left] + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(n)).astype(np.int64) + base
+        slot = (mix(keys[left] + salt(level)) % np.uint64(n)).astype(np.int64) + base
         hit = bits[slot]
         out[left[hit]] = rank[slot[hit]]
         left, base = left[~hit], base + n
     return out
 
 
-_INDEX = "shard long, parts long, sizes array<long>, bits binary, prints binary, last binary, counts binary"
+_INDEX = "shard long, parts long, sizes array<long>, bits binary, prints binary, last binary, counts binary, more binary"
+_NONE = {"k": "int64", "j": "int64", "pos": "int32"}
 
 
 def _index(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One shard: bitmaps, then fingerprints, counts and largest documents in the order that the bitmaps give."""
+    """One shard: bitmaps, then fingerprints, counts and largest documents in the order that the bitmaps give.
+
+    Of keys that share their first hash one is numbered; the others (among billions of lines a few) stand in a short list beside."""
     keys = pdf["h1"].to_numpy().astype(np.int64).view(np.uint64)
-    sizes, bits = build_mph(np.unique(keys))
-    # keys equal in the first hash (never seen, but possible) stay together; the fingerprint tells them apart
-    number = probe_mph(sizes, bits, keys)
-    order = np.argsort(number, kind="stable")
-    if len(np.unique(number)) < len(number):
-        raise ValueError("two lines share a 64-bit hash; use another seed")
-    col = lambda name, kind: pdf[name].to_numpy()[order].astype(kind).tobytes()
-    return pd.DataFrame([{"shard": pdf["shard"].iloc[0], "parts": pdf["parts"].iloc[0], "sizes": sizes, "bits": np.packbits(bits).tobytes(), "prints": col("h2", np.int64), "last": col("last", np.int64), "counts": col("n", np.int64)}])
+    _, lead = np.unique(keys, return_index=True)
+    rest = np.setdiff1d(np.arange(len(keys)), lead)
+    sizes, bits = build_mph(keys[lead])
+    order = lead[np.argsort(probe_mph(sizes, bits, keys[lead]))]
+    col = lambda name, at: pdf[name].to_numpy()[at].astype(np.int64)
+    more = np.stack([col(x, rest) for x in ("h1", "h2", "last")])
+    return pd.DataFrame([{"shard": pdf["shard"].iloc[0], "parts": pdf["parts"].iloc[0], "sizes": sizes, "bits": np.packbits(bits).tobytes(), "prints": col("h2", order).tobytes(), "last": col("last", order).tobytes(), "counts": col("n", order).tobytes(), "more": more.tobytes()}])
 
 
 def _probe(lines: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     if not len(index) or not len(lines):
-        return pd.DataFrame({"k": pd.Series(dtype="int64"), "j": pd.Series(dtype="int64"), "pos": pd.Series(dtype="int32")})
+        return pd.DataFrame({c: pd.Series(dtype=t) for c, t in _NONE.items()})
     row = index.iloc[0]
     sizes = [int(x) for x in row["sizes"]]
-    number = probe_mph(sizes, np.unpackbits(np.frombuffer(row["bits"], np.uint8))[: sum(sizes)].astype(bool), lines["h1"].to_numpy().astype(np.int64).view(np.uint64))
+    h1, h2, own = (lines[x].to_numpy().astype(np.int64) for x in ("h1", "h2", "id"))
+    number = probe_mph(sizes, np.unpackbits(np.frombuffer(row["bits"], np.uint8))[: sum(sizes)].astype(bool), h1.view(np.uint64))
     prints, last = np.frombuffer(row["prints"], np.int64), np.frombuffer(row["last"], np.int64)
-    hit = (number >= 0) & (prints[number] == lines["h2"].to_numpy()) & (last[number] != lines["id"].to_numpy())
-    return lines.loc[hit, ["k", "j", "pos"]]
+    hit = (number >= 0) & (prints[number] == h2) & (last[number] != own)
+    for a, b, c in np.frombuffer(row["more"], np.int64).reshape(3, -1).T:
+        hit |= (h1 == a) & (h2 == b) & (own != c)
+    return lines.loc[hit, list(_NONE)]
 
 
 #: Stands below every doc_id for rows without one.
@@ -116,9 +125,11 @@ def drop_shared_lines(docs: DataFrame, least_chars: int = 20, least_docs: int =
     least_docs documents or more lose all their lines but those of the largest doc_id that holds them. Returns the
     frame and the names of the three columns, which are changed where docs has such columns.
 
-    Only counts of keys are shuffled to find the shared ones. They go into shards of 50 000 keys, each a minimal perfect hash
-    with arrays of fingerprints, counts and largest documents; lines travel to their shard in parts of 20 000, so a line
-    that a third of all documents hold is spread over many tasks. Fingerprint and slot come from two 64-bit hashes.
+    Only counts of keys are shuffled to find the shared ones. They go into shards of 10 000 keys, each a minimal perfect hash
+    with arrays of fingerprints, counts and largest documents. Documents' line hashes (never their text) travel to their shard in parts of
+    20 000, each beside a copy of the (four times smaller) arrays, so a line that a third of all documents hold is spread over many tasks and
+    an index beyond any memory still has one shard a task. Fingerprint and slot come from two 64-bit hashes; lines
+    that share the first one are told apart by the second.
 
     A null or empty text is one empty line. Repeated rows count as documents of their own, but share their doc_id, so
     the largest keeps its lines in each. A null doc_id is smaller than all others.
@@ -132,10 +143,10 @@ def drop_shared_lines(docs: DataFrame, least_chars: int = 20, least_docs: int =
     shared = materialize(shared, "lines-shared")
     shards = -(-shared.count() // SHARD_KEYS) or 1
     of_shard = F.pmod(F.col("h1"), F.lit(shards)).alias("shard")
-    parts = lines.groupBy(of_shard).agg(F.ceil(F.count("*") / PROBES).alias("parts"))
+    parts = materialize(lines.groupBy(of_shard).agg(F.ceil(F.count("*") / PROBES).alias("parts")), "lines-parts")
     index = shared.select("*", of_shard).join(parts, "shard").groupBy("shard").applyInPandas(_index, _INDEX)
     index = materialize(index, "lines-index").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    probes = lines.select("k", "j", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "pos", "h1", "h2", of_shard).join(F.broadcast(parts), "shard")
+    probes = lines.select("k", "j", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "pos", "h1", "h2", of_shard).join(bounded_broadcast(parts), "shard")
     probes = probes.withColumn("part", F.pmod(F.xxhash64("k", "j", "pos"), F.col("parts"))).drop("parts")
     hits = probes.groupBy("shard", "part").cogroup(index.groupBy("shard", "part")).applyInPandas(_probe, "k long, j long, pos int")
     hits = hits.groupBy("k", "j").agg(F.collect_set("pos").alias(drops := fresh(docs.columns, "drops"))).withColumnsRenamed({"k": k, "j": j})

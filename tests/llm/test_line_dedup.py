@@ -2,7 +2,9 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 
+from corpuslake.llm import line_dedup
 from corpuslake.llm.line_dedup import build_mph, drop_shared_lines, probe_mph
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -48,3 +50,15 @@ def test_perfect_hash_numbers_are_dense():
     keys = np.unique(np.random.default_rng(2).integers(0, 2**63, 5000, dtype=np.uint64))
     sizes, bits = build_mph(keys)
     assert sorted(probe_mph(sizes, bits, keys).tolist()) == list(range(len(keys)))
+
+
+def test_many_shards_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 3)
+    monkeypatch.setattr(line_dedup, "PROBES", 5)
+    test_matches_brute_force(spark)
+
+
+def test_lines_that_share_a_hash_are_told_apart():
+    shared = pd.DataFrame({"shard": 0, "parts": 1, "h1": [5, 5, 5, 9], "h2": [1, 2, 3, 1], "n": 3, "last": [10, 20, 30, 40]})
+    lines = pd.DataFrame({"k": range(7), "j": 0, "pos": 0, "h1": [5, 5, 5, 5, 9, 9, 7], "h2": [1, 2, 3, 4, 1, 1, 1], "id": [1, 20, 1, 1, 1, 40, 1]})
+    assert line_dedup._probe(lines, line_dedup._index(shared))["k"].tolist() == [0, 2, 4]
