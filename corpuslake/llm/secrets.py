@@ -22,13 +22,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: A word that makes a context sensitive (words may overlap), and a candidate: a whole run, with `=` as its padding only.
 WORD = re.compile(r"(?=(key|token|secret|passw|auth|credential|bearer|private|signature|session|cookie))", re.IGNORECASE | re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{14,}(?:=+(?![A-Za-z0-9+/_=-]))?")
-DIGIT = re.compile(r"[0-9]")
+MIXED = re.compile(r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]")
+#: Least length of a candidate with letters and digits and of any other, and most characters between a sensitive word and it.
+LEAST, PLAIN, REACH = 16, 24, 80
 #: One linear-time pattern that every document with any span matches; the rest is never looked at again.
-ANY = r"(?i:password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|(?i:key|token|secret|passw|auth|credential|bearer|private|signature|session|cookie)[^\n]{0,64}[A-Za-z0-9+/_=-]{16}"
-#: Least length of a candidate, and most characters of its line between a sensitive word and it.
-LEAST, REACH = 16, 64
+ANY = rf"(?i:password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{{16}}|[0-9a-f]{{24}}|(?s:(?i:key|token|secret|passw|auth|credential|bearer|private|signature|session|cookie).{{0,{REACH}}}[A-Za-z0-9+/_=-]{{{LEAST}}})"
 #: Characters of code around a candidate that its compressor has seen, and marginal bytes a character from which it is new.
-AROUND, NOVELTY = 256, 0.6
+AROUND, NOVELTY = 1024, 0.6
 #: Identifiers that code is made of; the compressor knows them before it starts (fixed values).
 IDENTIFIERS = (
     "import export default function return const static public private protected class interface struct enum async await yield lambda self this super "
@@ -54,7 +54,7 @@ class Novelty:
         return len(self.zip.compress(around + candidate.encode())) - len(self.zip.compress(around))
 
 
-def spans(text: str, novelty: Novelty, threshold: float = NOVELTY) -> list[dict]:
+def spans(text: str, novelty: Novelty, threshold: float = NOVELTY, around: int = AROUND) -> list[dict]:
     out = [("assign", *m.span(), None) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     out += [("access", *m.span(), None) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     out += [("hex", *m.span(), None) for m in HEX.finditer(text)]
@@ -68,11 +68,11 @@ def spans(text: str, novelty: Novelty, threshold: float = NOVELTY) -> list[dict]
     for m in CANDIDATE.finditer(text) if words else ():
         start, end = m.span()
         last = bisect_right(words, start) - 1
-        if end - start < LEAST or last < 0 or start - words[last] > REACH or "\n" in text[words[last] : start] or not DIGIT.search(m[0]):
+        if last < 0 or start - words[last] > REACH or end - start < (LEAST if MIXED.search(m[0]) else PLAIN):
             continue
         near = bisect_left(taken, end, key=lambda x: x[0]) - 1
         if near < 0 or taken[near][1] <= start:
-            new = novelty.bytes(text[max(0, start - AROUND) : start], m[0], text[end : end + AROUND])
+            new = novelty.bytes(text[max(0, start - around) : start], m[0], text[end : end + around])
             if new >= threshold * (end - start):
                 out.append(("novel", start, end, new))
     return [{"kind": k, "start": s, "end": e, "novelty": n} for k, s, e, n in sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))]
@@ -81,29 +81,30 @@ def spans(text: str, novelty: Novelty, threshold: float = NOVELTY) -> list[dict]
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("novelty", pa.int32())]))
 
 
-def _task(batches: Iterator[pa.RecordBatch], threshold: float, body: str, name: str) -> Iterator[pa.RecordBatch]:
+def _task(batches: Iterator[pa.RecordBatch], threshold: float, around: int, body: str, name: str) -> Iterator[pa.RecordBatch]:
     novelty = Novelty()
     for b in slices(batches, body):
         text = b.column(body)
         worth = pc.match_substring_regex(text, ANY).fill_null(False).to_pylist()
-        found = pa.array([spans(text[i].as_py(), novelty, threshold) if w else [] for i, w in enumerate(worth)], _SPAN)
+        found = pa.array([spans(text[i].as_py(), novelty, threshold, around) if w else [] for i, w in enumerate(worth)], _SPAN)
         drop = b.schema.get_field_index(body)
         yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(b.columns) if i != drop), found], names=[*(x for x in b.schema.names if x != body), name])
 
 
-def find_secrets(docs: DataFrame, threshold: float = NOVELTY) -> tuple[DataFrame, str]:
+def find_secrets(docs: DataFrame, threshold: float = NOVELTY, around: int = AROUND) -> tuple[DataFrame, str]:
     """docs (text and others) with one more column (its name is returned): spans, an array of kind, start, end (code points, end
     exclusive) and novelty, by start and then kind.
 
     assign, access and hex are fixed patterns, leftmost and non-overlapping per kind. novel: every string of 16 characters or
-    more with a digit (`=` only as its padding), within 64 characters after a sensitive word of its line, that touches none of those, and whose marginal
-    compressed size after the 256 characters on either side and a dictionary of identifiers is 0.6 bytes a character or more.
+    more with letters and digits, or 24 with either (`=` only as its padding), within 80 characters after a sensitive word, on its line or a later one, that
+    touches none of those, and whose marginal compressed size after the `around` characters on either side and a dictionary of
+    identifiers is `threshold` bytes a character or more. A string may be as long as it likes; all of it is measured.
     Whole texts are searched, by one scan; nothing is shuffled. A null or empty text has no spans; repeated rows get equal results.
     """
     name, body = fresh(docs.columns, "spans"), fresh([*docs.columns, "spans"], "body")
     kind = "array<struct<kind:string,start:int,end:int,novelty:int>>"
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{name}` {kind}"])
-    return docs.withColumn(body, F.coalesce("text", F.lit(""))).mapInArrow(lambda it: _task(it, threshold, body, name), schema), name
+    return docs.withColumn(body, F.coalesce("text", F.lit(""))).mapInArrow(lambda it: _task(it, threshold, around, body, name), schema), name
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
