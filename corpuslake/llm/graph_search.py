@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import materialize, read
+from corpuslake.llm.common import bounded_broadcast, materialize, read
 
-#: Distinct vectors of a shard, queries that meet a shard in one task, out-edges of a node, beam of the build and of the search.
-SHARD, BLOCK, DEGREE, BUILD_BEAM, BEAM, ALPHA = 4000, 500, 28, 40, 96, 1.2
+#: Distinct vectors of a shard, queries that a task reads at once, out-edges of a node, beam of the build and of the search.
+SHARD, BLOCK, DEGREE, BUILD_BEAM, BEAM, ALPHA = 4000, 512, 28, 40, 96, 1.2
 #: Random rows that searches start from besides the middle one, so that far clusters are reached.
 STARTS = 40
 
@@ -131,22 +135,29 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([{"shard": pdf["shard"].iloc[0], "dim": vectors.shape[1], "ids": pdf["id"].to_numpy().astype(np.int64).tobytes(), "vectors": vectors.tobytes(), "graph": graph.tobytes(), "start": start.tobytes()}])
 
 
-def _search(queries: pd.DataFrame, index: pd.DataFrame, beam: int, most: int) -> pd.DataFrame:
-    if not len(queries) or not len(index):
-        return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "near": pd.Series(dtype="float64")})
-    row = index.iloc[0]
-    ids = np.frombuffer(row["ids"], np.int64)
-    vectors = np.frombuffer(row["vectors"], np.float32).reshape(len(ids), -1)
-    graph = np.frombuffer(row["graph"], np.int32).reshape(len(ids), -1).astype(np.int64)
-    q = np.stack(queries["v"].to_numpy()).astype(np.float32)
-    found, dist = [], []
-    for i in range(0, len(q), 128):
-        a, d = beam_search(vectors, (vectors * vectors).sum(axis=1), graph, q[i : i + 128], np.frombuffer(row["start"], np.int32).astype(np.int64), beam)
-        found.append(a[:, :most])
-        dist.append(d[:, :most])
-    found, dist = np.concatenate(found), np.concatenate(dist)
-    ok = found >= 0
-    return pd.DataFrame({"query_id": np.repeat(queries["query_id"].to_numpy(), ok.sum(axis=1)), "id": ids[found[ok]], "near": dist[ok].astype(float)})
+def _search(batches: Iterator[pa.RecordBatch], files: list[str], beam: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Each shard (a row) is read once; the queries of its dimension stream past it from the shared folder, a block at a time."""
+    import pyarrow.fs
+    import pyarrow.parquet as pq
+
+    for batch in batches:
+        for shard, dim, ids, vectors, graph, start in zip(*(batch.column(c) for c in ("shard", "dim", "ids", "vectors", "graph", "start")), strict=True):
+            ids, d = np.frombuffer(ids.as_py(), np.int64), dim.as_py()
+            body = np.frombuffer(vectors.as_py(), np.float32).reshape(len(ids), d)
+            norms, edges = (body * body).sum(axis=1), np.frombuffer(graph.as_py(), np.int32).reshape(len(ids), -1).astype(np.int64)
+            first = np.frombuffer(start.as_py(), np.int32).astype(np.int64)
+            for uri in files:
+                fs, path = pyarrow.fs.FileSystem.from_uri(uri)
+                with fs.open_input_file(path) as file:
+                    for asked in pq.ParquetFile(file).iter_batches(BLOCK, columns=["query_id", "v", "dim"]):
+                        asked = asked.filter(pc.equal(asked.column("dim"), d))
+                        if not asked.num_rows:
+                            continue
+                        q = asked.column("v").flatten().to_numpy().astype(np.float32).reshape(-1, d)
+                        found, dist = beam_search(body, norms, edges, q, first, beam)
+                        found, dist = found[:, :most], dist[:, :most]
+                        ok = found >= 0
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked.column("query_id").to_numpy(), ok.sum(axis=1))), pa.array(ids[found[ok]]), pa.array(dist[ok].astype(float))], names=["query_id", "id", "near"])
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHARD, beam: int = BEAM) -> DataFrame:
@@ -155,7 +166,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, shard: int = SH
     A row with the query's own id is no answer.
 
     Equal vectors are one node; its smallest k + 1 ids stand for it, and no answer needs more. Nodes go into shards of a bounded
-    size by their hash; each shard is one graph. Queries meet every shard in blocks. Every shard gives its nearest nodes
+    size by their hash; each shard is one graph, built in a task of its own. A shard is read once, and all queries stream past it in
+    blocks, so neither vectors nor graphs are copied, and a task holds a shard and a block. Every shard gives its nearest nodes
     by single precision (2k + 8, so that rounding changes nothing in the first k), and those are measured anew on the original vectors.
 
     Vectors that are null, zero, empty or hold null or non-finite components take no part, neither do null ids; a query is
@@ -170,16 +182,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, shard: int = SH
     member = materialize(some.withColumn("r", F.row_number().over(W.partitionBy("h", "g").orderBy("vec_id"))).where(F.col("r") <= k + 1).select("vec_id", "h", "g", "r"), "graph-members")
     node = materialize(keyed.join(member.where("r = 1").select("vec_id", "h", "g"), ["vec_id", "h", "g"]).select(F.col("vec_id").alias("id"), "v", "dim", "h", "g"), "graph-nodes")
 
-    many = node.groupBy("dim").agg(F.ceil(F.count("*") / shard).alias("shards"))
-    placed = node.join(F.broadcast(many), "dim").withColumn("shard", F.xxhash64("dim", F.pmod("h", F.col("shards"))))
-    index = materialize(placed.groupBy("shard").applyInPandas(_build, _SHARD), "graph-index")
+    many = materialize(node.groupBy("dim").agg(F.ceil(F.count("*") / shard).alias("shards")), "graph-dims")
+    total = many.agg(F.sum("shards")).first()[0] or 1
+    # as many tasks as there are shards build them, whatever the bytes
+    placed = node.join(bounded_broadcast(many), "dim").select(F.xxhash64("dim", F.pmod("h", F.col("shards"))).alias("shard"), "id", "v")
+    index = materialize(placed.repartitionByRange(int(total), "shard").groupBy("shard").applyInPandas(_build, _SHARD), "graph-index")
     asked = usable(queries.select("query_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding")).where("query_id is not null")).select("query_id", F.col("embedding").alias("v"), F.size("embedding").alias("dim")).dropDuplicates(["query_id"])
     asked = materialize(asked, "graph-queries")
-    blocks = F.lit(max(1, -(-asked.count() // BLOCK)))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), blocks))
-    met = asked.join(index.select(F.col("shard").alias("part"), F.col("dim").alias("d")), F.col("dim") == F.col("d")).select("query_id", "v", "part", F.col("block").alias("turn")).groupBy("part", "turn")
-    held = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1))).groupBy("shard", "block")
-    found = met.cogroup(held).applyInPandas(lambda q, i: _search(q, i, beam, 2 * k + 8), "query_id long, id long, near double")
+    files = sorted(asked.inputFiles())
+    found = index.repartition(int(total), "shard").mapInArrow(lambda it: _search(it, files, beam, 2 * k + 8), "query_id long, id long, near double")
     best = found.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy("near", "id"))).where(F.col("r") <= 2 * k + 8)
     measured = best.join(node.select("id", F.col("v").alias("w"), "h", "g"), "id").join(asked.select("query_id", "v"), "query_id")
     square = F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
