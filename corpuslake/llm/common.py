@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.operators.tables import discard, settled, shared_folder
 
-__all__ = ["ascii_lower", "bounded_broadcast", "components", "discard", "fresh", "materialize", "read", "sha256_hex", "shared_folder", "small_batches"]
+__all__ = ["ascii_lower", "bounded_broadcast", "components", "discard", "fits", "fresh", "materialize", "read", "sha256_hex", "shared_folder", "small_batches"]
 
 #: Nothing above these figures is ever broadcast by a hint of ours.
 BROADCAST_ROWS = 200_000
@@ -34,13 +34,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return settled(df, name)
 
 
-def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, row_bytes: int | None = None) -> DataFrame:
-    """A broadcast hint, but only where a count proves the side small; otherwise df as it is, and Spark shuffles.
-
-    df must be cheap to count (a materialized table). row_bytes bounds a row where columns are wide; it is measured by the caller.
-    """
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, row_bytes: int | None = None) -> bool:
+    """Whether a count proves df small enough to be broadcast. df must be cheap to count (a materialized table). row_bytes bounds a
+    row where columns are wide; it is measured by the caller."""
     limit = min(rows, BROADCAST_BYTES // row_bytes) if row_bytes else rows
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return df.limit(limit + 1).count() <= limit
+
+
+def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, row_bytes: int | None = None) -> DataFrame:
+    """A broadcast hint where df fits; otherwise df as it is, and Spark shuffles."""
+    return F.broadcast(df) if fits(df, rows, row_bytes) else df
 
 
 def ascii_lower(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import ascii_lower, bounded_broadcast, materialize, read, sha256_hex
+from corpuslake.llm.common import ascii_lower, bounded_broadcast, fits, materialize, read, sha256_hex
 
 WINDOW = 13
 #: What stands between words, after A-Z are lower-cased.
@@ -31,38 +31,52 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     1. Texts become word arrays once. Counts of the items' words over all documents give the order by rarity.
     2. Containment must be whole, so a window's necessary prefix is one token: its rarest word. Windows whose rarest
        word no document has are gone.
-    3. Documents' words meet the prefix tokens; length and position bounds say whether the window fits around the token,
-       and the words of that stretch are compared exactly, all as one join condition.
-    4. Hit words are the union of the stretches, by a running maximum of their ends within a document.
-
-    The windows are broadcast only where a count proves them few; otherwise Spark shuffles both sides by token, and a
-    token carries no more than its neighbourhood. Null texts have no words, items without words or id have no windows,
-    and rows equal in doc_id and text get equal results. k and j identify a row's (doc_id, text).
+    3. Only the positions of prefix tokens are looked at, each with the words around it: windows meet them by token, length and
+       position bounds say whether the window fits around the token, and the words of that stretch are compared exactly.
+    4. Hit words are the union of the stretches, by a running maximum of their ends within a document. A window's items
+       are looked up after that, once for each document and window, so an item list never travels with the windows.
+
+    Tokens and windows are broadcast only where a count proves them few. Otherwise positions travel alone (a key, a number
+    and a word) to meet the tokens, and those that are left fetch their neighbourhood from their own text. Null texts have no words,
+    items without words or id have no windows, rows equal in doc_id and text get equal results, as do repeated items.
+    k and j identify a row's (doc_id, text).
     """
     listed = materialize(docs.select("doc_id", *(c.alias(n) for n, c in row_key().items()), words(F.col("text")).alias("words")).withColumn("n_words", F.size("words").cast("long")), "decon-words")
     own = items.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where("size(w) > 0")
     starts = F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - (size - 1), F.lit(1))))
-    cut = own.withColumn("at", starts).select("item", F.slice("w", F.col("at"), size).alias("w"))
-    windows = materialize(cut.groupBy("w").agg(F.collect_set("item").alias("items")).withColumn("string", F.array_join("w", " ")), "decon-windows")
+    cut = own.withColumn("at", starts).select("item", F.array_join(F.slice("w", F.col("at"), size), " ").alias("string"))
+    windows = materialize(cut.select("string").distinct().select("string", F.split("string", " ").alias("w"), F.monotonically_increasing_id().alias("window")), "decon-windows")
+    owners = materialize(cut.join(windows.select("string", "window"), "string").select("window", "item").distinct(), "decon-owners")
 
     vocabulary = materialize(windows.select(F.explode("w").alias("word")).distinct(), "decon-vocabulary")
-    counts = listed.select(F.explode("words").alias("word")).join(bounded_broadcast(vocabulary), "word").groupBy("word").agg(F.count("*").alias("n"))
+    every = listed.select(F.explode("words").alias("word"))
+    # beyond a broadcast, words are counted before they travel
+    every = every.join(F.broadcast(vocabulary), "word") if fits(vocabulary) else every
+    counts = every.groupBy("word").agg(F.count("*").alias("n"))
     counts = materialize(vocabulary.join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n")), "decon-counts")
-    placed = windows.select("string", F.posexplode("w").alias("off", "word")).join(counts, "word")
-    rarest = placed.groupBy("string").agg(F.min(F.struct("n", "word", "off")).alias("r")).where("r.n > 0").select("string", F.col("r.word").alias("token"), F.col("r.off").alias("off"))
-    windows = materialize(windows.join(rarest, "string").select("string", "items", F.size("w").alias("len"), "token", "off"), "decon-prefixes")
-    widest = windows.select(F.max(F.octet_length("string") + 20 * F.size("items"))).first()[0] or 1
-
-    begin = F.greatest(F.col("pos") - (size - 1), F.lit(0))
-    tokens = listed.select("k", "j", "n_words", "words", F.posexplode("words").alias("pos", "word"))
-    tokens = tokens.select("k", "j", "n_words", "pos", "word", begin.alias("begin"), F.slice("words", begin + 1, 2 * size - 1).alias("near"))
+    placed = windows.select("window", F.posexplode("w").alias("off", "word")).join(counts, "word")
+    rarest = placed.groupBy("window").agg(F.min(F.struct("n", "word", "off")).alias("r")).where("r.n > 0").select("window", F.col("r.word").alias("token"), F.col("r.off").alias("off"))
+    windows = materialize(windows.join(rarest, "window").select("window", "string", F.size("w").alias("len"), "token", "off"), "decon-prefixes")
+    tokens = materialize(windows.select("token").distinct(), "decon-tokens")
+    longest = lambda df, c: df.select(F.max(F.octet_length(c))).first()[0] or 1
+
+    near = F.slice("words", F.greatest(F.col("pos") - (size - 1), F.lit(0)) + 1, 2 * size - 1).alias("near")
+    if fits(tokens, row_bytes=longest(tokens, "token") + 16):
+        spots = listed.select("k", "j", "n_words", "words", F.posexplode("words").alias("pos", "token")).join(F.broadcast(tokens), "token").select("k", "j", "n_words", "pos", "token", near)
+    else:
+        alone = listed.select("k", "j", F.posexplode("words").alias("pos", "token")).join(tokens, "token")
+        places = alone.groupBy("k", "j").agg(F.collect_set("pos").alias("places"))
+        spots = listed.dropDuplicates(["k", "j"]).join(places, ["k", "j"]).select("k", "j", "n_words", "words", F.explode("places").alias("pos")).select("k", "j", "n_words", "pos", F.get("words", F.col("pos")).alias("token"), near)
     start = F.col("pos") - F.col("off")
-    same = (F.col("word") == F.col("token")) & (start >= 0) & (start + F.col("len") <= F.col("n_words")) & (F.array_join(F.slice("near", F.greatest(start - F.col("begin"), F.lit(0)) + 1, F.col("len")), " ") == F.col("string"))
-    hits = tokens.join(bounded_broadcast(windows, row_bytes=widest), same).select("k", "j", start.alias("start"), (start + F.col("len")).alias("end"), "items")
-    hits = materialize(hits, "decon-hits").dropDuplicates(["k", "j", "start", "end"])
+    begin = F.greatest(F.col("pos") - (size - 1), F.lit(0))
+    same = (start >= 0) & (start + F.col("len") <= F.col("n_words")) & (F.array_join(F.slice("near", F.greatest(start - begin, F.lit(0)) + 1, F.col("len")), " ") == F.col("string"))
+    hits = spots.join(bounded_broadcast(windows, row_bytes=longest(windows, "string") + 64), "token").where(same).select("k", "j", start.alias("start"), (start + F.col("len")).alias("end"), "window")
+    hits = materialize(hits, "decon-hits")
     before = F.max("end").over(W.partitionBy("k", "j").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1))
     new = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(before, F.lit(0))))
-    found = hits.withColumn("new", new).groupBy("k", "j").agg(F.sum("new").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    covered = hits.select("k", "j", "start", "end").distinct().withColumn("new", new).groupBy("k", "j").agg(F.sum("new").alias("n_hit"))
+    named = hits.select("k", "j", "window").distinct().join(owners, "window").select("k", "j", "item").distinct().groupBy("k", "j").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    found = covered.join(named, ["k", "j"])
     out = listed.select("doc_id", "k", "j", "n_words").join(found, ["k", "j"], "left")
     out = out.select("doc_id", "k", "j", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return out.select("doc_id", "k", "j", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))

@@ -1,6 +1,7 @@
 import random
 import re
 
+from corpuslake.llm import decontaminate
 from corpuslake.llm.decontaminate import contamination
 
 
@@ -26,7 +27,7 @@ def brute(docs, items, size=13):
     return sorted(out, key=str)
 
 
-def test_matches_brute_force(spark):
+def test_matches_brute_force(spark, monkeypatch):
     rng = random.Random(8)
     word = lambda: rng.choice(["The", "of", "a1", "É", "ab", "été", "x"] + [f"r{rng.randint(0, 40)}"])
     items = [(i, rng.choice([" ", ", ", "-"]).join(word() for _ in range(rng.choice([1, 5, 13, 14, 30])))) for i in range(25)] + [(100, None), (101, ""), (102, "!!"), (None, "r1 r2"), (3, "of of of")]
@@ -39,16 +40,12 @@ def test_matches_brute_force(spark):
             parts += [" ".join(w[a:]).upper() if rng.random() < 0.3 else " ".join(w), " ".join(word() for _ in range(20))]
         docs.append((i, "\n".join(parts)))
     docs += [(200, None), (201, ""), (202, "..."), (5, docs[5][1]), (None, items[4][1])]
-    for limit in (None, 0):
-        import corpuslake.llm.decontaminate as module
-
-        keep = module.bounded_broadcast
-        if limit == 0:
-            module.bounded_broadcast = lambda df, **_: df
-        try:
+    for shuffled in (False, True):
+        with monkeypatch.context() as m:
+            if shuffled:
+                m.setattr(decontaminate, "fits", lambda df, **_: False)
+                m.setattr(decontaminate, "bounded_broadcast", lambda df, **_: df)
             got = contamination(spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id long, text string, k int, words int"), spark.createDataFrame(items, "item_id long, text string")).collect()
-        finally:
-            module.bounded_broadcast = keep
         assert sorted(((r.doc_id, r.n_words, r.n_hit, ",".join(r["items"]), r.contaminated) for r in got), key=str) == brute(docs, items)
 
 
