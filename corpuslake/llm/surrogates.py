@@ -16,15 +16,26 @@ GIVEN = {
     ("cyrillic", "f"): ["Анна", "Мария", "Елена", "Ольга", "Ирина", "Наталья"],
     ("cyrillic", "m"): ["Иван", "Пётр", "Павел", "Сергей", "Андрей", "Николай"],
 }
-#: Titles by gender (fixed values).
-TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Mme", "Señora"], "m": ["Mr", "Herr", "Señor", "Monsieur"], "": ["Dr", "Prof"]}
+#: Titles by gender, particles of surnames, and titles that follow a name of other scripts (fixed values).
+TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Mme", "Señora", "госпожа", "г-жа", "Κυρία"], "m": ["Mr", "Herr", "Señor", "Monsieur", "господин", "г-н", "Κύριος"], "": ["Dr", "Prof"]}
+PARTICLES = ["van", "von", "der", "den", "de", "di", "du", "la", "le"]
+AFTER = {"[\\p{IsHan}]{1,4}": ["先生", "女士", "小姐"], "[\\p{IsHan}\\p{IsKatakana}\\p{IsHiragana}]{1,6}": ["さん"], "[\\p{IsHangul}]{1,4}": [" ?씨"]}
 #: Syllables that surrogate surnames are made of (fixed values).
 SYLLABLES = {
     "latin": ["bar", "del", "fen", "gor", "hal", "jen", "kor", "lin", "mar", "nor", "pel", "ros", "sal", "tor", "vel", "wen"],
     "cyrillic": ["бар", "вел", "гор", "дан", "зор", "кар", "лин", "мор", "нов", "пел", "рос", "сал", "тор", "фен", "хал", "юр"],
+    "greek": ["βαρ", "γορ", "δελ", "ζαν", "καρ", "λιν", "μορ", "νικ", "παλ", "ροδ", "σαλ", "τορ", "φεν", "χαλ"],
+    "han": ["安", "白", "成", "东", "方", "高", "海", "江", "林", "明", "宁", "平", "秋", "山", "田", "文", "夏", "雪", "云", "竹"],
+    "kana": ["あき", "かね", "さと", "たか", "なか", "はま", "まつ", "やま", "よし", "ふじ", "きた", "しま"],
+    "hangul": ["강", "고", "남", "도", "민", "박", "서", "송", "안", "오", "윤", "정", "조", "차", "하", "한"],
 }
+#: How a script is told: by the first letter.
+_SCRIPTS = {"cyrillic": "IsCyrillic", "greek": "IsGreek", "han": "IsHan", "hangul": "IsHangul", "kana": "[\\p{IsKatakana}\\p{IsHiragana}]"}
 _TITLE = "|".join(t for x in TITLES.values() for t in x)
 _NAME = "|".join(n for x in GIVEN.values() for n in x)
+_SURNAME = r"(?:(?:" + "|".join(PARTICLES) + r") ){0,3}\p{Lu}(?:\p{L}|['’]\p{Lu}|-\p{Lu}\p{L})+"
+_FIRST = rf"(?:(?:{_NAME}) ){{1,2}}(?:\p{{Lu}}\. ){{0,2}}"
+_BEHIND = "|".join(f"{name}(?={'|'.join(titles)})" for name, titles in AFTER.items())
 #: Patterns of each kind, in the order in which they win.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,30}",
@@ -39,11 +50,13 @@ PATTERNS = {
         r"\+[0-9]{7,15}(?![0-9])",
         r"(?<![0-9])(?<![0-9][.-])(?:1[ .-])?[0-9]{3}(?:-[0-9]{3}-|\.[0-9]{3}\.| [0-9]{3} )[0-9]{4}(?![0-9]|[.-][0-9])",
     ]),
-    "name": rf"(?<!\p{{L}})(?:(?:{_TITLE})\.? (?:(?:{_NAME}) )?\p{{Lu}}\p{{L}}+|(?:{_NAME}) \p{{Lu}}\p{{L}}+)",
+    "name": rf"(?<!\p{{L}})(?:(?:{_TITLE})\.? (?:{_FIRST}|(?:\p{{Lu}}\. ){{1,2}})?{_SURNAME}|{_FIRST}{_SURNAME})|{_BEHIND}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every match of any pattern holds, and is cheap to find; documents without it are not looked at again.
-CHEAP = rf"@|[0-9]{{3}}|\+[0-9]|(?:[0-9]{{1,3}}\.){{3}}|(?<!\p{{L}})(?:{_TITLE}|{_NAME})(?!\p{{L}})"
+CHEAP = rf"@|[0-9]{{3}}|\+[0-9]|(?:[0-9]{{1,3}}\.){{3}}|(?<!\p{{L}})(?:{_TITLE}|{_NAME})(?!\p{{L}})|{'|'.join(t for x in AFTER.values() for t in x)}"
+#: A text's words and what stands between them, one after another.
+TOKEN = r"\p{L}(?:\p{L}|['’]\p{Lu}|-\p{L})*|[^\p{L}]+"
 
 
 def kind_of(entity: Column) -> Column:
@@ -77,6 +90,32 @@ def _reshaped(text: Column, stream: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.length(text) - 1), one), "")
 
 
+def _number(digits: Column, lead: Column, stream: Column, phone: Column) -> Column:
+    """Other digits after the first `lead`; of long phone numbers area and exchange start with 2 to 9, as real ones do."""
+
+    def one(i: Column) -> Column:
+        v, back = _byte(stream, i), F.length(digits) - i
+        return F.when(i < lead, F.substring(digits, i + 1, F.lit(1))).when(phone & (F.length(digits) >= 10) & back.isin(7, 10), (v % 8 + 2).cast("string")).otherwise((v % 10).cast("string"))
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.length(digits) - 1), one), "")
+
+
+def _address(value: Column, stream: Column, attempt: int) -> Column:
+    """An address of the same kind: private, loopback and link-local ranges keep theirs, all others get one of the reserved range
+    240.0.0.0/4. Where a range is used up, wider ones follow."""
+    own, byte = F.split(value, r"\."), lambda i: (_byte(stream, F.lit(i)) % 254 + 1).cast("string")
+    a, b = F.get(own, F.lit(0)).cast("int"), F.get(own, F.lit(1)).cast("int")
+    four = lambda *parts: F.concat_ws(".", *parts)
+    reserved = four((_byte(stream, F.lit(9)) % (15 if attempt < 24 else 223) + (240 if attempt < 24 else 1)).cast("string"), byte(1), byte(2), byte(3))
+    ten = four(F.lit("10"), byte(1), byte(2), byte(3))
+    small = lambda narrow: narrow if attempt < 12 else ten if attempt < 24 else reserved
+    return (
+        F.when(a == 10, ten if attempt < 24 else reserved).when(a == 127, four(F.lit("127"), byte(1), byte(2), byte(3)))
+        .when((a == 192) & (b == 168), small(four(F.lit("192.168"), byte(2), byte(3)))).when((a == 172) & b.between(16, 31), small(four(F.lit("172"), (_byte(stream, F.lit(1)) % 16 + 16).cast("string"), byte(2), byte(3))))
+        .when((a == 169) & (b == 254), small(four(F.lit("169.254"), byte(2), byte(3)))).otherwise(reserved)
+    )
+
+
 def _luhn(digits: Column) -> Column:
     """Digits whose last one makes the Luhn sum right."""
     body = F.substring(digits, F.lit(1), F.length(digits) - 1)
@@ -89,35 +128,40 @@ def _luhn(digits: Column) -> Column:
     return F.concat(body, F.pmod(-total, F.lit(10)).cast("string"))
 
 
-def _script(text: Column) -> Column:
-    return F.when(text.rlike(r"^\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+def _word(text: Column, stream: Column, syllables: int) -> Column:
+    """A word of the text's script."""
+    made = lambda script: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(syllables - 1)), lambda i: F.element_at(F.array(*map(F.lit, SYLLABLES[script])), _byte(stream, i) % len(SYLLABLES[script]) + 1)), "")
+    out = made("latin")
+    for script, form in _SCRIPTS.items():
+        out = F.when(text.rlike(rf"^\p{{{form}}}" if form.startswith("Is") else f"^{form}"), made(script)).otherwise(out)
+    return out
 
 
-def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of a normal form at an attempt: same kind, length of digits and script."""
-    stream = F.sha2(F.concat_ws("\x00", F.lit(key), kind, value, attempt.cast("string")), 512)
+def surrogate(kind: Column, value: Column, attempt: int, key: str) -> Column:
+    """The surrogate of a normal form at an attempt: same kind, length of digits and script. Later attempts draw from wider forms."""
+    stream = F.sha2(F.concat_ws("\x00", F.lit(key), kind, value, F.lit(str(attempt))), 512)
     local, digits = F.substring_index(value, "@", 1), _digits(value)
-    email = F.concat(_reshaped(local, stream), F.lit("@mail"), _byte(stream, F.lit(63)).cast("string"), F.lit(".example.org"))
+    more = "" if attempt < 8 else _byte(stream, F.lit(60)).cast("string") if attempt < 16 else F.concat(*(_byte(stream, F.lit(i)).cast("string") for i in (58, 59, 60, 61)))
+    email = F.concat(_reshaped(local, stream), F.lit(more) if isinstance(more, str) else more, F.lit("@"), F.substring_index(value, "@", -1))
     # the leading digits say which kind of number it is: a country and area, or a card's issuer
-    lead = F.when(kind == "ssn", 0).when(kind == "phone", F.greatest(F.lit(0), F.length(digits) - 9)).otherwise(1)
-    number = F.concat(F.substring(digits, F.lit(1), lead), _reshaped(F.substring(digits, lead + 1, F.length(digits)), stream))
-    ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_byte(stream, i) % 254 + 1).cast("string")), ".")
-    syllable = lambda script: F.array_join(F.transform(F.sequence(F.lit(0), attempt.cast("int") % 8 + 2), lambda i: F.element_at(F.array(*map(F.lit, SYLLABLES[script])), _byte(stream, i) % len(SYLLABLES[script]) + 1)), "")
-    surname = F.initcap(F.when(_script(value) == "cyrillic", syllable("cyrillic")).otherwise(syllable("latin")))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "name", surname).when(kind == "card", _luhn(number)).otherwise(number)
+    lead = F.lit(0) if attempt >= 24 else F.when(kind == "ssn", 0).when(kind == "phone", F.greatest(F.lit(0), F.length(digits) - 9)).otherwise(1)
+    number = _number(digits, lead, stream, kind == "phone")
+    name, domain = F.initcap(_word(value, stream, 2 + attempt % 8)), F.concat(_word(F.lit("a"), stream, 3 + attempt % 8), F.lit(".example.org"))
+    return F.when(kind == "email", email).when(kind == "ip", _address(value, stream, attempt)).when(kind == "name", name).when(kind == "domain", domain).when(kind == "card", _luhn(number)).otherwise(number)
 
 
 def surrogate_map(entities: DataFrame, key: str, rounds: int = 200) -> DataFrame:
     """(kind, value) -> new: one-to-one within a kind, and never a value that the corpus holds.
 
     Every value proposes its surrogate; where several propose the same one the least value gets it, and none gets a value
-    that stands in the corpus or is taken. The others try again with the next attempt, until all have one."""
+    that stands in the corpus or is taken. The others try again with the next attempt, which draws from a wider form where
+    many have failed, until all have one. Only if a form itself has fewer values than the corpus does this end in an error."""
     own = materialize(entities.select("kind", "value").distinct(), "pii-values")
     spark, done, pending, attempt = own.sparkSession, None, own, 0
     # few bytes, but much work a row: dealt out by rows, not by size
     tasks = max(spark.sparkContext.defaultParallelism, -(-own.count() // 5_000))
     while True:
-        tried = pending.repartition(tasks, "kind", "value").withColumn("new", surrogate(F.col("kind"), F.col("value"), F.lit(attempt), key))
+        tried = pending.repartition(tasks, "kind", "value").withColumn("new", surrogate(F.col("kind"), F.col("value"), attempt, key))
         winner = tried.groupBy("kind", "new").agg(F.min("value").alias("value"))
         taken = own.select("kind", F.col("value").alias("new"))
         taken = taken if done is None else taken.union(done.select("kind", "new"))
@@ -147,13 +191,15 @@ def given_names(key: str) -> dict[str, str]:
     return out
 
 
+def _given(key: str) -> Column:
+    return F.create_map(*(F.lit(x) for pair in given_names(key).items() for x in pair))
+
+
 def _named(entity: Column, surname: Column, key: str) -> Column:
-    """Title kept, given name from the list of its script and gender, and the surname given."""
+    """Titles, initials and particles kept, given names from the list of their script and gender, and the surname given."""
     tokens = F.split(entity, " ")
     head = F.slice(tokens, 1, F.size(tokens) - 1)
-
-    given = F.create_map(*(F.lit(x) for pair in given_names(key).items() for x in pair))
-    return F.array_join(F.concat(F.transform(head, lambda t: F.coalesce(F.try_element_at(given, t), t)), F.array(surname)), " ")
+    return F.array_join(F.concat(F.transform(head, lambda t: F.coalesce(F.try_element_at(_given(key), t), t)), F.array(surname)), " ")
 
 
 def pseudonymize(docs: DataFrame, key: str = "surrogates-1") -> tuple[DataFrame, dict[str, str]]:
@@ -161,25 +207,38 @@ def pseudonymize(docs: DataFrame, key: str = "surrogates-1") -> tuple[DataFrame,
 
     Mentions of one entity get one surrogate all over the corpus whatever their format (coreference), different entities different
     ones (distinctness, checked over all documents); a surrogate has the mention's format, script and length of digits, a card number
-    its check digit, a given name its gender. Email surrogates are in a domain reserved for examples. A different key gives different surrogates.
+    its check digit, a given name its gender, a private address its range. Addresses of one domain share their new one, which is
+    reserved for examples; public IP addresses become reserved ones. Where a document names a person, their surname and given name
+    alone are replaced in it as well, wherever they stand (not counted). A different key gives different surrogates.
 
     Only mentions are shuffled, first reduced to distinct entities; an entity that a third of all documents mention is one
     row there, and Spark splits its mentions where they meet their surrogate. Null and empty texts stay; repeated rows get equal results.
     """
     names = {f"n_{x}": fresh(docs.columns, f"n_{x}") for x in PATTERNS}
-    k, j, new = (fresh(docs.columns, x) for x in ("k", "j", "replaced"))
+    k, j, new, aliases = (fresh(docs.columns, x) for x in ("k", "j", "replaced", "aliases"))
     text = F.coalesce("text", F.lit(""))
     keys = {"k": F.xxhash64("doc_id", text), "j": F.hash(text, "doc_id")}
     found = docs.where(F.col("text").rlike(CHEAP)).select(*(c.alias(n) for n, c in keys.items()), F.posexplode(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("pos", "entity"))
-    found = materialize(found.dropDuplicates(["k", "j", "pos"]).withColumn("kind", kind_of(F.col("entity"))).withColumn("value", norm(F.col("kind"), F.col("entity"))), "pii-found")
-    mapped = surrogate_map(found, key)
+    found = found.dropDuplicates(["k", "j", "pos"]).withColumn("kind", kind_of(F.col("entity"))).withColumn("value", norm(F.col("kind"), F.col("entity")))
+    found = materialize(found.withColumn("host", F.when(F.col("kind") == "email", F.substring_index("value", "@", -1))), "pii-found")
+    mapped = surrogate_map(found.select("kind", "value").union(found.where("host is not null").select(F.lit("domain").alias("kind"), F.col("host").alias("value"))), key)
     kind, entity, value = F.col("kind"), F.col("entity"), F.col("new")
-    spelled = F.when(kind == "name", _named(entity, value, key)).when(kind.isin("email", "ip"), F.when((kind == "email") & (F.upper(entity) == entity), F.upper(value)).otherwise(value)).otherwise(_filled(entity, value))
-    swaps = found.join(mapped, ["kind", "value"]).select("k", "j", "pos", "kind", spelled.alias("other"))
+    hosts = mapped.where("kind = 'domain'").select(F.col("value").alias("host"), F.col("new").alias("new_host"))
+    email = F.concat(F.substring_index(value, "@", 1), F.lit("@"), F.col("new_host"))
+    spelled = F.when(kind == "name", _named(entity, value, key)).when(kind == "email", F.when(F.upper(entity) == entity, F.upper(email)).otherwise(email)).when(kind == "ip", value).otherwise(_filled(entity, value))
+    met = found.join(mapped, ["kind", "value"])
+    swaps = met.join(hosts, "host", "left").select("k", "j", "pos", "kind", spelled.alias("other"), "entity", "value", "new")
     counts = [F.count_if(F.col("kind") == x).alias(names[f"n_{x}"]) for x in PATTERNS]
-    swaps = swaps.groupBy(F.col("k").alias(k), F.col("j").alias(j)).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "other"))), lambda s: s["other"]).alias(new), *counts)
+    own = F.array(F.struct(F.col("value").alias("word"), F.col("new").alias("other")))
+    heads = F.transform(F.filter(F.split("entity", " "), lambda t: F.try_element_at(_given(key), t).isNotNull()), lambda t: F.struct(t.alias("word"), F.try_element_at(_given(key), t).alias("other")))
+    swaps = materialize(swaps.withColumn("people", F.when(kind == "name", F.concat(own, heads))).drop("entity", "value", "new"), "pii-swaps")
+    people = swaps.where("people is not null").select("k", "j", F.explode("people").alias("p")).groupBy("k", "j", "p.word").agg(F.min("p.other").alias("other"))
+    people = people.groupBy("k", "j").agg(F.map_from_entries(F.collect_list(F.struct("word", "other"))).alias(aliases))
+    swaps = swaps.groupBy("k", "j").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "other"))), lambda s: s["other"]).alias(new), *counts)
+    swaps = swaps.join(people, ["k", "j"], "left").withColumnsRenamed({"k": k, "j": j})
     out = docs.withColumns({k: keys["k"], j: keys["j"]}).join(swaps, [k, j], "left")
-    woven = F.array_join(F.zip_with(F.split("text", ANY), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    again = lambda piece: F.when(F.col(aliases).isNull(), piece).otherwise(F.array_join(F.transform(F.regexp_extract_all(piece, F.lit(TOKEN), F.lit(0)), lambda t: F.coalesce(F.try_element_at(aliases, t), t)), ""))
+    woven = F.array_join(F.zip_with(F.split("text", ANY), new, lambda a, b: F.concat(again(a), F.coalesce(b, F.lit("")))), "")
     columns = [woven_if.alias("text") if c == "text" else F.col(c) for c in docs.columns for woven_if in [F.when(F.col(new).isNull(), F.col("text")).otherwise(woven)]]
     return out.select(*columns, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in names.values())), names
 

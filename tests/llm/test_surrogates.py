@@ -78,5 +78,58 @@ def test_people_of_one_surname_stay_apart(spark):
     assert given_names("surrogates-1") != given_names("other key")
 
 
+def one(spark, *texts):
+    rows = pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))[0].collect()
+    return [r.text for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def test_later_mentions_and_compound_names(spark):
+    a, b, c, d, e, f = one(spark, "Mr Peter Smith met Smith and later Peter. Smith's hat", "Mme Dupont-Lefevre and Dr O'Brien, then O'Brien", "Anna Maria Schmidt and Mr. J. Q. Jones", "Herr von der Leyen", "Smith was here", "王小明先生, 김민준 씨, Κύριος Παππάς")
+    t = re.fullmatch(r"Mr (\w+) (\w+) met (\w+) and later (\w+)\. (\w+)'s hat", a)
+    assert t and t[1] == t[4] != "Peter" and t[2] == t[3] == t[5] != "Smith"
+    t = re.fullmatch(r"Mme (\w+) and Dr (\w+), then (\w+)", b)
+    assert t and t[2] == t[3] and "Brien" not in b and "Lefevre" not in b
+    t = re.fullmatch(r"(\w+) (\w+) (\w+) and Mr\. J\. Q\. (\w+)", c)
+    assert t and {t[1], t[2]} <= set(GIVEN["latin", "f"]) and "Schmidt" not in c and "Jones" not in c
+    assert re.fullmatch(r"Herr von der [A-Z]\w+", d) and "Leyen" not in d and e == "Smith was here"
+    t = re.fullmatch(r"([\u4e00-\u9fff]+)先生, ([\uac00-\ud7a3]+) 씨, Κύριος ([\u0370-\u03ff]+)", f)
+    assert t and not {"王小明", "김민준", "Παππάς"} & set(t.groups())
+
+
+def test_addresses_keep_their_range_and_domain(spark):
+    ips = ["10.1.2.3", "192.168.4.5", "172.20.1.1", "127.0.0.1", "8.8.8.8"]
+    for old, new in zip(ips, one(spark, *ips), strict=True):
+        a, b, *_ = map(int, new.split("."))
+        assert new != old and {"10": a == 10, "19": (a, b) == (192, 168), "17": a == 172 and 16 <= b < 32, "12": a == 127, "8.": 240 <= a < 255}[old[:2]]
+    mails = one(spark, *(f"u{i}@{'one.com' if i % 2 else 'two.org'}" for i in range(40)), *(f"{c}@tiny.net" for c in "abcdefghijklmnopqrstuvwxyz"))
+    assert len(set(mails)) == 66 and len({m.split("@")[1] for m in mails[:40:2]}) == len({m.split("@")[1] for m in mails[1:40:2]}) == 1 and len({m.split("@")[1] for m in mails}) == 3
+    assert not {m.split("@")[0] for m in mails[40:]} & set("abcdefghijklmnopqrstuvwxyz") or all(m.endswith("example.org") for m in mails)
+    phones = one(spark, *(f"(555) {200 + i}-4567" for i in range(60)))
+    assert len(set(phones)) == 60 and all(re.fullmatch(r"\([2-9]\d\d\) [2-9]\d\d-\d{4}", p) for p in phones)
+
+
+def test_distinct_and_coreferent_over_a_corpus(spark):
+    """Against a plain count: equal entities have equal surrogates everywhere, different ones never."""
+    import random
+
+    rng = random.Random(12)
+    pool = {
+        "email": [f"{rng.choice('abc')}{i}@{rng.choice(['x.de', 'y.de'])}" for i in range(60)], "ip": [f"192.168.{i // 9}.{i % 9}" for i in range(60)], "ssn": [f"{i:03}-11-2222" for i in range(60)],
+        "phone": [f"+1-555-{200 + i}-1234" for i in range(60)], "name": [f"Mr. Z{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)],
+    }
+    rows, said = [], []
+    for i in range(300):
+        kind = rng.choice(list(pool))
+        x = rng.choice(pool[kind])
+        said.append((kind, x))
+        rows.append(f"<{x}>")
+    new = {}
+    for (kind, x), text in zip(said, one(spark, *rows), strict=True):
+        assert new.setdefault((kind, x), text) == text and x not in text
+    for kind in pool:
+        values = [v for (k, _), v in new.items() if k == kind]
+        assert len(values) == len(set(values)) and not {f"<{x}>" for x in pool[kind]} & set(values)
+
+
 def test_empty(spark):
     assert pseudonymize(spark.createDataFrame([], "doc_id long, text string"))[0].count() == 0
