@@ -47,9 +47,11 @@ class Rolling:
                 self.down = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, self.inverse, np.uint64)]))
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
+        """Sums over bytes, or over 64-bit codes of longer tokens."""
         self._powers(len(data) + 1)
         out = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(self.table[data] * self.up[: len(data)], out=out[1:])
+        values = self.table[data] if data.dtype == np.uint8 else mix(data ^ self.table[0]) | np.uint64(1)
+        np.cumsum(values * self.up[: len(data)], out=out[1:])
         return out
 
     def ranges(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -92,6 +94,14 @@ def tokens(data: np.ndarray, at: np.ndarray, gap: np.ndarray = SPACE) -> tuple[n
 
 
 WORDS = Rolling(11)
+
+
+def word_codes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit code for each word (a run of bytes that are no ASCII space), and each document's first word."""
+    starts, ends, first = tokens(data, at)
+    return WORDS.ranges(WORDS.prefix(data), starts, ends), first
+
+
 _STEP = np.random.default_rng(12).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
