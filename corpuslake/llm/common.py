@@ -66,37 +66,44 @@ def sha256_hex(text: Column) -> Column:
 def components(edges: DataFrame, name: str, src: str = "src", dst: str = "dst") -> DataFrame:
     """Connected components of an undirected edge table: (node, component), component = smallest node.
 
-    Random-priority contraction: every round draws new priorities, each node takes the neighbour (or itself) of the least one, then
-    that one's own choice, and edges are contracted to the choices. Priorities don't follow the ids, so a chain in id order
-    shrinks like any other graph: at least half of the nodes that still have edges are gone after a round, in expectation, and
-    rounds grow with the logarithm of their number. Nodes with no edge are not in the result. Tables of a round are written to the
-    shared folder and deleted when the next one stands; nothing is gathered on the driver but whether edges are left.
+    Contraction: every round each node takes the best node of its neighbourhood (itself included), then that one's own choice, and edges
+    are contracted to the choices. Even rounds prefer many neighbours (a hub takes its whole star at once), ties and odd rounds
+    draw fresh priorities. Priorities don't follow the ids, so a chain in id order shrinks like any other graph: at least half of
+    the nodes that still have edges are gone after an odd round, in expectation, and rounds grow with the logarithm of their
+    number. Nodes with no edge are not in the result. Tables of a round are written to the shared folder and deleted when
+    nothing reads them any more; nothing is gathered on the driver but whether edges are left.
     """
     ordered = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = materialize(ordered(edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))), f"{name}-pairs")
-    labels, turn = None, 0
-    while True:
-        rank = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("p"), F.col(c).alias("id"))  # noqa: B023, E731
-        near = pairs.union(pairs.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min(rank("b")).alias("near"))
-        step = materialize(near.select("node", F.least(rank("node"), "near")["id"].alias("label")), f"{name}-step")
-        up = step.select(F.col("node").alias("label"), F.col("label").alias("choice"))
-        chosen = materialize(step.join(up, "label").select("node", "choice"), f"{name}-chosen")
-        discard(step)
-        if labels is None:
-            labels = materialize(chosen.select("node", F.col("choice").alias("component")), f"{name}-labels")
+    choices: list[DataFrame] = []
+    while not pairs.isEmpty():
+        both = pairs.union(pairs.select("b", "a"))
+        draw = lambda c: F.xxhash64(F.lit(len(choices)), c)  # noqa: B023, E731
+        if len(choices) % 2 == 0:
+            degree = both.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))
+            near = both.join(degree, F.col("b") == F.col("id")).groupBy("a").agg(F.max(F.struct("n", draw("b").alias("p"), F.col("b").alias("id"))).alias("near"), F.count("*").alias("n"))
+            best = F.greatest("near", F.struct("n", draw("a").alias("p"), F.col("a").alias("id")))
         else:
-            new = chosen.select(F.col("node").alias("component"), "choice")
-            old, labels = labels, materialize(labels.join(new, "component", "left").select("node", F.coalesce("choice", "component").alias("component")), f"{name}-labels")
-            discard(old)
+            near = both.groupBy("a").agg(F.max(F.struct(draw("b").alias("p"), F.col("b").alias("id"))).alias("near"))
+            best = F.greatest("near", F.struct(draw("a").alias("p"), F.col("a").alias("id")))
+        step = materialize(near.select(F.col("a").alias("node"), best["id"].alias("label")), f"{name}-step")
+        chosen = materialize(step.join(step.select(F.col("node").alias("label"), F.col("label").alias("choice")), "label").select("node", "choice"), f"{name}-chosen")
+        discard(step)
         side = lambda c: chosen.select(F.col("node").alias(c), F.col("choice").alias(f"{c}2"))  # noqa: B023, E731
         left = pairs.join(side("a"), "a").join(side("b"), "b").select(F.col("a2").alias("a"), F.col("b2").alias("b"))
         old, pairs = pairs, materialize(ordered(left), f"{name}-pairs")
-        discard(old, chosen)
-        turn += 1
-        if not pairs.limit(1).count():
-            break
+        discard(old)
+        choices.append(chosen)
+    if not choices:
+        return pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    labels = choices[0].select("node", F.col("choice").alias("component"))
+    for later in choices[1:]:
+        labels = labels.join(later.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("choice", "component").alias("component"))
+    labels = materialize(labels, f"{name}-labels")
     smallest = labels.groupBy("component").agg(F.min("node").alias("smallest"))
-    return materialize(labels.join(smallest, "component").select("node", F.col("smallest").alias("component")), f"{name}-components")
+    out = materialize(labels.join(smallest, "component").select("node", F.col("smallest").alias("component")), f"{name}-components")
+    discard(pairs, labels, *choices)
+    return out
 
 
 Query = Callable[[SparkSession, str], DataFrame]
