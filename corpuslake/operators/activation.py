@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,10 +21,23 @@ def active_sets(touches: DataFrame, session: str, order: list[str], card: str, s
 
 
 def active_after_each(touches: DataFrame, session: str, order: str, card: str, size: int) -> DataFrame:
-    """The active set after every touch, newest first; a running list of at most `size` cards is what each row carries."""
-    seen = F.collect_list(card).over(W.partitionBy(session).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    newest = F.slice(F.array_distinct(F.reverse(seen)), 1, size)
-    return touches.withColumn("active", newest)
+    """The active set after every touch, newest first. Sessions are sorted and walked in one pass; what is carried along is one set
+    of at most `size` cards, so a session of any length needs no memory of its own."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, []
+        for rows in batches:
+            sets = []
+            for who, what in zip(rows[session], rows[card], strict=True):
+                held = [what, *(x for x in held if x != what)][:size] if who == now else [what]
+                now = who
+                sets.append(held)
+            yield rows.assign(active=pd.Series(sets, dtype=object, index=rows.index))
+
+    ordered = touches.repartition(session).sortWithinPartitions(session, order)
+    kind = touches.schema[card].dataType.simpleString()
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in touches.schema)
+    return ordered.mapInPandas(walk, f"{fields}, active array<{kind}>")
 
 
 def longest_matches(matches: DataFrame, text_id: str, card: str, alias: str) -> DataFrame:

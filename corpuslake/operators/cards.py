@@ -51,13 +51,26 @@ def facts_by_mode(assessments: DataFrame, facts: DataFrame, key: list[str], mode
     return own.groupBy(key[0], mode).agg(F.transform(items, lambda s: s[text]).alias("facts"))
 
 
-def apply_reviews(cards: DataFrame, reviews: DataFrame, key: str, text: str) -> DataFrame:
-    """The reviewers' replacement where there is one, else the text as it is; verdict not_in_round for cards without a review."""
+def apply_reviews(cards: DataFrame, reviews: DataFrame, key: str, text: str, phrases: list[tuple[str, str]] | None = None) -> DataFrame:
+    """The reviewers' replacement where there is one, else the text as it is; verdict not_in_round for cards without a review.
+    phrases: (old, new) pairs, replaced literally and in order in what cards to be revised say in the end."""
     out = cards.join(reviews.select(key, "verdict", "replacement"), key, "left")
     new = F.when((F.col("verdict") == "revise") & (F.coalesce("replacement", F.lit("")) != ""), F.col("replacement")).otherwise(F.col(text))
+    cut = new
+    for old, fresh in phrases or []:
+        cut = F.replace(cut, F.lit(old), F.lit(fresh))
+    new = F.when(F.col("verdict") == "revise", cut).otherwise(new)
     return out.withColumn(text, new).withColumn("verdict", F.coalesce("verdict", F.lit("not_in_round"))).drop("replacement")
 
 
+def answer_context(touched: DataFrame, named: DataFrame, answer: str, card: str, texts: DataFrame, text: str, excluded: str) -> DataFrame:
+    """(answer, cards, context): the cards that the user's turn touched or the answer names, one excluded, and their texts joined in order of id."""
+    both = touched.select(answer, card).union(named.select(answer, card)).distinct().where(F.col(card) != excluded)
+    held = F.array_sort(F.collect_list(F.struct(F.col(card).alias("card"), F.col(text).alias("text"))))
+    out = both.join(texts.select(card, text), card).groupBy(answer).agg(held.alias("held"))
+    return out.select(answer, F.transform("held", lambda h: h["card"]).alias("cards"), F.array_join(F.filter(F.transform("held", lambda h: h["text"]), lambda t: F.coalesce(t, F.lit("")) != ""), "\n\n").alias("context"))
+
+
 def lineage(cards: DataFrame, key: str, text: str, final: str, rounds: list[DataFrame]) -> DataFrame:
     """Each card's route over the review rounds and whether its final text is the one that the rounds lead to.
 

@@ -13,6 +13,7 @@ TURN = T.StructType([
     T.StructField("scene_path", T.ArrayType(T.StringType())), T.StructField("scene_id", T.StringType()), T.StructField("objective", T.StringType()),
     T.StructField("pos", T.IntegerType()), T.StructField("place", T.ArrayType(T.IntegerType())), T.StructField("branch_path", T.ArrayType(T.StringType())),
     T.StructField("id", T.StringType()), T.StructField("speaker", T.StringType()), T.StructField("text", T.StringType()), T.StructField("kind", T.StringType()),
+    T.StructField("context_before", T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in ("id", "speaker", "text", "kind")]))),
 ])
 
 
@@ -34,40 +35,56 @@ def _text(x) -> str:
     return "" if x is None else str(x)
 
 
-def _flat(items, player: str):
-    """Turns in reading order: (place, branch, id, speaker, text, kind). place is the path of (item, choice) positions that lead
-    to the branch the turn stands in; ids may repeat or be empty, positions don't."""
-    stack = [(items, 0, (), ())]
+def _flat(items, player: str, size: int = 0, blank: bool = True, responses: bool = False, speaker: str | None = None):
+    """Turns in reading order: (place, branch, id, speaker, text, kind, context). place is the path of (item, choice) positions that lead
+    to the branch the turn stands in; ids may repeat or be empty, positions don't. context holds the last `size` turns that lead to
+    the turn: a branch goes on from the turns before its choice, and what follows the branch does not know it.
+
+    blank: turns without text are turns too, but one needs a speaker and a text. Otherwise they are left out, and a missing speaker is
+    `speaker`. responses: an item's own list `response` is read after its choices."""
+    stack = [(items, 0, (), (), ())]
     while stack:
-        seq, i, place, branch = stack.pop()
+        seq, i, place, branch, before = stack.pop()
         if i >= len(seq):
             continue
-        stack.append((seq, i + 1, place, branch))
         item = seq[i]
         if not isinstance(item, dict):
+            stack.append((seq, i + 1, place, branch, before))
+            continue
+        after = before
+        if "_choice" in item:
+            turn = (_text(item["id"]), player, item["_choice"], "choice")
+        else:
+            turn = (_text(item.get("id", "")), _text(item.get("speaker")) or speaker or "", item.get("text"), "dialogue")
+        body = turn[2] if isinstance(turn[2], str) else "" if turn[2] is None else str(turn[2])
+        there = ("_choice" in item or ("speaker" in item and "text" in item)) if blank else isinstance(turn[2], str) and body.strip() != ""
+        if there:
+            turn = (turn[0], turn[1], body if blank else body.strip(), turn[3])
+            yield place, branch, *turn, before
+            after = (*before, turn)[-size:] if size else ()
+        if "_choice" in item:
+            # a choice's own responses go on from it, in the same branch
+            stack.append((item["response"], 0, place, branch, after))
             continue
-        if "speaker" in item and "text" in item:
-            yield place, branch, _text(item.get("id", "")), _text(item["speaker"]), _text(item["text"]), "dialogue"
+        stack.append((seq, i + 1, place, branch, after))
+        if responses and isinstance(item.get("response"), list):
+            stack.append((item["response"], 0, place, branch, after))
         choices = item.get("choices")
-        later = []
-        for n, choice in enumerate(choices if isinstance(choices, list) else []):
+        for n, choice in reversed(list(enumerate(choices if isinstance(choices, list) else []))):
             if isinstance(choice, dict):
-                own = _text(choice.get("id", ""))
-                response = choice.get("response")
-                later.append(([("choice", choice, own)], response if isinstance(response, list) else [], (*place, i, n), (*branch, own)))
-        for head, response, p, b in reversed(later):
-            stack.append((response, 0, p, b))
-            stack.append(([{"_choice": head[0]}], 0, p, b))
-        if "_choice" in item:
-            _, choice, own = item["_choice"]
-            yield place, branch, own, player, _text(choice.get("text", "")), "choice"
+                own, response = _text(choice.get("id", "")), choice.get("response")
+                head = {"_choice": choice.get("text", ""), "id": own, "response": response if isinstance(response, list) else []}
+                stack.append(([head], 0, (*place, i, n), (*branch, own), after))
 
 
-def flatten_documents(docs: DataFrame, json: str = "json", player: str = "Player") -> tuple[DataFrame, DataFrame]:
+def flatten_documents(docs: DataFrame, json: str = "json", player: str = "Player", context: int = 0, blank: bool = True, responses: bool = False, speaker: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Turns of all scenes in nested JSON documents of any depth, and the documents that can't be parsed.
 
-    A document is one row and never leaves its partition; a table function walks it. Scene id: the first of id, talkId and
-    initDialog that is neither empty nor 0, else the path. A choice is a turn of the player."""
+    A document is one row and never leaves its partition; a table function walks it once. Scene id: the first of id, talkId and
+    initDialog that is neither empty nor 0, else the path. A choice is a turn of the player. context_before holds up to `context` turns
+    that lead to the turn, carried along by the walk, so no list of a whole scene is ever gathered. blank, responses and speaker as in _flat."""
+    if context < 0:
+        raise ValueError("context must not be negative")
 
     @F.udtf(returnType=TURN)
     class Turns:
@@ -80,8 +97,8 @@ def flatten_documents(docs: DataFrame, json: str = "json", player: str = "Player
                 return
             for path, scene in _scenes(value):
                 name = next((str(scene[k]) for k in ("id", "talkId", "initDialog") if scene.get(k)), "/".join(path))
-                for pos, (place, branch, own, speaker, text, kind) in enumerate(_flat(scene["dialogues"], player)):
-                    yield list(path), name, _text(scene.get("objective", "")), pos, list(place), list(branch), own, speaker, text, kind
+                for pos, (place, branch, own, who, text, kind, before) in enumerate(_flat(scene["dialogues"], player, context, blank, responses, speaker)):
+                    yield list(path), name, _text(scene.get("objective", "")), pos, list(place), list(branch), own, who, text, kind, [list(t) for t in before]
 
     bad = docs.where(F.try_parse_json(F.col(json)).isNull())
     good = docs.where(F.try_parse_json(F.col(json)).isNotNull())
@@ -89,17 +106,11 @@ def flatten_documents(docs: DataFrame, json: str = "json", player: str = "Player
     return good.lateralJoin(Turns(F.col(json).outer())).select(*keep, *TURN.names), bad
 
 
-def preceding_context(turns: DataFrame, scene: list[str], target: Column, size: int = 8) -> DataFrame:
-    """Target turns with up to `size` turns that lead to them: those before them whose branch is theirs or holds it.
-
-    So after a branch ends the context is that before the choice. A scene's turns stand on one task; a scene is one dialogue."""
+def preceding_context(docs: DataFrame, target: Column, size: int = 8, **how) -> DataFrame:
+    """Target turns of nested documents with up to `size` turns that lead to them."""
     if size < 1:
         raise ValueError("size must be 1 or more")
-    one = F.struct("pos", "place", "id", "speaker", "text", "kind")
-    whole = turns.withColumn("all", F.collect_list(one).over(W.partitionBy(*scene).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)))
-    leads = F.filter("all", lambda t: (F.size(t["place"]) <= F.size("place")) & (t["place"] == F.slice("place", 1, F.size(t["place"]))))
-    last = F.slice(leads, F.greatest(F.size(leads) - size + 1, F.lit(1)), size)
-    return whole.where(target).withColumn("context_before", F.transform(last, lambda t: F.struct(t["id"].alias("id"), t["speaker"].alias("speaker"), t["text"].alias("text"), t["kind"].alias("kind")))).drop("all")
+    return flatten_documents(docs, context=size, **how)[0].where(target)
 
 
 def rolling_context(turns: DataFrame, scene: str, order: str, fields: list[str], size: int = 8) -> DataFrame:

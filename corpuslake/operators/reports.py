@@ -40,13 +40,26 @@ def reconciled(raw: DataFrame, extracted: DataFrame, key: str) -> DataFrame:
     return both.where("expected <> found")
 
 
-def assessment_audit(assessments: DataFrame, key: str, restricted: Column) -> dict[str, DataFrame]:
-    """Counts by status and mode, warnings for restricted facts that are called common, errors for direct evidence without a scene."""
-    return {
+def scan_report(files: DataFrame, file: str, bad: DataFrame, turns: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """One row on a scan: files read, unreadable ones, files with a target, target turns found by an independent count (turns: file, n), rows extracted.
+
+    Counts are partial sums; no list of files is gathered."""
+    hit = turns.groupBy(file).agg(F.sum("n").alias("n")).where("n > 0").agg(F.count("*").alias("files_with_target"), F.coalesce(F.sum("n"), F.lit(0)).alias("raw_target_nodes"))
+    parts = [files.agg(F.count_distinct(file).alias("scanned_files")), bad.agg(F.count_distinct(file).alias("parse_errors")), hit, occurrences.agg(F.count("*").alias("extracted_occurrences"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, F.lit(True))
+    return out
+
+
+def assessment_audit(assessments: DataFrame, key: str, restricted: Column, tier: str | None = None, cards: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Counts by status, mode and (of cards) tier, warnings for restricted facts that are called common, errors for direct evidence without a scene."""
+    out = {
         "status_counts": assessments.groupBy("epistemic_status").count(), "mode_counts": assessments.groupBy("response_mode").count(),
         "warnings": assessments.where(restricted & (F.col("epistemic_status") == "common")).select(key, "fact_id"),
         "errors": assessments.where((F.col("epistemic_status") == "firsthand") & (F.size("evidence_scene_ids") == 0)).select(key, "fact_id"),
     }
+    return out | ({"tier_counts": cards.groupBy(tier).count()} if tier is not None and cards is not None else {})
 
 
 def verdict_report(reviews: DataFrame, before: str, after: str) -> tuple[DataFrame, DataFrame]:

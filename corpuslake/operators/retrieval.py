@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpuslake.functions.text import count_of
+
 
 def word_terms(text: Column) -> Column:
     """Lower-cased runs of letters and digits, in order."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
-def alias_matches(texts: DataFrame, text_id: str, text: str, aliases: DataFrame, entity: str, alias: str) -> DataFrame:
-    """(text_id, entity, alias, n): aliases of one or more words that stand in a text as whole words.
+def word_matches(texts: DataFrame, text_id: str, text: str, aliases: DataFrame, entity: str, alias: str) -> DataFrame:
+    """(text_id, entity, alias, n): aliases of one or more words that stand in a text as whole words, whatever stands between them.
 
     An equi-join on the alias's first word instead of a theta join: a text's words are exploded once and each position meets the
     aliases that start with its word; the rest is compared there. It holds for gazetteers of any size; Spark broadcasts small ones."""
@@ -26,6 +28,62 @@ def alias_matches(texts: DataFrame, text_id: str, text: str, aliases: DataFrame,
     return found.groupBy(text_id, entity, alias).agg(F.count("*").alias("n"))
 
 
+#: For each rule: which aliases need free neighbours, and what a free neighbour is not.
+RULES = {"pipeline": (r"^(?=.*[A-Za-z])[A-Za-z ]+$", "a-z"), "runtime": (r"^[\x00-\x7F]+$", "a-z0-9_")}
+
+
+def literal(text: Column) -> Column:
+    """A pattern that matches the text itself."""
+    return F.regexp_replace(text, r"([\\\[\]{}()*+?.^$|&~#-])", r"\\$1")
+
+
+def alias_matches(texts: DataFrame, text_id: str, text: str, aliases: DataFrame, entity: str, alias: str, mode: str = "pipeline") -> DataFrame:
+    """(text_id, entity, alias, n): aliases that a text names, and how often, none overlapping. text_id is unique.
+
+    pipeline: two characters or more; ASCII letters and blanks with no letter beside them; any other as a plain substring, so names
+    inside Chinese sentences are found; case is ignored. runtime: ASCII with no word character beside it and without case; any
+    other as a plain substring with case.
+
+    No text meets all aliases. A bounded alias joins on its first run of word characters, which must be a whole run of the text, any
+    other on its first two characters; a text sends each of its runs and pairs once, without itself. Only the pairs of text and
+    alias that are left fetch the text, and there the whole alias is looked for."""
+    terms, keys, chars, found = _alias_keys(text, aliases, entity, alias, mode)
+    spots = texts.select(text_id, F.col(text), *chars).select(text_id, F.explode(F.array_distinct(F.concat(*keys))).alias("_key"))
+    near = spots.join(terms, "_key").drop("_key").distinct().join(texts.select(text_id, F.col(text).alias("_text")), text_id)
+    return near.select(text_id, entity, alias, found.alias("n")).where("n > 0")
+
+
+def _alias_keys(text: str, aliases: DataFrame, entity: str, alias: str, mode: str) -> tuple[DataFrame, list[Column], list[Column], Column]:
+    """Aliases with the key that each joins on, a text's keys (over the columns `_chars`, if there are any), and how often an alias stands in `_text`."""
+    bound, inner = RULES[mode]
+    folded = F.lower(alias) if mode == "pipeline" else F.when(F.col(alias).rlike(bound), F.lower(alias)).otherwise(F.col(alias))
+    terms = aliases.where(F.length(alias) >= (2 if mode == "pipeline" else 1)).select(entity, alias, F.col(alias).rlike(bound).alias("_bound"), folded.alias("_alias")).distinct()
+    run = F.when(F.col("_bound"), F.nullif(F.regexp_extract("_alias", f"([{inner}]+)", 1), F.lit("")))
+    # an ASCII alias without a word character has no run and no case
+    terms = terms.withColumn("_key", F.coalesce(F.concat(F.lit("r"), run), F.concat(F.lit("p"), F.substring("_alias", 1, 2))))
+    low = F.lower(text)
+    keys, chars = [F.transform(F.regexp_extract_all(low, F.lit(f"([{inner}]+)"), F.lit(1)), lambda r: F.concat(F.lit("r"), r))], []
+    if not terms.where(F.startswith("_key", F.lit("p"))).isEmpty():
+        chars = [F.regexp_extract_all(low if mode == "pipeline" else F.col(text), F.lit("(?s)."), F.lit(0)).alias("_chars")]
+        keys += [F.transform("_chars", lambda c, i: F.concat(F.lit("p"), c, F.coalesce(F.get("_chars", i + 1), F.lit("")))), F.transform("_chars", lambda c: F.concat(F.lit("p"), c))]
+    free = F.concat(F.lit(f"(?<![{inner}])"), literal(F.col("_alias")), F.lit(f"(?![{inner}])"))
+    plain = F.lower("_text") if mode == "pipeline" else F.col("_text")
+    n = F.when(F.col("_bound"), F.size(F.regexp_extract_all(F.lower("_text"), free, F.lit(0)))).otherwise(count_of(plain, F.col("_alias")))
+    return terms, keys, chars, n.cast("long")
+
+
+def alias_stream(turns: DataFrame, text: str, aliases: DataFrame, entity: str, alias: str, mode: str = "runtime") -> DataFrame:
+    """The same for a stream of turns: a row for each alias that a turn names, one without entity for a turn that names none.
+
+    A stateless join with a table of aliases; nothing is aggregated, as each alias has one key and a turn sends each key once. A turn's row
+    without a match has null in entity and alias."""
+    terms, keys, chars, found = _alias_keys(text, aliases, entity, alias, mode)
+    spots = turns.select("*", *chars)
+    spots = spots.select(*turns.columns, F.explode(F.concat(F.array(F.lit("none")), F.array_distinct(F.concat(*keys)))).alias("_key"))
+    met = spots.join(terms, "_key", "left").withColumn("_text", F.col(text))
+    return met.where((F.col("_key") == "none") | (F.col(entity).isNotNull() & (found > 0))).select(*turns.columns, entity, alias)
+
+
 def alias_index(aliases: DataFrame, entity: str, alias: str) -> DataFrame:
     """Owners of each alias, sorted, and whether it is ambiguous."""
     owners = aliases.groupBy(F.lower(alias).alias(alias)).agg(F.array_sort(F.collect_set(entity)).alias("owners"))
@@ -44,22 +102,45 @@ def lexical_scores(queries: DataFrame, query_id: str, texts: DataFrame, text_id:
     """(query_id, text_id, score): texts that hold an exact term of the query (exact: query_id, text_id, term_score), scored by
     those and by the rarest terms both share: (ln((N + 1) / (df + 1)) + 1) * (length - 1) * min(counts, 2) * 0.32.
 
-    Both sides are postings joined on the term; terms more frequent than max(8, N / most_df_share) give no score and are cut before
-    the join, after their rank among the rarest is known from document frequencies. Sums run in a fixed order."""
+    Both sides are postings (of words or character grams) joined on the term. Terms more frequent than max(8, N / most_df_share) give
+    no score, and as rarer ones rank before them, they are cut before anything is joined. Sums run in a fixed order."""
     total = texts.count()
-    df = document_frequency(texts, text_id, terms)
+    df = document_frequency(texts, text_id, terms).where(F.col("df") <= max(8, total // most_df_share))
     mine, theirs = postings(queries, query_id, terms), postings(texts, text_id, terms)
     wanted = mine.withColumnRenamed("tf", "qf").join(df, "term")
     pairs = exact.groupBy(query_id, text_id).agg(F.sum("term_score").alias("base"))
     shared = wanted.join(theirs, "term").join(pairs.select(query_id, text_id), [query_id, text_id])
     rank = F.row_number().over(W.partitionBy(query_id, text_id).orderBy("df", F.desc(F.length("term")), "term"))
-    top = shared.withColumn("rank", rank).where((F.col("rank") <= rarest) & (F.col("df") <= max(8, total // most_df_share)))
+    top = shared.withColumn("rank", rank).where(F.col("rank") <= rarest)
     gain = (F.log((F.lit(total + 1.0)) / (F.col("df") + 1)) + 1) * (F.length("term") - 1) * F.least("qf", "tf", F.lit(2)) * 0.32
     sums = top.groupBy(query_id, text_id).agg(F.array_sort(F.collect_list(F.struct("rank", gain.alias("gain")))).alias("gains"))
     extra = sums.select(query_id, text_id, F.aggregate("gains", F.lit(0.0), lambda a, x: a + x["gain"]).alias("extra"))
     return pairs.join(extra, [query_id, text_id], "left").select(query_id, text_id, (F.col("base") + F.coalesce("extra", F.lit(0.0))).alias("score")).where(F.col("score") >= least)
 
 
+def scene_terms(lines: DataFrame, scene: str, order: str, speaker: str, text: str, ego: str, terms: DataFrame, query_id: str, term: str, head: Column | None = None) -> DataFrame:
+    """(query_id, scene, term_score) of each exact term in the search text of a scene, without case, and with what it is worth if the ego says it.
+
+    lines are a scene's lines in order; head is text before them (title and objective). Terms of any script are found, inside words too."""
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.concat(F.col(speaker), F.lit("："), F.col(text)).alias("line")))), lambda x: x["line"]), "\n")
+    scenes = lines.groupBy(scene).agg(body.alias("_body"))
+    scenes = scenes if head is None else scenes.withColumn("_body", F.concat_ws("\n", head, "_body"))
+    own = terms.select(query_id, F.lower(term).alias("_term")).where(F.length("_term") >= 2).distinct()
+    found = substring_matches(scenes, scene, "_body", own, query_id, "_term")
+    said = substring_matches(lines.where(F.col(speaker) == ego).select(scene, order, F.concat_ws(":", scene, order).alias("_line"), text), "_line", text, own, query_id, "_term")
+    said = said.join(lines.select(F.concat_ws(":", scene, order).alias("_line"), scene), "_line").select(scene, query_id, "_term").distinct().withColumn("_ego", F.lit(True))
+    worth = term_score(F.length("_term"), F.col("n"), F.coalesce("_ego", F.lit(False)))
+    return found.join(said, [scene, query_id, "_term"], "left").select(query_id, scene, worth.alias("term_score"))
+
+
+def substring_matches(texts: DataFrame, text_id: str, text: str, terms: DataFrame, entity: str, term: str) -> DataFrame:
+    """(text_id, entity, term, n): folded terms of two characters or more anywhere in a text, without case; joined on their first two characters."""
+    chars = F.regexp_extract_all(F.lower(text), F.lit("(?s)."), F.lit(0))
+    spots = texts.select(text_id, chars.alias("_chars")).select(text_id, F.explode(F.array_distinct(F.transform("_chars", lambda c, i: F.concat(c, F.coalesce(F.get("_chars", i + 1), F.lit("")))))).alias("_key"))
+    near = spots.join(terms.withColumn("_key", F.substring(term, 1, 2)), "_key").select(text_id, entity, term).distinct().join(texts.select(text_id, F.lower(text).alias("_text")), text_id)
+    return near.select(text_id, entity, term, count_of(F.col("_text"), F.col(term)).cast("long").alias("n")).where("n > 0")
+
+
 def term_score(length: Column, count: Column, by_ego: Column) -> Column:
     """What an exact term is worth: its length (16 at most), its count (4 at most), and whether the ego says it."""
     return F.lit(18.0) + 3.0 * F.least(length, F.lit(16)) + 4.0 * F.least(count, F.lit(4)) + F.when(by_ego, 24.0).otherwise(0.0)
@@ -87,8 +168,31 @@ def scene_evidence(turns: DataFrame, scene: str, order: str, branch: str, speake
     speaks = lines.join(entities, F.lower(speaker) == F.lower(alias)).select(scene, entity, F.lit(4).alias("score"), F.lit("speaks").alias("reason"))
     # only lines of the ego are searched for names
     ego_lines = lines.where(F.col(speaker) == ego).select(scene, order, text).withColumn("_line", F.concat_ws(":", scene, order))
+    # by the pipeline's alias rule, so names inside Chinese sentences count
     named = alias_matches(ego_lines, "_line", text, entities, entity, alias).select("_line", entity).distinct()
     names = named.join(ego_lines.select("_line", scene), "_line").select(scene, entity, F.lit(20).alias("score"), F.lit("named").alias("reason"))
     met = lines.where("_same").where((F.col(speaker) == ego) != (F.col("_next") == ego)).select(scene, F.when(F.col(speaker) == ego, F.col("_next")).otherwise(F.col(speaker)).alias("_other"))
     meets = met.join(entities, F.lower("_other") == F.lower(alias)).select(scene, entity, F.lit(12).alias("score"), F.lit("meets").alias("reason"))
     return speaks.union(names).union(meets).groupBy(scene, entity).agg(F.sum("score").alias("score"), F.array_sort(F.collect_set("reason")).alias("reasons"))
+
+
+def entity_stats(matches: DataFrame, entity: str, scene: str, line: str, adjacent: DataFrame) -> DataFrame:
+    """For each entity: scenes and lines that name it, mentions, and changes of speaker between it and the ego (adjacent: entity)."""
+    near = adjacent.groupBy(entity).agg(F.count("*").alias("n_adjacent"))
+    own = matches.groupBy(entity).agg(F.count_distinct(scene).alias("n_scenes"), F.count_distinct(line).alias("n_lines"), F.sum("n").alias("n_mentions"))
+    return own.join(near, entity, "full_outer").select(entity, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_scenes", "n_lines", "n_mentions", "n_adjacent")))
+
+
+def voice_evidence(voices: DataFrame, voice: str, parts: dict[str, tuple[str, str]], entities: DataFrame, entity: str, special: Column | None = None) -> DataFrame:
+    """(voice, entity, reasons): categorised lines that name an entity, with the reasons in the order of `parts`.
+
+    parts: reason -> (text column of voices, alias column of entities, one alias a row or null); special: an (entity, category) rule over
+    the columns of voices that gives the entity concerned, or null; its reason comes last. Texts without any are left out."""
+    found, order = None, {}
+    for i, (reason, (text, alias)) in enumerate(parts.items()):
+        own = alias_matches(voices.where(F.col(text).isNotNull()), voice, text, entities.where(F.col(alias).isNotNull()).select(entity, alias).distinct(), entity, alias)
+        rows = own.select(voice, entity, F.struct(F.lit(i).alias("i"), F.lit(reason).alias("reason")).alias("r"))
+        found = rows if found is None else found.union(rows)
+    if special is not None:
+        found = found.union(voices.select(voice, special.alias(entity), F.struct(F.lit(len(parts)).alias("i"), F.lit("category_rule").alias("reason")).alias("r")).where(F.col(entity).isNotNull()))
+    return found.groupBy(voice, entity).agg(F.transform(F.array_sort(F.collect_set("r")), lambda r: r["reason"]).alias("reasons"))

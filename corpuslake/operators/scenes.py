@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslake.functions.text import BLANK, clean_markup
 from corpuslake.operators.quality import all_reasons
 
+#: Names of the flags (fixed values).
 FLAGS = ("joint_speaker", "contains_markup", "contains_hidden_marker", "text_test_marker", "metadata_test_marker", "discarded_marker", "empty_text")
 
 
@@ -22,6 +25,26 @@ def line_flags(speaker: Column, text: Column, target: Column, metadata: Column,
     return F.struct(*(F.coalesce(values[f], F.lit(False)).alias(f) for f in FLAGS))
 
 
+def scene_flags(objective: Column, turns: Column, metadata: Column, hidden: str = "$hidden", test: str = "(test)") -> Column:
+    """A struct of a whole scene's flags: hidden (its objective, a string around it or any turn says so) and test, likewise."""
+    said = F.concat(F.array(F.coalesce(objective, F.lit(""))), F.coalesce(metadata, F.array().cast("array<string>")), F.transform(turns, lambda t: F.coalesce(t["text"], F.lit(""))))
+    marked = lambda mark: F.exists(said, lambda x: F.contains(F.lower(F.coalesce(x, F.lit(""))), F.lit(mark)))
+    return F.struct(marked(hidden).alias("hidden"), marked(test).alias("test"))
+
+
+def compact_side(fields: dict[str, Column], flags: Column | None = None) -> Column:
+    """One side of a parallel pair: its fields by their short names and the names of the flags that are set; null where the side has no id."""
+    own = [c.alias(name) for name, c in fields.items()]
+    if flags is not None:
+        own.append(F.array_compact(F.array(*(F.when(flags[f], F.lit(f)) for f in FLAGS))).alias("flags"))
+    return F.when(next(iter(fields.values())).isNotNull(), F.struct(*own))
+
+
+def without(rows: DataFrame, *fields: str) -> DataFrame:
+    """Rows as they are compared: without the fields that may differ."""
+    return rows.drop(*fields)
+
+
 def usable_objective(objective: Column, markers: tuple[str, ...] = ("$hidden", "(test)", "discarded")) -> Column:
     out = F.lit(True)
     for m in markers:
@@ -58,19 +81,28 @@ def source_strings(rows: DataFrame, key: str, completion: str = "text", context:
     return rows.select(key, F.explode(items).alias("x")).select(key, "x.*")
 
 
-def categorise(title: Column, rules: list[tuple[str, str, str, bool]]) -> Column:
-    """(group, category, affinity) by the first rule whose prefix the title has: rules are prefix, group, category, affinity."""
-    out = F.struct(F.lit("profile").alias("voice_group"), F.lit("other").alias("voice_category"), F.lit(False).alias("affinity"))
-    for prefix, group, category, affinity in reversed(rules):
-        out = F.when(F.startswith(title, F.lit(prefix)), F.struct(F.lit(group).alias("voice_group"), F.lit(category).alias("voice_category"), F.lit(affinity).alias("affinity"))).otherwise(out)
+Rule = tuple[str, tuple[str, ...], str]
+
+
+def categorise(title: Column, combat: dict[str, str], rules: list[Rule], neutral: tuple[str, ...], other: str = "other_profile") -> Column:
+    """(group, category, affinity) of a line's title. combat: prefix -> category of that group, before all others, never affine. rules, in
+    order: ("prefix", (...), category) or ("set", (...), category) for the whole title; the first that holds counts, else `other`.
+    A profile line is affine unless its category is neutral."""
+    found = F.lit(other)
+    for kind, values, category in reversed(rules):
+        test = title.isin(*values) if kind == "set" else F.exists(F.array(*map(F.lit, values)), lambda v: F.startswith(title, v))
+        found = F.when(test, F.lit(category)).otherwise(found)
+    out = F.struct(F.lit("profile").alias("voice_group"), found.alias("voice_category"), (~found.isin(*neutral)).alias("affinity"))
+    for prefix, category in reversed(list(combat.items())):
+        out = F.when(F.startswith(title, F.lit(prefix)), F.struct(F.lit("combat").alias("voice_group"), F.lit(category).alias("voice_category"), F.lit(False).alias("affinity"))).otherwise(out)
     return out
 
 
-def voice_rows(blocks: DataFrame, parameters: str, index: str, prefix: str, language: str, rules: list[tuple[str, str, str, bool]], license: str) -> DataFrame:
+def voice_rows(blocks: DataFrame, parameters: str, index: str, prefix: str, language: str, category: Callable[[Column], Column], license: str) -> DataFrame:
     """Uniform rows from template parameters (title, text, file): ids by document order, cleaned text, category."""
     p = F.col(parameters)
     title = F.coalesce(p["title"], F.lit(""))
-    return blocks.select("*", F.concat(F.lit(f"{prefix}_"), F.lpad((F.col(index) + 1).cast("string"), 3, "0")).alias("dialogue_id"), F.lit(language).alias("language"), title.alias("voice_title"), p["text"].alias("raw_text"), clean_markup(p["text"]).alias("text"), F.coalesce(p["file"], F.lit("")).alias("voice_file"), categorise(title, rules).alias("c"), F.lit(license).alias("source_license")).select("*", "c.*").drop("c", parameters)
+    return blocks.select("*", F.concat(F.lit(f"{prefix}_"), F.lpad((F.col(index) + 1).cast("string"), 3, "0")).alias("dialogue_id"), F.lit(language).alias("language"), title.alias("voice_title"), p["text"].alias("raw_text"), clean_markup(p["text"]).alias("text"), F.coalesce(p["file"], F.lit("")).alias("voice_file"), category(title).alias("c"), F.lit(license).alias("source_license")).select("*", "c.*").drop("c", parameters)
 
 
 def search_text(title: Column, objective: Column, turns: Column) -> Column:

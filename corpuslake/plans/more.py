@@ -94,8 +94,8 @@ def answer_cards(spark, sf_dir):
     t = table(spark, sf_dir, "conversations").withColumn("prev", F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))).where("role = 'assistant'")
     t = t.withColumn("answer", F.concat_ws(":", "conv_id", "turn"))
     names = spark.createDataFrame([(x, x) for x in ("the", "der", "les", "por", "and")], "card string, alias string")
-    named = retrieval.alias_matches(t, "answer", "text", names, "card", "alias").select("answer", "card")
-    touched = retrieval.alias_matches(t.where("prev is not null"), "answer", "prev", names, "card", "alias").select("answer", "card")
+    named = retrieval.word_matches(t, "answer", "text", names, "card", "alias").select("answer", "card")
+    touched = retrieval.word_matches(t.where("prev is not null"), "answer", "prev", names, "card", "alias").select("answer", "card")
     both = named.union(touched).distinct().where("card <> 'and'").groupBy("answer").agg(F.array_join(F.array_sort(F.collect_list("card")), ",").alias("cards"))
     return t.select("conv_id", "turn", "answer").join(both, "answer").select("conv_id", "turn", "cards")
 

@@ -42,7 +42,7 @@ s AS (SELECT item_id, doc_id, base + coalesce(extra, 0) AS score FROM base LEFT
 
 def scores(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    found = retrieval.alias_matches(docs, "doc_id", "text", _terms(spark, sf_dir), "item_id", "term")
+    found = retrieval.word_matches(docs, "doc_id", "text", _terms(spark, sf_dir), "item_id", "term")
     exact = found.select("item_id", "doc_id", retrieval.term_score(F.length("term"), F.col("n"), F.lit(False)).alias("term_score"))
     items = table(spark, sf_dir, "benchmark").select("item_id", long_words().alias("terms"))
     return retrieval.lexical_scores(items, "item_id", docs.select("doc_id", long_words().alias("terms")), "doc_id", "terms", exact)
@@ -75,7 +75,7 @@ def gazetteer(spark, sf_dir):
 
 
 def matches(spark, sf_dir):
-    return retrieval.alias_matches(table(spark, sf_dir, "documents"), "doc_id", "text", gazetteer(spark, sf_dir), "entity", "alias")
+    return retrieval.word_matches(table(spark, sf_dir, "documents"), "doc_id", "text", gazetteer(spark, sf_dir), "entity", "alias")
 
 
 @Q(f"WITH {MATCHES} SELECT doc_id, entity, alias, n FROM m")

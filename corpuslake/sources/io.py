@@ -91,43 +91,46 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def templates(pages: DataFrame, text: str, name: str) -> DataFrame:
-    """Blocks {{name ...}} of each page with nested blocks inside, in order; an unclosed one is an error. One page is one row."""
+    """Blocks {{name ...}} of each page with nested blocks inside, in order; the name is a prefix, as in {{name/row|...}}. A block that is
+    not closed is an error. One page is one row."""
 
     @F.udtf(returnType="block string, block_index int")
     class Blocks:
         def eval(self, body: str):
             import re
 
-            opened, n = [], 0
+            opened, first, n = 0, -1, 0
             for m in re.finditer(r"\{\{|\}\}", body or ""):
                 if m[0] == "{{":
-                    opened.append(m.start())
-                elif opened:
-                    start = opened.pop()
-                    if re.match(r"\{\{\s*" + re.escape(name) + r"\s*[|}]", body[start:]) and not any(re.match(r"\{\{\s*" + re.escape(name) + r"\s*[|}]", body[o:]) for o in opened):
-                        yield body[start : m.end()], n
-                        n += 1
-            for start in opened:
-                if re.match(r"\{\{\s*" + re.escape(name) + r"\s*(\||$|\n)", body[start:]):
-                    raise ValueError(f"template {name} at {start} is not closed")
+                    if first < 0 and body.startswith(name, m.end()):
+                        first, opened = m.start(), 0
+                    opened += 1
+                elif first >= 0:
+                    opened -= 1
+                    if not opened:
+                        yield body[first : m.end()], n
+                        first, n = -1, n + 1
+            if first >= 0:
+                raise ValueError(f"template {name} at {first} is not closed")
 
     return pages.lateralJoin(Blocks(F.col(text).outer()))
 
 
 def template_parameters(block: Column) -> Column:
-    """key -> value of the lines |key=value; a value goes on to the next such line."""
-    body = F.regexp_replace(block, r"\}\}\s*$", "")
-    pairs = F.split(body, r"(?m)^\s*\|")
-    known = F.filter(F.slice(pairs, 2, F.greatest(F.size(pairs) - 1, F.lit(0))), lambda p: F.contains(p, F.lit("=")))
-    keyed = F.transform(known, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("key"), F.regexp_replace(p, r"(?s)^[^=]*=\s*|\s+$", "").alias("value")))
+    """key -> value of the lines |key=value; a value goes on to the next such line, other lines that begin with a bar included. Of
+    repeated keys the last counts; the block's own closing braces belong to no value."""
+    body = F.regexp_replace(block, r"\}\}$", "")
+    mark = "\x00"
+    cut = F.slice(F.split(F.regexp_replace(body, r"(?dm)^\|(?=[^=\n]+=)", mark), mark), 2, 1 << 30)
+    keyed = F.transform(cut, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("key"), F.regexp_replace(p, r"(?s)^[^=]*=\s*|\s+$", "").alias("value")))
     last = F.filter(keyed, lambda x, i: ~F.exists(F.slice(keyed, i + 2, F.size(keyed)), lambda y: y["key"] == x["key"]))
     return F.map_from_entries(last)
 
 
-def sessions(spark: SparkSession, path: str, schema: T.StructType, most: int = 20) -> DataFrame:
-    """Stored sessions of version 1 with messages, newest first (then the later file name); unreadable files are skipped."""
+def sessions(spark: SparkSession, path: str, schema: T.StructType, most: int = 20, tie: str = "session_file") -> DataFrame:
+    """Stored sessions of version 1 with messages, newest first (then the later file name, or another field); unreadable files are skipped."""
     rows = spark.read.option("multiLine", True).option("mode", "DROPMALFORMED").schema(schema).json(path).select("*", F.col("_metadata.file_name").alias("session_file"))
-    return rows.where("version = 1 and messages is not null").orderBy(F.desc("updated_at_ms"), F.desc("session_file")).limit(most)
+    return rows.where("version = 1 and messages is not null").orderBy(F.desc("updated_at_ms"), F.desc(tie)).limit(most)
 
 
 def loadable_cards(cards: DataFrame, ident: str, injection: str, aliases: str, *more: str) -> DataFrame:

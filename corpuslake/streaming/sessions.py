@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from corpuslake.operators.activation import active_sets as last_touched
+from corpuslake.operators.retrieval import alias_stream
 from corpuslake.operators.tables import shared_folder
 
 
@@ -63,6 +65,109 @@ def compactions(turns: DataFrame, capacity: int, threshold: float = 0.8) -> Data
     return turns.groupBy("user_id").applyInPandasWithState(partial(_compaction, limit=threshold * capacity), "user_id long, event_id long, n long, due boolean, compactions long", "used long, done long, n long", "append", GroupStateTimeout.NoTimeout)
 
 
+#: Sizes of the kinds of active sets; None never evicts (defaults, a parameter).
+SIZES = {"character": None, "relationship": 4, "world": 6}
+
+
+def processed(matched: list[tuple[str, str, str]]) -> list[tuple[str, str]]:
+    """(kind, card) that a turn touches, oldest first, from its (kind, card, alias) matches.
+
+    Of each card the longest alias counts (bytes, then the smaller one). A world card goes where its alias lies inside a longer one of
+    another world card; world cards are gone through from the longest alias on, the others in order of id."""
+    best: dict[tuple[str, str], str] = {}
+    for kind, card, alias in matched:
+        old = best.get((kind, card))
+        if old is None or (-len(alias.encode()), alias) < (-len(old.encode()), old):
+            best[kind, card] = alias
+    world = {c: a for (k, c), a in best.items() if k == "world"}
+    shadowed = {c for c, a in world.items() if any(o != c and a in b and len(b.encode()) > len(a.encode()) for o, b in world.items())}
+    rest = sorted((k, c) for k, c in best if k != "world")
+    return rest + [("world", c) for c in sorted(world, key=lambda c: (-len(world[c].encode()), c)) if c not in shadowed]
+
+
+def _activate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, sizes: dict[str, int | None]) -> Iterator[pd.DataFrame]:
+    """State is each active card with the time, event and place of its newest touch."""
+    held = {(k, c): (int(t), int(e), int(p)) for k, c, t, e, p in zip(*state.get, strict=True)} if state.exists else {}
+    turns: dict[tuple[int, int], list] = {}
+    for rows in batches:
+        for ts, event, kind, card, alias in zip(rows["ts"], rows["event_id"], rows["kind"], rows["card"], rows["alias"], strict=True):
+            met = turns.setdefault((int(pd.Timestamp(ts).value), int(event)), [])
+            if isinstance(card, str):
+                met.append((kind, card, alias))
+    out = []
+    for (ts, event), met in sorted(turns.items()):
+        for place, card in enumerate(processed(met)):
+            held[card] = max((ts, event, place), held.get(card, (ts, event, place)))
+        for kind, size in sizes.items():
+            own = sorted((c for c in held if c[0] == kind), key=held.get, reverse=True)
+            for c in own[size:] if size is not None else ():
+                del held[c]
+        shown = {kind: [c for _, c in sorted((x for x in held if x[0] == kind), key=held.get, reverse=True)] for kind in sizes}
+        out.append((key[0], event, len(met), ";".join(f"{k}={','.join(v)}" for k, v in shown.items())))
+    flat = [(k, c, *at) for (k, c), at in held.items()]
+    state.update(tuple(list(x) for x in zip(*flat, strict=True)) if flat else ([], [], [], [], []))
+    yield pd.DataFrame(out, columns=["user_id", "event_id", "n_matches", "active"])
+
+
+def activations(turns: DataFrame, aliases: DataFrame, sizes: dict[str, int | None] | None = None) -> DataFrame:
+    """A stream of turns (user_id, event_id, ts, text) to the active sets after each: user_id, event_id, n_matches and active (kind=newest,...;...).
+
+    aliases: kind, card and alias of every card. A turn's cards are found by the runtime rule, shadowed aliases go, and each kind's
+    set keeps its most recently touched cards. State is the active cards; a micro-batch's matches of one conversation are held at once."""
+    ids = aliases.withColumn("owner", F.struct("kind", "card"))
+    met = alias_stream(turns, "text", ids.select("owner", "alias"), "owner", "alias").select("user_id", "event_id", "ts", "owner.kind", "owner.card", "alias")
+    return met.groupBy("user_id").applyInPandasWithState(
+        partial(_activate, sizes=sizes or SIZES), "user_id long, event_id long, n_matches long, active string", "kinds array<string>, cards array<string>, times array<long>, events array<long>, places array<long>", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def kept_messages(roles: list[str], keep: int = 4) -> int:
+    """How many of the newest messages stay: `keep`, one more if the last is the user's, and one more if the first that stays answers a user's."""
+    n = min(len(roles) - 1, keep + (roles[-1] == "user"))
+    return n + (0 < n < len(roles) and roles[-n] == "assistant" and roles[-n - 1] == "user")
+
+
+def _split(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, limit: float, keep: int, least: int) -> Iterator[pd.DataFrame]:
+    """State is the size and number of messages since the last compaction, and the roles and sizes of the newest of them."""
+    used, n, done, roles, sizes = state.get if state.exists else (0, 0, 0, [], [])
+    roles, sizes, out = list(roles), [int(x) for x in sizes], []
+    for event, role, size in pd.concat(list(batches)).sort_values(["ts", "event_id"])[["event_id", "role", "size"]].itertuples(index=False):
+        used, n = used + int(size), n + 1
+        roles, sizes = [*roles, role][-keep - 3 :], [*sizes, int(size)][-keep - 3 :]
+        older = 0
+        if used >= limit and n >= least:
+            stay = kept_messages(roles, keep)
+            older = n - stay
+            if older > 0:
+                roles, sizes, n, done = roles[-stay:] if stay else [], sizes[-stay:] if stay else [], stay, done + 1
+                used = sum(sizes)
+        out.append((key[0], int(event), older, n, done))
+    state.update((used, n, done, roles, sizes))
+    yield pd.DataFrame(out, columns=["user_id", "event_id", "compacted", "kept", "compactions"])
+
+
+def compaction_splits(turns: DataFrame, capacity: int, threshold: float = 0.8, keep: int = 4, least: int = 3) -> DataFrame:
+    """A stream of turns (user_id, event_id, ts, role, size) to the split that each one brings about: how many of the oldest messages are to
+    be summarised (0: none), how many messages are held after that, and how many compactions there were.
+
+    Due when the messages held reach threshold times capacity; those that stay count towards the next one. State is a few messages a conversation."""
+    if not 0.5 <= threshold <= 0.95:
+        raise ValueError("threshold must lie between 0.5 and 0.95")
+    how = partial(_split, limit=threshold * capacity, keep=keep, least=least)
+    return turns.groupBy("user_id").applyInPandasWithState(how, "user_id long, event_id long, compacted long, kept long, compactions long", "used long, n long, done long, roles array<string>, sizes array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def restored_sets(saved: DataFrame, session: str, active: str, touches: DataFrame, order: list[str], card: str, size: int) -> DataFrame:
+    """(session, active): the saved list (oldest first) cut to its newest `size`, or where it is absent the set that a replay of the
+    stored conversation leads to. Only conversations without a saved list are replayed."""
+    rows = saved.select(session, active)
+    there = rows.where(F.col(active).isNotNull()).select(session, F.reverse(F.slice(active, F.greatest(F.size(active) - size + 1, F.lit(1)), size)).alias(active))
+    replay = last_touched(touches.join(rows.where(F.col(active).isNull()).select(session), session, "left_semi"), session, order, card, size)
+    lists = replay.groupBy(session).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(card).alias("card")))), lambda x: x["card"]).alias("_set"))
+    absent = rows.where(F.col(active).isNull()).select(session).join(lists, session, "left").select(session, F.coalesce("_set", F.array().cast("array<string>")).alias(active))
+    return there.union(absent)
+
+
 def _folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
