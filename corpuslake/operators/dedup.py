@@ -12,10 +12,12 @@ def canonical(rows: DataFrame, key: str, order: list[Column], source: str) -> Da
     A null or empty key never groups. An aggregate with partial sums, so a key with a third of all rows is no single task's work.
     Rows must differ in the order, else any of the tied ones is chosen."""
     own = [c for c in rows.columns if c != key]
+    # a row without a key is a group of its own, so one aggregate reads the rows once
     missing = F.coalesce(F.col(key).cast("string") == "", F.lit(True))
-    alone = rows.where(missing).select(key, *own, F.array(source).alias("duplicate_sources"), F.lit(1).cast("long").alias("source_occurrence_count"))
-    picked = rows.where(~missing).groupBy(key).agg(F.min_by(F.struct(*own), F.struct(*order)).alias("r"), F.array_sort(F.collect_set(source)).alias("duplicate_sources"), F.count("*").alias("source_occurrence_count"))
-    return picked.select(key, *(F.col(f"r.{c}").alias(c) for c in own), "duplicate_sources", "source_occurrence_count").union(alone)
+    alone = F.when(missing, F.monotonically_increasing_id())
+    keyed = rows.withColumn("_alone", alone)
+    picked = keyed.groupBy(key, "_alone").agg(F.min_by(F.struct(*own), F.struct(*order)).alias("r"), F.array_sort(F.collect_set(source)).alias("duplicate_sources"), F.count("*").alias("source_occurrence_count"))
+    return picked.select(key, *(F.col(f"r.{c}").alias(c) for c in own), "duplicate_sources", "source_occurrence_count")
 
 
 def conflicts(rows: DataFrame, key: str, *fields: str) -> DataFrame:

@@ -37,6 +37,6 @@ def leaks(rows: DataFrame, key: str, split: str = "split") -> DataFrame:
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count_distinct(split).alias("splits"), F.count("*").alias("n_rows")).where("splits > 1")
 
 
-def manifest(rows: DataFrame, split: str, group: str, text: str) -> DataFrame:
+def manifest(rows: DataFrame, split: str, group: str, chars: Column) -> DataFrame:
     """Rows, groups and characters of each split."""
-    return rows.groupBy(split).agg(F.count("*").alias("n_rows"), F.count_distinct(group).alias("n_groups"), F.sum(F.length(text)).alias("n_chars"))
+    return rows.groupBy(split).agg(F.count("*").alias("n_rows"), F.count_distinct(group).alias("n_groups"), F.sum(chars).alias("n_chars"))

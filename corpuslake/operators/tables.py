@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -39,6 +40,16 @@ def discard(*written: DataFrame | None) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with `name`: their place (from 1) in a global order. Range partitions are numbered inside and get one offset each, so no
+    task sorts all rows and the driver sees none; rows that are equal in the order may stand either way round."""
+    part = "_part"
+    ranged = settled(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranged")
+    before = ranged.groupBy(part).count().withColumn("_before", F.sum("count").over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1))).select(part, F.coalesce("_before", F.lit(0)).alias("_before"))
+    own = F.row_number().over(W.partitionBy(part).orderBy(*order))
+    return ranged.join(before, part).withColumn(name, (F.col("_before") + own).cast("long")).drop(part, "_before")
+
+
 def min_labels(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, component) of all nodes on the left of a two-sided edge table; the component is the smallest left node.
 

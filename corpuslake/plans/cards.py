@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.functions import text as T
 from corpuslake.operators import cards, checks, quality, retrieval
+from corpuslake.operators.tables import numbered
 from corpuslake.plans.registry import Registry, table
 from corpuslake.streaming import sessions
 
@@ -136,15 +137,11 @@ def canonical_hash(spark, sf_dir):
 IDS = "i AS (SELECT DISTINCT CASE WHEN l_linenumber = 1 THEN l_suppkey::VARCHAR ELSE 'x' || l_suppkey END AS id FROM lineitem)"
 
 
-@Q(f"WITH {IDS} SELECT id, row_number() OVER (ORDER BY CASE WHEN regexp_matches(id, '^[0-9]+$') THEN id::BIGINT ELSE 1000000000000 END, id) AS place FROM i ORDER BY place LIMIT 50")
+@Q(f"WITH {IDS} SELECT id, row_number() OVER (ORDER BY CASE WHEN regexp_matches(id, '^[0-9]+$') THEN id::BIGINT ELSE 1000000000000 END, id) AS place FROM i")
 def numeric_id_order(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     ids = table(spark, sf_dir, "lineitem").select(F.when(F.col("l_linenumber") == 1, F.col("l_suppkey").cast("string")).otherwise(F.concat(F.lit("x"), "l_suppkey")).alias("id")).distinct()
     order = [F.when(F.col("id").rlike("^[0-9]+$"), F.col("id").cast("decimal(38,0)")).otherwise(F.lit("1" + "0" * 30).cast("decimal(38,0)")), F.col("id")]
-    # a top-k report: the order is global, so only its first 50 rows are numbered
-    first = ids.orderBy(*order).limit(50)
-    return first.withColumn("place", F.row_number().over(W.orderBy(*order)).cast("long"))
+    return numbered(ids, order, "place")
 
 
 @Q("SELECT l_suppkey, l_orderkey, l_linenumber, rank FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber)::INT AS rank FROM lineitem) WHERE rank <= 8")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.functions import text as T
 from corpuslake.operators import align, dedup, quality, split
+from corpuslake.operators.tables import settled
 from corpuslake.plans.registry import Registry, table
 
 Q = Registry()
@@ -95,9 +96,10 @@ REASONS = "r AS (SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN {test} TH
 
 
 def _reasons(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    n = T.semantic_length(F.col("text"))
-    rules = [("toxic", F.col("toxic") == 1), ("low_quality", F.col("quality") == 0), ("too_short", n < 700), ("too_long", n > 6000), ("fragment_ending", T.fragment_ending(F.col("text")))]
+    # what the rules need of a text is measured once, and only that meets the labels
+    measured = table(spark, sf_dir, "documents").select("doc_id", T.semantic_length(F.col("text")).alias("n"), T.fragment_ending(F.col("text")).alias("fragment"))
+    rows, n = measured.join(table(spark, sf_dir, "labels"), "doc_id", "left"), F.col("n")
+    rules = [("toxic", F.col("toxic") == 1), ("low_quality", F.col("quality") == 0), ("too_short", n < 700), ("too_long", n > 6000), ("fragment_ending", F.col("fragment"))]
     return rows.select("doc_id", quality.all_reasons(rules).alias("reasons"), quality.first_reason(rules).alias("reason"))
 
 
@@ -162,8 +164,9 @@ def _split_sql(key: str) -> str:
 
 
 def grouped(spark, sf_dir):
+    """doc_id, length, group and key of each text, written once: the loop and the joins after it never hash a text again."""
     rows = table(spark, sf_dir, "documents")
-    return rows.select("doc_id", "text", split.group_key(F.col("source"), F.floor(F.col("doc_id") / 5)).alias("gid"), F.when(T.substantive(F.col("text")), T.text_key(F.col("text"))).alias("text_key"))
+    return settled(rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), split.group_key(F.col("source"), F.floor(F.col("doc_id") / 5)).alias("gid"), F.when(T.substantive(F.col("text")), T.text_key(F.col("text"))).alias("text_key")), "grouped")
 
 
 def _leakfree(spark, sf_dir):
@@ -193,4 +196,4 @@ def naive_split_leakage(spark, sf_dir):
 
 @Q(f"WITH RECURSIVE {GROUPED} SELECT {_split_sql('component')} AS split, count(*) AS n_rows, count(DISTINCT gid) AS n_groups, sum(length(text))::BIGINT AS n_chars FROM g JOIN comp USING (gid) GROUP BY 1")
 def split_manifest(spark, sf_dir):
-    return split.manifest(_leakfree(spark, sf_dir), "split", "gid", "text")
+    return split.manifest(_leakfree(spark, sf_dir), "split", "gid", F.col("n_chars"))

@@ -10,13 +10,13 @@ from corpuslake.plans.corpus import SEMANTIC
 from corpuslake.plans.registry import Registry, table
 
 Q = Registry()
-MARKED = "'##' || substr(text, 1, 60) || '{NICKNAME} {M#he}{F#she}{RUBY#[D]x} {F#it}  ' || chr(10) || chr(10) || chr(10) || chr(10) || '#end'"
+MARKED = "'##' || text || '{NICKNAME} {M#he}{F#she}{RUBY#[D]x} {F#it}  ' || chr(10) || chr(10) || chr(10) || chr(10) || '#end'"
 
 
 @Q(f"""SELECT item_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace({MARKED}, '(?m)^#+', '', 'g'), '{{NICKNAME}}', 'Traveler'),
 '\\{{M#([^{{}}]*)\\}}\\{{F#([^{{}}]*)\\}}', '\\2', 'g'), '\\{{RUBY#\\[[DS]\\][^{{}}]*\\}}', '', 'g'), '\\{{[MF]#([^{{}}]*)\\}}', '\\1', 'g'), '[ \\t]+\\n', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') AS text FROM benchmark""")
 def markup_resolved(spark, sf_dir):
-    marked = F.concat(F.lit("##"), F.substring("text", 1, 60), F.lit("{NICKNAME} {M#he}{F#she}{RUBY#[D]x} {F#it}  \n\n\n\n#end"))
+    marked = F.concat(F.lit("##"), "text", F.lit("{NICKNAME} {M#he}{F#she}{RUBY#[D]x} {F#it}  \n\n\n\n#end"))
     return table(spark, sf_dir, "benchmark").select("item_id", T.resolve_markup(marked, "Traveler").alias("text"))
 
 

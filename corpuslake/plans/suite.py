@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslake.plans import cards, corpus, dialogue, more, retrieval
+from corpuslake.plans import cards, corpus, dialogue, more, retrieval, rules, scenes, sources
 
-QUERIES = corpus.Q.queries | dialogue.Q.queries | retrieval.Q.queries | cards.Q.queries | more.Q.queries
-ORACLES = corpus.Q.oracles | dialogue.Q.oracles | retrieval.Q.oracles | cards.Q.oracles | more.Q.oracles
+_MODULES = (corpus, dialogue, retrieval, cards, more, sources, scenes, rules)
+QUERIES = {name: f for m in _MODULES for name, f in m.Q.queries.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.Q.oracles.items()}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslake.functions import text as X
-from corpuslake.operators import checks, dialogue, reports, scenes
+from corpuslake.operators import checks, dedup, dialogue, reports, retrieval, scenes, sft
+from corpuslake.operators.tables import numbered
+from corpuslake.plans import suite
 from corpuslake.sources import io
+from corpuslake.streaming import sessions
 
 
 def tree(rng, depth=0):
@@ -37,13 +40,15 @@ def test_context_is_a_sequential_walk(spark):
         items = tree(rng)
         docs.append((i, json.dumps({"x": [{"talkId": i + 1, "dialogues": items}]})))
         walk(items, [], 3, want.setdefault(i, []))
-    turns, bad = dialogue.flatten_documents(spark.createDataFrame([*docs, (99, "{bad")], "doc int, json string"))
-    assert [r.doc for r in bad.collect()] == [99]
-    got = dialogue.preceding_context(turns, ["doc"], F.contains("speaker", F.lit("Ego")), 3).orderBy("doc", "pos").collect()
+    rows = spark.createDataFrame([*docs, (99, "{bad")], "doc int, json string")
+    assert [r.doc for r in dialogue.flatten_documents(rows)[1].collect()] == [99]
+    got = dialogue.preceding_context(rows, F.contains("speaker", F.lit("Ego")), 3).orderBy("doc", "pos").collect()
     for i, w in want.items():
         assert [(r.text, [c.text for c in r.context_before]) for r in got if r.doc == i] == w
     with pytest.raises(ValueError):
-        dialogue.preceding_context(turns, ["doc"], F.lit(True), 0)
+        dialogue.preceding_context(rows, F.lit(True), 0)
+    plain = dialogue.flatten_documents(rows)[0].collect()
+    assert all(r.context_before == [] for r in plain) and len(plain) == dialogue.flatten_documents(rows, context=2)[0].count()
 
 
 def test_scene_containers_and_ids(spark):
@@ -85,8 +90,14 @@ def test_templates(spark):
     page = "a {{voice|x\n|title=Hello {{b|c}}\n|text=One<br>two &amp; three\nmore\n|title=Last}} z {{voice\n|title=B\n|text=}} {{other|title=no}}"
     df = spark.createDataFrame([(1, page)], "page int, wikitext string")
     blocks = io.templates(df, "wikitext", "voice").withColumn("p", io.template_parameters(F.col("block")))
-    rows = scenes.voice_rows(blocks, "p", "block_index", "v", "en", [("La", "combat", "last", True)], "cc").orderBy("dialogue_id").collect()
+    category = lambda t: scenes.categorise(t, {"La": "last"}, [("set", ("Rain",), "weather"), ("prefix", ("About",), "about")], ("weather",))
+    rows = scenes.voice_rows(blocks, "p", "block_index", "v", "en", category, "cc").orderBy("dialogue_id").collect()
     assert [(r.dialogue_id, r.voice_title, r.text, r.voice_group) for r in rows] == [("v_001", "Last", "One\ntwo & three\nmore", "combat"), ("v_002", "B", "", "profile")]
+    titles = spark.createDataFrame([("Rain",), ("Rainy",), ("About us",), ("Last rain",)], "t string").select(category(F.col("t")).alias("c")).collect()
+    assert [tuple(r.c) for r in titles] == [("profile", "weather", False), ("profile", "other_profile", True), ("profile", "about", True), ("combat", "last", False)]
+    # the name is a prefix, and a bar without a key stays in the value
+    df = spark.createDataFrame([(1, "{{voice/row\n|a=1\n| not a key\n|b=2}}")], "page int, wikitext string")
+    assert io.templates(df, "wikitext", "voice").select(io.template_parameters(F.col("block")).alias("p")).first().p == {"a": "1\n| not a key", "b": "2"}
     with pytest.raises(Exception, match="not closed"):
         io.templates(spark.createDataFrame([(1, "{{voice|x")], "page int, wikitext string"), "wikitext", "voice").collect()
 
@@ -97,7 +108,9 @@ def test_text_functions(spark):
     assert one(X.clean_markup, "<b>a</b> &lt;x&gt;<br/>  <i> </i>\nb&amp;lt;") == "a <x>\nb&lt;"
     assert one(X.squash, " a 　b\n\tc ") == "a b c"
     assert one(X.semantic_length, "玛a1…é!") == 3
-    assert one(X.is_filler, "「嗯嗯……」") and not one(X.is_filler, "嗯 yes") and one(X.starts_with_filler, "嗯, yes")
+    fillers = lambda f: lambda t: f(t, ("嗯+", "oh"))
+    assert one(fillers(X.is_filler), "「嗯嗯……」") and not one(fillers(X.is_filler), "嗯 yes") and one(fillers(X.starts_with_filler), "嗯, yes") and not one(fillers(X.starts_with_filler), "ohm")
+    assert one(X.clean_markup, "&copy;&#233;&nbsp;&hellip; x") == "©é … x"
     assert one(lambda t: X.contains_alias(t, F.lit("Ann")), "see ann!") and not one(lambda t: X.contains_alias(t, F.lit("Ann")), "Annie") and not one(lambda t: X.contains_alias(t, F.lit("A")), "A")
     assert one(lambda t: X.contains_alias(t, F.lit("Ann"), "runtime"), "see ANN.") and not one(lambda t: X.contains_alias(t, F.lit("Ann"), "runtime"), "ann_x") and one(lambda t: X.contains_alias(t, F.lit("É"), "runtime"), "xÉx")
     assert sorted(one(X.ngrams, "水火土x水")) == sorted(["水火", "火土", "水火土"])
@@ -145,3 +158,64 @@ def test_chains_with_cycles(spark):
     rows = [("a", None, "g", "1"), ("b", "a", "g", " 2 "), ("c", "b", "g", ""), ("d", "c", "h", "4"), ("e", "x", "g", "5"), ("f", "e", "g", "6"), ("f2", "e", "g", "7"), ("p", "q", "g", "8"), ("q", "p", "g", "9")]
     got = dialogue.merged_chains(spark.createDataFrame(rows, "id string, before string, gid string, text string"), "id", "before", "gid", "text")
     assert sorted((r.head, r.merged_ids, r.text) for r in got.collect()) == [("a", ["a", "b", "c"], "1\n2"), ("d", ["d"], "4"), ("e", ["e"], "5"), ("f", ["f"], "6"), ("f2", ["f2"], "7"), ("p", ["p"], "8"), ("q", ["q"], "9")]
+
+
+def test_aliases_inside_sentences_and_between_letters(spark):
+    texts = spark.createDataFrame([(1, "我和火神阿贾克斯去了Ann家"), (2, "Annie met ann, ANN; Mary Ann."), (3, "C-3PO and ;-) hi"), (4, "ann_x éA"), (5, None)], "id int, text string")
+    names = spark.createDataFrame([("a", "阿贾克斯"), ("b", "Ann"), ("c", "火"), ("d", "Mary Ann"), ("e", "C-3PO"), ("f", ";-)"), ("g", "é")], "who string, alias string")
+    got = {(r.id, r.who, r.n) for r in retrieval.alias_matches(texts, "id", "text", names, "who", "alias").collect()}
+    assert got == {(1, "a", 1), (1, "b", 1), (2, "b", 3), (2, "d", 1), (3, "e", 1), (3, "f", 1), (4, "b", 1)}
+    got = {(r.id, r.who, r.n) for r in retrieval.alias_matches(texts, "id", "text", names, "who", "alias", "runtime").collect()}
+    assert got == {(1, "a", 1), (1, "b", 1), (1, "c", 1), (2, "b", 3), (2, "d", 1), (3, "e", 1), (3, "f", 1), (4, "g", 1)}
+
+
+def test_matched_cards_and_shadowing():
+    met = [("world", "w1", "Sea"), ("world", "w1", "Sea of Fire"), ("world", "w2", "Fire"), ("world", "w3", "Land"), ("relationship", "r2", "Fire"), ("relationship", "r1", "x"), ("character", "c", "y")]
+    assert sessions.processed(met) == [("character", "c"), ("relationship", "r1"), ("relationship", "r2"), ("world", "w1"), ("world", "w3")]
+
+
+def test_compaction_keeps_answers_with_their_questions():
+    assert [sessions.kept_messages([{"u": "user", "a": "assistant", "s": "system"}[c] for c in x]) for x in ("uauaua", "uauau", "suaua", "ua", "uuuauaua")] == [4, 5, 4, 2, 4]
+
+
+def test_splits_of_a_stream_equal_a_walk(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {(r.user_id, r.event_id): (r.compacted, r.kept, r.compactions) for r in suite.QUERIES["compaction_split_stream"](spark, sf).collect()}
+    want = {}
+    rows = spark.read.parquet(f"{sf}/events.parquet").orderBy("user_id", "ts", "event_id").collect()
+    held, done, user = [], 0, None
+    for r in rows:
+        if r.user_id != user:
+            held, done, user = [], 0, r.user_id
+        held.append(("user" if r.event_id % 2 == 0 else "assistant", len(r.props)))
+        older = 0
+        if sum(n for _, n in held) >= 80 and len(held) >= 3:
+            stay = min(len(held) - 1, 5 if held[-1][0] == "user" else 4)
+            if held[-stay][0] == "assistant" and stay < len(held) and held[-stay - 1][0] == "user":
+                stay += 1
+            older = len(held) - stay
+            if older > 0:
+                held, done = held[-stay:], done + 1
+        want[r.user_id, r.event_id] = (max(older, 0), len(held), done)
+    assert got == want
+
+
+def test_scene_without_context_is_an_error(spark):
+    words = {"scene": "", "situation": "", "previous": "", "last": "", "choice": "", "someone": "", "colon": ":", "fallback": "f", "close": "c"}
+    rows = spark.createDataFrame([("t", [])], "title string, c array<struct<speaker:string,text:string,kind:string>>")
+    assert rows.select(sft.scene_prompt(F.col("title"), F.lit(None).cast("string"), F.col("c"), words, {})).first()[0] == "t\nf\nc"
+    with pytest.raises(Exception, match="without usable context"):
+        rows.select(sft.scene_prompt(F.col("title"), F.lit(""), F.col("c"), words, {}, True)).collect()
+
+
+def test_ratios_and_global_numbers(spark):
+    with pytest.raises(ValueError):
+        checks.split_problems(spark.range(3).selectExpr("'a' split"), "split", {"a": 0.7, "b": 0.7}, 0.1)
+    rows = numbered(spark.range(500).selectExpr("id % 50 as a", "id"), [F.desc("a"), F.col("id")], "place").collect()
+    assert [r.place for r in sorted(rows, key=lambda r: (-r.a, r.id))] == list(range(1, 501))
+
+
+def test_canonical_rows_without_a_key_stay_alone(spark):
+    rows = spark.createDataFrame([("k", "s2", 5), ("k", "s1", 7), (None, "s1", 1), (None, "s1", 2), ("", "s3", 3)], "key string, source string, n int")
+    got = dedup.canonical(rows, "key", [F.col("n")], "source").collect()
+    assert sorted((str(r.key), r.n, tuple(r.duplicate_sources), r.source_occurrence_count) for r in got) == [("", 3, ("s3",), 1), ("None", 1, ("s1",), 1), ("None", 2, ("s1",), 1), ("k", 5, ("s1", "s2"), 2)]
