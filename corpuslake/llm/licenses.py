@@ -11,25 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslake.llm.common import fresh, read
+from corpuslake.llm.license_texts import TEMPLATES
 from corpuslake.llm.suffix_dedup import sliding_min
 from corpuslake.llm.textkit import LOWER, Rolling, mix, slices, tokens, utf8
 
-#: Public notices and passages of public licences (fixed values).
-TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at", "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"],
-    "MIT": ["Released under the MIT License", "Licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
-    "GPL-3.0": ["licensed under the GNU General Public License, version 3", "either version 3 of the License, or (at your option) any later version"],
-    "GPL-2.0": ["licensed under the GNU General Public License, version 2", "either version 2 of the License, or (at your option) any later version"],
-    "LGPL": ["under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
-    "MPL-2.0": ["subject to the terms of the Mozilla Public License, v. 2.0"],
-    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD License"],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0", "Creative Commons Attribution 4.0 International License"],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"],
-}
 #: Words of a shingle, share of a template's shingles that a match holds, bands (one min-hash each).
 SHINGLE, CONTAINED, BANDS = 2, 0.8, 16
+#: Lengths of the windows (in shingles) that retrieve templates: each by the longest that is no longer than itself; bands that must agree.
+WINDOWS, AGREE = (1, 2, 4, 8, 16, 32), 3
 #: What stands between words: all but letters, digits and bytes of other characters.
 GAP = np.ones(256, dtype=bool)
 GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -46,47 +35,86 @@ def shingled(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return pair, starts, ends, first
 
 
+class Templates:
+    """For each window length and band: the sorted min-hashes of all windows of the templates of that length, with template and offset."""
+
+    def __init__(self, templates: tuple[tuple[str, str], ...]) -> None:
+        self.names, self.want, self.length = [], [], []
+        windows: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for name, text in templates:
+            body = np.frombuffer(text.encode(), np.uint8)
+            own = shingled(body, np.array([0, len(body)]))[0]
+            if len(own):
+                width = max(w for w in WINDOWS if w <= len(own))
+                windows.setdefault(width, []).append((len(self.names), own))
+                self.names.append(name)
+                self.want.append(np.unique(own))
+                self.length.append(len(own))
+        #: For each width: template and offset of each window, and for each band which low bits occur, the sorted min-hashes and their windows.
+        self.bands: dict[int, tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]] = {}
+        for width, own in windows.items():
+            n = [len(x) - width + 1 for _, x in own]
+            bands = []
+            for odd in _ODD:
+                mins = np.concatenate([sliding_min(x * odd, width) for _, x in own])
+                order = np.argsort(mins, kind="stable")
+                seen = np.zeros(1 << 16, dtype=bool)
+                seen[mins & np.uint64(0xFFFF)] = True
+                bands.append((seen, mins[order], order))
+            self.bands[width] = np.repeat([i for i, _ in own], n), np.concatenate([np.arange(x) for x in n]), bands
+
+
 @lru_cache(maxsize=4)
-def prepared(templates: tuple[tuple[str, str], ...]) -> list[tuple[int, list[tuple[str, np.ndarray, np.ndarray]]]]:
-    """For each window length (in shingles) the templates of that length: name, distinct shingles and min-hashes."""
-    by: dict[int, list] = {}
-    for name, text in templates:
-        body = np.frombuffer(text.encode(), np.uint8)
-        own = shingled(body, np.array([0, len(body)]))[0]
-        if len(own):
-            by.setdefault(len(own), []).append((name, np.unique(own), (own[:, None] * _ODD).min(axis=0)))
-    return sorted(by.items())
-
-
-def matches(pair: np.ndarray, first: np.ndarray, templates: tuple[tuple[str, str], ...], share: float) -> list[tuple[int, str, int, int, float]]:
-    """(document, name, first word, end word, containment) of verified windows, overlapping ones of a name joined.
+def prepared(templates: tuple[tuple[str, str], ...]) -> Templates:
+    return Templates(templates)
 
-    A window is as long as its template and there is one at every word, so some window holds a whole copy alone; one of
-    similarity s shares no band with a probability of (1 - s)**16: under 1e-4 from 0.45, where windows of containment 0.8 lie above 0.6."""
-    out: dict[tuple[int, str], list] = {}
-    for length, own in prepared(templates):
-        n = len(pair) - length + 1
-        if n <= 0:
+
+def candidates(pair: np.ndarray, known: Templates) -> dict[int, np.ndarray]:
+    """template -> where its copies would start, by every window of the text that agrees with one of the template's in AGREE bands or more."""
+    out: dict[int, np.ndarray] = {}
+    for width, (number, offset, bands) in known.bands.items():
+        if len(pair) < width:
             continue
-        hit = [np.zeros(n, dtype=bool) for _ in own]
-        for i, odd in enumerate(_ODD):
-            least = sliding_min(pair * odd, length)
-            for h, (_, _, mins) in zip(hit, own, strict=True):
-                h |= least == mins[i]
-        for h, (name, want, _) in zip(hit, own, strict=True):
-            at = np.flatnonzero(h)
-            doc = np.searchsorted(first, at, "right") - 1
-            inside = at + length < first[doc + 1]
-            at, doc = at[inside], doc[inside]
-            if not len(at):
-                continue
+        met = []
+        for odd, (seen, mins, window) in zip(_ODD, bands, strict=True):
+            least = sliding_min(pair * odd, width)
+            at = np.flatnonzero(seen[least & np.uint64(0xFFFF)])
+            first, last = np.searchsorted(mins, least[at]), np.searchsorted(mins, least[at], "right")
+            n = last - first
+            spot = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            met.append(np.repeat(at, n) * len(number) + window[spot])
+        both, count = np.unique(np.concatenate(met), return_counts=True)
+        both = both[count >= AGREE]
+        start, t = both // len(number) - offset[both % len(number)], number[both % len(number)]
+        for x in np.unique(t).tolist():
+            out[x] = np.unique(start[t == x])
+    return out
+
+
+def matches(pair: np.ndarray, first: np.ndarray, templates: tuple[tuple[str, str], ...], share: float, block: int = 1 << 20) -> list[tuple[int, str, int, int, float]]:
+    """(document, name, first word, end word, containment) of verified windows, overlapping ones of a name joined.
+
+    Windows of text and templates overlap at every word, so a copy's windows meet their own ones whatever stands around it; fewer than
+    3 of 16 bands agree with a probability of 2e-4 at a similarity of 0.6, and 1e-5 at 0.67, the least of a single window that a match may have. A template may lie a fifth of its length beside
+    a candidate's start (where words were added or left out), so all windows of its size from there to there are verified."""
+    known, out = prepared(templates), {}
+    for t, starts in candidates(pair, known).items():
+        length, want, name = known.length[t], known.want[t], known.names[t]
+        reach = length // 5 + 1
+        every = np.unique((starts[:, None] + np.arange(-reach, reach + 1)).ravel())
+        every = every[(every >= 0) & (every + length <= len(pair))]
+        doc = np.searchsorted(first, every, "right") - 1
+        inside = every + length < first[doc + 1]
+        every, doc = every[inside], doc[inside]
+        for i in range(0, len(every), max(1, block // length)):
+            at = every[i : i + max(1, block // length)]
             window = np.sort(pair[at[:, None] + np.arange(length)], axis=1)
             new = np.ones(window.shape, dtype=bool)
             new[:, 1:] = window[:, 1:] != window[:, :-1]
-            held = (np.isin(window, want) & new).sum(axis=1) / len(want)
-            for d, a, c in zip(doc.tolist(), at.tolist(), held.tolist(), strict=True):
-                if c >= share:
-                    out.setdefault((d, name), []).append((a, a + length + 1, c))
+            place = np.minimum(np.searchsorted(want, window), len(want) - 1)
+            held = ((want[place] == window) & new).sum(axis=1) / len(want)
+            for j in np.flatnonzero(held >= share).tolist():
+                out.setdefault((int(doc[i + j]), name), []).append((int(at[j]), int(at[j]) + length + 1, float(held[j])))
     joined = []
     for (d, name), found in out.items():
         found.sort()
@@ -120,9 +148,10 @@ def find_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
     """docs (text and others) with one more column (its name is returned): licenses, an array of license, start, end (code points)
     and containment, by start.
 
-    Words are compared without case and punctuation. Overlapping windows of a template's own length retrieve the templates
-    with which they share a band; a match holds `share` of the template's distinct word pairs. Templates of one word
-    are never found. Whole texts are searched in one scan; nothing is shuffled. Null and empty texts have no matches.
+    Words are compared without case and punctuation. Overlapping windows of 1 to 32 word pairs retrieve the templates with which they share
+    a band; a match is a window of the template's own size that holds `share` of its distinct word pairs, so whole licences are found
+    among other text and with changed words. templates: name -> texts, whole licences or notices of any length. Templates of one
+    word are never found. Whole texts are searched in one scan; nothing is shuffled. Null and empty texts have no matches.
     """
     flat = tuple((name, text) for name, texts in (templates or TEMPLATES).items() for text in texts)
     name, body = fresh(docs.columns, "licenses"), fresh([*docs.columns, "licenses"], "body")
