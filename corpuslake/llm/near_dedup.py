@@ -92,14 +92,14 @@ def _edges(src: list, dst: list) -> pa.RecordBatch:
 
 
 def sketch_links(bits: np.ndarray, low: float, core: float = CORE, rows: int = 256) -> tuple[list[int], list[int], list[int]]:
-    """Links whose components are those of all pairs with an estimate of low or more, and the leaders; never more than a link a row and leader.
+    """Links whose components are those of all pairs with an estimate of low or more, fewer than there are rows, and the leaders.
 
     A row leads, and rows of estimate `core` or more follow it and leave. XOR counts obey the triangle inequality, so what is near a
     follower is further from its leader by the follower's own count at most: only rows of that ring are compared with the followers
     as well, and they stay in the pool whatever comes out."""
     most, inner = most_bits(low), most_bits(core)
     edge = most + inner
-    left, src, dst, heads = np.arange(len(bits)), [], [], []
+    left, label, src, dst, heads = np.arange(len(bits)), np.arange(len(bits)), [], [], []
     while len(left):
         lead, left = left[0], left[1:]
         heads.append(int(lead))
@@ -112,8 +112,13 @@ def sketch_links(bits: np.ndarray, low: float, core: float = CORE, rows: int = 2
             for j in range(0, len(crowd), rows):
                 met |= (np.bitwise_count(bits[left[part], None] ^ bits[None, crowd[j : j + rows]]).sum(axis=2) <= most).any(axis=1)
             near[part[met]] = True
-        src += [int(lead)] * int(near.sum())
-        dst += left[near].tolist()
+        # one link to each group that is not joined yet
+        groups, first = np.unique(label[left[near]], return_index=True)
+        new = groups != label[lead]
+        dst += left[near][first[new]].tolist()
+        src += [int(lead)] * int(new.sum())
+        if new.any():
+            label[np.isin(label, groups)] = label[lead]
         left = left[~follows]
     return src, dst, heads
 
