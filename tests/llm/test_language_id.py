@@ -30,6 +30,37 @@ def test_probabilities_sum_to_one():
         assert p.sum(axis=0) == pytest.approx([1, 1], abs=1e-3)
 
 
+def test_model_equals_kneser_ney_from_its_definition():
+    """Counts in dictionaries, one recursion; seen and unseen grams of two languages."""
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng, counted = random.Random(7), []
+    for letters in ("abcde", "cdefgh"):
+        code, _ = grams(pa.array([" ".join("".join(rng.choices(letters, k=rng.randint(1, 5))) for _ in range(60)) for _ in range(3)]))
+        counted.append(code)
+    symbols_ = {int(c) & 0xFFFF for code in counted for c in code}
+
+    def probability(levels, order, code):
+        if not order:
+            return 1 / max(2, len(symbols_))
+        level, head = levels[order], code >> 16
+        total, kinds = sum(n for g, n in level.items() if g >> 16 == head), sum(1 for g in level if g >> 16 == head)
+        low = probability(levels, order - 1, code & ((1 << 16 * (order - 1)) - 1))
+        return low if not total else max(level.get(code, 0) - 0.75, 0) / total + 0.75 * kinds / total * low
+
+    model = Model(["x", "y"], [np.unique(c, return_counts=True) for c in counted])
+    asked = [int(c) for code in counted for c in rng.sample(code.tolist(), 40)] + [sum(rng.choice(list(symbols_)) << 16 * i for i in range(4)) for _ in range(40)]
+    got = np.exp(model.lookup(np.array(asked, dtype=np.uint64)).astype(float))
+    for i, code in enumerate(counted):
+        levels = {4: Counter(int(c) for c in code)}
+        for order in (3, 2, 1):
+            levels[order] = Counter(g & ((1 << 16 * order) - 1) for g in levels[order + 1])
+        assert got[:, i] == pytest.approx([probability(levels, 4, c) for c in asked], rel=1e-4)
+
+
 def test_edge_cases(spark):
     words = {"x": "abcd", "y": "wxyz"}
     rng = random.Random(1)

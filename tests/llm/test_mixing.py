@@ -51,6 +51,39 @@ def test_targets_and_taken(spark):
     assert whole.columns[:5] == ["doc_id", "text", "source", "size", "copies"] and whole.count() == sum(r.copies for r in got)
 
 
+def test_sample_equals_plain_pareto_order_sampling(spark):
+    """Every source's documents in the order of their ranks, one by one, from the keys that the operator reports."""
+    import math
+
+    rows = [r for r in make(random.Random(3)) if r[0] is not None][:590]
+    source = {r[0]: r[2] for r in rows}
+    got = allocate(spark.createDataFrame(rows, SCHEMA)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(source[r.doc_id], []).append(r)
+    for held in by.values():
+        size, target = held[0].source_size, held[0].target
+        if not size:
+            assert all(r.taken == 0 for r in held)
+            continue
+        expected = min(2.0, target / size)
+        whole = math.floor(expected + 1e-12)
+        p, open_, want = max(0.0, expected - whole), target - whole * sum(r.size for r in held), {r.k: whole for r in held}
+
+        def rank(r, p=p):
+            u = (r.k % 2**52 + 0.5) / 2**52
+            q = u / (1 - u) * ((1 - p) / p)
+            return min(math.floor(q / (1 + q) * 2**48), 2**48 - 1)
+
+        upto = 0
+        for r in sorted((r for r in held if r.size and p > 0), key=lambda r: (rank(r), r.doc_id, r.k)):
+            if upto + r.size / 2 > open_:
+                break
+            want[r.k] += 1
+            upto += r.size
+        assert {r.k: r.copies for r in held} == want
+
+
 def test_favour_raises_inclusion(spark):
     rows = [(i, "a b c d", "s" if i % 2 else "t", 3.0 if i % 4 < 2 else 1.0) for i in range(4000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, f double")
