@@ -70,12 +70,12 @@ def result_errors(decision: Column, card: dict[str, Column], expected: dict[str,
     low = F.transform(F.coalesce(forbidden, F.array().cast("array<string>")), F.lower)
     bad = lambda xs: F.array_sort(F.array_distinct(F.filter(xs, lambda x: F.array_contains(low, F.lower(x)))))
     names = next(iter(lists.values()))
-    tests = [F.when(~F.coalesce(decision.isin("include", "exclude"), F.lit(False)), F.lit("invalid decision"))]
-    tests += [F.when(~card[f].eqNullSafe(want), F.concat(F.lit(f"{f} mismatch: expected "), F.coalesce(want, F.lit("null")))) for f, want in expected.items()]
+    tests = [F.when(~F.coalesce(decision.isin("include", "exclude"), F.lit(False)), F.lit("unknown decision"))]
+    tests += [F.when(~card[f].eqNullSafe(want), F.concat(F.lit(f"{f} is not "), F.coalesce(want, F.lit("null")))) for f, want in expected.items()]
     for f, xs in lists.items():
-        tests.append(F.when(xs.isNull(), F.lit(f"{f} must be a string array")).when(F.size(bad(xs)) > 0, F.concat(F.lit(f"{f} contains forbidden names: "), F.array_join(bad(xs), ","))))
+        tests.append(F.when(xs.isNull(), F.lit(f"{f} is no list")).when(F.size(bad(xs)) > 0, F.concat(F.lit(f"{f} holds forbidden names: "), F.array_join(bad(xs), ","))))
     tests.append(F.when(F.lit(False) if not formal else ~F.coalesce(F.forall(F.array(*formal), lambda n: F.array_contains(names, n)), F.lit(False)), F.lit("formal names are missing")))
-    tests += [F.when((decision == "include") & (F.trim(F.coalesce(value, F.lit(""))) == ""), F.lit(f"included card has no {name}")) for name, value in needed.items()]
+    tests += [F.when((decision == "include") & (F.trim(F.coalesce(value, F.lit(""))) == ""), F.lit(f"included without {name}")) for name, value in needed.items()]
     return F.array_compact(F.array(*tests))
 
 

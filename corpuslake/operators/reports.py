@@ -44,8 +44,8 @@ def scan_report(files: DataFrame, file: str, bad: DataFrame, turns: DataFrame, o
     """One row on a scan: files read, unreadable ones, files with a target, target turns found by an independent count (turns: file, n), rows extracted.
 
     Counts are partial sums; no list of files is gathered."""
-    hit = turns.groupBy(file).agg(F.sum("n").alias("n")).where("n > 0").agg(F.count("*").alias("files_with_target"), F.coalesce(F.sum("n"), F.lit(0)).alias("raw_target_nodes"))
-    parts = [files.agg(F.count_distinct(file).alias("scanned_files")), bad.agg(F.count_distinct(file).alias("parse_errors")), hit, occurrences.agg(F.count("*").alias("extracted_occurrences"))]
+    hit = turns.groupBy(file).agg(F.sum("n").alias("n")).where("n > 0").agg(F.count("*").alias("files_with_target"), F.coalesce(F.sum("n"), F.lit(0)).alias("target_turns"))
+    parts = [files.agg(F.count_distinct(file).alias("files_read")), bad.agg(F.count_distinct(file).alias("files_unreadable")), hit, occurrences.agg(F.count("*").alias("rows_extracted"))]
     out = parts[0]
     for p in parts[1:]:
         out = out.join(p, F.lit(True))

@@ -100,8 +100,8 @@ def profile_violations(spark, sf_dir):
 
 
 @Q("""WITH r AS (SELECT n_nationkey::INT AS id, CASE n_nationkey % 4 WHEN 0 THEN 'include' WHEN 1 THEN 'exclude' WHEN 2 THEN 'include' ELSE 'maybe' END AS decision, n_name AS want, CASE WHEN n_nationkey % 5 = 1 THEN 'other' ELSE n_name END AS name FROM nation)
-SELECT id, array_to_string(list_filter([CASE WHEN decision = 'maybe' THEN 'invalid decision' END, CASE WHEN name <> want THEN 'name mismatch: expected ' || want END, CASE WHEN id % 3 = 0 THEN 'aliases contains forbidden names: BAD' END, CASE WHEN id % 7 = 2 THEN 'keys must be a string array' END,
-CASE WHEN id % 6 = 5 THEN 'formal names are missing' END, CASE WHEN decision = 'include' AND id % 8 = 2 THEN 'included card has no evidence' END], lambda x: x IS NOT NULL), ';') AS errors FROM r""")
+SELECT id, array_to_string(list_filter([CASE WHEN decision = 'maybe' THEN 'unknown decision' END, CASE WHEN name <> want THEN 'name is not ' || want END, CASE WHEN id % 3 = 0 THEN 'aliases holds forbidden names: BAD' END, CASE WHEN id % 7 = 2 THEN 'keys is no list' END,
+CASE WHEN id % 6 = 5 THEN 'formal names are missing' END, CASE WHEN decision = 'include' AND id % 8 = 2 THEN 'included without evidence' END], lambda x: x IS NOT NULL), ';') AS errors FROM r""")
 def result_errors(spark, sf_dir):
     k, name = F.col("n_nationkey").cast("int"), F.col("n_name")
     decision = F.when(k % 4 == 1, "exclude").when(k % 4 == 3, "maybe").otherwise("include")

@@ -59,8 +59,8 @@ def json_errors(spark, sf_dir):
     return tree(spark, sf_dir)[1].select(F.substring_index("source_file", "/", 1).alias("source_type"), "error")
 
 
-@Q("""SELECT count(DISTINCT conv_id) AS scanned_files, count(DISTINCT conv_id) FILTER (WHERE conv_id % 10 = 0) AS parse_errors, count(DISTINCT conv_id) FILTER (WHERE role IN ('user', 'assistant')) AS files_with_target,
-(count(*) FILTER (WHERE role = 'assistant') + count(*) FILTER (WHERE role = 'user'))::BIGINT AS raw_target_nodes, count(*) FILTER (WHERE role = 'assistant') AS extracted_occurrences FROM conversations""")
+@Q("""SELECT count(DISTINCT conv_id) AS files_read, count(DISTINCT conv_id) FILTER (WHERE conv_id % 10 = 0) AS files_unreadable, count(DISTINCT conv_id) FILTER (WHERE role IN ('user', 'assistant')) AS files_with_target,
+(count(*) FILTER (WHERE role = 'assistant') + count(*) FILTER (WHERE role = 'user'))::BIGINT AS target_turns, count(*) FILTER (WHERE role = 'assistant') AS rows_extracted FROM conversations""")
 def scan_report(spark, sf_dir):
     good, bad = tree(spark, sf_dir)
     turns, _ = dialogue.flatten_documents(good)
