@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from corpuslake.llm.decontaminate import OP3_SQL, op3_decontaminate
+from corpuslake.llm.divergence import OP11_SQL, op11_divergence
 from corpuslake.llm.graph_search import op10_graph_search
 from corpuslake.llm.language_id import op9_language_id
 from corpuslake.llm.licenses import op2_licenses
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_language_id": op9_language_id,
     "op10_graph_search": op10_graph_search,
+    "op11_divergence": op11_divergence,
 }
 
 ORACLES: dict[str, str] = {
     "op3_decontaminate": OP3_SQL,
     "op6_near_dedup": OP6_SQL,
     "op7_line_dedup": OP7_SQL,
+    "op11_divergence": OP11_SQL,
 }
