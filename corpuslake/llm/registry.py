@@ -8,6 +8,7 @@ from corpuslake.llm.graph_search import op10_graph_search
 from corpuslake.llm.language_id import op9_language_id
 from corpuslake.llm.licenses import op2_licenses
 from corpuslake.llm.line_dedup import OP7_SQL, op7_line_dedup
+from corpuslake.llm.merkle import OP12_SQL, op12_manifest
 from corpuslake.llm.mixing import op4_mix
 from corpuslake.llm.near_dedup import OP6_SQL, op6_near_dedup
 from corpuslake.llm.secrets import op5_secrets
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_graph_search": op10_graph_search,
     "op11_divergence": op11_divergence,
+    "op12_manifest": op12_manifest,
 }
 
 ORACLES: dict[str, str] = {
@@ -33,4 +35,5 @@ ORACLES: dict[str, str] = {
     "op6_near_dedup": OP6_SQL,
     "op7_line_dedup": OP7_SQL,
     "op11_divergence": OP11_SQL,
+    "op12_manifest": OP12_SQL,
 }
