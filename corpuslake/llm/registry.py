@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from corpuslake.llm.decontaminate import OP3_SQL, op3_decontaminate
 from corpuslake.llm.divergence import OP11_SQL, op11_divergence
+from corpuslake.llm.fingerprints import op13_fingerprints
 from corpuslake.llm.graph_search import op10_graph_search
 from corpuslake.llm.language_id import op9_language_id
 from corpuslake.llm.licenses import op2_licenses
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_graph_search": op10_graph_search,
     "op11_divergence": op11_divergence,
     "op12_manifest": op12_manifest,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 ORACLES: dict[str, str] = {
