@@ -76,10 +76,10 @@ def alias_stream(turns: DataFrame, text: str, aliases: DataFrame, entity: str, a
     """The same for a stream of turns: a row for each alias that a turn names, one without entity for a turn that names none.
 
     A stateless join with a table of aliases; nothing is aggregated, as each alias has one key and a turn sends each key once. A turn's row
-    without a match has null in entity and alias."""
+    without a match (or without text) has null in entity and alias."""
     terms, keys, chars, found = _alias_keys(text, aliases, entity, alias, mode)
     spots = turns.select("*", *chars)
-    spots = spots.select(*turns.columns, F.explode(F.concat(F.array(F.lit("none")), F.array_distinct(F.concat(*keys)))).alias("_key"))
+    spots = spots.select(*turns.columns, F.explode(F.concat(F.array(F.lit("none")), F.coalesce(F.array_distinct(F.concat(*keys)), F.array().cast("array<string>")))).alias("_key"))
     met = spots.join(terms, "_key", "left").withColumn("_text", F.col(text))
     return met.where((F.col("_key") == "none") | (F.col(entity).isNotNull() & (found > 0))).select(*turns.columns, entity, alias)
 

@@ -247,12 +247,18 @@ def activation_stream(spark, sf_dir):
     long = kinds.select(F.lit("world").alias("kind"), F.concat("event_type", F.lit("_card")).alias("card"), F.concat("event_type", F.lit(" thing")).alias("alias"))
     short = kinds.select(F.lit("world"), F.concat("event_type", F.lit("_short")), F.col("event_type"))
     named = long.union(short).union(spark.createDataFrame([("character", "any", "水国"), ("relationship", "none", "nobody")], "kind string, card string, alias string"))
-    out = sessions.run_once(spark, sessions.activations(turns, named, {"character": None, "relationship": 4, "world": 2}))
+    out = sessions.replay(spark, turns, lambda t: sessions.activations(t, named, {"character": None, "relationship": 4, "world": 2}, delay=sessions.STORED))
     last = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
     return out.join(last, ["user_id", "event_id"]).select("user_id", "active")
 
 
-@Q()
+@Q("""WITH RECURSIVE o AS (SELECT user_id, event_id, CASE WHEN event_id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, length(props) AS size, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, []::VARCHAR[] AS roles, []::BIGINT[] AS sizes, 0::BIGINT AS compacted, 0::BIGINT AS compactions FROM (SELECT DISTINCT user_id FROM events)
+UNION ALL SELECT user_id, i, event_id, roles[older + 1:], sizes[older + 1:], older, compactions + (older > 0)::BIGINT FROM (
+    SELECT *, CASE WHEN n >= 3 AND list_sum(sizes) >= 80 THEN greatest(0, n - stay - (stay < n AND roles[n - stay + 1] = 'assistant' AND roles[n - stay] = 'user')::BIGINT) ELSE 0 END AS older FROM (
+        SELECT *, least(n - 1, 4 + (roles[-1] = 'user')::BIGINT) AS stay FROM (
+            SELECT o.user_id, o.i, o.event_id, list_append(r.roles, o.role) AS roles, list_append(r.sizes, o.size) AS sizes, len(r.roles) + 1 AS n, r.compactions FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1))))
+SELECT user_id, event_id, compacted, len(roles)::BIGINT AS kept, compactions FROM r WHERE i > 0""")
 def compaction_split_stream(spark, sf_dir):
     turns = _turn_stream(spark, sf_dir).select("user_id", "event_id", "ts", F.when(F.col("event_id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.length("props").cast("long").alias("size"))
-    return sessions.run_once(spark, sessions.compaction_splits(turns, 100))
+    return sessions.replay(spark, turns, lambda t: sessions.compaction_splits(t, 100, delay=sessions.STORED))

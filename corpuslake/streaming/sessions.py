@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import partial
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from corpuslake.operators.activation import active_sets as last_touched
 from corpuslake.operators.retrieval import alias_stream
@@ -42,29 +46,80 @@ def active_sets(touches: DataFrame, size: int) -> DataFrame:
     return touches.groupBy("user_id").applyInPandasWithState(partial(_lru, size=size), "user_id long, event_id long, n long, active string", "cards array<string>, times array<long>, events array<long>, n long", "append", GroupStateTimeout.NoTimeout)
 
 
-def _compaction(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, limit: float) -> Iterator[pd.DataFrame]:
-    used, done, n = state.get if state.exists else (0, 0, 0)
+class InOrder(StatefulProcessor):
+    """Hands each conversation's rows to a fold in order of (ts, event_id), whatever the order in which they arrive.
+
+    Rows wait in a map state by time slot, with an event-time timer at the slot's end. When the watermark has passed it, no earlier row can come
+    any more (later ones are late and dropped), so the slot is folded into the conversation's state and let go. Timers fire in order of
+    time. A task holds the rows of one slot of one conversation; all else is in the state store."""
+
+    def __init__(self, fold: Callable, start: tuple, state: str, rows: dict[str, str], out: str, slot: int) -> None:
+        self.fold, self.start, self.state, self.rows, self.out, self.slot = fold, start, state, {"at": "bigint", **rows}, out, slot
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "slot bigint", ", ".join(f"{c} array<{t}>" for c, t in self.rows.items()))
+        self.held = handle.getValueState("held", self.state)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            for slot, part in batch.groupby(batch["at"] // (self.slot * 1000)):
+                old = self.waiting.getValue((int(slot),)) if self.waiting.containsKey((int(slot),)) else None
+                if old is None:
+                    self.handle.registerTimer((int(slot) + 1) * self.slot)
+                self.waiting.updateValue((int(slot),), tuple((list(old[i]) if old else []) + [None if pd.isna(x) else x for x in part[c].tolist()] for i, c in enumerate(self.rows)))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        slot = (expiredTimerInfo.getExpiryTimeInMs() // self.slot - 1,)
+        if not self.waiting.containsKey(slot):
+            return
+        rows = sorted(zip(*self.waiting.getValue(slot), strict=True), key=lambda r: r[:2])
+        state, out = self.fold(tuple(self.held.get()) if self.held.exists() else self.start, rows)
+        self.held.update(state)
+        self.waiting.removeKey(slot)
+        yield pd.DataFrame([(key[0], *r) for r in out], columns=self.out)
+
+    def close(self) -> None:
+        pass
+
+
+def in_order(turns: DataFrame, fold: Callable, start: tuple, state: str, rows: dict[str, str], out: str, delay: str, slot: int = 3_600_000) -> DataFrame:
+    """fold(state, rows) -> (state, output rows) over each user_id's rows in order of (ts, event_id): rows are tuples of the columns named
+    (event_id first) behind their time in microseconds. delay: how much later than newer rows a row may come, else it is dropped. slot: milliseconds."""
+    own = turns.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).withColumn("at", F.unix_micros("ts"))
+    names = [x.split()[0] for x in out.split(", ")]
+    return own.groupBy("user_id").transformWithStateInPandas(InOrder(fold, start, state, rows, names, slot), out, "append", "eventTime")
+
+
+def _compaction(state: tuple, rows: list[tuple], limit: float) -> tuple[tuple, list[tuple]]:
+    used, done, n = state
     out = []
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    for event, size in zip(rows["event_id"], rows["size"], strict=True):
-        used, n = used + int(size), n + 1
-        due = used >= limit
-        if due:
+    for _, event, size in rows:
+        used, n = used + size, n + 1
+        if due := used >= limit:
             used, done = 0, done + 1
-        out.append((key[0], event, n, due, done))
-    state.update((used, done, n))
-    yield pd.DataFrame(out, columns=["user_id", "event_id", "n", "due", "compactions"])
+        out.append((event, n, due, done))
+    return (used, done, n), out
 
 
-def compactions(turns: DataFrame, capacity: int, threshold: float = 0.8) -> DataFrame:
-    """A stream of turns (user_id, event_id, ts, size) to whether each one makes a compaction due, and how many there were.
-
-    Due: the size since the last compaction reaches threshold times capacity; the threshold lies between 0.5 and 0.95."""
+def _threshold(threshold: float) -> float:
     if not 0.5 <= threshold <= 0.95:
         raise ValueError("threshold must lie between 0.5 and 0.95")
-    return turns.groupBy("user_id").applyInPandasWithState(partial(_compaction, limit=threshold * capacity), "user_id long, event_id long, n long, due boolean, compactions long", "used long, done long, n long", "append", GroupStateTimeout.NoTimeout)
+    return threshold
+
+
+def compactions(turns: DataFrame, capacity: int, threshold: float = 0.8, delay: str = "1 hour") -> DataFrame:
+    """A stream of turns (user_id, event_id, ts, size) to whether each one makes a compaction due, and how many there were.
+
+    Due: the size since the last compaction reaches threshold times capacity; the threshold lies between 0.5 and 0.95. A turn's row comes
+    when the watermark, `delay` behind the newest turn, has passed its slot; results don't depend on the order of arrival within it."""
+    fold = partial(_compaction, limit=_threshold(threshold) * capacity)
+    return in_order(turns, fold, (0, 0, 0), "used bigint, done bigint, n bigint", {"event_id": "bigint", "size": "bigint"}, "user_id long, event_id long, n long, due boolean, compactions long", delay)
 
 
+#: The delay of replays: stored files come in any order.
+STORED = "3650 days"
 #: Sizes of the kinds of active sets; None never evicts (defaults, a parameter).
 SIZES = {"character": None, "relationship": 4, "world": 6}
 
@@ -85,55 +140,50 @@ def processed(matched: list[tuple[str, str, str]]) -> list[tuple[str, str]]:
     return rest + [("world", c) for c in sorted(world, key=lambda c: (-len(world[c].encode()), c)) if c not in shadowed]
 
 
-def _activate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, sizes: dict[str, int | None]) -> Iterator[pd.DataFrame]:
+def _activate(state: tuple, rows: list[tuple], sizes: dict[str, int | None]) -> tuple[tuple, list[tuple]]:
     """State is each active card with the time, event and place of its newest touch."""
-    held = {(k, c): (int(t), int(e), int(p)) for k, c, t, e, p in zip(*state.get, strict=True)} if state.exists else {}
-    turns: dict[tuple[int, int], list] = {}
-    for rows in batches:
-        for ts, event, kind, card, alias in zip(rows["ts"], rows["event_id"], rows["kind"], rows["card"], rows["alias"], strict=True):
-            met = turns.setdefault((int(pd.Timestamp(ts).value), int(event)), [])
-            if isinstance(card, str):
-                met.append((kind, card, alias))
+    held = {(k, c): (t, e, p) for k, c, t, e, p in zip(*state, strict=True)}
     out = []
-    for (ts, event), met in sorted(turns.items()):
+    for (at, event), turn in groupby(rows, key=lambda r: r[:2]):
+        met = [(kind, card, alias) for _, _, kind, card, alias in turn if card is not None]
         for place, card in enumerate(processed(met)):
-            held[card] = max((ts, event, place), held.get(card, (ts, event, place)))
+            held[card] = (at, event, place)
         for kind, size in sizes.items():
             own = sorted((c for c in held if c[0] == kind), key=held.get, reverse=True)
             for c in own[size:] if size is not None else ():
                 del held[c]
         shown = {kind: [c for _, c in sorted((x for x in held if x[0] == kind), key=held.get, reverse=True)] for kind in sizes}
-        out.append((key[0], event, len(met), ";".join(f"{k}={','.join(v)}" for k, v in shown.items())))
+        out.append((event, len(met), ";".join(f"{k}={','.join(v)}" for k, v in shown.items())))
     flat = [(k, c, *at) for (k, c), at in held.items()]
-    state.update(tuple(list(x) for x in zip(*flat, strict=True)) if flat else ([], [], [], [], []))
-    yield pd.DataFrame(out, columns=["user_id", "event_id", "n_matches", "active"])
+    return tuple(list(x) for x in zip(*flat, strict=True)) if flat else ([], [], [], [], []), out
 
 
-def activations(turns: DataFrame, aliases: DataFrame, sizes: dict[str, int | None] | None = None) -> DataFrame:
+def activations(turns: DataFrame, aliases: DataFrame, sizes: dict[str, int | None] | None = None, delay: str = "1 hour") -> DataFrame:
     """A stream of turns (user_id, event_id, ts, text) to the active sets after each: user_id, event_id, n_matches and active (kind=newest,...;...).
 
     aliases: kind, card and alias of every card. A turn's cards are found by the runtime rule, shadowed aliases go, and each kind's
-    set keeps its most recently touched cards. State is the active cards; a micro-batch's matches of one conversation are held at once."""
+    set keeps its most recently touched cards. State is the active cards; turns are taken in order of (ts, event_id), as compactions() does."""
     ids = aliases.withColumn("owner", F.struct("kind", "card"))
     met = alias_stream(turns, "text", ids.select("owner", "alias"), "owner", "alias").select("user_id", "event_id", "ts", "owner.kind", "owner.card", "alias")
-    return met.groupBy("user_id").applyInPandasWithState(
-        partial(_activate, sizes=sizes or SIZES), "user_id long, event_id long, n_matches long, active string", "kinds array<string>, cards array<string>, times array<long>, events array<long>, places array<long>", "append", GroupStateTimeout.NoTimeout
-    )
+    rows = {"event_id": "bigint", "kind": "string", "card": "string", "alias": "string"}
+    state = "kinds array<string>, cards array<string>, times array<bigint>, events array<bigint>, places array<bigint>"
+    return in_order(met, partial(_activate, sizes=sizes or SIZES), ([], [], [], [], []), state, rows, "user_id long, event_id long, n_matches long, active string", delay)
 
 
 def kept_messages(roles: list[str], keep: int = 4) -> int:
-    """How many of the newest messages stay: `keep`, one more if the last is the user's, and one more if the first that stays answers a user's."""
+    """How many of the newest messages stay (all: nothing is compacted): `keep`, one more if the last is the user's, but at most all but one; and
+    one more if the first that stays answers a user's."""
     n = min(len(roles) - 1, keep + (roles[-1] == "user"))
     return n + (0 < n < len(roles) and roles[-n] == "assistant" and roles[-n - 1] == "user")
 
 
-def _split(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, limit: float, keep: int, least: int) -> Iterator[pd.DataFrame]:
-    """State is the size and number of messages since the last compaction, and the roles and sizes of the newest of them."""
-    used, n, done, roles, sizes = state.get if state.exists else (0, 0, 0, [], [])
-    roles, sizes, out = list(roles), [int(x) for x in sizes], []
-    for event, role, size in pd.concat(list(batches)).sort_values(["ts", "event_id"])[["event_id", "role", "size"]].itertuples(index=False):
-        used, n = used + int(size), n + 1
-        roles, sizes = [*roles, role][-keep - 3 :], [*sizes, int(size)][-keep - 3 :]
+def _split(state: tuple, rows: list[tuple], limit: float, keep: int, least: int) -> tuple[tuple, list[tuple]]:
+    """State is the size and number of messages held, of compactions, and the roles and sizes of the newest messages."""
+    used, n, done, roles, sizes = state
+    roles, sizes, out = list(roles), list(sizes), []
+    for _, event, role, size in rows:
+        used, n = used + size, n + 1
+        roles, sizes = [*roles, role][-keep - 3 :], [*sizes, size][-keep - 3 :]
         older = 0
         if used >= limit and n >= least:
             stay = kept_messages(roles, keep)
@@ -141,20 +191,19 @@ def _split(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, limit
             if older > 0:
                 roles, sizes, n, done = roles[-stay:] if stay else [], sizes[-stay:] if stay else [], stay, done + 1
                 used = sum(sizes)
-        out.append((key[0], int(event), older, n, done))
-    state.update((used, n, done, roles, sizes))
-    yield pd.DataFrame(out, columns=["user_id", "event_id", "compacted", "kept", "compactions"])
+        out.append((event, older, n, done))
+    return (used, n, done, roles, sizes), out
 
 
-def compaction_splits(turns: DataFrame, capacity: int, threshold: float = 0.8, keep: int = 4, least: int = 3) -> DataFrame:
+def compaction_splits(turns: DataFrame, capacity: int, threshold: float = 0.8, keep: int = 4, least: int = 3, delay: str = "1 hour") -> DataFrame:
     """A stream of turns (user_id, event_id, ts, role, size) to the split that each one brings about: how many of the oldest messages are to
     be summarised (0: none), how many messages are held after that, and how many compactions there were.
 
-    Due when the messages held reach threshold times capacity; those that stay count towards the next one. State is a few messages a conversation."""
-    if not 0.5 <= threshold <= 0.95:
-        raise ValueError("threshold must lie between 0.5 and 0.95")
-    how = partial(_split, limit=threshold * capacity, keep=keep, least=least)
-    return turns.groupBy("user_id").applyInPandasWithState(how, "user_id long, event_id long, compacted long, kept long, compactions long", "used long, n long, done long, roles array<string>, sizes array<long>", "append", GroupStateTimeout.NoTimeout)
+    Due when the messages held reach threshold times capacity; those that stay count towards the next one. System messages are no
+    part of the history: leave them out. State is a few messages a conversation; turns are taken in order of (ts, event_id), as compactions() does."""
+    how = partial(_split, limit=_threshold(threshold) * capacity, keep=keep, least=least)
+    rows = {"event_id": "bigint", "role": "string", "size": "bigint"}
+    return in_order(turns, how, (0, 0, 0, [], []), "used bigint, n bigint, done bigint, roles array<string>, sizes array<bigint>", rows, "user_id long, event_id long, compacted long, kept long, compactions long", delay)
 
 
 def restored_sets(saved: DataFrame, session: str, active: str, touches: DataFrame, order: list[str], card: str, size: int) -> DataFrame:
@@ -172,11 +221,40 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def _drain(out: DataFrame, folder: str) -> None:
+    out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+
+
 def run_once(spark: SparkSession, out: DataFrame) -> DataFrame:
     """All that the stream's source holds now, through the stream and into files, read back."""
     folder = _folder(spark)
-    query = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    _drain(out, folder)
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+def replay(spark: SparkSession, turns: DataFrame, through: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """run_once() for streams that wait for the watermark: when the source is through, a last row of the year 2200 closes all conversations.
+
+    That row has a ts only and comes by a folder of its own, in a second run over the same state, so no row of the source is late for it."""
+    folder = _folder(spark)
+    end = spark.range(1).select(*(F.to_timestamp(F.lit("2200-01-01")).cast(f.dataType).alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in turns.schema))
+    end.limit(0).write.parquet(f"{folder}/end")
+    out = through(turns.union(spark.readStream.schema(turns.schema).parquet(f"{folder}/end")))
+    # event-time timers and map states are kept by this provider alone
+    with _setting(spark, "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):
+        _drain(out, folder)
+        end.coalesce(1).write.mode("append").parquet(f"{folder}/end")
+        _drain(out, folder)
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 
@@ -200,5 +278,6 @@ def replayed_sets(spark: SparkSession, path: str, size: int) -> DataFrame:
 
 
 def replayed_compactions(spark: SparkSession, path: str, capacity: int, threshold: float) -> DataFrame:
+    """The number of compactions of each conversation. Files of a stored table may come in any order, so a turn may be as late as the table is long."""
     turns = events(spark, path).select("user_id", "event_id", "ts", (F.length("props") + F.length("event_type")).cast("long").alias("size"))
-    return _last(run_once(spark, compactions(turns, capacity, threshold)), "compactions")
+    return _last(replay(spark, turns, lambda t: compactions(t, capacity, threshold, delay=STORED)), "compactions")

@@ -5,6 +5,7 @@ import duckdb
 import pytest
 
 from corpuslake.plans import suite
+from corpuslake.streaming import sessions
 
 SF = "/root/testdata/sf0.001"
 #: A selection of each module; the driver compares all queries at a larger size.
@@ -39,17 +40,42 @@ def test_query_equals_its_sql(spark, db, name):
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in rel.fetchall()), key=repr)
 
 
-def test_active_sets_do_not_depend_on_the_order_of_files(spark, db, tmp_path):
-    """Newest events in the first files, two triggers."""
+@pytest.mark.parametrize("name", ["lru_stream", "compaction_stream", "compaction_split_stream"])
+def test_streams_do_not_depend_on_the_order_of_files(spark, db, tmp_path, name):
+    """Newest events in the first files, two triggers; rows of a conversation in both."""
     path, rows = f"{tmp_path}/events.parquet", spark.read.parquet(f"{SF}/events.parquet").orderBy("ts", "event_id").toPandas()
     os.mkdir(path)
     for i in range(10):
         file = f"{path}/part-{i}.parquet"
-        rows.iloc[len(rows) * (9 - i) // 10 : len(rows) * (10 - i) // 10].to_parquet(file, index=False, coerce_timestamps="us")
+        part = rows.iloc[len(rows) * (9 - i) // 10 : len(rows) * (10 - i) // 10]
+        part.sample(frac=1, random_state=i).to_parquet(file, index=False, coerce_timestamps="us")
         os.utime(file, (1_700_000_000 + i, 1_700_000_000 + i))
-    got = sorted((r.user_id, r.active) for r in suite.QUERIES["lru_stream"](spark, str(tmp_path)).select("user_id", "active").collect())
-    rel = db.sql(suite.ORACLES["lru_stream"])
-    assert got == sorted(rel.select("user_id, active").fetchall())
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    df = suite.QUERIES[name](spark, str(tmp_path))
+    rel = db.sql(suite.ORACLES[name]).select(", ".join(df.columns))
+    assert sorted(map(tuple, df.collect())) == sorted(rel.fetchall())
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
+
+
+def test_late_turns_are_dropped_and_slots_close_in_order(spark, tmp_path):
+    """With a delay, what the watermark has passed comes out at once, and a turn that is later than the delay is left out."""
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    at = lambda h: start + timedelta(hours=h)
+    files = [[(1, 1, at(1), 5), (1, 2, at(0), 5)], [(1, 3, at(10), 5)], [(1, 5, at(9), 5)], [(1, 4, at(2), 100)]]
+    for i, rows in enumerate(files):
+        file = f"{tmp_path}/in/{i}"
+        spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp, size long").coalesce(1).write.parquet(file)
+    os.mkdir(f"{tmp_path}/all")
+    for i in range(4):
+        (part,) = [f for f in os.listdir(f"{tmp_path}/in/{i}") if f.endswith(".parquet")]
+        os.rename(f"{tmp_path}/in/{i}/{part}", f"{tmp_path}/all/{i}.parquet")
+        os.utime(f"{tmp_path}/all/{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    turns = spark.readStream.schema("user_id long, event_id long, ts timestamp, size long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/all")
+    got = sessions.replay(spark, turns, lambda t: sessions.compactions(t, 10, 0.8, delay="3 hours")).orderBy("n").collect()
+    # 4 comes when hour 7 has passed, by the batch before
+    assert [(r.event_id, r.n, r.due, r.compactions) for r in got] == [(2, 1, False, 0), (1, 2, True, 1), (5, 3, False, 1), (3, 4, True, 2)]
 
 
 def test_entry(spark):
