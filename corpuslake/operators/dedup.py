@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 
-def canonical(rows: DataFrame, key: str, order: list[Column], source: str) -> DataFrame:
-    """The first row of each key in the order, with all sources (sorted) and the number of rows.
+def canonical(rows: DataFrame, key: str, order: list[Column], source: str, fallback: list[str] | None = None) -> DataFrame:
+    """The first row of each key (a string, or an array of ids) in the order, with all sources (sorted) and the number of rows.
 
-    A null or empty key never groups. An aggregate with partial sums, so a key with a third of all rows is no single task's work.
+    A null or empty key never groups; its rows group by the fallback columns, or stay alone without any. An aggregate with partial sums, so a key with a third of all rows is no single task's work.
     Rows must differ in the order, else any of the tied ones is chosen."""
     own = [c for c in rows.columns if c != key]
     # a row without a key is a group of its own, so one aggregate reads the rows once
-    missing = F.coalesce(F.col(key).cast("string") == "", F.lit(True))
-    alone = F.when(missing, F.monotonically_increasing_id())
+    empty = F.size(key) == 0 if isinstance(rows.schema[key].dataType, ArrayType) else F.col(key).cast("string") == ""
+    missing = F.coalesce(empty, F.lit(True))
+    alone = F.when(missing, F.struct(*fallback) if fallback else F.monotonically_increasing_id())
     keyed = rows.withColumn("_alone", alone)
     picked = keyed.groupBy(key, "_alone").agg(F.min_by(F.struct(*own), F.struct(*order)).alias("r"), F.array_sort(F.collect_set(source)).alias("duplicate_sources"), F.count("*").alias("source_occurrence_count"))
     return picked.select(key, *(F.col(f"r.{c}").alias(c) for c in own), "duplicate_sources", "source_occurrence_count")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuslake.operators.tables import settled
+from corpuslake.operators.tables import numbered, settled
 
 TURN = T.StructType([
     T.StructField("scene_path", T.ArrayType(T.StringType())), T.StructField("scene_id", T.StringType()), T.StructField("objective", T.StringType()),
@@ -163,14 +163,38 @@ def persistent(turns: DataFrame, role: str = "role", text: str = "text", summary
 
 
 def compaction_split(turns: DataFrame, session: str, order: str, role: str, keep: int = 4, least: int = 3) -> DataFrame:
-    """Turns with compacted: true for those to be summarised. The newest `keep` stay, one more if the last is the user's, and
-    one more if the first that stays answers a user turn; sessions under `least` turns stay whole."""
+    """Turns with compacted: true for those to be summarised. The newest `keep` stay, one more if the last is the user's, but at most all but one;
+    and one more if the first that stays answers a user turn. A leading system turn is no part of the history; histories under
+    `least` turns stay whole."""
     w = W.partitionBy(session)
-    numbered = turns.withColumns({"n": F.count("*").over(w), "back": F.row_number().over(w.orderBy(F.desc(order))), "last_role": F.first(role).over(w.orderBy(F.desc(order)))})
-    kept = F.lit(keep) + (F.col("last_role") == "user").cast("int")
-    pulled = numbered.withColumn("kept", kept).withColumn("cut_role", F.max(F.when(F.col("back") == F.col("kept"), F.col(role))).over(w)).withColumn("over_role", F.max(F.when(F.col("back") == F.col("kept") + 1, F.col(role))).over(w))
-    kept = F.col("kept") + F.coalesce(((F.col("cut_role") == "assistant") & (F.col("over_role") == "user")).cast("int"), F.lit(0))
-    return pulled.withColumn("compacted", (F.col("n") >= least) & (F.col("back") > kept)).drop("back", "last_role", "kept", "cut_role", "over_role")
+    back = w.orderBy(F.desc(order))
+    numbered = turns.withColumns({"n": F.count("*").over(w), "back": F.row_number().over(back), "last_role": F.first(role).over(back)})
+    leads = F.coalesce(F.max(F.when(F.col("back") == F.col("n"), F.col(role) == "system")).over(w), F.lit(False))
+    numbered = numbered.withColumn("leads", leads).withColumn("n", F.col("n") - F.col("leads").cast("int"))
+    pulled = numbered.withColumn("kept", F.least(F.col("n") - 1, F.lit(keep) + F.coalesce(F.col("last_role") == "user", F.lit(False)).cast("int")))
+    at = lambda place: F.max(F.when(F.col("back") == place, F.col(role))).over(w)
+    answers = (at(F.col("kept")) == "assistant") & (at(F.col("kept") + 1) == "user")
+    stay = F.col("kept") + F.coalesce(answers, F.lit(False)).cast("int")
+    return pulled.withColumn("compacted", (F.col("n") >= least) & (F.col("back") > stay) & (F.col("back") <= F.col("n"))).drop("n", "back", "last_role", "leads", "kept")
+
+
+def speaker_inventory(turns: DataFrame, scene: str, order: str, speaker: str, ego: str, other_name: str, branch: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Each speaker's scenes, lines, lines next to one of the ego's, and commonest name in the other language (the first met of equally common ones,
+    by scene and order; '' for none); and each speaker's scenes in long form with their place (from 1) in order of the scene.
+
+    The mode is exact: lines are counted by speaker and name first, and a speaker's row is picked from those counts, so a speaker of a third of
+    all lines sends one row for each name and task. Turns without a speaker do not count. Scenes are placed by a range partitioning, as
+    a speaker may have any number of them."""
+    spoken = turns.where(F.coalesce(speaker, F.lit("")) != "")
+    near = adjacent(turns, scene, order, speaker, ego, branch).groupBy(F.col("other").alias(speaker)).agg(F.count("*").alias("adjacent"))
+    names = spoken.groupBy(speaker, F.coalesce(other_name, F.lit("")).alias("name")).agg(F.count("*").alias("n"), F.min(F.struct(scene, order)).alias("first"))
+    named = names.groupBy(speaker).agg(F.sum("n").alias("lines"), F.min_by(F.when(F.col("name") != "", F.col("name")), F.when(F.col("name") != "", F.struct(-F.col("n"), "first"))).alias("other_name"))
+    pairs = spoken.select(speaker, scene).distinct()
+    own = pairs.groupBy(speaker).agg(F.count("*").alias("scenes")).join(named, speaker).join(near, speaker, "left")
+    placed = numbered(pairs, [F.col(speaker), F.col(scene)], "place")
+    first = placed.groupBy(speaker).agg(F.min("place").alias("first"))
+    listed = placed.join(first, speaker).select(speaker, scene, (F.col("place") - F.col("first") + 1).alias("place"))
+    return own.select(speaker, "scenes", "lines", F.coalesce("adjacent", F.lit(0)).alias("adjacent"), F.coalesce("other_name", F.lit("")).alias("other_name")), listed
 
 
 def session_titles(turns: DataFrame, session: str, order: str, role: str = "role", text: str = "text", most: int = 60, default: str = "untitled") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslake.functions import text as T
 from corpuslake.functions.text import BLANK, clean_markup
 from corpuslake.operators.quality import all_reasons
 
@@ -71,6 +72,24 @@ def pair_exclusions(left: Column, right: Column, strict: bool = False) -> Column
     return all_reasons([(n, F.coalesce(left[n], F.lit(False)) | F.coalesce(right[n], F.lit(False))) for n in names])
 
 
+def chat_rules(text: Column, context: Column, ego: str, narrator: str, fillers: tuple[str, ...], starts: tuple[str, ...], voice: Column | None = None, combat: Column | None = None, mismatch: Column | None = None) -> list[tuple[str, Column]]:
+    """Why a line is left out of direct chat, in the order of the rules; quality.first_reason() takes the first that holds.
+
+    Voice lines have no context and are left out if they are combat ones. Any other line needs turns before it (context: an array of speaker,
+    text and kind, oldest first), of which the last must be neither the ego's own nor narration, must mean something, and must be no choice
+    in brackets; mismatch marks lines known not to answer it. After that the text itself counts. voice, combat and mismatch default to false."""
+    no = F.lit(False)
+    voice, combat, mismatch = (F.coalesce(c, no) if c is not None else no for c in (voice, combat, mismatch))
+    last = F.try_element_at(context, F.lit(-1))
+    said = lambda field: F.coalesce(last[field], F.lit(""))
+    before = [
+        ("scene_without_context", F.coalesce(F.size(context), F.lit(0)) <= 0), ("unmerged_own_turn", said("speaker") == ego), ("narration_transition", said("speaker") == narrator),
+        ("nonsemantic_last_utterance", T.semantic_length(said("text")) < 2), ("traveler_internal_monologue", (said("kind") == "choice") & T.parenthesised(said("text"))), ("known_semantic_mismatch", mismatch),
+    ]
+    own = [("filler_only", T.is_filler(text, fillers)), ("too_short", T.semantic_length(text) < 10), ("fragment_ending", T.fragment_ending(text)), ("leading_ellipsis", T.leading_ellipsis(text)), ("filler_start", T.starts_with_filler(text, starts))]
+    return [("combat_voice", voice & combat), *((name, ~voice & test) for name, test in before), *own]
+
+
 def only_present(rows: DataFrame, fields: list[str]) -> DataFrame:
     return rows.select(*(f for f in fields if f in rows.columns))
 

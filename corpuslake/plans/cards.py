@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuslake.functions import text as T
-from corpuslake.operators import cards, checks, quality, retrieval
+from corpuslake.operators import cards, checks, quality, retrieval, scenes
 from corpuslake.operators.tables import numbered
 from corpuslake.plans.registry import Registry, table
 from corpuslake.streaming import sessions
@@ -183,10 +183,19 @@ def true_flags(spark, sf_dir):
     return quality.flag_counts(o, ["open", "urgent", "never"])
 
 
-@Q("""SELECT o_orderpriority AS card, CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' THEN 'combat' ELSE 'profile' END AS voice_group, count(*) AS n FROM orders GROUP BY 1, 2""")
+@Q("""SELECT o_orderpriority AS card, CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' THEN 'combat' ELSE 'profile' END AS voice_group,
+CASE left(o_orderpriority, 1) WHEN '1' THEN 'attack' WHEN '2' THEN 'skill' WHEN '3' THEN 'about' WHEN '4' THEN 'greeting' ELSE 'other_profile' END AS voice_category, left(o_orderpriority, 1) IN ('3', '5') AS affinity, count(*) AS n FROM orders GROUP BY ALL""")
 def rule_categories(spark, sf_dir):
-    group = quality.first_reason([("combat", F.startswith("o_orderpriority", F.lit("1")) | F.startswith("o_orderpriority", F.lit("2"))), ("profile", F.lit(True))])
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("card"), group.alias("voice_group")).agg(F.count("*").alias("n"))
+    title = F.col("o_orderpriority")
+    found = scenes.categorise(title, {"1": "attack", "2": "skill"}, [("prefix", ("3-MED",), "about"), ("set", ("4-NOT SPECIFIED",), "greeting")], ("greeting",))
+    rows = table(spark, sf_dir, "orders").select(title.alias("card"), found.alias("c")).select("card", "c.*")
+    return rows.groupBy("card", "voice_group", "voice_category", "affinity").agg(F.count("*").alias("n"))
+
+
+@Q("""SELECT n_nationkey, 'impression and exclusion' AS problem FROM nation WHERE n_nationkey % 6 = 0 UNION ALL SELECT n_nationkey + 100, 'not in the roster' FROM nation WHERE n_nationkey % 5 = 0""")
+def contradictions(spark, sf_dir):
+    n, k = table(spark, sf_dir, "nation").select("n_nationkey"), F.col("n_nationkey")
+    return cards.contradictions(n.where(k % 2 == 0).union(n.where(k % 5 == 0).select(k + 100)), n.where(k % 3 == 0), n, "n_nationkey")
 
 
 @Q("""WITH m AS (SELECT o_orderstatus AS status, count(*) AS n, sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) + count(*) AS stated FROM orders GROUP BY 1) SELECT status, 'n' AS field, stated::VARCHAR AS stated, n::VARCHAR AS found FROM m WHERE stated <> n""")

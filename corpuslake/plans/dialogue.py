@@ -29,14 +29,27 @@ def adjacency_pairs(spark, sf_dir):
     return dialogue.adjacent(turns(spark, sf_dir), "conv_id", "turn", "role", "assistant")
 
 
-@Q("""WITH a AS (SELECT CASE WHEN role = 'assistant' THEN nxt ELSE role END AS role, count(*) AS n FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations)
-WHERE nxt IS NOT NULL AND (role = 'assistant') <> (nxt = 'assistant') GROUP BY 1)
-SELECT role, count(DISTINCT conv_id) AS scenes, count(*) AS lines, coalesce(any_value(n), 0) AS adjacent FROM conversations LEFT JOIN a USING (role) GROUP BY role""")
-def speaker_inventory(spark, sf_dir):
+NAMED = "n AS (SELECT *, CASE WHEN length(text) % 4 = 3 THEN NULL ELSE upper(role) || ' ' || length(text) % 4 END AS name FROM conversations)"
+
+
+def _inventory(spark, sf_dir):
     t = turns(spark, sf_dir)
-    near = dialogue.adjacent(t, "conv_id", "turn", "role", "assistant").groupBy(F.col("other").alias("role")).agg(F.count("*").alias("adjacent"))
-    own = t.groupBy("role").agg(F.count_distinct("conv_id").alias("scenes"), F.count("*").alias("lines"))
-    return own.join(near, "role", "left").select("role", "scenes", "lines", F.coalesce("adjacent", F.lit(0)).alias("adjacent"))
+    k = F.length("text") % 4
+    return dialogue.speaker_inventory(t.withColumn("name", F.when(k != 3, F.concat(F.upper("role"), F.lit(" "), k))), "conv_id", "turn", "role", "assistant", "name")
+
+
+@Q(f"""WITH a AS (SELECT CASE WHEN role = 'assistant' THEN nxt ELSE role END AS role, count(*) AS n FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations)
+WHERE nxt IS NOT NULL AND (role = 'assistant') <> (nxt = 'assistant') GROUP BY 1), {NAMED},
+m AS (SELECT role, name, row_number() OVER (PARTITION BY role ORDER BY count(*) DESC, min((conv_id, turn))) AS r FROM n WHERE name IS NOT NULL GROUP BY 1, 2)
+SELECT c.role, count(DISTINCT conv_id) AS scenes, count(*) AS lines, coalesce(any_value(n), 0) AS adjacent, coalesce(any_value(name), '') AS other_name FROM conversations c LEFT JOIN a USING (role) LEFT JOIN m ON m.role = c.role AND r = 1 GROUP BY c.role""")
+def speaker_inventory(spark, sf_dir):
+    """The other language's name is made up of the role and the length of the text."""
+    return _inventory(spark, sf_dir)[0]
+
+
+@Q("SELECT role, conv_id, row_number() OVER (PARTITION BY role ORDER BY conv_id) AS place FROM (SELECT DISTINCT role, conv_id FROM conversations)")
+def speaker_scenes(spark, sf_dir):
+    return _inventory(spark, sf_dir)[1]
 
 
 @Q("""WITH n AS (SELECT *, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -58,12 +71,15 @@ def chain_merge(spark, sf_dir):
     return out.select("head", F.size("merged_ids").cast("long").alias("n_merged"), F.array_max("merged_ids").alias("last_id"))
 
 
-@Q("""WITH b AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations),
-k AS (SELECT conv_id, 4 + (max(role) FILTER (WHERE back = 1) = 'user')::INT AS kept FROM b GROUP BY conv_id),
-p AS (SELECT conv_id, kept + coalesce((max(role) FILTER (WHERE back = kept) = 'assistant' AND max(role) FILTER (WHERE back = kept + 1) = 'user')::INT, 0) AS kept FROM b JOIN k USING (conv_id) GROUP BY conv_id, kept)
-SELECT conv_id, turn, n >= 3 AND back > kept AS compacted FROM b JOIN p USING (conv_id)""")
+@Q("""WITH c AS (SELECT conv_id * 10 + cut AS session, turn, role FROM conversations, unnest(range(2, 8)) AS x(cut) WHERE cut = 7 OR turn < cut AND (conv_id % 3 > 0 OR turn > 0)),
+h AS (SELECT session, list(role ORDER BY turn) AS roles FROM c GROUP BY session), l AS (SELECT session, roles, (roles[1] = 'system')::BIGINT AS lead, len(roles) AS n FROM h),
+k AS (SELECT *, CASE WHEN n > lead + 4 + (roles[-1] = 'user')::BIGINT THEN n - 4 - (roles[-1] = 'user')::BIGINT ELSE lead + 1 END AS start FROM l),
+p AS (SELECT *, start - (start > lead AND start < n AND roles[start + 1] = 'assistant' AND roles[start] = 'user')::BIGINT AS cut FROM k)
+SELECT session, turn, n - lead >= 3 AND cut > lead AND i > lead AND i <= cut AS compacted FROM p JOIN (SELECT *, row_number() OVER (PARTITION BY session ORDER BY turn) AS i FROM c) USING (session)""")
 def compaction_split(spark, sf_dir):
-    return dialogue.compaction_split(turns(spark, sf_dir), "conv_id", "turn", "role").select("conv_id", "turn", "compacted")
+    """Every conversation, and each one cut after 2 to 6 turns (of a third of them without the first), so that short histories are met."""
+    cuts = turns(spark, sf_dir).withColumn("cut", F.explode(F.sequence(F.lit(2), F.lit(7)))).where((F.col("cut") == 7) | (F.col("turn") < F.col("cut")) & ((F.col("conv_id") % 3 > 0) | (F.col("turn") > 0)))
+    return dialogue.compaction_split(cuts.withColumn("session", F.col("conv_id") * 10 + F.col("cut")), "session", "turn", "role").select("session", "turn", "compacted")
 
 
 @Q("SELECT conv_id, coalesce(substr(trim(regexp_replace(arg_min(text, turn) FILTER (WHERE role = 'user'), '[\\r\\n]+', ' ', 'g')), 1, 60), 'untitled') AS title FROM conversations GROUP BY conv_id")

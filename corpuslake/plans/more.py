@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuslake.functions import text as T
-from corpuslake.operators import quality, reports, retrieval
+from corpuslake.operators import dialogue, quality, reports, retrieval
 from corpuslake.plans.corpus import SEMANTIC
 from corpuslake.plans.registry import Registry, table
 
@@ -33,9 +33,13 @@ def semantic_lengths(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", n.cast("long").alias("semantic"), T.substantive(F.col("text")).alias("substantive"))
 
 
-@Q("SELECT role, sum(length(text))::BIGINT AS chars, max(length(text)) AS longest FROM conversations GROUP BY role")
+@Q("""WITH p AS (SELECT conv_id % 3 AS split, role, text, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations)
+SELECT split, sum(before)::BIGINT AS prompt_chars, sum(length(text))::BIGINT AS completion_chars FROM p WHERE role = 'assistant' GROUP BY split""")
 def character_totals(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.sum(F.length("text")).alias("chars"), F.max(F.length("text").cast("long")).alias("longest"))
+    """Answers as completions, up to four turns before each as its prompt."""
+    rows = dialogue.rolling_context(table(spark, sf_dir, "conversations"), "conv_id", "turn", ["role", "text"], 4).where("role = 'assistant'")
+    prompt = F.transform("context_before", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
+    return reports.character_totals(rows.select((F.col("conv_id") % 3).alias("split"), prompt.alias("prompt"), F.struct(F.col("text").alias("content")).alias("completion")), "split")
 
 
 @Q("SELECT count(*) AS source_ids, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS covered_ids, count(*) FILTER (WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)) AS excluded_ids FROM documents")
@@ -52,12 +56,22 @@ def verdict_report(spark, sf_dir):
     return reports.verdict_report(rows, "text", "after")[0]
 
 
-@Q("""SELECT n_nationkey AS nation, count(s_suppkey) AS n_suppliers, coalesce(string_agg(s_name, ',' ORDER BY s_name), '') AS suppliers FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1""")
+@Q("""WITH i AS (SELECT unnest(list_filter([CASE WHEN length(text) > 2000 THEN 'long' END, CASE WHEN contains(text, chr(10)) THEN 'lines' END, CASE WHEN lang <> 'en' THEN 'language' END], lambda x: x IS NOT NULL)) AS issue_type FROM documents)
+SELECT issue_type, count(*) AS count FROM i GROUP BY 1""")
+def verdict_issues(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    found = quality.all_reasons([("long", F.length("text") > 2000), ("lines", F.contains("text", F.lit("\n"))), ("language", F.col("lang") != "en")])
+    rows = d.select(F.when(F.size(found) > 0, "revise").otherwise("pass").alias("verdict"), "text", F.transform(found, lambda x: F.struct(x.alias("issue_type"))).alias("issues"))
+    return reports.verdict_report(rows, "text", "text")[1]
+
+
+@Q("""SELECT n_nationkey AS nation, count(s_suppkey) AS n_suppliers, coalesce(string_agg(s_name, ',' ORDER BY s_name), '') AS suppliers,
+sha256('{"suppliers":[' || coalesce(string_agg('{"s_name":"' || s_name || '"}', ',' ORDER BY s_name), '') || ']}') AS bundle_sha256 FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1""")
 def evidence_bundles(spark, sf_dir):
     keys = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"))
     parts = {"suppliers": (table(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "nation"), ["s_name"])}
     out = reports.bundles(keys, "nation", parts)
-    return out.select("nation", F.col("n_suppliers").cast("long").alias("n_suppliers"), F.array_join(F.transform("suppliers", lambda s: s["s_name"]), ",").alias("suppliers"))
+    return out.select("nation", F.col("n_suppliers").cast("long").alias("n_suppliers"), F.array_join(F.transform("suppliers", lambda s: s["s_name"]), ",").alias("suppliers"), "bundle_sha256")
 
 
 @Q("""WITH b AS (SELECT DISTINCT lang FROM documents WHERE doc_id % 10 = 0), v AS (SELECT count(*) AS base FROM documents WHERE doc_id % 10 = 0)

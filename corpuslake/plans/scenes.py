@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslake.functions import text as T
-from corpuslake.operators import align, cards, dedup, quality, reports, retrieval, scenes, sft
+from corpuslake.operators import align, cards, dedup, dialogue, quality, reports, retrieval, scenes, sft
 from corpuslake.plans.registry import Registry, table
 
 Q = Registry()
@@ -95,13 +95,54 @@ def projection_check(spark, sf_dir):
 KEYS = "k AS (SELECT conv_id, list_sort(list(DISTINCT turn)) AS ids FROM conversations WHERE role <> 'system' GROUP BY conv_id)"
 
 
-@Q(f"WITH {KEYS} SELECT array_to_string(ids, ',') AS ids, min(conv_id) AS conv_id, count(*) AS scenes FROM k GROUP BY ids")
+@Q(f"""WITH {KEYS}, e AS (SELECT conv_id, CASE WHEN conv_id % 7 = 0 THEN [] ELSE ids END AS ids FROM k)
+SELECT array_to_string(ids, ',') AS ids, min(conv_id) AS conv_id, count(*) AS scenes FROM e GROUP BY ids, CASE WHEN conv_id % 7 = 0 THEN conv_id // 21 END""")
 def canonical_scenes(spark, sf_dir):
+    """Every seventh scene has no ids; those are told apart by a key of their own, which three of them share."""
     rows = turns(spark, sf_dir).where("role <> 'system'").groupBy("conv_id").agg(F.array_sort(F.collect_set("turn")).alias("ids"))
-    out = dedup.canonical(rows.withColumn("source", F.col("conv_id").cast("string")), "ids", [F.col("conv_id")], "source")
+    rows = rows.withColumns({"ids": F.when(F.col("conv_id") % 7 == 0, F.array().cast(rows.schema["ids"].dataType)).otherwise(F.col("ids")), "own": F.floor(F.col("conv_id") / 21)})
+    out = dedup.canonical(rows.withColumn("source", F.col("conv_id").cast("string")), "ids", [F.col("conv_id")], "source", ["own"])
     return out.select(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"), "conv_id", F.col("source_occurrence_count").alias("scenes"))
 
 
+CHAT = r"""l AS (SELECT conv_id, turn, role, CASE turn % 6 WHEN 1 THEN '…' || text WHEN 2 THEN text || '—— ' WHEN 3 THEN substr(text, 1, 9) WHEN 4 THEN 'Well, ' || text WHEN 5 THEN CASE WHEN conv_id % 2 = 0 THEN '«Oh ...' ELSE text END ELSE text END AS line,
+CASE WHEN conv_id % 11 = 0 THEN '…' WHEN conv_id % 4 = 0 THEN '(' || text || ')' ELSE text END AS said, CASE WHEN turn % 2 = 0 THEN 'choice' ELSE 'dialogue' END AS kind, conv_id % 9 = 0 AS voice, conv_id % 2 = 0 AS combat, (conv_id + turn) % 50 = 0 AS mismatch FROM conversations),
+p AS (SELECT *, lag(role) OVER w AS speaker, lag(said) OVER w AS before, lag(kind) OVER w AS how FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"""
+MEANT = "length(regexp_replace({}, '[^0-9A-Za-z\\x{{3400}}-\\x{{9FFF}}]', '', 'g'))"
+
+
+def chat_lines(spark, sf_dir):
+    k, c = F.col("turn") % 6, F.col("conv_id")
+    line = F.when(k == 1, F.concat(F.lit("…"), "text")).when(k == 2, F.concat("text", F.lit("—— "))).when(k == 3, F.substring("text", 1, 9)).when(k == 4, F.concat(F.lit("Well, "), "text")).when((k == 5) & (c % 2 == 0), "«Oh ...").otherwise(F.col("text"))
+    said = F.when(c % 11 == 0, "…").when(c % 4 == 0, F.concat(F.lit("("), "text", F.lit(")"))).otherwise(F.col("text"))
+    rows = turns(spark, sf_dir).select("conv_id", "turn", F.col("role").alias("speaker"), line.alias("line"), said.alias("text"), F.when(F.col("turn") % 2 == 0, "choice").otherwise("dialogue").alias("kind"))
+    return dialogue.rolling_context(rows, "conv_id", "turn", ["speaker", "text", "kind"], 1)
+
+
+@Q(rf"""WITH {CHAT} SELECT conv_id, turn, CASE WHEN voice AND combat THEN 'combat_voice' WHEN NOT voice AND speaker IS NULL THEN 'scene_without_context' WHEN NOT voice AND speaker = 'assistant' THEN 'unmerged_own_turn' WHEN NOT voice AND speaker = 'system' THEN 'narration_transition'
+WHEN NOT voice AND {MEANT.format('before')} < 2 THEN 'nonsemantic_last_utterance' WHEN NOT voice AND how = 'choice' AND regexp_full_match(before, '(?s)（.*）|[(].*[)]') THEN 'traveler_internal_monologue' WHEN NOT voice AND mismatch THEN 'known_semantic_mismatch'
+WHEN regexp_matches(trim(line), '(?i)^\p{{P}}?(?:well|oh)[\p{{P}}\p{{S}}\s]*$') THEN 'filler_only' WHEN {MEANT.format('line')} < 10 THEN 'too_short' WHEN regexp_matches(trim(line), '(…|——|—)$') THEN 'fragment_ending' WHEN regexp_matches(line, '^(…|[.][.][.])') THEN 'leading_ellipsis'
+WHEN regexp_matches(trim(line), '(?i)^\p{{P}}?(?:well)[\p{{P}}\p{{S}}\s]') THEN 'filler_start' END AS reason FROM p""")
+def chat_exclusions(spark, sf_dir):
+    c = F.col("conv_id")
+    rules = scenes.chat_rules(F.col("line"), F.col("context_before"), "assistant", "system", ("well", "oh"), ("well",), voice=c % 9 == 0, combat=c % 2 == 0, mismatch=(c + F.col("turn")) % 50 == 0)
+    return chat_lines(spark, sf_dir).select("conv_id", "turn", quality.first_reason(rules).alias("reason"))
+
+
+@Q("""WITH f AS (SELECT doc_id, doc_id % 4 = 1 AS test_a, lang = 'de' AS gone_a, length(text) < 300 AS empty_a, l.doc_id IS NOT NULL AND toxic = 1 AS joint_b, l.doc_id IS NOT NULL AND quality = 0 AS meta_b FROM documents LEFT JOIN labels l USING (doc_id))
+SELECT doc_id, array_to_string(list_filter([CASE WHEN test_a THEN 'text_test_marker' END, CASE WHEN gone_a THEN 'discarded_marker' END, CASE WHEN empty_a THEN 'empty_text' END, CASE WHEN joint_b THEN 'joint_speaker' END], lambda x: x IS NOT NULL), ',') AS reasons,
+array_to_string(list_filter([CASE WHEN test_a THEN 'text_test_marker' END, CASE WHEN gone_a THEN 'discarded_marker' END, CASE WHEN empty_a THEN 'empty_text' END, CASE WHEN joint_b THEN 'joint_speaker' END, CASE WHEN meta_b THEN 'metadata_test_marker' END], lambda x: x IS NOT NULL), ',') AS strict FROM f""")
+def pair_exclusions(spark, sf_dir):
+    """A document's flags on one side, its label's on the other; without a label the other side is null."""
+    d, own = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").withColumn("there", F.lit(True))
+    no = F.lit(False)
+    flags = lambda **on: F.struct(*(on.get(n, no).alias(n) for n in scenes.FLAGS))
+    left = flags(text_test_marker=F.col("doc_id") % 4 == 1, discarded_marker=F.col("lang") == "de", empty_text=F.length("text") < 300)
+    right = F.when(F.col("there"), flags(joint_speaker=F.col("toxic") == 1, metadata_test_marker=F.col("quality") == 0))
+    out = d.join(own, "doc_id", "left").select("doc_id", left.alias("l"), right.alias("r"))
+    return out.select("doc_id", *(F.array_join(scenes.pair_exclusions(F.col("l"), F.col("r"), strict), ",").alias(name) for name, strict in (("reasons", False), ("strict", True))))
+
+
 @Q("""SELECT a.conv_id, a.turn, b.conv_id IS NOT NULL AS counterpart_found, coalesce(b.role, '') AS other_speaker, sha256(coalesce(b.text, '')) AS other_sha FROM conversations a
 LEFT JOIN (SELECT * FROM conversations WHERE conv_id % 3 <> 0) b ON a.conv_id = b.conv_id AND a.turn = b.turn""")
 def paired_scenes(spark, sf_dir):

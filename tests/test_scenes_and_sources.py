@@ -219,3 +219,35 @@ def test_canonical_rows_without_a_key_stay_alone(spark):
     rows = spark.createDataFrame([("k", "s2", 5), ("k", "s1", 7), (None, "s1", 1), (None, "s1", 2), ("", "s3", 3)], "key string, source string, n int")
     got = dedup.canonical(rows, "key", [F.col("n")], "source").collect()
     assert sorted((str(r.key), r.n, tuple(r.duplicate_sources), r.source_occurrence_count) for r in got) == [("", 3, ("s3",), 1), ("None", 1, ("s1",), 1), ("None", 2, ("s1",), 1), ("k", 5, ("s1", "s2"), 2)]
+
+
+def test_compaction_of_short_histories(spark):
+    from corpuslake.operators.dialogue import compaction_split
+
+    cases = {"aua": 1, "uua": 0, "uuua": 0, "uau": 0, "ua": 0, "suau": 0, "saua": 1, "uuu": 1, "uauaua": 2, "uauauau": 2, "sss": 2}
+    names = {"a": "assistant", "u": "user", "s": "system"}
+    rows = [(case, i, names[c]) for case in cases for i, c in enumerate(case)]
+    got = compaction_split(spark.createDataFrame(rows, "s string, i int, role string"), "s", "i", "role").collect()
+    out = {case: sorted(r.i for r in got if r.s == case and r.compacted) for case in cases}
+
+    def plain(case):
+        first = case[0] == "s"
+        if len(case) - first < 3:
+            return []
+        keep = 5 if case[-1] == "u" else 4
+        start = len(case) - keep if len(case) > first + keep else first + 1
+        if case[start] == "a" and case[start - 1] == "u":
+            start -= 1
+        return list(range(first, start))
+
+    assert out == {case: plain(case) for case in cases}
+
+
+def test_scenes_without_ids_group_by_the_fallback(spark):
+    from pyspark.sql import functions as F
+
+    from corpuslake.operators.dedup import canonical
+
+    rows = spark.createDataFrame([(1, [], "f", "a"), (2, [], "f", "a"), (3, [], "f", "b"), (4, ["x"], "f", "a"), (5, ["x"], "g", "a"), (6, None, "f", "b")], "n int, ids array<string>, file string, scene string")
+    pick = lambda *more: sorted((r.n, r.source_occurrence_count) for r in canonical(rows, "ids", [F.col("n")], "file", *more).collect())
+    assert pick() == [(1, 1), (2, 1), (3, 1), (4, 2), (6, 1)] and pick(["file", "scene"]) == [(1, 2), (3, 1), (4, 2), (6, 1)]

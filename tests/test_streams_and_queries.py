@@ -11,7 +11,8 @@ SF = "/root/testdata/sf0.001"
 #: A selection of each module; the driver compares all queries at a larger size.
 NAMES = [
     "norm_text_dedup", "canonical_pick", "align_full", "exclusion_reasons", "length_percentiles", "leakfree_split", "split_leakage", "context_window", "turn_merge", "compaction_split", "lru_active", "lru_stream", "compaction_stream", "lexical_retrieval", "alias_join", "shadowed_matches", "trigger_owners", "relationship_nodes", "review_lineage", "consistency_rules", "token_budget",
-    "json_scan", "scene_context", "wikitext_voices", "stored_sessions", "scene_prompts", "line_prompts", "alias_names", "gram_retrieval", "voice_evidence", "answer_rules", "viewpoint_violations", "restored_sets", "activation_stream", "numeric_id_order"]
+    "json_scan", "scene_context", "wikitext_voices", "stored_sessions", "scene_prompts", "line_prompts", "alias_names", "gram_retrieval", "voice_evidence", "answer_rules", "viewpoint_violations", "restored_sets", "activation_stream", "numeric_id_order",
+    "compaction_split_stream", "chat_exclusions", "canonical_scenes", "speaker_inventory", "speaker_scenes", "pair_exclusions", "character_totals", "contradictions", "verdict_issues", "evidence_bundles", "rule_categories"]
 
 
 def plain(v):
