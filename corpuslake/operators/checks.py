@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslake.functions.text import any_of, fragment_ending, semantic_length
+from corpuslake.operators.tables import IS_ARRAY, IS_OBJECT, recursive
 
 #: Forms of private data that must not be published (defaults; a parameter).
 PRIVATE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+", "home_path": r"/(home|Users)/[a-z]+", "api_key": r"\b(sk|AKIA)[A-Za-z0-9-]{16,}"}
@@ -158,29 +159,22 @@ def reusable(inputs: DataFrame, outputs: DataFrame, key: str, valid: Column) ->
 
 
 def nested_keys(rows: DataFrame, key: str, json: str, forbidden: tuple[str, ...]) -> DataFrame:
-    """Forbidden object keys at any depth of a JSON text, escaped ones too; text that is no JSON has none. A text is one row and is walked where it lies."""
-
-    @F.udtf(returnType="forbidden string")
-    class Keys:
-        def eval(self, body: str):
-            import json as j
-
-            try:
-                stack = [j.loads(body)]
-            except (TypeError, ValueError):
-                return
-            seen = set()
-            while stack:
-                v = stack.pop()
-                if isinstance(v, dict):
-                    seen.update(k for k in v if k in forbidden)
-                    stack += v.values()
-                elif isinstance(v, list):
-                    stack += v
-            for k in sorted(seen):
-                yield (k,)
-
-    return rows.select(key, json).lateralJoin(Keys(F.col(json).outer())).select(key, "forbidden")
+    """(key, forbidden): the forbidden object keys at any depth of a JSON text, escaped ones too, each once for each key; text that is no JSON has none.
+
+    A recursive query explodes VARIANT objects and arrays level by level; only their nested objects and arrays go on to the next, and of a level
+    with forbidden keys just those are kept beside."""
+    spark = rows.sparkSession
+    wanted = F.array(*map(F.lit, forbidden)).cast("array<string>").alias("wanted")
+    docs = rows.select(F.col(key).alias("id"), F.try_parse_json(json).alias("v"), wanted).where("v is not null")
+    found = recursive(spark, f"""
+        WITH RECURSIVE walk AS (
+            SELECT id, wanted, CAST(NULL AS STRING) AS name, v FROM {{docs}}
+            UNION ALL
+            SELECT w.id, w.wanted, e.key, CASE WHEN {IS_ARRAY.format("e.value")} OR {IS_OBJECT.format("e.value")} THEN e.value END
+            FROM walk w, LATERAL variant_explode(w.v) e
+            WHERE array_contains(w.wanted, e.key) OR {IS_ARRAY.format("e.value")} OR {IS_OBJECT.format("e.value")})
+        SELECT DISTINCT id, name FROM walk WHERE array_contains(wanted, name)""", "nested-keys", docs=docs)
+    return found.select(F.col("id").alias(key), F.col("name").alias("forbidden"))
 
 
 def repeated_keys(rows: DataFrame, *keys: str) -> DataFrame:

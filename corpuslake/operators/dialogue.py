@@ -5,105 +5,91 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from corpuslake.operators.tables import numbered, settled
-
-TURN = T.StructType([
-    T.StructField("scene_path", T.ArrayType(T.StringType())), T.StructField("scene_id", T.StringType()), T.StructField("objective", T.StringType()),
-    T.StructField("pos", T.IntegerType()), T.StructField("place", T.ArrayType(T.IntegerType())), T.StructField("branch_path", T.ArrayType(T.StringType())),
-    T.StructField("id", T.StringType()), T.StructField("speaker", T.StringType()), T.StructField("text", T.StringType()), T.StructField("kind", T.StringType()),
-    T.StructField("context_before", T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in ("id", "speaker", "text", "kind")]))),
-])
-
-
-def _scenes(value, path=()):
-    """Objects that own a list `dialogues`, with their paths; a stack instead of recursion, so depth is no limit."""
-    stack = [(path, value)]
-    while stack:
-        at, v = stack.pop()
-        if isinstance(v, dict):
-            owns = isinstance(v.get("dialogues"), list)
-            if owns:
-                yield at, v
-            stack += [((*at, str(k)), x) for k, x in reversed(list(v.items())) if not (owns and k == "dialogues")]
-        elif isinstance(v, list):
-            stack += [((*at, str(i)), x) for i, x in reversed(list(enumerate(v)))]
-
-
-def _text(x) -> str:
-    return "" if x is None else str(x)
-
-
-def _flat(items, player: str, size: int = 0, blank: bool = True, responses: bool = False, speaker: str | None = None):
-    """Turns in reading order: (place, branch, id, speaker, text, kind, context). place is the path of (item, choice) positions that lead
-    to the branch the turn stands in; ids may repeat or be empty, positions don't. context holds the last `size` turns that lead to
-    the turn: a branch goes on from the turns before its choice, and what follows the branch does not know it.
-
-    blank: turns without text are turns too, but one needs a speaker and a text. Otherwise they are left out, and a missing speaker is
-    `speaker`. responses: an item's own list `response` is read after its choices."""
-    stack = [(items, 0, (), (), ())]
-    while stack:
-        seq, i, place, branch, before = stack.pop()
-        if i >= len(seq):
-            continue
-        item = seq[i]
-        if not isinstance(item, dict):
-            stack.append((seq, i + 1, place, branch, before))
-            continue
-        after = before
-        if "_choice" in item:
-            turn = (_text(item["id"]), player, item["_choice"], "choice")
-        else:
-            turn = (_text(item.get("id", "")), _text(item.get("speaker")) or speaker or "", item.get("text"), "dialogue")
-        body = turn[2] if isinstance(turn[2], str) else "" if turn[2] is None else str(turn[2])
-        there = ("_choice" in item or ("speaker" in item and "text" in item)) if blank else isinstance(turn[2], str) and body.strip() != ""
-        if there:
-            turn = (turn[0], turn[1], body if blank else body.strip(), turn[3])
-            yield place, branch, *turn, before
-            after = (*before, turn)[-size:] if size else ()
-        if "_choice" in item:
-            # a choice's own responses go on from it, in the same branch
-            stack.append((item["response"], 0, place, branch, after))
-            continue
-        stack.append((seq, i + 1, place, branch, after))
-        if responses and isinstance(item.get("response"), list):
-            stack.append((item["response"], 0, place, branch, after))
-        choices = item.get("choices")
-        for n, choice in reversed(list(enumerate(choices if isinstance(choices, list) else []))):
-            if isinstance(choice, dict):
-                own, response = _text(choice.get("id", "")), choice.get("response")
-                head = {"_choice": choice.get("text", ""), "id": own, "response": response if isinstance(response, list) else []}
-                stack.append(([head], 0, (*place, i, n), (*branch, own), after))
+
+from corpuslake.functions.text import BLANK
+from corpuslake.operators.tables import IS_ARRAY, IS_OBJECT, numbered, recursive, settled
+
+#: Columns of a turn.
+TURN = ("scene_path", "scene_id", "objective", "pos", "place", "branch_path", "id", "speaker", "text", "kind", "context_before")
+#: Where an item's own responses stand among its choices: after all of them.
+AFTER = 1 << 30
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def scene_containers(docs: DataFrame, json: str = "json") -> DataFrame:
+    """(doc, path, keep, v): every object that owns a list `dialogues`, at any depth; what is inside that list is not looked at, what stands beside it is.
+
+    doc numbers the documents, keep holds their other columns. A recursive query explodes VARIANT objects and arrays, and only those go on."""
+    keep = F.struct(*(F.col(c) for c in docs.columns if c != json)) if len(docs.columns) > 1 else F.struct(F.lit(None).cast("string").alias("_none"))
+    start = docs.select(F.monotonically_increasing_id().alias("doc"), keep.alias("keep"), F.try_parse_json(F.col(json)).alias("v")).where("v is not null")
+    return recursive(docs.sparkSession, f"""
+        WITH RECURSIVE walk AS (
+            SELECT doc, keep, CAST(array() AS ARRAY<STRING>) AS path, v FROM {{start}}
+            UNION ALL
+            SELECT w.doc, w.keep, concat(w.path, array(coalesce(e.key, CAST(e.pos AS STRING)))), e.value
+            FROM walk w, LATERAL variant_explode(w.v) e
+            WHERE ({IS_ARRAY.format("e.value")} AND coalesce(e.key, '') <> 'dialogues') OR {IS_OBJECT.format("e.value")})
+        SELECT doc, path, keep, v FROM walk WHERE try_variant_get(v, '$.dialogues', 'array<variant>') IS NOT NULL""", "scenes", start=start)
 
 
 def flatten_documents(docs: DataFrame, json: str = "json", player: str = "Player", context: int = 0, blank: bool = True, responses: bool = False, speaker: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Turns of all scenes in nested JSON documents of any depth, and the documents that can't be parsed.
 
-    A document is one row and never leaves its partition; a table function walks it once. Scene id: the first of id, talkId and
-    initDialog that is neither empty nor 0, else the path. A choice is a turn of the player. context_before holds up to `context` turns
-    that lead to the turn, carried along by the walk, so no list of a whole scene is ever gathered. blank, responses and speaker as in _flat."""
+    Scene id: the first of id, talkId and initDialog that is neither empty nor 0, else the path. A choice is a turn of the player. blank: turns without
+    text are turns too, but one needs a speaker and a text. Otherwise they are left out, and a missing speaker is `speaker`. responses: an
+    item's own list `response` is read after its choices. place is the path of (item, choice) positions that lead to the branch a turn stands in;
+    ids may repeat or be empty, positions don't. context_before holds up to `context` turns that lead to the turn: a branch goes on from the
+    turns before its choice, and what follows the branch does not know it.
+
+    Two recursive queries over VARIANT: scene_containers(), and one that opens a scene's sequences of items: each choice with its
+    response makes another sequence, with the context that leads to it. A turn's key is the path of positions down to it, so arrays of positions
+    in their natural order are the depth-first order. Contexts are slices of a sequence's own array; no scene is gathered."""
     if context < 0:
         raise ValueError("context must not be negative")
-
-    @F.udtf(returnType=TURN)
-    class Turns:
-        def eval(self, body: str):
-            import json as j
-
-            try:
-                value = j.loads(body)
-            except (TypeError, ValueError):
-                return
-            for path, scene in _scenes(value):
-                name = next((str(scene[k]) for k in ("id", "talkId", "initDialog") if scene.get(k)), "/".join(path))
-                for pos, (place, branch, own, who, text, kind, before) in enumerate(_flat(scene["dialogues"], player, context, blank, responses, speaker)):
-                    yield list(path), name, _text(scene.get("objective", "")), pos, list(place), list(branch), own, who, text, kind, [list(t) for t in before]
-
-    bad = docs.where(F.try_parse_json(F.col(json)).isNull())
-    good = docs.where(F.try_parse_json(F.col(json)).isNotNull())
-    keep = [F.col(c) for c in docs.columns if c != json]
-    return good.lateralJoin(Turns(F.col(json).outer())).select(*keep, *TURN.names), bad
+    of = lambda v, field, kind="string": f"try_variant_get({v}, '$.{field}', '{kind}')"
+    blanks = lambda v: f"regexp_replace({v}, {_quoted(f'^{BLANK}+|{BLANK}+$')}, '')"
+    spoken = lambda v: f"coalesce(schema_of_variant({of(v, 'text', 'variant')}) = 'STRING' AND {blanks(of(v, 'text'))} <> '', false)"
+    there = lambda v: f"({IS_OBJECT.format(v)} AND {of(v, 'speaker', 'variant')} IS NOT NULL AND {of(v, 'text', 'variant')} IS NOT NULL)" if blank else f"({IS_OBJECT.format(v)} AND {spoken(v)})"
+    body = lambda v: f"coalesce({of(v, 'text')}, '')" if blank else blanks(of(v, "text"))
+    turn = lambda v, who, kind: f"named_struct('id', coalesce({of(v, 'id')}, ''), 'speaker', {who}, 'text', {body(v)}, 'kind', '{kind}')"
+    said = lambda v: turn(v, f"coalesce(nullif({of(v, 'speaker')}, ''), {_quoted(speaker or '')})", "dialogue")
+    newest = lambda turns: f"slice({turns}, greatest(1, size({turns}) - {context - 1}), {context})" if context else f"slice({turns}, 1, 0)"
+    chosen = f"CASE WHEN {'true' if blank else spoken('c')} THEN {turn('c', _quoted(player), 'choice')} END"
+    no_items = "CAST(array() AS ARRAY<VARIANT>)"
+    branches = f"filter(transform(coalesce({of('item', 'choices', 'array<variant>')}, {no_items}), (c, n) -> CASE WHEN {IS_OBJECT.format('c')} THEN named_struct('n', n, 'own', false, 'branch', coalesce({of('c', 'id')}, ''), 'head', {chosen}, 'items', coalesce({of('c', 'response', 'array<variant>')}, {no_items})) END), b -> b IS NOT NULL)"
+    if responses:
+        empty = f"named_struct('n', {AFTER}, 'own', true, 'branch', '', 'head', CAST(NULL AS STRUCT<id: STRING, speaker: STRING, text: STRING, kind: STRING>), 'items', coalesce({of('item', 'response', 'array<variant>')}, {no_items}))"
+        branches = f"concat({branches}, array({empty}))"
+    up_to = f"transform(filter(slice(items, 1, i + 1), x -> {there('x')}), x -> {said('x')})"
+    led = "concat(led, CASE WHEN head IS NULL THEN slice(led, 1, 0) ELSE array(head) END)"
+
+    found = scene_containers(docs, json)
+    names = [F.nullif(F.nullif(F.nullif(F.expr(of("v", k)), F.lit("")), F.lit("0")), F.lit("false")) for k in ("id", "talkId", "initDialog")]
+    none = "CAST(array() AS ARRAY<STRUCT<id: STRING, speaker: STRING, text: STRING, kind: STRING>>)"
+    start = found.select("doc", "keep", "path", F.coalesce(*names, F.array_join("path", "/")).alias("scene_id"), F.expr(f"coalesce({of('v', 'objective')}, '')").alias("objective"), F.expr(of("v", "dialogues", "array<variant>")).alias("items"))
+    sequences = recursive(docs.sparkSession, f"""
+        WITH RECURSIVE opened AS (
+            SELECT doc, keep, path, scene_id, objective, CAST(array() AS ARRAY<INT>) AS key, CAST(array() AS ARRAY<INT>) AS place, CAST(array() AS ARRAY<STRING>) AS branch,
+                   CAST(NULL AS STRUCT<id: STRING, speaker: STRING, text: STRING, kind: STRING>) AS head, {none} AS led, items FROM {{start}}
+            UNION ALL
+            SELECT doc, keep, path, scene_id, objective, concat(key, array(i, b.n)), CASE WHEN b.own THEN place ELSE concat(place, array(i, b.n)) END, CASE WHEN b.own THEN branch ELSE concat(branch, array(b.branch)) END,
+                   b.head, {newest(f"concat({led}, {up_to})")}, b.items
+            FROM opened LATERAL VIEW posexplode(items) AS i, item LATERAL VIEW explode({branches}) AS b)
+        SELECT * FROM opened""", "sequences", start=start)
+    own = sequences.withColumns({
+        "at": F.expr(f"filter(transform(items, (x, i) -> CASE WHEN {there('x')} THEN i END), i -> i IS NOT NULL)"), "own": F.expr(f"transform(filter(items, x -> {there('x')}), x -> {said('x')})"),
+        "before": F.expr(newest(led)),
+    }).withColumn("all", F.concat("before", "own"))
+    each = f"transform(own, (t, j) -> named_struct('key', concat(key, array(at[j])), 'turn', t, 'context', slice(all, greatest(1, size(before) + j - {context - 1}), least({context}, size(before) + j))))"
+    first = "CASE WHEN head IS NULL THEN slice({0}, 1, 0) ELSE array(named_struct('key', key, 'turn', head, 'context', led)) END"
+    turns = own.withColumn("turns", F.expr(each)).select("doc", "keep", "path", "scene_id", "objective", "place", "branch", F.explode(F.expr(f"concat({first.format('turns')}, turns)")).alias("t"))
+    pos = F.row_number().over(W.partitionBy("doc", "path").orderBy("t.key")) - 1
+    kept = [F.col(f"keep.{c}").alias(c) for c in docs.columns if c != json]
+    out = turns.select(*kept, F.col("path").alias("scene_path"), "scene_id", "objective", pos.alias("pos"), "place", F.col("branch").alias("branch_path"), "t.turn.*", F.col("t.context").alias("context_before"))
+    return out, docs.where(F.try_parse_json(F.col(json)).isNull())
 
 
 def preceding_context(docs: DataFrame, target: Column, size: int = 8, **how) -> DataFrame:

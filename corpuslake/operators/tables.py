@@ -31,6 +31,29 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def recursive(spark: SparkSession, sql: str, name: str, **views: DataFrame) -> DataFrame:
+    """The rows of a WITH RECURSIVE query over the views named in braces, written and read again. Neither depth nor rows of the recursion are limited."""
+    names = {view: f"{view}_{uuid.uuid4().hex}" for view in views}
+    limits = {f"spark.sql.cteRecursion{x}Limit": spark.conf.get(f"spark.sql.cteRecursion{x}Limit") for x in ("Row", "Level")}
+    for view, df in views.items():
+        df.createOrReplaceTempView(names[view])
+    try:
+        for key in limits:
+            spark.conf.set(key, "-1")
+        for view, own in names.items():
+            sql = sql.replace(f"{{{view}}}", own)
+        return settled(spark.sql(sql), name)
+    finally:
+        for key, before in limits.items():
+            spark.conf.set(key, before)
+        for view in names.values():
+            spark.catalog.dropTempView(view)
+
+
+#: SQL tests of a VARIANT value.
+IS_ARRAY, IS_OBJECT = "try_variant_get({}, '$', 'array<variant>') IS NOT NULL", "try_variant_get({}, '$', 'map<string,variant>') IS NOT NULL"
+
+
 def discard(*written: DataFrame | None) -> None:
     """Deletes tables of settled() that nothing reads any more; any other frame is left alone."""
     for df in written:
