@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from corpuslake.llm.graph_search import nearest, op10_graph_search
 
@@ -33,6 +34,31 @@ def test_recall_and_exact_scores(spark):
     assert by[3] == want[3] and by[2000] == want[2000] and by[3005] == want[3005]
 
 
+@pytest.mark.parametrize(("mean", "spread"), [(1000.0, 0.1), (1000.0, 1.0), (0.0, 1e20), (0.0, 1e-150), (0.0, 1e150)])
+def test_recall_wherever_the_vectors_lie(spark, mean, spread):
+    rng = np.random.default_rng(6)
+    rows = [(i, (mean + spread * rng.normal(size=32)).tolist()) for i in range(900)] + [(1000 + i, (mean + spread * rng.normal(size=7)).tolist()) for i in range(500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ask = [*range(0, 900, 30), *range(1000, 1500, 25)]
+    want, got = brute(rows, ask, 10), {}
+    for r in nearest(df, df.where(df.vec_id.isin(ask)).withColumnRenamed("vec_id", "query_id"), 10, shard=300).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    hits = sum(len(got[i].keys() & {j for _, j in want[i]}) for i in ask)
+    assert hits >= 0.95 * 10 * len(ask) and all(len(got[i]) == 10 for i in ask)
+    assert all(np.isclose(got[i][j], d, rtol=1e-12) for i in ask for d, j in want[i] if j in got[i])
+
+
+def test_one_huge_vector_among_small_ones(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(400)] + [(900, [1e20] * 16), (901, [-1e20, *[1.0] * 15])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ask = [*range(0, 400, 20), 900, 901]
+    want, got = brute(rows, ask, 10), {}
+    for r in nearest(df, df.where(df.vec_id.isin(ask)).withColumnRenamed("vec_id", "query_id"), 10).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(got[i] & {j for _, j in want[i]}) for i in ask if i < 400) >= 0.95 * 200 and len(got[900]) == len(got[901]) == 10
+
+
 def test_recall_on_the_table(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
