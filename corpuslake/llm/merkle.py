@@ -17,7 +17,7 @@ SPAN, SALTS = 8, 256
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 #: A path is an array of steps: whether the sibling stands left, and its hash (32 bytes; null: none). What a start leads to, and all its siblings in a row.
-_FOLD = "aggregate({path}, {start}, (h, x) -> sha2(concat(if(x.left, coalesce(lower(hex(x.sibling)), ''), ''), h, if(x.left, '', coalesce(lower(hex(x.sibling)), ''))), 256))"
+_FOLD = "unhex(aggregate({path}, {start}, (h, x) -> sha2(concat(if(x.left, coalesce(lower(hex(x.sibling)), ''), ''), h, if(x.left, '', coalesce(lower(hex(x.sibling)), ''))), 256)))"
 _PROOF = "aggregate({path}, X'', (found, x) -> concat(found, coalesce(x.sibling, X'')))"
 
 
@@ -26,6 +26,10 @@ def leaf_hash(fields: list[Column]) -> Column:
     return sha256_hex(F.concat(*(F.coalesce(F.concat(F.octet_length(s := c.cast("string")).cast("string"), F.lit(":"), s), F.lit("-")) for c in fields)))
 
 
+def _hex(c: str) -> Column:
+    return F.lower(F.hex(c))
+
+
 def _above(level: Column) -> Column:
     """The hashes of each two neighbours of a level; the last one may be alone."""
     pair = lambda i: sha256_hex(F.concat(F.get(level, 2 * i), F.coalesce(F.get(level, 2 * i + 1), F.lit(""))))
@@ -74,13 +78,13 @@ def manifest(docs: DataFrame, order: str = "doc_id", by: str = "lang", fields: t
     take neighbouring places; null fields, empty texts and other columns need no care. An empty table gives no rows."""
     old = {c: F.col(c) for c in fields}
     changed = list((old | (tampered or {})).values())
-    leaves = materialize(docs.select(F.col(by).alias("by"), F.col(order).alias("id"), leaf_hash([*old.values()]).alias("leaf"), leaf_hash(changed).alias("start")), "merkle-leaves")
+    leaves = materialize(docs.select(F.col(by).alias("by"), F.col(order).alias("id"), F.unhex(leaf_hash([*old.values()])).alias("leaf"), F.unhex(leaf_hash(changed)).alias("start")), "merkle-leaves")
     placed = materialize(numbered(leaves, [F.col("by").asc_nulls_first(), F.col("id").asc_nulls_first(), F.col("leaf")], "place"), "merkle-placed")
     discard(leaves)
     trees = numbered(placed.groupBy("by").agg(F.min("place").alias("first"), F.count("*").alias("n")), [F.col("by").asc_nulls_first()], "tree")
     trees = materialize(trees.select(F.col("by").alias("own_by"), "first", "n", (F.col("tree") - 1).alias("tree")), "merkle-trees")
     nodes = placed.join(bounded_broadcast(trees), F.col("by").eqNullSafe(F.col("own_by")))
-    nodes = nodes.select("tree", (F.col("place") - F.col("first")).alias("pos"), F.col("leaf").alias("hash"), "n", F.struct("id", "start").alias("load"))
+    nodes = nodes.select("tree", (F.col("place") - F.col("first")).alias("pos"), _hex("leaf").alias("hash"), "n", F.struct("id", F.nullif("start", "leaf").alias("start")).alias("load"))
     whole, zero = F.lit(-1).cast("long"), F.lit(0).cast("long")
     (own, *higher), tops = built(nodes, F.struct(whole.alias("tree"), zero.alias("level"), F.col("tree").alias("pos")), "merkle", span)
     tops = materialize(tops, "merkle-tops")
@@ -90,10 +94,10 @@ def manifest(docs: DataFrame, order: str = "doc_id", by: str = "lang", fields: t
     many = (F.col("tree") < 0) | (F.col("level") >= 2 * span)
     salts = F.explode(F.when(many, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
     links = materialize(reduce(DataFrame.union, (x.select("tree", "level", "pos", "path", "parent", salts.alias("salt")) for x in (*higher, *last))), "merkle-links")
-    start = own.select(F.col("load.id").alias("id"), F.col("hash").alias("leaf"), "tree", "parent", F.expr(_FOLD.format(path="path", start="load.start")).alias("folded"), F.expr(_PROOF.format(path="path")).alias("proof"))
+    start = own.select(F.col("load.id").alias("id"), F.unhex("hash").alias("leaf"), "tree", "parent", F.expr(_FOLD.format(path="path", start="coalesce(lower(hex(load.start)), hash)")).alias("folded"), F.expr(_PROOF.format(path="path")).alias("proof"))
     known = tops.select("tree", F.col("top").alias("subroot"), whole.alias("over")).join(root.select(F.col("tree").alias("over"), F.col("top").alias("root")), "over").drop("over")
     out = climbed(start, links, span).join(bounded_broadcast(materialize(known, "merkle-roots")), "tree")
-    return out.select(F.col("id").alias(order), "leaf", "subroot", "root", "proof", F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+    return out.select(F.col("id").alias(order), _hex("leaf").alias("leaf"), "subroot", "root", "proof", _hex("folded").alias("folded_root"), (_hex("folded") == F.col("root")).alias("verified"))
 
 
 def climbed(start: DataFrame, links: DataFrame, span: int) -> DataFrame:
@@ -105,7 +109,7 @@ def climbed(start: DataFrame, links: DataFrame, span: int) -> DataFrame:
         WITH RECURSIVE climb AS (
             SELECT id, leaf, tree, parent, folded, proof FROM {views[0]}
             UNION ALL
-            SELECT c.id, c.leaf, c.tree, l.parent, {_FOLD.format(path="l.path", start="c.folded")}, concat(c.proof, {_PROOF.format(path="l.path")})
+            SELECT c.id, c.leaf, c.tree, l.parent, {_FOLD.format(path="l.path", start="lower(hex(c.folded))")}, concat(c.proof, {_PROOF.format(path="l.path")})
             FROM climb c JOIN {views[1]} l ON l.tree = c.parent.tree AND l.level = c.parent.level AND l.pos = c.parent.pos
                 AND l.salt = CASE WHEN c.parent.tree < 0 OR c.parent.level >= {2 * span} THEN pmod(xxhash64(c.id, c.leaf), {SALTS}) ELSE 0 END)
         SELECT id, leaf, tree, folded, proof FROM climb WHERE parent IS NULL"""
