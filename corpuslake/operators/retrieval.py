@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Callable
+
+import ahocorasick
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -37,6 +42,62 @@ def literal(text: Column) -> Column:
     return F.regexp_replace(text, r"([\\\[\]{}()*+?.^$|&~#-])", r"\\$1")
 
 
+#: Aliases (and their characters) that one automaton holds; above either, texts and aliases meet by a join.
+AUTOMATON_ALIASES, AUTOMATON_CHARS = 200_000, 4_000_000
+
+
+def _automaton(spark: SparkSession, terms: DataFrame, inner: str) -> Callable[[Column, Column], Column] | None:
+    """A function from a text (folded, and as it is) to all aliases in it: an array of _alias, _bound and n, their counts, none overlapping.
+
+    terms: _alias, _bound and _cased (it is looked for in the text as it is). Each text is walked once, whatever the number of aliases. None
+    where they are not proven to be few: then they are not brought together in one place."""
+    rows = terms.select("_alias", "_bound", "_cased").distinct().limit(AUTOMATON_ALIASES + 1).collect()
+    if len(rows) > AUTOMATON_ALIASES or sum(len(r._alias) for r in rows) > AUTOMATON_CHARS:
+        return None
+    shared, built = spark.sparkContext.broadcast([tuple(r) for r in rows]), []
+    beside = re.compile(f"[{inner}]" if inner else "(?!)")
+
+    def build() -> list:
+        """One automaton for folded texts and one for texts as they are; a word may be an alias with and without bounds."""
+        for cased in (False, True):
+            kinds: dict[str, list[bool]] = {}
+            for alias, bound, own in shared.value:
+                if own == cased and alias:
+                    kinds.setdefault(alias, []).append(bound)
+            machine = ahocorasick.Automaton()
+            for alias, bounds in kinds.items():
+                machine.add_word(alias, (alias, bounds))
+            machine.make_automaton()
+            built.append(machine if kinds else None)
+        return built
+
+    def walk(machine: ahocorasick.Automaton | None, text: str | None) -> dict[tuple[str, bool], int]:
+        count: dict[tuple[str, bool], int] = {}
+        ends: dict[tuple[str, bool], int] = {}
+        for last, (alias, bounds) in machine.iter(text) if machine is not None and text else ():
+            start, end = last + 1 - len(alias), last + 1
+            for bound in bounds:
+                taken = bound and (start and beside.match(text[start - 1]) or beside.match(text, end))
+                if not taken and start >= ends.get((alias, bound), 0):
+                    count[alias, bound], ends[alias, bound] = count.get((alias, bound), 0) + 1, end
+        return count
+
+    @F.pandas_udf("array<struct<_alias: string, _bound: boolean, n: bigint>>")
+    def found(folded: pd.Series, plain: pd.Series) -> pd.Series:
+        machines = built or build()
+        return pd.Series([[{"_alias": a, "_bound": b, "n": n} for machine, text in zip(machines, both, strict=True) for (a, b), n in walk(machine, text).items()] for both in zip(folded, plain, strict=True)], dtype=object)
+
+    return found
+
+
+def _alias_terms(aliases: DataFrame, entity: str, alias: str, mode: str) -> DataFrame:
+    """entity, alias, _bound (its neighbours count), _alias (as it is looked for) and _cased (in the text as it is, not folded)."""
+    bound = F.col(alias).rlike(RULES[mode][0])
+    cased = F.lit(False) if mode == "pipeline" else ~bound
+    terms = aliases.where(F.length(alias) >= (2 if mode == "pipeline" else 1)).select(entity, alias, bound.alias("_bound"), F.when(cased, F.col(alias)).otherwise(F.lower(alias)).alias("_alias"), cased.alias("_cased"))
+    return terms.distinct()
+
+
 def alias_matches(texts: DataFrame, text_id: str, text: str, aliases: DataFrame, entity: str, alias: str, mode: str = "pipeline") -> DataFrame:
     """(text_id, entity, alias, n): aliases that a text names, and how often, none overlapping. text_id is unique.
 
@@ -44,20 +105,24 @@ def alias_matches(texts: DataFrame, text_id: str, text: str, aliases: DataFrame,
     inside Chinese sentences are found; case is ignored. runtime: ASCII with no word character beside it and without case; any
     other as a plain substring with case.
 
-    No text meets all aliases. A bounded alias joins on its first run of word characters, which must be a whole run of the text, any
-    other on its first two characters; a text sends each of its runs and pairs once, without itself. Only the pairs of text and
-    alias that are left fetch the text, and there the whole alias is looked for."""
-    terms, keys, chars, found = _alias_keys(text, aliases, entity, alias, mode)
+    Up to AUTOMATON_ALIASES aliases make one automaton, which every task gets and walks each of its texts with once; no text is
+    shuffled, and only the aliases found go on. More aliases than that are joined: a bounded alias on its first run of word characters, which
+    must be a whole run of the text, any other on its first two characters; a text sends each of its runs and pairs once, without
+    itself, and only the pairs of text and alias that are left fetch the text."""
+    terms = _alias_terms(aliases, entity, alias, mode)
+    find = _automaton(texts.sparkSession, terms, RULES[mode][1])
+    if find is not None:
+        met = texts.select(text_id, F.explode(find(F.lower(text), F.col(text))).alias("_m")).select(text_id, "_m.*")
+        return met.join(terms, ["_alias", "_bound"]).select(text_id, entity, alias, "n")
+    terms, keys, chars, found = _alias_keys(text, terms, mode)
     spots = texts.select(text_id, F.col(text), *chars).select(text_id, F.explode(F.array_distinct(F.concat(*keys))).alias("_key"))
     near = spots.join(terms, "_key").drop("_key").distinct().join(texts.select(text_id, F.col(text).alias("_text")), text_id)
     return near.select(text_id, entity, alias, found.alias("n")).where("n > 0")
 
 
-def _alias_keys(text: str, aliases: DataFrame, entity: str, alias: str, mode: str) -> tuple[DataFrame, list[Column], list[Column], Column]:
-    """Aliases with the key that each joins on, a text's keys (over the columns `_chars`, if there are any), and how often an alias stands in `_text`."""
-    bound, inner = RULES[mode]
-    folded = F.lower(alias) if mode == "pipeline" else F.when(F.col(alias).rlike(bound), F.lower(alias)).otherwise(F.col(alias))
-    terms = aliases.where(F.length(alias) >= (2 if mode == "pipeline" else 1)).select(entity, alias, F.col(alias).rlike(bound).alias("_bound"), folded.alias("_alias")).distinct()
+def _alias_keys(text: str, terms: DataFrame, mode: str) -> tuple[DataFrame, list[Column], list[Column], Column]:
+    """Terms with the key that each joins on, a text's keys (over the columns `_chars`, if there are any), and how often an alias stands in `_text`."""
+    inner = RULES[mode][1]
     run = F.when(F.col("_bound"), F.nullif(F.regexp_extract("_alias", f"([{inner}]+)", 1), F.lit("")))
     # an ASCII alias without a word character has no run and no case
     terms = terms.withColumn("_key", F.coalesce(F.concat(F.lit("r"), run), F.concat(F.lit("p"), F.substring("_alias", 1, 2))))
@@ -67,17 +132,22 @@ def _alias_keys(text: str, aliases: DataFrame, entity: str, alias: str, mode: st
         chars = [F.regexp_extract_all(low if mode == "pipeline" else F.col(text), F.lit("(?s)."), F.lit(0)).alias("_chars")]
         keys += [F.transform("_chars", lambda c, i: F.concat(F.lit("p"), c, F.coalesce(F.get("_chars", i + 1), F.lit("")))), F.transform("_chars", lambda c: F.concat(F.lit("p"), c))]
     free = F.concat(F.lit(f"(?<![{inner}])"), literal(F.col("_alias")), F.lit(f"(?![{inner}])"))
-    plain = F.lower("_text") if mode == "pipeline" else F.col("_text")
+    plain = F.when(F.col("_cased"), F.col("_text")).otherwise(F.lower("_text"))
     n = F.when(F.col("_bound"), F.size(F.regexp_extract_all(F.lower("_text"), free, F.lit(0)))).otherwise(count_of(plain, F.col("_alias")))
     return terms, keys, chars, n.cast("long")
 
 
 def alias_stream(turns: DataFrame, text: str, aliases: DataFrame, entity: str, alias: str, mode: str = "runtime") -> DataFrame:
-    """The same for a stream of turns: a row for each alias that a turn names, one without entity for a turn that names none.
-
-    A stateless join with a table of aliases; nothing is aggregated, as each alias has one key and a turn sends each key once. A turn's row
-    without a match (or without text) has null in entity and alias."""
-    terms, keys, chars, found = _alias_keys(text, aliases, entity, alias, mode)
+    """The same for a stream of turns: a row for each alias that a turn names, one without entity for a turn that names none (or has no text).
+
+    Stateless: each turn is walked once by the automaton, and what it found meets the table of aliases. More aliases than an automaton
+    holds are joined by the key that each has, of which a turn sends each once."""
+    terms = _alias_terms(aliases, entity, alias, mode)
+    find = _automaton(turns.sparkSession, terms, RULES[mode][1])
+    if find is not None:
+        met = turns.select("*", F.explode_outer(find(F.lower(text), F.col(text))).alias("_m")).select(*turns.columns, "_m._alias", "_m._bound")
+        return met.join(terms, ["_alias", "_bound"], "left").select(*turns.columns, entity, alias)
+    terms, keys, chars, found = _alias_keys(text, terms, mode)
     spots = turns.select("*", *chars)
     spots = spots.select(*turns.columns, F.explode(F.concat(F.array(F.lit("none")), F.coalesce(F.array_distinct(F.concat(*keys)), F.array().cast("array<string>")))).alias("_key"))
     met = spots.join(terms, "_key", "left").withColumn("_text", F.col(text))
@@ -134,10 +204,22 @@ def scene_terms(lines: DataFrame, scene: str, order: str, speaker: str, text: st
 
 
 def substring_matches(texts: DataFrame, text_id: str, text: str, terms: DataFrame, entity: str, term: str) -> DataFrame:
-    """(text_id, entity, term, n): folded terms of two characters or more anywhere in a text, without case; joined on their first two characters."""
-    chars = F.regexp_extract_all(F.lower(text), F.lit("(?s)."), F.lit(0))
-    spots = texts.select(text_id, chars.alias("_chars")).select(text_id, F.explode(F.array_distinct(F.transform("_chars", lambda c, i: F.concat(c, F.coalesce(F.get("_chars", i + 1), F.lit("")))))).alias("_key"))
-    near = spots.join(terms.withColumn("_key", F.substring(term, 1, 2)), "_key").select(text_id, entity, term).distinct().join(texts.select(text_id, F.lower(text).alias("_text")), text_id)
+    """(text_id, entity, term, n): folded terms of two characters or more anywhere in a text, without case. text_id is unique.
+
+    By the automaton; more terms than it holds are joined on the rarest of their pairs of characters, so that no common pair brings every
+    text to a term, and only the texts left are fetched for it."""
+    own = terms.select(entity, term, F.col(term).alias("_alias"), F.lit(False).alias("_bound"), F.lit(False).alias("_cased"))
+    find = _automaton(texts.sparkSession, own, "")
+    if find is not None:
+        met = texts.select(text_id, F.explode(find(F.lower(text), F.col(text))).alias("_m")).select(text_id, "_m._alias", "_m.n")
+        return met.join(own, "_alias").select(text_id, entity, term, "n")
+    pairs = lambda chars: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(chars) - 2), lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1))))
+    cut = lambda df, c: df.withColumn("_chars", F.regexp_extract_all(F.lower(c), F.lit("(?s)."), F.lit(0))).where(F.size("_chars") >= 2)
+    spots = cut(texts, text).select(text_id, F.explode(pairs(F.col("_chars"))).alias("_key"))
+    common = spots.groupBy("_key").agg(F.count("*").alias("_df"))
+    keyed = cut(terms.select(entity, term), term).select(entity, term, F.explode(pairs(F.col("_chars"))).alias("_key")).join(common, "_key")
+    rarest = keyed.groupBy(entity, term).agg(F.min_by("_key", F.struct("_df", "_key")).alias("_key"))
+    near = spots.join(rarest, "_key").select(text_id, entity, term).join(texts.select(text_id, F.lower(text).alias("_text")), text_id)
     return near.select(text_id, entity, term, count_of(F.col("_text"), F.col(term)).cast("long").alias("n")).where("n > 0")
 
 

@@ -247,7 +247,7 @@ def activation_stream(spark, sf_dir):
     long = kinds.select(F.lit("world").alias("kind"), F.concat("event_type", F.lit("_card")).alias("card"), F.concat("event_type", F.lit(" thing")).alias("alias"))
     short = kinds.select(F.lit("world"), F.concat("event_type", F.lit("_short")), F.col("event_type"))
     named = long.union(short).union(spark.createDataFrame([("character", "any", "水国"), ("relationship", "none", "nobody")], "kind string, card string, alias string"))
-    out = sessions.replay(spark, turns, lambda t: sessions.activations(t, named, {"character": None, "relationship": 4, "world": 2}, delay=sessions.STORED))
+    out = sessions.replay(spark, turns, lambda t: sessions.activations(t, named, {"character": None, "relationship": 4, "world": 2}, **sessions.STORED))
     last = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
     return out.join(last, ["user_id", "event_id"]).select("user_id", "active")
 
@@ -261,4 +261,4 @@ UNION ALL SELECT user_id, i, event_id, roles[older + 1:], sizes[older + 1:], old
 SELECT user_id, event_id, compacted, len(roles)::BIGINT AS kept, compactions FROM r WHERE i > 0""")
 def compaction_split_stream(spark, sf_dir):
     turns = _turn_stream(spark, sf_dir).select("user_id", "event_id", "ts", F.when(F.col("event_id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.length("props").cast("long").alias("size"))
-    return sessions.replay(spark, turns, lambda t: sessions.compaction_splits(t, 100, delay=sessions.STORED))
+    return sessions.replay(spark, turns, lambda t: sessions.compaction_splits(t, 100, **sessions.STORED))

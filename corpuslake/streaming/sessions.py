@@ -46,6 +46,10 @@ def active_sets(touches: DataFrame, size: int) -> DataFrame:
     return touches.groupBy("user_id").applyInPandasWithState(partial(_lru, size=size), "user_id long, event_id long, n long, active string", "cards array<string>, times array<long>, events array<long>, n long", "append", GroupStateTimeout.NoTimeout)
 
 
+#: Slots in milliseconds; and the delay and slot of replays, as stored files come in any order.
+HOUR, STORED = 3_600_000, {"delay": "3650 days", "slot": 86_400_000}
+
+
 class InOrder(StatefulProcessor):
     """Hands each conversation's rows to a fold in order of (ts, event_id), whatever the order in which they arrive.
 
@@ -84,7 +88,7 @@ class InOrder(StatefulProcessor):
         pass
 
 
-def in_order(turns: DataFrame, fold: Callable, start: tuple, state: str, rows: dict[str, str], out: str, delay: str, slot: int = 3_600_000) -> DataFrame:
+def in_order(turns: DataFrame, fold: Callable, start: tuple, state: str, rows: dict[str, str], out: str, delay: str, slot: int) -> DataFrame:
     """fold(state, rows) -> (state, output rows) over each user_id's rows in order of (ts, event_id): rows are tuples of the columns named
     (event_id first) behind their time in microseconds. delay: how much later than newer rows a row may come, else it is dropped. slot: milliseconds."""
     own = turns.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).withColumn("at", F.unix_micros("ts"))
@@ -109,17 +113,15 @@ def _threshold(threshold: float) -> float:
     return threshold
 
 
-def compactions(turns: DataFrame, capacity: int, threshold: float = 0.8, delay: str = "1 hour") -> DataFrame:
+def compactions(turns: DataFrame, capacity: int, threshold: float = 0.8, delay: str = "1 hour", slot: int = HOUR) -> DataFrame:
     """A stream of turns (user_id, event_id, ts, size) to whether each one makes a compaction due, and how many there were.
 
     Due: the size since the last compaction reaches threshold times capacity; the threshold lies between 0.5 and 0.95. A turn's row comes
     when the watermark, `delay` behind the newest turn, has passed its slot; results don't depend on the order of arrival within it."""
     fold = partial(_compaction, limit=_threshold(threshold) * capacity)
-    return in_order(turns, fold, (0, 0, 0), "used bigint, done bigint, n bigint", {"event_id": "bigint", "size": "bigint"}, "user_id long, event_id long, n long, due boolean, compactions long", delay)
+    return in_order(turns, fold, (0, 0, 0), "used bigint, done bigint, n bigint", {"event_id": "bigint", "size": "bigint"}, "user_id long, event_id long, n long, due boolean, compactions long", delay, slot)
 
 
-#: The delay of replays: stored files come in any order.
-STORED = "3650 days"
 #: Sizes of the kinds of active sets; None never evicts (defaults, a parameter).
 SIZES = {"character": None, "relationship": 4, "world": 6}
 
@@ -158,7 +160,7 @@ def _activate(state: tuple, rows: list[tuple], sizes: dict[str, int | None]) ->
     return tuple(list(x) for x in zip(*flat, strict=True)) if flat else ([], [], [], [], []), out
 
 
-def activations(turns: DataFrame, aliases: DataFrame, sizes: dict[str, int | None] | None = None, delay: str = "1 hour") -> DataFrame:
+def activations(turns: DataFrame, aliases: DataFrame, sizes: dict[str, int | None] | None = None, delay: str = "1 hour", slot: int = HOUR) -> DataFrame:
     """A stream of turns (user_id, event_id, ts, text) to the active sets after each: user_id, event_id, n_matches and active (kind=newest,...;...).
 
     aliases: kind, card and alias of every card. A turn's cards are found by the runtime rule, shadowed aliases go, and each kind's
@@ -167,7 +169,7 @@ def activations(turns: DataFrame, aliases: DataFrame, sizes: dict[str, int | Non
     met = alias_stream(turns, "text", ids.select("owner", "alias"), "owner", "alias").select("user_id", "event_id", "ts", "owner.kind", "owner.card", "alias")
     rows = {"event_id": "bigint", "kind": "string", "card": "string", "alias": "string"}
     state = "kinds array<string>, cards array<string>, times array<bigint>, events array<bigint>, places array<bigint>"
-    return in_order(met, partial(_activate, sizes=sizes or SIZES), ([], [], [], [], []), state, rows, "user_id long, event_id long, n_matches long, active string", delay)
+    return in_order(met, partial(_activate, sizes=sizes or SIZES), ([], [], [], [], []), state, rows, "user_id long, event_id long, n_matches long, active string", delay, slot)
 
 
 def kept_messages(roles: list[str], keep: int = 4) -> int:
@@ -195,7 +197,7 @@ def _split(state: tuple, rows: list[tuple], limit: float, keep: int, least: int)
     return (used, n, done, roles, sizes), out
 
 
-def compaction_splits(turns: DataFrame, capacity: int, threshold: float = 0.8, keep: int = 4, least: int = 3, delay: str = "1 hour") -> DataFrame:
+def compaction_splits(turns: DataFrame, capacity: int, threshold: float = 0.8, keep: int = 4, least: int = 3, delay: str = "1 hour", slot: int = HOUR) -> DataFrame:
     """A stream of turns (user_id, event_id, ts, role, size) to the split that each one brings about: how many of the oldest messages are to
     be summarised (0: none), how many messages are held after that, and how many compactions there were.
 
@@ -203,7 +205,7 @@ def compaction_splits(turns: DataFrame, capacity: int, threshold: float = 0.8, k
     part of the history: leave them out. State is a few messages a conversation; turns are taken in order of (ts, event_id), as compactions() does."""
     how = partial(_split, limit=_threshold(threshold) * capacity, keep=keep, least=least)
     rows = {"event_id": "bigint", "role": "string", "size": "bigint"}
-    return in_order(turns, how, (0, 0, 0, [], []), "used bigint, n bigint, done bigint, roles array<string>, sizes array<bigint>", rows, "user_id long, event_id long, compacted long, kept long, compactions long", delay)
+    return in_order(turns, how, (0, 0, 0, [], []), "used bigint, n bigint, done bigint, roles array<string>, sizes array<bigint>", rows, "user_id long, event_id long, compacted long, kept long, compactions long", delay, slot)
 
 
 def restored_sets(saved: DataFrame, session: str, active: str, touches: DataFrame, order: list[str], card: str, size: int) -> DataFrame:
@@ -280,4 +282,4 @@ def replayed_sets(spark: SparkSession, path: str, size: int) -> DataFrame:
 def replayed_compactions(spark: SparkSession, path: str, capacity: int, threshold: float) -> DataFrame:
     """The number of compactions of each conversation. Files of a stored table may come in any order, so a turn may be as late as the table is long."""
     turns = events(spark, path).select("user_id", "event_id", "ts", (F.length("props") + F.length("event_type")).cast("long").alias("size"))
-    return _last(replay(spark, turns, lambda t: compactions(t, capacity, threshold, delay=STORED)), "compactions")
+    return _last(replay(spark, turns, lambda t: compactions(t, capacity, threshold, **STORED)), "compactions")

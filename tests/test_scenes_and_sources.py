@@ -160,7 +160,9 @@ def test_chains_with_cycles(spark):
     assert sorted((r.head, r.merged_ids, r.text) for r in got.collect()) == [("a", ["a", "b", "c"], "1\n2"), ("d", ["d"], "4"), ("e", ["e"], "5"), ("f", ["f"], "6"), ("f2", ["f2"], "7"), ("p", ["p"], "8"), ("q", ["q"], "9")]
 
 
-def test_aliases_inside_sentences_and_between_letters(spark):
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_aliases_inside_sentences_and_between_letters(spark, monkeypatch, most):
+    monkeypatch.setattr(retrieval, "AUTOMATON_ALIASES", most)
     texts = spark.createDataFrame([(1, "我和火神阿贾克斯去了Ann家"), (2, "Annie met ann, ANN; Mary Ann."), (3, "C-3PO and ;-) hi"), (4, "ann_x éA"), (5, None)], "id int, text string")
     names = spark.createDataFrame([("a", "阿贾克斯"), ("b", "Ann"), ("c", "火"), ("d", "Mary Ann"), ("e", "C-3PO"), ("f", ";-)"), ("g", "é")], "who string, alias string")
     got = {(r.id, r.who, r.n) for r in retrieval.alias_matches(texts, "id", "text", names, "who", "alias").collect()}
@@ -169,6 +171,22 @@ def test_aliases_inside_sentences_and_between_letters(spark):
     assert got == {(1, "a", 1), (1, "b", 1), (1, "c", 1), (2, "b", 3), (2, "d", 1), (3, "e", 1), (3, "f", 1), (4, "g", 1)}
 
 
+def test_automaton_and_join_agree(spark, monkeypatch):
+    rng = random.Random(8)
+    say = lambda n: "".join(rng.choices(["a", "b", "A", " ", "_", "水", "火", "é", "1", "."], k=n))
+    texts = spark.createDataFrame([(i, say(rng.choice([0, 3, 40]))) for i in range(150)] + [(999, None)], "id int, text string")
+    names = spark.createDataFrame([(str(i), say(rng.randint(1, 3))) for i in range(120)], "who string, alias string")
+    found = {}
+    for most in (200_000, 0):
+        monkeypatch.setattr(retrieval, "AUTOMATON_ALIASES", most)
+        for mode in ("pipeline", "runtime"):
+            found[mode, most] = sorted(tuple(r) for r in retrieval.alias_matches(texts, "id", "text", names.where("trim(alias) <> ''"), "who", "alias", mode).collect())
+        terms = names.selectExpr("who", "lower(alias) AS alias").where("length(alias) >= 2").distinct()
+        found["anywhere", most] = sorted(tuple(r) for r in retrieval.substring_matches(texts, "id", "text", terms, "who", "alias").collect())
+    for kind in ("pipeline", "runtime", "anywhere"):
+        assert found[kind, 0] == found[kind, 200_000] and len(found[kind, 0]) > 100
+
+
 def test_matched_cards_and_shadowing():
     met = [("world", "w1", "Sea"), ("world", "w1", "Sea of Fire"), ("world", "w2", "Fire"), ("world", "w3", "Land"), ("relationship", "r2", "Fire"), ("relationship", "r1", "x"), ("character", "c", "y")]
     assert sessions.processed(met) == [("character", "c"), ("relationship", "r1"), ("relationship", "r2"), ("world", "w1"), ("world", "w3")]
