@@ -19,7 +19,10 @@ GIVEN = {
 #: Titles by gender, particles of surnames, and titles that follow a name of other scripts (fixed values).
 TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Mme", "Señora", "госпожа", "г-жа", "Κυρία"], "m": ["Mr", "Herr", "Señor", "Monsieur", "господин", "г-н", "Κύριος"], "": ["Dr", "Prof"]}
 PARTICLES = ["van", "von", "der", "den", "de", "di", "du", "la", "le"]
-AFTER = {"[\\p{IsHan}]{1,4}": ["先生", "女士", "小姐"], "[\\p{IsHan}\\p{IsKatakana}\\p{IsHiragana}]{1,6}": ["さん"], "[\\p{IsHangul}]{1,4}": [" ?씨"]}
+AFTER = {"han": ["先生", "女士", "小姐"], "kana": ["さん"], "hangul": [" ?씨"]}
+#: Common Chinese surnames, and characters that end what stands before a name and are in none (fixed values).
+HAN_SURNAMES = "欧阳 司马 上官 诸葛 东方 皇甫 尉迟 公孙 慕容 令狐 王 李 张 刘 陈 杨 黄 赵 吴 周 徐 孙 马 朱 胡 郭 何 高 林 罗 郑 梁 谢 宋 唐 许 韩 冯 邓 曹 彭 曾 肖 田 董 袁 潘 于 蒋 蔡 余 杜 叶 程 苏 魏 吕 丁 任 沈 姚 卢 姜 崔 钟 谭 陆 汪 范 金 石 廖 贾 夏 韦 付 方 白 邹 孟 熊 秦 邱 江 尹 薛 闫 段 雷 侯 龙 史 陶 黎 贺 顾 毛 郝 龚 邵 万 钱 严 覃 武 戴 莫 孔 向 汤".split()
+HAN_PARTICLES = "我你他她它们和与跟对向的是在了请让给由被把这那有见叫到从说及或"
 #: Syllables that surrogate surnames are made of (fixed values).
 SYLLABLES = {
     "latin": ["bar", "del", "fen", "gor", "hal", "jen", "kor", "lin", "mar", "nor", "pel", "ros", "sal", "tor", "vel", "wen"],
@@ -35,26 +38,36 @@ _TITLE = "|".join(t for x in TITLES.values() for t in x)
 _NAME = "|".join(n for x in GIVEN.values() for n in x)
 _SURNAME = r"(?:(?:" + "|".join(PARTICLES) + r") ){0,3}\p{Lu}(?:\p{L}|['’]\p{Lu}|-\p{Lu}\p{L})+"
 _FIRST = rf"(?:(?:{_NAME}) ){{1,2}}(?:\p{{Lu}}\. ){{0,2}}"
-_BEHIND = "|".join(f"{name}(?={'|'.join(titles)})" for name, titles in AFTER.items())
+#: After a title all words that begin with a capital belong to the name, and the last is the surname.
+_TITLED = rf"(?:(?:\p{{Lu}}\.|\p{{Lu}}(?:\p{{L}}|['’]\p{{Lu}}|-\p{{Lu}}\p{{L}})+) ){{0,3}}"
+_LOUD = rf"(?:(?:{_NAME.upper()}) ){{1,2}}\p{{Lu}}(?:\p{{Lu}}|['’]\p{{Lu}}|-\p{{Lu}})+(?!\p{{L}})"
+_FORMS = {
+    # a listed surname and up to two more characters wherever they stand; else up to three characters that nothing of the script precedes
+    "han": rf"(?:{'|'.join(HAN_SURNAMES)})[\p{{IsHan}}&&[^{HAN_PARTICLES}]]{{0,2}}|(?<!\p{{IsHan}})[\p{{IsHan}}&&[^{HAN_PARTICLES}]]{{1,3}}",
+    "kana": r"[\p{IsHan}]{1,3}|[\p{IsKatakana}ー]{2,8}|(?<![\p{IsHan}\p{IsHiragana}])[\p{IsHiragana}]{2,6}",
+    "hangul": r"(?<!\p{IsHangul})[\p{IsHangul}]{1,4}",
+}
+_BEHIND = "|".join(f"(?:{_FORMS[script]})(?={'|'.join(titles)})" for script, titles in AFTER.items())
 #: Patterns of each kind, in the order in which they win.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,30}",
+    "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[\p{L}0-9-]++(?:\.[\p{L}0-9-]++){1,30}",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{4}(?:[ -]?[0-9]{4}){3}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5})(?![0-9])",
     "phone": "|".join([
         r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
         r"\+[0-9]{1,3}(?:[ .-][0-9])?(?:[ .-][0-9]{2,8}){2,5}(?![0-9])",
         r"\+[0-9]{1,3}[ .-][0-9]{6,12}(?![0-9])",
         r"\+[0-9]{4,8}(?:[ .-][0-9]{2,8}){1,4}(?![0-9])",
         r"\+[0-9]{7,15}(?![0-9])",
+        r"(?<![0-9])(?<![0-9][.-])0[0-9]{2,4}[ -][0-9]{3,4}[ -][0-9]{3,4}(?![0-9]|[.-][0-9])",
         r"(?<![0-9])(?<![0-9][.-])(?:1[ .-])?[0-9]{3}(?:-[0-9]{3}-|\.[0-9]{3}\.| [0-9]{3} )[0-9]{4}(?![0-9]|[.-][0-9])",
     ]),
-    "name": rf"(?<!\p{{L}})(?:(?:{_TITLE})\.? (?:{_FIRST}|(?:\p{{Lu}}\. ){{1,2}})?{_SURNAME}|{_FIRST}{_SURNAME})|{_BEHIND}",
+    "name": rf"(?<!\p{{L}})(?:(?:{_TITLE})\.? {_TITLED}{_SURNAME}|{_FIRST}{_SURNAME}|{_LOUD})|{_BEHIND}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every match of any pattern holds, and is cheap to find; documents without it are not looked at again.
-CHEAP = rf"@|[0-9]{{3}}|\+[0-9]|(?:[0-9]{{1,3}}\.){{3}}|(?<!\p{{L}})(?:{_TITLE}|{_NAME})(?!\p{{L}})|{'|'.join(t for x in AFTER.values() for t in x)}"
+CHEAP = rf"@|[0-9]{{3}}|\+[0-9]|(?:[0-9]{{1,3}}\.){{3}}|(?<!\p{{L}})(?:{_TITLE}|{_NAME}|{_NAME.upper()})(?!\p{{L}})|{'|'.join(t for x in AFTER.values() for t in x)}"
 #: A text's words and what stands between them, one after another.
 TOKEN = r"\p{L}(?:\p{L}|['’]\p{Lu}|-\p{L})*|[^\p{L}]+"
 
@@ -71,8 +84,17 @@ def _digits(entity: Column) -> Column:
 
 
 def norm(kind: Column, entity: Column) -> Column:
-    """What makes two mentions the same: an address without case, digits without their format, a surname."""
-    return F.when(kind == "email", F.lower(entity)).when(kind == "name", F.element_at(F.split(entity, " "), -1)).when(kind == "ip", entity).otherwise(_digits(entity))
+    """What makes two mentions the same: an address without case, digits without their format (nor the 1 before a number of ten), a surname
+    in small letters but for the first, with one kind of apostrophe."""
+    surname = F.translate(F.element_at(F.split(entity, " "), -1), "’", "'")
+    surname = F.when(_loud(entity), F.concat(F.substring(surname, 1, 1), F.lower(F.substr(surname, F.lit(2))))).otherwise(surname)
+    number = F.when(kind == "phone", F.regexp_replace(_digits(entity), "^1(?=[0-9]{10}$)", "")).otherwise(_digits(entity))
+    return F.when(kind == "email", F.lower(entity)).when(kind == "name", surname).when(kind == "ip", entity).otherwise(number)
+
+
+def _loud(name: Column) -> Column:
+    """Several words in capitals throughout, of a script that has them."""
+    return (F.upper(name) == name) & (F.lower(name) != name) & F.contains(name, F.lit(" ")) & ~F.regexp_like(name, F.lit(r"\."))
 
 
 def _byte(stream: Column, i: Column) -> Column:
@@ -85,7 +107,7 @@ def _reshaped(text: Column, stream: Column) -> Column:
 
     def one(i: Column) -> Column:
         c, v = F.substring(text, i + 1, F.lit(1)), _byte(stream, i)
-        return F.when(c.rlike("[0-9]"), (v % 10).cast("string")).when(c.rlike("[a-z]"), F.char(v % 26 + 97)).otherwise(c)
+        return F.when(c.rlike("[0-9]"), (v % 10).cast("string")).when(c.rlike(r"\p{L}"), F.char(v % 26 + 97)).otherwise(c)
 
     return F.array_join(F.transform(F.sequence(F.lit(0), F.length(text) - 1), one), "")
 
@@ -147,7 +169,7 @@ def surrogate(kind: Column, value: Column, attempt: int, key: str) -> Column:
     lead = F.lit(0) if attempt >= 24 else F.when(kind == "ssn", 0).when(kind == "phone", F.greatest(F.lit(0), F.length(digits) - 9)).otherwise(1)
     number = _number(digits, lead, stream, kind == "phone")
     name, domain = F.initcap(_word(value, stream, 2 + attempt % 8)), F.concat(_word(F.lit("a"), stream, 3 + attempt % 8), F.lit(".example.org"))
-    return F.when(kind == "email", email).when(kind == "ip", _address(value, stream, attempt)).when(kind == "name", name).when(kind == "domain", domain).when(kind == "card", _luhn(number)).otherwise(number)
+    return F.when(kind == "email", email).when(kind == "ip", _address(value, stream, attempt)).when(kind.isin("name", "given"), name).when(kind == "domain", domain).when(kind == "card", _luhn(number)).otherwise(number)
 
 
 def surrogate_map(entities: DataFrame, key: str, rounds: int = 200) -> DataFrame:
@@ -195,11 +217,24 @@ def _given(key: str) -> Column:
     return F.create_map(*(F.lit(x) for pair in given_names(key).items() for x in pair))
 
 
-def _named(entity: Column, surname: Column, key: str) -> Column:
-    """Titles, initials and particles kept, given names from the list of their script and gender, and the surname given."""
+def _plain(entity: Column) -> Column:
+    """A name's words but the last, small letters after the first where all are capitals."""
     tokens = F.split(entity, " ")
     head = F.slice(tokens, 1, F.size(tokens) - 1)
-    return F.array_join(F.concat(F.transform(head, lambda t: F.coalesce(F.try_element_at(_given(key), t), t)), F.array(surname)), " ")
+    return F.when(_loud(entity), F.transform(head, lambda t: F.initcap(t))).otherwise(head)
+
+
+def _others(entity: Column) -> Column:
+    """Given names that are in no list: capitalised words before the surname that are no title, initial or particle."""
+    known = [*(t for x in TITLES.values() for t in x), *PARTICLES, *(n for x in GIVEN.values() for n in x)]
+    return F.array_distinct(F.filter(_plain(entity), lambda t: t.rlike(r"^\p{Lu}\p{L}") & ~F.rtrim(t, F.lit(".")).isin(*known)))
+
+
+def _named(entity: Column, surname: Column, others: Column, key: str) -> Column:
+    """Titles, initials and particles kept, given names from the list of their script and gender (or as others says), and the surname given."""
+    head = F.transform(_plain(entity), lambda t: F.coalesce(F.try_element_at(_given(key), t), F.try_element_at(others, t), t))
+    out = F.array_join(F.concat(head, F.array(surname)), " ")
+    return F.when(_loud(entity), F.upper(out)).otherwise(out)
 
 
 def pseudonymize(docs: DataFrame, key: str = "surrogates-1") -> tuple[DataFrame, dict[str, str]]:
@@ -207,7 +242,7 @@ def pseudonymize(docs: DataFrame, key: str = "surrogates-1") -> tuple[DataFrame,
 
     Mentions of one entity get one surrogate all over the corpus whatever their format (coreference), different entities different
     ones (distinctness, checked over all documents); a surrogate has the mention's format, script and length of digits, a card number
-    its check digit, a given name its gender, a private address its range. Addresses of one domain share their new one, which is
+    its check digit, a given name its gender (one that is in no list gets a made-up one), a private address its range. Addresses of one domain share their new one, which is
     reserved for examples; public IP addresses become reserved ones. Where a document names a person, their surname and given name
     alone are replaced in it as well, wherever they stand (not counted). A different key gives different surrogates.
 
@@ -221,23 +256,32 @@ def pseudonymize(docs: DataFrame, key: str = "surrogates-1") -> tuple[DataFrame,
     found = docs.where(F.col("text").rlike(CHEAP)).select(*(c.alias(n) for n, c in keys.items()), F.posexplode(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("pos", "entity"))
     found = found.dropDuplicates(["k", "j", "pos"]).withColumn("kind", kind_of(F.col("entity"))).withColumn("value", norm(F.col("kind"), F.col("entity")))
     found = materialize(found.withColumn("host", F.when(F.col("kind") == "email", F.substring_index("value", "@", -1))), "pii-found")
-    mapped = surrogate_map(found.select("kind", "value").union(found.where("host is not null").select(F.lit("domain").alias("kind"), F.col("host").alias("value"))), key)
+    given = found.where("kind = 'name'").select("k", "j", "pos", F.explode(_others(F.col("entity"))).alias("word"))
+    parts = found.where("host is not null").select(F.lit("domain").alias("kind"), F.col("host").alias("value")).union(given.select(F.lit("given").alias("kind"), F.col("word").alias("value")))
+    mapped = surrogate_map(found.select("kind", "value").union(parts), key)
     kind, entity, value = F.col("kind"), F.col("entity"), F.col("new")
     hosts = mapped.where("kind = 'domain'").select(F.col("value").alias("host"), F.col("new").alias("new_host"))
     email = F.concat(F.substring_index(value, "@", 1), F.lit("@"), F.col("new_host"))
-    spelled = F.when(kind == "name", _named(entity, value, key)).when(kind == "email", F.when(F.upper(entity) == entity, F.upper(email)).otherwise(email)).when(kind == "ip", value).otherwise(_filled(entity, value))
-    met = found.join(mapped, ["kind", "value"])
-    swaps = met.join(hosts, "host", "left").select("k", "j", "pos", "kind", spelled.alias("other"), "entity", "value", "new")
+    digits = F.when((kind == "phone") & (F.length(_digits(entity)) > F.length(value)), F.concat(F.lit("1"), value)).otherwise(value)
+    spelled = F.when(kind == "name", _named(entity, value, F.col("others"), key)).when(kind == "email", F.when(F.upper(entity) == entity, F.upper(email)).otherwise(email)).when(kind == "ip", value).otherwise(_filled(entity, digits))
+    others = given.join(mapped.where("kind = 'given'").select(F.col("value").alias("word"), "new"), "word").groupBy("k", "j", "pos").agg(F.map_from_entries(F.collect_list(F.struct("word", "new"))).alias("others"))
+    met = found.join(mapped, ["kind", "value"]).join(others, ["k", "j", "pos"], "left")
+    swaps = met.join(hosts, "host", "left").select("k", "j", "pos", "kind", spelled.alias("other"), "entity", "value", "new", "others")
     counts = [F.count_if(F.col("kind") == x).alias(names[f"n_{x}"]) for x in PATTERNS]
     own = F.array(F.struct(F.col("value").alias("word"), F.col("new").alias("other")))
-    heads = F.transform(F.filter(F.split("entity", " "), lambda t: F.try_element_at(_given(key), t).isNotNull()), lambda t: F.struct(t.alias("word"), F.try_element_at(_given(key), t).alias("other")))
-    swaps = materialize(swaps.withColumn("people", F.when(kind == "name", F.concat(own, heads))).drop("entity", "value", "new"), "pii-swaps")
+    first = lambda t: F.coalesce(F.try_element_at(_given(key), t), F.try_element_at("others", t))
+    heads = F.transform(F.filter(_plain(F.col("entity")), lambda t: first(t).isNotNull()), lambda t: F.struct(t.alias("word"), first(t).alias("other")))
+    swaps = materialize(swaps.withColumn("people", F.when(kind == "name", F.concat(own, heads))).drop("entity", "value", "new", "others"), "pii-swaps")
     people = swaps.where("people is not null").select("k", "j", F.explode("people").alias("p")).groupBy("k", "j", "p.word").agg(F.min("p.other").alias("other"))
     people = people.groupBy("k", "j").agg(F.map_from_entries(F.collect_list(F.struct("word", "other"))).alias(aliases))
     swaps = swaps.groupBy("k", "j").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "other"))), lambda s: s["other"]).alias(new), *counts)
     swaps = swaps.join(people, ["k", "j"], "left").withColumnsRenamed({"k": k, "j": j})
     out = docs.withColumns({k: keys["k"], j: keys["j"]}).join(swaps, [k, j], "left")
-    again = lambda piece: F.when(F.col(aliases).isNull(), piece).otherwise(F.array_join(F.transform(F.regexp_extract_all(piece, F.lit(TOKEN), F.lit(0)), lambda t: F.coalesce(F.try_element_at(aliases, t), t)), ""))
+    same = lambda t: F.coalesce(F.try_element_at(aliases, t), F.try_element_at(aliases, F.translate(t, "’", "'")), t)
+    words = lambda piece: F.array_join(F.transform(F.regexp_extract_all(piece, F.lit(TOKEN), F.lit(0)), same), "")
+    # names of a script without blanks stand inside longer runs
+    inside = lambda piece: F.aggregate(F.filter(F.map_keys(aliases), lambda w: w.rlike(r"^[\p{IsHan}\p{IsKatakana}\p{IsHiragana}]{2,}$")), piece, lambda p, w: F.replace(p, w, F.try_element_at(aliases, w)))
+    again = lambda piece: F.when(F.col(aliases).isNull(), piece).otherwise(inside(words(piece)))
     woven = F.array_join(F.zip_with(F.split("text", ANY), new, lambda a, b: F.concat(again(a), F.coalesce(b, F.lit("")))), "")
     columns = [woven_if.alias("text") if c == "text" else F.col(c) for c in docs.columns for woven_if in [F.when(F.col(new).isNull(), F.col("text")).otherwise(woven)]]
     return out.select(*columns, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in names.values())), names
