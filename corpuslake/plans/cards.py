@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuslake.functions import text as T
-from corpuslake.operators import cards, checks, quality, retrieval, scenes
+from corpuslake.operators import cards, checks, content, quality, retrieval, scenes
 from corpuslake.operators.tables import numbered
 from corpuslake.plans.registry import Registry, table
+from corpuslake.plans.sources import ADDED, row_sha
 from corpuslake.streaming import sessions
 
 Q = Registry()
@@ -198,12 +199,24 @@ def contradictions(spark, sf_dir):
     return cards.contradictions(n.where(k % 2 == 0).union(n.where(k % 5 == 0).select(k + 100)), n.where(k % 3 == 0), n, "n_nationkey")
 
 
-@Q("""WITH m AS (SELECT o_orderstatus AS status, count(*) AS n, sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) + count(*) AS stated FROM orders GROUP BY 1) SELECT status, 'n' AS field, stated::VARCHAR AS stated, n::VARCHAR AS found FROM m WHERE stated <> n""")
+@Q(f"""WITH o AS (SELECT o_orderstatus AS status, {row_sha("o_orderkey", "o_custkey", "o_orderpriority")} AS h, {row_sha("o_orderkey", "(o_custkey + (o_orderkey = (SELECT min(o_orderkey) FROM orders))::INT)", "o_orderpriority")} AS g FROM orders),
+m AS (SELECT status, count(*) AS n, sum(CASE WHEN status = 'P' THEN 1 ELSE 0 END) + count(*) AS stated, sha256(count(*) || ',' || {ADDED}) AS found_sha, sha256(count(*) || ',' || {ADDED.replace("(h,", "(g,")}) AS stated_sha FROM o GROUP BY 1)
+SELECT status, 'n' AS field, stated::VARCHAR AS stated, n::VARCHAR AS found FROM m WHERE stated <> n UNION ALL SELECT status, 'content', stated_sha, found_sha FROM m WHERE stated_sha <> found_sha""")
 def manifest_check(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"))
-    actual = o.groupBy("status").agg(F.count("*").alias("n"))
-    stated = o.groupBy("status").agg((F.count("*") + F.count_if(F.col("status") == "P")).alias("n"))
-    return checks.manifest_mismatches(stated, actual, "status", ["n"])
+    """A manifest whose count of one split is wrong, and whose contents differ from what is there by one field of one row."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), "o_orderkey", "o_custkey", "o_orderpriority")
+    first = o.agg(F.min("o_orderkey").alias("first"))
+    other = o.join(F.broadcast(first), F.lit(True)).withColumn("o_custkey", F.col("o_custkey") + (F.col("o_orderkey") == F.col("first")).cast("int"))
+    sums = lambda rows: content.contents(rows, ["status"], ["o_orderkey", "o_custkey", "o_orderpriority"])
+    actual = sums(o).select("status", "n", content.digest().alias("content"))
+    stated = sums(other).select("status", (F.col("n") * F.when(F.col("status") == "P", 2).otherwise(1)).alias("n"), content.digest().alias("content"))
+    return checks.manifest_mismatches(stated, actual, "status", ["n", "content"])
+
+
+@Q("""WITH r AS (SELECT l_returnflag, l_extendedprice AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) AS rn, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem)
+SELECT l_returnflag, min(v) AS least, max(v) FILTER (WHERE rn = 1 + round_even((n - 1) * 0.1::DOUBLE, 0)) AS p10, max(v) FILTER (WHERE rn = 1 + round_even((n - 1) * 0.5::DOUBLE, 0)) AS p50, max(v) FILTER (WHERE rn = 1 + round_even((n - 1) * 0.99::DOUBLE, 0)) AS p99, max(v) AS largest, any_value(n) AS n FROM r GROUP BY 1""")
+def price_percentiles(spark, sf_dir):
+    return quality.refined_percentiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.1, 0.5, 0.99])
 
 
 @Q("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")

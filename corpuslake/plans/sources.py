@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-from corpuslake.operators import dialogue, reports, scenes
+from corpuslake.operators import content, dialogue, reports, scenes
 from corpuslake.operators.tables import shared_folder
 from corpuslake.plans.registry import Registry, table
 from corpuslake.sources import io
@@ -178,8 +178,42 @@ def wikitext_voices(spark, sf_dir):
     return rows.select("dialogue_id", "item_id", "voice_title", "voice_group", "voice_category", "affinity", F.sha2("text", 256).alias("text_sha"))
 
 
-@Q("""SELECT lang AS split, count(*) AS n_rows, count(DISTINCT source) AS n_groups, sum(count(*)) OVER ()::BIGINT AS total FROM documents GROUP BY lang""")
+ADDED = " || ',' || ".join(f"sum(('0x' || substr(h, {1 + 6 * i}, 6))::BIGINT)::BIGINT" for i in range(10))
+
+
+def row_sha(*fields):
+    """SQL for content.row_hash()."""
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({f}::VARCHAR)) || ':' || {f}::VARCHAR, '-')" for f in fields) + ")"
+
+
+@Q(f"""WITH d AS (SELECT lang, source, {row_sha("doc_id", "source", "text")} AS h FROM documents)
+SELECT lang AS split, count(*) AS n_rows, count(DISTINCT source) AS n_groups, sum(count(*)) OVER ()::BIGINT AS total, sha256(count(*) || ',' || {ADDED}) AS sha256 FROM d GROUP BY lang""")
 def run_manifest(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("split"), "source")
-    one = io.run_manifest(d, "split", "source", "seed", {"train": 0.9, "test": 0.1})
-    return one.select(F.explode("splits").alias("s"), F.col("total").cast("long").alias("total")).select("s.split", "s.n_rows", "s.n_groups", "total")
+    """With the hash of each split's contents, added up over parts of it."""
+    d = table(spark, sf_dir, "documents").withColumn("split", F.col("lang"))
+    parts = content.contents(d.withColumn("part", content.bucket("doc_id", 16)), ["split", "part"], ["doc_id", "source", "text"])
+    hashes = content.merged(parts, ["split"]).select(F.col("split").alias("file"), content.digest().alias("sha256"))
+    one = io.run_manifest(d.select("split", "source"), "split", "source", "seed", {"train": 0.9, "test": 0.1}, hashes)
+    rows = one.select(F.explode("splits").alias("s"), F.col("total").cast("long").alias("total"), F.map_from_entries("files").alias("files"))
+    return rows.select("s.split", "s.n_rows", "s.n_groups", "total", F.try_element_at("files", F.col("s.split")).alias("sha256"))
+
+
+@Q("SELECT doc_id FROM documents WHERE doc_id % 97 = 0 OR doc_id % 101 = 5")
+def content_changes(spark, sf_dir):
+    """Documents whose source is another one since contents were kept by bucket, and documents that are new since."""
+    now = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    before = now.where("doc_id % 101 <> 5").withColumn("source", F.when(F.col("doc_id") % 97 == 0, F.concat("source", F.lit("x"))).otherwise(F.col("source")))
+    kept = content.contents(before.withColumn("bucket", content.bucket("doc_id", 64)), ["bucket"], ["source", "text"])
+    return content.changed_rows(now, before, kept, "doc_id", ["source", "text"], 64)
+
+
+@Q("SELECT conv_id, count(*) AS n, sum(length(text))::BIGINT AS chars, conv_id % 10 = 0 OR conv_id % 11 = 3 AS recomputed FROM conversations GROUP BY conv_id")
+def incremental_outputs(spark, sf_dir):
+    """Outputs of an earlier run, of which some are missing, some were made of other texts, and one is of a conversation that is gone."""
+    c = table(spark, sf_dir, "conversations")
+    made = lambda rows, new: rows.groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.lit(new).alias("recomputed"))
+    columns = ["turn", "role", "text"]
+    earlier = c.where("conv_id % 11 <> 3").withColumn("text", F.when((F.col("conv_id") % 10 == 0) & (F.col("turn") == 0), F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    earlier = earlier.union(c.where("conv_id = 1").withColumn("conv_id", -F.col("conv_id")))
+    outputs = made(earlier, False).join(content.contents(earlier, ["conv_id"], columns).select("conv_id", content.digest().alias("input_sha256")), "conv_id")
+    return content.refreshed(c, "conv_id", columns, outputs, lambda rows: made(rows, True)).drop("input_sha256")
