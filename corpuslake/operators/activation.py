@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpuslake.operators.tables import settled
+
 
 def active_sets(touches: DataFrame, session: str, order: list[str], card: str, size: int) -> DataFrame:
     """The final active set of each session: its `size` most recently touched cards, newest first (rank 1).
@@ -40,10 +42,25 @@ def active_after_each(touches: DataFrame, session: str, order: str, card: str, s
     return ordered.mapInPandas(walk, f"{fields}, active array<{kind}>")
 
 
-def longest_matches(matches: DataFrame, text_id: str, card: str, alias: str) -> DataFrame:
+def containment(aliases: DataFrame, alias: str) -> DataFrame:
+    """(inner, outer): which aliases stand inside which longer ones. Each alias sends its substrings of the lengths that aliases have, and they meet
+    the aliases by equality; so the work is the aliases' characters times those lengths, and no two aliases are compared."""
+    own = settled(aliases.select(F.col(alias).alias("outer")).where(F.length(alias) > 0).distinct(), "aliases")
+    lengths = own.select(F.length("outer").alias("n")).distinct().agg(F.sort_array(F.collect_list("n")).alias("lengths"))
+    parts = lambda n: F.transform(F.sequence(F.lit(1), F.length("outer") - n + 1), lambda i: F.substring("outer", i, n))
+    every = F.array_distinct(F.flatten(F.transform(F.filter("lengths", lambda n: n < F.length("outer")), parts)))
+    inside = own.join(F.broadcast(lengths), F.lit(True)).select("outer", F.explode(every).alias("inner"))
+    return inside.join(own.select(F.col("outer").alias("inner")), "inner").select("inner", "outer")
+
+
+def longest_matches(matches: DataFrame, text_id: str, card: str, alias: str, inside: DataFrame | None = None) -> DataFrame:
     """Each text's longest matched alias of each card (bytes, then the smaller alias), less the cards whose alias lies inside a
-    longer matched alias of another card."""
+    longer matched alias of another card.
+
+    inside: containment() of the aliases, which can be built once and kept; without it, it is built of the matched ones. A match looks up the
+    aliases that its own lies in, and those of its text drop it; a card has one alias a text, so another alias is another card's."""
     best = matches.groupBy(text_id, card).agg(F.min_by(alias, F.struct(-F.octet_length(alias), F.col(alias))).alias(alias))
-    other = best.select(F.col(text_id).alias("t"), F.col(card).alias("c"), F.col(alias).alias("a"))
-    inside = (F.col(text_id) == F.col("t")) & (F.col(card) != F.col("c")) & (F.octet_length("a") > F.octet_length(alias)) & F.contains(F.col("a"), F.col(alias))
-    return best.join(other, inside, "left_anti")
+    inside = containment(matches, alias) if inside is None else inside
+    longer = best.select(F.col(text_id), F.col(alias).alias("outer")).distinct()
+    shadowed = best.select(text_id, alias).distinct().join(inside.withColumnRenamed("inner", alias), alias).join(longer, [text_id, "outer"], "left_semi").select(text_id, alias).distinct()
+    return best.join(shadowed, [text_id, alias], "left_anti").select(text_id, card, alias)

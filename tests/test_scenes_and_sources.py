@@ -192,6 +192,23 @@ def test_matched_cards_and_shadowing():
     assert sessions.processed(met) == [("character", "c"), ("relationship", "r1"), ("relationship", "r2"), ("world", "w1"), ("world", "w3")]
 
 
+def test_shadowed_aliases_by_containment(spark):
+    from corpuslake.operators.activation import containment, longest_matches
+
+    rng = random.Random(14)
+    names = ["".join(rng.choices("ab水", k=rng.randint(1, 5))) for _ in range(40)]
+    rows = list({(rng.randint(0, 30), f"c{rng.randint(0, 12)}", rng.choice(names)) for _ in range(400)})
+    got = {tuple(r) for r in longest_matches(spark.createDataFrame(rows, "t int, card string, alias string"), "t", "card", "alias").collect()}
+    best = {}
+    for t, card, alias in rows:
+        old = best.setdefault(t, {}).get(card)
+        if old is None or (-len(alias.encode()), alias) < (-len(old.encode()), old):
+            best[t][card] = alias
+    assert got == {(t, c, a) for t, cards in best.items() for c, a in cards.items() if not any(a in b and len(b.encode()) > len(a.encode()) for o, b in cards.items() if o != c)}
+    inside = {tuple(r) for r in containment(spark.createDataFrame([(n,) for n in names], "alias string"), "alias").collect()}
+    assert inside == {(a, b) for a in names for b in names if a != b and a in b}
+
+
 def test_compaction_keeps_answers_with_their_questions():
     assert [sessions.kept_messages([{"u": "user", "a": "assistant", "s": "system"}[c] for c in x]) for x in ("uauaua", "uauau", "suaua", "ua", "uuuauaua")] == [4, 5, 4, 2, 4]
 
