@@ -21,6 +21,8 @@ BANDS, ROWS = 28, 4
 BITS, LOW, CORE = 512, 0.55, 0.9
 #: Rows of a bucket that one task compares; larger buckets are dealt into parts, whose leaders are all candidates of the bucket's first row.
 BUCKET = 2000
+#: Shingles of the sets that a block of the comparison holds, about: 32 MB before they are numbered.
+SHINGLES = 4_000_000
 #: Stands above every doc_id for rows without one.
 NO_ID = 1 << 62
 _ODD = np.random.default_rng(61).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -202,7 +204,7 @@ def row_ids() -> Column:
     return F.coalesce("doc_id", F.lit(NO_ID) + F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
 
 
-def near_duplicates(docs: DataFrame, width: int, percent: int = 80, block: int = 64, bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int, percent: int = 80, block: int = 64, bucket: int = BUCKET, shingles: int = SHINGLES) -> DataFrame:
     """For every document (doc_id, text): doc_id, n_shingles, component_id and kept, linked at Jaccard >= percent/100;
     row_id (row_ids() gives the same) and stays, which says the same as kept for rows without doc_id too.
 
@@ -212,7 +214,7 @@ def near_duplicates(docs: DataFrame, width: int, percent: int = 80, block: int =
        threshold. What is left of the links joins the same classes as all pairs above it would, whatever a bucket's size: buckets of
        more than `bucket` classes are dealt into parts, and the leaders of all parts are candidates of the bucket's first class.
     4. Components of the candidate edges are where links can be. Inside them full sets are compared exactly: in blocks,
-       in blocks dealt anew, and where a component of several blocks is not all joined by then, block by block; pairs that
+       of bounded rows and shingles, in blocks dealt anew, and where a component of several blocks is not all joined by then, block by block; pairs that
        links join already are skipped.
     5. Components of the confirmed links, carried back to every document.
 
@@ -222,7 +224,7 @@ def near_duplicates(docs: DataFrame, width: int, percent: int = 80, block: int =
     rows = docs.select("doc_id", "text", row_ids().alias("id"))
     features = materialize(rows.mapInArrow(partial(_features, width=width), "id long, doc_id long, n long, s1 long, s2 long, keys array<long>, sketch binary"), "near-features")
     classes = materialize(features.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("node")), "near-classes")
-    firsts = materialize(features.where("n > 0").join(classes.select(F.col("node").alias("id")).distinct(), "id").dropDuplicates(["id"]).select("id", "keys", "sketch"), "near-firsts")
+    firsts = materialize(features.where("n > 0").join(classes.select(F.col("node").alias("id")).distinct(), "id").dropDuplicates(["id"]).select("id", "keys", "sketch", F.col("n").alias("shingles")), "near-firsts")
 
     bands = firsts.select("id", F.explode("keys").alias("key"))
     many = materialize(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1"), "near-buckets")
@@ -234,9 +236,10 @@ def near_duplicates(docs: DataFrame, width: int, percent: int = 80, block: int =
     candidates = ordered.mapInArrow(partial(_leaders, low=min(LOW, percent / 100 - 0.25)), "src long, dst long")
     member = components(candidates, "near-candidates")
 
-    count = materialize(member.groupBy("component").agg(F.count("*").alias("n")), "near-sizes")
+    own = firsts.select(F.col("id").alias("node"), "shingles")
+    count = materialize(member.join(own, "node").groupBy("component").agg(F.count("*").alias("n"), F.sum("shingles").alias("shingles")), "near-sizes")
     size = F.least(F.greatest(F.lit(block), F.ceil(F.col("n") / 40)), F.lit(4096))
-    placed = member.join(count, "component").select(F.col("node").alias("id"), "component", F.ceil(F.col("n") / size).alias("blocks")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    placed = member.join(count, "component").select(F.col("node").alias("id"), "component", F.greatest(F.ceil(F.col("n") / size), F.ceil(F.col("shingles") / shingles)).alias("blocks")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     sets = materialize(rows.select("id", "text").join(placed.select("id"), "id").mapInArrow(partial(_sets, width=width), "id long, set binary").dropDuplicates(["id"]).join(placed, "id"), "near-sets")
     inside = _in_order(sets.select("id", F.col("id").alias("label"), "set", F.xxhash64("component", "block").alias("part"))).mapInArrow(partial(_confirm, percent=percent), "src long, dst long")
     inside = materialize(inside, "near-links")

@@ -41,8 +41,8 @@ def make(rng):
 
 def test_matches_brute_force(spark):
     rows = make(random.Random(5))
-    for block in (64, 5):
-        got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, block=block).collect()
+    for block, shingles in ((64, 4_000_000), (5, 4_000_000), (64, 300)):
+        got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, block=block, shingles=shingles).collect()
         assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=str) == brute(rows, 4)
 
 
