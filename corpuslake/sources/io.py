@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,20 +49,46 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType, strict: boo
     return parsed.where(f"_row.{BAD} is null").select("_row.*").drop(BAD), parsed.where(f"_row.{BAD} is not null").select("source_file", F.col("value").alias(BAD))
 
 
+def replaced(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Runs write() on a folder aside and puts that in the place of `path`, on whatever file system Spark writes to.
+
+    Until everything is written and committed, what was there stays as it was, so a write that fails or is killed leaves the old data; after
+    that two renames follow, and if the second fails the first is taken back. Overwriting in place would delete the old data first."""
+    name = spark._jvm.org.apache.hadoop.fs.Path
+    mark = uuid.uuid4().hex
+    own, new, old = name(path), name(f"{path.rstrip('/')}.new-{mark}"), name(f"{path.rstrip('/')}.old-{mark}")
+    fs = own.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        write(new.toString())
+    except BaseException:
+        fs.delete(new, True)
+        raise
+    there = fs.exists(own)
+    if there and not fs.rename(own, old):
+        raise OSError(f"{path} can't be put aside; the new data are in {new.toString()}")
+    if not fs.rename(new, own):
+        if there:
+            fs.rename(old, own)
+        raise OSError(f"{new.toString()} can't take the place of {path}")
+    if there:
+        fs.delete(old, True)
+
+
 def write_json_lines(rows: DataFrame, path: str, nulls: bool = True) -> None:
-    """One object a line in column order; the committer makes the folder appear whole or not at all."""
-    rows.write.mode("overwrite").option("ignoreNullFields", not nulls).json(path)
+    """One object a line in column order; the folder is replaced whole or not at all."""
+    replaced(rows.sparkSession, path, lambda to: rows.write.option("ignoreNullFields", not nulls).json(to))
 
 
 def write_report(values: dict[str, Column], rows: DataFrame, path: str) -> DataFrame:
-    """One row of aggregates over a table as one JSON object; returns it."""
+    """One row of aggregates over a table as one JSON object, which takes the place of the last one when it is complete; returns it."""
     report = rows.agg(*(c.alias(k) for k, c in values.items()))
-    report.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    replaced(rows.sparkSession, path, lambda to: report.coalesce(1).write.option("ignoreNullFields", False).json(to))
     return report
 
 
 def write_lines(rows: DataFrame, column: str, path: str) -> None:
-    rows.select(F.col(column).cast("string")).where(F.col(column).isNotNull()).distinct().sort(column).write.mode("overwrite").text(path)
+    lines = rows.select(F.col(column).cast("string")).where(F.col(column).isNotNull()).distinct().sort(column)
+    replaced(rows.sparkSession, path, lines.write.text)
 
 
 def read_lines(spark: SparkSession, path: str, column: str) -> DataFrame:
@@ -70,7 +98,7 @@ def read_lines(spark: SparkSession, path: str, column: str) -> DataFrame:
 def write_tsv(rows: DataFrame, path: str) -> None:
     """Tabs and line ends inside values become blanks."""
     clean = [F.translate(F.col(c).cast("string"), "\t\n\r", "   ").alias(c) for c in rows.columns]
-    rows.select(*clean).write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").csv(path)
+    replaced(rows.sparkSession, path, rows.select(*clean).write.option("sep", "\t").option("header", True).option("quote", "").csv)
 
 
 def card_folder(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -80,8 +108,8 @@ def card_folder(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
 
 
 def write_cards(cards: DataFrame, key: str, path: str) -> None:
-    """A folder for each card, all replaced."""
-    cards.write.mode("overwrite").partitionBy(key).json(path)
+    """A folder for each card, all replaced at once."""
+    replaced(cards.sparkSession, path, cards.write.partitionBy(key).json)
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:

@@ -86,6 +86,18 @@ def test_sources_round_trip(spark, tmp_path):
     assert [(r.id, r.card_file) for r in cards] == [("q", "other")]
 
 
+def test_a_failed_write_leaves_the_old_data(spark, tmp_path):
+    import os
+
+    path, df = f"{tmp_path}/report", spark.range(10)
+    io.write_report({"n": F.count("*")}, df, path)
+    io.write_report({"n": F.sum("id")}, df, path)
+    for _ in range(2):
+        assert [r.n for r in spark.read.json(path).collect()] == [45] and os.listdir(tmp_path) == ["report"]
+        with pytest.raises(Exception, match="stop"):
+            io.write_report({"n": F.sum(F.when(F.col("id") == 7, F.raise_error(F.lit("stop")).cast("long")).otherwise(F.col("id")))}, df, path)
+
+
 def test_templates(spark):
     page = "a {{voice|x\n|title=Hello {{b|c}}\n|text=One<br>two &amp; three\nmore\n|title=Last}} z {{voice\n|title=B\n|text=}} {{other|title=no}}"
     df = spark.createDataFrame([(1, page)], "page int, wikitext string")
