@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslake.functions.text import count_of
+from corpuslake.operators.tables import settled
 
 
 def word_terms(text: Column) -> Column:
@@ -168,26 +169,51 @@ def postings(texts: DataFrame, text_id: str, terms: str) -> DataFrame:
     return texts.select(text_id, F.explode(terms).alias("term")).groupBy(text_id, "term").agg(F.count("*").alias("tf"))
 
 
-def lexical_scores(queries: DataFrame, query_id: str, texts: DataFrame, text_id: str, terms: str, exact: DataFrame, rarest: int = 80, least: float = 9.0, most_df_share: int = 5) -> DataFrame:
+def lexical_scores(queries: DataFrame, query_id: str, texts: DataFrame, text_id: str, terms: str, exact: DataFrame, rarest: int = 80, least: float = 9.0, most_df_share: int = 5, top: int | None = None, blocks: int = 1024) -> DataFrame:
     """(query_id, text_id, score): texts that hold an exact term of the query (exact: query_id, text_id, term_score), scored by
     those and by the rarest terms both share: (ln((N + 1) / (df + 1)) + 1) * (length - 1) * min(counts, 2) * 0.32.
 
     Both sides are postings (of words or character grams) joined on the term. Terms more frequent than max(8, N / most_df_share) give
-    no score, and as rarer ones rank before them, they are cut before anything is joined. Sums run in a fixed order."""
+    no score, and as rarer ones rank before them, they are cut before anything is joined. Sums run in a fixed order.
+
+    top: only pairs that can be among a query's `top` best are scored to the end, and all those are in the result. What postings of a block of texts
+    can add at most is known from the block's largest counts; see promising()."""
     total = texts.count()
     df = document_frequency(texts, text_id, terms).where(F.col("df") <= max(8, total // most_df_share))
     mine, theirs = postings(queries, query_id, terms), postings(texts, text_id, terms)
     wanted = mine.withColumnRenamed("tf", "qf").join(df, "term")
+    idf = F.log((F.lit(total + 1.0)) / (F.col("df") + 1)) + 1
     pairs = exact.groupBy(query_id, text_id).agg(F.sum("term_score").alias("base"))
+    if top is not None:
+        most = theirs.groupBy("term", _block(text_id, blocks).alias("block")).agg(F.max("tf").alias("tf"))
+        gains = wanted.join(most, "term").select(query_id, "block", (idf * (F.length("term") - 1) * F.least("qf", "tf", F.lit(2)) * 0.32).alias("gain"))
+        pairs = settled(promising(pairs, query_id, text_id, gains, top, least, blocks), "promising")
+        theirs = theirs.join(pairs.select(text_id).distinct(), text_id, "left_semi")
     shared = wanted.join(theirs, "term").join(pairs.select(query_id, text_id), [query_id, text_id])
     rank = F.row_number().over(W.partitionBy(query_id, text_id).orderBy("df", F.desc(F.length("term")), "term"))
     top = shared.withColumn("rank", rank).where(F.col("rank") <= rarest)
-    gain = (F.log((F.lit(total + 1.0)) / (F.col("df") + 1)) + 1) * (F.length("term") - 1) * F.least("qf", "tf", F.lit(2)) * 0.32
+    gain = idf * (F.length("term") - 1) * F.least("qf", "tf", F.lit(2)) * 0.32
     sums = top.groupBy(query_id, text_id).agg(F.array_sort(F.collect_list(F.struct("rank", gain.alias("gain")))).alias("gains"))
     extra = sums.select(query_id, text_id, F.aggregate("gains", F.lit(0.0), lambda a, x: a + x["gain"]).alias("extra"))
     return pairs.join(extra, [query_id, text_id], "left").select(query_id, text_id, (F.col("base") + F.coalesce("extra", F.lit(0.0))).alias("score")).where(F.col("score") >= least)
 
 
+def _block(text_id: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(text_id), F.lit(blocks))
+
+
+def promising(pairs: DataFrame, query_id: str, text_id: str, gains: DataFrame, top: int, least: float, blocks: int) -> DataFrame:
+    """Those pairs (query_id, text_id, base) that may be among the `top` best of their query or reach `least`.
+
+    gains: query_id, block and the most that a term can add in that block of texts. A pair ends at base at the worst and at base and all gains of
+    its block at best; whoever's best is below the top-th worst of the query is out, and its postings are never read."""
+    best = gains.groupBy(query_id, "block").agg(F.sum("gain").alias("most"))
+    sure = pairs.withColumn("r", F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("base")))).where(F.col("r") == top).select(query_id, F.col("base").alias("floor"))
+    both = pairs.withColumn("block", _block(text_id, blocks)).join(best, [query_id, "block"], "left").join(sure, query_id, "left")
+    ceiling = F.col("base") + F.coalesce("most", F.lit(0.0)) + 1e-5
+    return both.where((ceiling >= F.coalesce("floor", F.lit(0.0))) & (ceiling >= least)).select(query_id, text_id, "base")
+
+
 def scene_terms(lines: DataFrame, scene: str, order: str, speaker: str, text: str, ego: str, terms: DataFrame, query_id: str, term: str, head: Column | None = None) -> DataFrame:
     """(query_id, scene, term_score) of each exact term in the search text of a scene, without case, and with what it is worth if the ego says it.
 

@@ -40,17 +40,17 @@ ex AS (SELECT item_id, doc_id, sum((ln((total + 1.0) / (df + 1)) + 1) * (length(
 s AS (SELECT item_id, doc_id, base + coalesce(extra, 0) AS score FROM base LEFT JOIN ex USING (item_id, doc_id))"""
 
 
-def scores(spark, sf_dir):
+def scores(spark, sf_dir, top=None):
     docs = table(spark, sf_dir, "documents")
     found = retrieval.word_matches(docs, "doc_id", "text", _terms(spark, sf_dir), "item_id", "term")
     exact = found.select("item_id", "doc_id", retrieval.term_score(F.length("term"), F.col("n"), F.lit(False)).alias("term_score"))
     items = table(spark, sf_dir, "benchmark").select("item_id", long_words().alias("terms"))
-    return retrieval.lexical_scores(items, "item_id", docs.select("doc_id", long_words().alias("terms")), "doc_id", "terms", exact)
+    return retrieval.lexical_scores(items, "item_id", docs.select("doc_id", long_words().alias("terms")), "doc_id", "terms", exact, top=top)
 
 
 @Q(f"WITH {SCORES} SELECT item_id, doc_id, rank, round(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id)::INT AS rank FROM s WHERE score >= 9) WHERE rank <= 8")
 def lexical_retrieval(spark, sf_dir):
-    top = retrieval.top_per_key(scores(spark, sf_dir), ["item_id"], [F.desc(F.round("score", 6)), F.col("doc_id")], 8)
+    top = retrieval.top_per_key(scores(spark, sf_dir, 8), ["item_id"], [F.desc(F.round("score", 6)), F.col("doc_id")], 8)
     return top.select("item_id", "doc_id", "rank", F.round("score", 3).alias("score"))
 
 

@@ -68,7 +68,7 @@ def gram_retrieval(spark, sf_dir):
     exact = retrieval.scene_terms(turns, "conv_id", "turn", "role", "text", "assistant", terms, "item_id", "term")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit("："), "text").alias("line")))), lambda x: x["line"]), "\n")
     scenes = turns.groupBy("conv_id").agg(F.lower(body).alias("body")).select("conv_id", T.ngrams(F.col("body"), "[a-z]+").alias("grams"))
-    scored = retrieval.lexical_scores(items.select("item_id", T.ngrams(F.lower("text"), "[a-z]+").alias("grams")), "item_id", scenes, "conv_id", "grams", exact)
+    scored = retrieval.lexical_scores(items.select("item_id", T.ngrams(F.lower("text"), "[a-z]+").alias("grams")), "item_id", scenes, "conv_id", "grams", exact, top=8)
     top = retrieval.top_per_key(scored, ["item_id"], [F.desc(F.round("score", 6)), F.col("conv_id")], 8)
     return top.select("item_id", "conv_id", "rank", F.round("score", 3).alias("score"))
 

@@ -204,6 +204,21 @@ def test_matched_cards_and_shadowing():
     assert sessions.processed(met) == [("character", "c"), ("relationship", "r1"), ("relationship", "r2"), ("world", "w1"), ("world", "w3")]
 
 
+def test_pairs_that_cannot_be_among_the_best_are_not_scored(spark, monkeypatch):
+    rng = random.Random(15)
+    words = [f"word{i}" for i in range(60)]
+    texts = spark.createDataFrame([(i, rng.choices(words, weights=[1 / (j + 1) for j in range(60)], k=rng.choice([3, 30, 90]))) for i in range(200)], "t int, terms array<string>")
+    queries = spark.createDataFrame([(i, rng.sample(words, 4)) for i in range(12)], "q int, terms array<string>")
+    exact = spark.createDataFrame([(q, t, 18.0 + 40.0 * rng.random()) for q in range(12) for t in range(200) if rng.random() < 0.5], "q int, t int, term_score double")
+    kept, plain = [], retrieval.promising
+    monkeypatch.setattr(retrieval, "promising", lambda *a: kept.append(plain(*a)) or kept[-1])
+    score = lambda **how: retrieval.lexical_scores(queries, "q", texts, "t", "terms", exact, most_df_share=1, **how)
+    best = lambda df: sorted((r.q, r.t, round(r.score, 6), r.rank) for r in retrieval.top_per_key(df, ["q"], [F.desc(F.round("score", 6)), F.col("t")], 5).collect())
+    assert best(score()) == best(score(top=5)) == best(score(top=5, blocks=7))
+    assert all(k.count() < 0.7 * exact.count() for k in kept[:1]) and len(kept) == 2
+    assert kept[0].count() <= kept[1].count()
+
+
 def test_shadowed_aliases_by_containment(spark):
     from corpuslake.operators.activation import containment, longest_matches
 
