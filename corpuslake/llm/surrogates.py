@@ -276,7 +276,8 @@ def pseudonymize(docs: DataFrame, key: str = "surrogates-1") -> tuple[DataFrame,
     people = people.groupBy("k", "j").agg(F.map_from_entries(F.collect_list(F.struct("word", "other"))).alias(aliases))
     swaps = swaps.groupBy("k", "j").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "other"))), lambda s: s["other"]).alias(new), *counts)
     swaps = swaps.join(people, ["k", "j"], "left").withColumnsRenamed({"k": k, "j": j})
-    out = docs.withColumns({k: keys["k"], j: keys["j"]}).join(swaps, [k, j], "left")
+    # the same join at every size: what a small corpus could broadcast a large one can't
+    out = docs.withColumns({k: keys["k"], j: keys["j"]}).join(swaps.hint("merge"), [k, j], "left")
     same = lambda t: F.coalesce(F.try_element_at(aliases, t), F.try_element_at(aliases, F.translate(t, "’", "'")), t)
     words = lambda piece: F.array_join(F.transform(F.regexp_extract_all(piece, F.lit(TOKEN), F.lit(0)), same), "")
     # names of a script without blanks stand inside longer runs
