@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import partial
@@ -11,9 +12,7 @@ from itertools import groupby
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from corpuslake.operators.activation import active_sets as last_touched
 from corpuslake.operators.retrieval import alias_stream
@@ -50,50 +49,37 @@ def active_sets(touches: DataFrame, size: int) -> DataFrame:
 HOUR, STORED = 3_600_000, {"delay": "3650 days", "slot": 86_400_000}
 
 
-class InOrder(StatefulProcessor):
-    """Hands each conversation's rows to a fold in order of (ts, event_id), whatever the order in which they arrive.
-
-    Rows wait in a map state by time slot, with an event-time timer at the slot's end. When the watermark has passed it, no earlier row can come
-    any more (later ones are late and dropped), so the slot is folded into the conversation's state and let go. Timers fire in order of
-    time. A task holds the rows of one slot of one conversation; all else is in the state store."""
-
-    def __init__(self, fold: Callable, start: tuple, state: str, rows: dict[str, str], out: str, slot: int) -> None:
-        self.fold, self.start, self.state, self.rows, self.out, self.slot = fold, start, state, {"at": "bigint", **rows}, out, slot
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState("waiting", "slot bigint", ", ".join(f"{c} array<{t}>" for c, t in self.rows.items()))
-        self.held = handle.getValueState("held", self.state)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            for slot, part in batch.groupby(batch["at"] // (self.slot * 1000)):
-                old = self.waiting.getValue((int(slot),)) if self.waiting.containsKey((int(slot),)) else None
-                if old is None:
-                    self.handle.registerTimer((int(slot) + 1) * self.slot)
-                self.waiting.updateValue((int(slot),), tuple((list(old[i]) if old else []) + [None if pd.isna(x) else x for x in part[c].tolist()] for i, c in enumerate(self.rows)))
-        return iter(())
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        slot = (expiredTimerInfo.getExpiryTimeInMs() // self.slot - 1,)
-        if not self.waiting.containsKey(slot):
-            return
-        rows = sorted(zip(*self.waiting.getValue(slot), strict=True), key=lambda r: r[:2])
-        state, out = self.fold(tuple(self.held.get()) if self.held.exists() else self.start, rows)
-        self.held.update(state)
-        self.waiting.removeKey(slot)
-        yield pd.DataFrame([(key[0], *r) for r in out], columns=self.out)
-
-    def close(self) -> None:
-        pass
+def _ordered(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, fold: Callable, start: tuple, columns: list[str], names: list[str], slot: int) -> Iterator[pd.DataFrame]:
+    """Adds a conversation's new rows to those that wait, and folds what lies in closed slots, in order, into its state."""
+    kept = tuple(state.get) if state.exists else ()
+    held, waiting = kept[len(columns) :] or start, [list(x) for x in kept[: len(columns)]] or [[] for _ in columns]
+    for batch in batches:
+        for have, c in zip(waiting, columns, strict=True):
+            values = batch[c]
+            have += [None if no else x for x, no in zip(values.tolist(), values.isna(), strict=True)] if values.hasnans else values.tolist()
+    closed = state.getCurrentWatermarkMs() // slot * slot * 1000
+    rows = sorted(zip(*waiting, strict=True), key=lambda r: r[:2])
+    due = bisect_left(rows, closed, key=lambda r: r[0])
+    held, out = fold(held, rows[:due]) if due else (held, [])
+    state.update((*([r[i] for r in rows[due:]] for i in range(len(columns))), *held))
+    if due < len(rows):
+        state.setTimeoutTimestamp((rows[due][0] // (slot * 1000) + 1) * slot)
+    yield pd.DataFrame([(key[0], *r) for r in out], columns=names)
 
 
 def in_order(turns: DataFrame, fold: Callable, start: tuple, state: str, rows: dict[str, str], out: str, delay: str, slot: int) -> DataFrame:
     """fold(state, rows) -> (state, output rows) over each user_id's rows in order of (ts, event_id): rows are tuples of the columns named
-    (event_id first) behind their time in microseconds. delay: how much later than newer rows a row may come, else it is dropped. slot: milliseconds."""
-    own = turns.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).withColumn("at", F.unix_micros("ts"))
-    names = [x.split()[0] for x in out.split(", ")]
-    return own.groupBy("user_id").transformWithStateInPandas(InOrder(fold, start, state, rows, names, slot), out, "append", "eventTime")
+    (event_id first) behind their time in microseconds. delay: how much later than newer rows a row may come, else it is dropped. slot: milliseconds.
+
+    Rows wait in the conversation's state. When the watermark has passed the end of a time slot, no earlier row can come any more (later ones
+    are late and dropped), so all slots that are closed by then are folded in one call and let go. Python is called once a conversation and
+    batch, and once when its next slot closes, however many slots there are; a call holds the rows of one conversation that wait."""
+    own = turns.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).withColumn("at", F.unix_micros("ts")).where("at is not null")
+    own = own.select("user_id", "ts", "at", *rows)
+    columns, names = {"at": "bigint", **rows}, [x.split()[0] for x in out.split(", ")]
+    waiting = ", ".join(f"_{c} array<{t}>" for c, t in columns.items())
+    step = partial(_ordered, fold=fold, start=start, columns=list(columns), names=names, slot=slot)
+    return own.groupBy("user_id").applyInPandasWithState(step, out, f"{waiting}, {state}", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _compaction(state: tuple, rows: list[tuple], limit: float) -> tuple[tuple, list[tuple]]:
@@ -252,7 +238,7 @@ def replay(spark: SparkSession, turns: DataFrame, through: Callable[[DataFrame],
     end = spark.range(1).select(*(F.to_timestamp(F.lit("2200-01-01")).cast(f.dataType).alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in turns.schema))
     end.limit(0).write.parquet(f"{folder}/end")
     out = through(turns.union(spark.readStream.schema(turns.schema).parquet(f"{folder}/end")))
-    # event-time timers and map states are kept by this provider alone
+    # all rows of the source wait at once: this provider keeps them on disk
     with _setting(spark, "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):
         _drain(out, folder)
         end.coalesce(1).write.mode("append").parquet(f"{folder}/end")

@@ -2,6 +2,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from corpuslake.plans import suite
@@ -79,6 +80,40 @@ def test_late_turns_are_dropped_and_slots_close_in_order(spark, tmp_path):
     assert [(r.event_id, r.n, r.due, r.compactions) for r in got] == [(2, 1, False, 0), (1, 2, True, 1), (5, 3, False, 1), (3, 4, True, 2)]
 
 
+def test_slots_that_close_together_are_one_call(spark):
+    """A call a slot took a stream's time; the conversation below has 90 slots."""
+    calls = []
+
+    class State:
+        exists, get = False, ()
+        timeout = None
+
+        def __init__(self, mark):
+            self.mark = mark
+
+        def getCurrentWatermarkMs(self):
+            return self.mark
+
+        def setTimeoutTimestamp(self, at):
+            self.timeout = at
+
+        def update(self, new):
+            self.get, self.exists = new, True
+
+    def fold(state, rows):
+        calls.append(len(rows))
+        return (state[0] + len(rows),), [(r[1], state[0] + i) for i, r in enumerate(rows)]
+
+    rows = pd.DataFrame([(7, None, d * 86_400_000_000 + 5, d) for d in reversed(range(1, 91))], columns=["user_id", "ts", "at", "event_id"])
+    step = lambda state, parts: pd.concat(sessions._ordered((7,), parts, state, fold, (0,), ["at", "event_id"], ["user_id", "event_id", "i"], 86_400_000))
+    state = State(0)
+    assert step(state, [rows[:40], rows[40:]]).empty and state.timeout == 2 * 86_400_000
+    state.mark = 61 * 86_400_000 + 1
+    assert step(state, []).values.tolist() == [[7, d, d - 1] for d in range(1, 61)]
+    state.mark = 1000 * 86_400_000
+    assert step(state, []).values.tolist() == [[7, d, d - 1] for d in range(61, 91)] and calls == [60, 30]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
