@@ -118,20 +118,22 @@ CASE WHEN text LIKE '%###%' THEN 'symbols' END, CASE WHEN regexp_matches(text, '
 
 
 def _flags(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents")
-    rules = quality.ladder(T.semantic_length(F.col("text")), [("le500", 500), ("le900", 900), ("le1400", 1400)])
-    rules += [("symbols", F.contains("text", F.lit("###"))), ("long_number", F.col("text").rlike("[0-9]{5,}")), ("accents", T.any_of(F.col("text"), ("é", "ü")))]
-    return rows.select("doc_id", quality.all_reasons(rules).alias("labels"))
+    """doc_id and a column for each flag, and their names. A text is measured once, before the rules, as each rule would evaluate its own copy."""
+    text = F.col("text")
+    measured = table(spark, sf_dir, "documents").select("doc_id", T.semantic_length(text).alias("n"), F.contains(text, F.lit("###")).alias("symbols"), text.rlike("[0-9]{5,}").alias("long_number"), T.any_of(text, ("é", "ü")).alias("accents"))
+    rules = quality.ladder(F.col("n"), [("le500", 500), ("le900", 900), ("le1400", 1400)]) + [(name, F.col(name)) for name in ("symbols", "long_number", "accents")]
+    return measured.select("doc_id", *(test.alias(name) for name, test in rules)), [name for name, _ in rules]
 
 
 @Q(f"WITH {FLAGS} SELECT doc_id, array_to_string(labels, ',') AS labels FROM f")
 def triage_flags(spark, sf_dir):
-    return _flags(spark, sf_dir).select("doc_id", F.array_join("labels", ",").alias("labels"))
+    rows, names = _flags(spark, sf_dir)
+    return rows.select("doc_id", F.array_join(quality.all_reasons([(name, F.col(name)) for name in names]), ",").alias("labels"))
 
 
 @Q(f"WITH {FLAGS} SELECT label, count(*) AS count FROM (SELECT unnest(labels) AS label FROM f) GROUP BY label")
 def flag_counts(spark, sf_dir):
-    return quality.label_counts(_flags(spark, sf_dir), "labels")
+    return quality.flag_counts(*_flags(spark, sf_dir), "label").where("count > 0")
 
 
 @Q("""WITH r AS (SELECT lang, length(text) AS len, row_number() OVER (PARTITION BY lang ORDER BY length(text)) AS rn, count(*) OVER (PARTITION BY lang) AS n FROM documents)

@@ -123,6 +123,13 @@ def test_pages_equal_their_sql_where_entities_are_cut_or_unknown(spark, tmp_path
     assert sorted(map(tuple, got.collect())) == sorted(c.sql(suite.ORACLES["html_clean"]).select("page_id, text_sha").fetchall())
 
 
+@pytest.mark.parametrize("name", ["flag_counts", "triage_flags"])
+def test_flags_measure_a_text_once(spark, db, name):
+    df = suite.QUERIES[name](spark, SF)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    assert sorted(map(tuple, df.collect())) == sorted(db.sql(suite.ORACLES[name]).select(", ".join(df.columns)).fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
