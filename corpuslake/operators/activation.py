@@ -60,7 +60,9 @@ def longest_matches(matches: DataFrame, text_id: str, card: str, alias: str, ins
     inside: containment() of the aliases, which can be built once and kept; without it, it is built of the matched ones. A match looks up the
     aliases that its own lies in, and those of its text drop it; a card has one alias a text, so another alias is another card's."""
     best = matches.groupBy(text_id, card).agg(F.min_by(alias, F.struct(-F.octet_length(alias), F.col(alias))).alias(alias))
-    inside = containment(matches, alias) if inside is None else inside
+    # written once, as it is read four times and the matches need a pass over the texts
+    best = settled(best, "longest")
+    inside = containment(best, alias) if inside is None else inside
     longer = best.select(F.col(text_id), F.col(alias).alias("outer")).distinct()
     shadowed = best.select(text_id, alias).distinct().join(inside.withColumnRenamed("inner", alias), alias).join(longer, [text_id, "outer"], "left_semi").select(text_id, alias).distinct()
     return best.join(shadowed, [text_id, alias], "left_anti").select(text_id, card, alias)

@@ -130,6 +130,10 @@ def test_flags_measure_a_text_once(spark, db, name):
     assert sorted(map(tuple, df.collect())) == sorted(db.sql(suite.ORACLES[name]).select(", ".join(df.columns)).fetchall())
 
 
+def test_shadowing_reads_the_texts_once(spark):
+    assert "regexp_extract_all" not in suite.QUERIES["shadowed_matches"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
