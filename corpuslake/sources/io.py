@@ -13,15 +13,30 @@ from pyspark.sql import types as T
 BAD = "_corrupt"
 
 
-def json_tree(spark: SparkSession, root: str, pattern: str = "*.json", holds: str | None = None) -> tuple[DataFrame, DataFrame]:
+def write_packed(files: DataFrame, name: str, text: str, root: str) -> None:
+    """Texts under the relative names they would have as files, many in each part: a small file of its own costs a folder, an open, a rename and
+    a place in a listing, whatever it holds. The pack is replaced whole or not at all."""
+    replaced(files.sparkSession, root, files.select(F.col(name).alias("source_file"), F.col(text).alias("value")).write.parquet)
+
+
+def read_packed(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """source_file and value of packed files whose own name is of the glob pattern, by the rules of Spark's pathGlobFilter."""
+    named = spark._jvm.org.apache.hadoop.fs.GlobPattern(pattern).compiled().pattern()
+    return spark.read.schema("source_file string, value string").parquet(root).where(F.rlike(F.substring_index("source_file", "/", -1), F.lit(rf"(?s)\A(?:{named})\z")))
+
+
+def json_tree(spark: SparkSession, root: str, pattern: str = "*.json", holds: str | None = None, packed: bool = False) -> tuple[DataFrame, DataFrame]:
     """All JSON files below a folder (source_file relative to it, source_type, json), and those that can't be parsed.
 
-    pattern is a glob on the file name; `holds` drops files without that string before anything is parsed."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("wholetext", True).text(root)
-    base = re.sub(r"^[a-z0-9]+:/*", "/", root).rstrip("/") + "/"
-    path = F.col("_metadata.file_path")
-    below = F.substr(path, F.instr(path, F.lit(base)) + F.lit(len(base)))
-    rows = files.select(below.alias("source_file"), F.col("value").alias("json"))
+    pattern is a glob on the file name; `holds` drops files without that string before anything is parsed; packed: the folder is one of write_packed()."""
+    if packed:
+        files = read_packed(spark, root, pattern)
+    else:
+        found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("wholetext", True).text(root)
+        base = re.sub(r"^[a-z0-9]+:/*", "/", root).rstrip("/") + "/"
+        path = F.col("_metadata.file_path")
+        files = found.select(F.substr(path, F.instr(path, F.lit(base)) + F.lit(len(base))).alias("source_file"), "value")
+    rows = files.select("source_file", F.col("value").alias("json"))
     rows = rows.where(F.contains("json", F.lit(holds))) if holds else rows
     rows = rows.withColumn("source_type", F.get(F.split("source_file", "/"), F.lit(0))).withColumn("_ok", F.try_parse_json("json").isNotNull())
     return rows.where("_ok").drop("_ok"), rows.where("not _ok").select("source_file", F.lit("not JSON").alias("error"))

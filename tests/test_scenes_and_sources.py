@@ -86,6 +86,20 @@ def test_sources_round_trip(spark, tmp_path):
     assert [(r.id, r.card_file) for r in cards] == [("q", "other")]
 
 
+def test_a_packed_tree_reads_as_its_files(spark, tmp_path):
+    files = {"Quest/Quest_1.json": '{"talkId": 3, "who": "Ego"}', "Quest/Quest_22.json": "{", "a/b/c/Quest_3.json": '[1, "Ego"]', "other.json": '{"id": "q"}', "a/Quest_1.json.bak": "{}"}
+    for name, text in files.items():
+        (tmp_path / "root" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "root" / name).write_text(text)
+    io.write_packed(spark.createDataFrame(list(files.items()), "name string, body string"), "name", "body", f"{tmp_path}/pack")
+    found = []
+    for how in ({}, {"pattern": "*"}, {"pattern": "Quest_?.json"}, {"pattern": "{other,Quest_[2-9]}*"}, {"holds": "Ego"}):
+        plain, packed = ([sorted(map(tuple, t.collect())) for t in io.json_tree(spark, f"{tmp_path}/{at}", packed=at == "pack", **how)] for at in ("root", "pack"))
+        assert plain == packed
+        found.append((len(packed[0]), len(packed[1])))
+    assert found == [(3, 1), (4, 1), (2, 0), (2, 1), (2, 0)]
+
+
 def test_a_failed_write_leaves_the_old_data(spark, tmp_path):
     import os
 

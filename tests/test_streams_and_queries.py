@@ -5,7 +5,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from corpuslake.plans import suite
+from corpuslake.plans import sources, suite
 from corpuslake.streaming import sessions
 
 SF = "/root/testdata/sf0.001"
@@ -134,6 +134,18 @@ def test_shadowing_reads_the_texts_once(spark):
     assert "regexp_extract_all" not in suite.QUERIES["shadowed_matches"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["scan_report"])
+def test_files_do_not_grow_with_conversations(spark, tmp_path, monkeypatch, name):
+    """A file for each of the 400 took the time of these queries."""
+    rows = [(i, k, ("system", "user", "assistant")[(i + k) % 3], f"t{i} {k}") for i in range(400) for k in range(1 + i % 3)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/in/conversations.parquet")
+    monkeypatch.setattr(sources, "shared_folder", lambda _: f"{tmp_path}/shared")
+    df, c = suite.QUERIES[name](spark, f"{tmp_path}/in"), duckdb.connect()
+    c.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/in/conversations.parquet/*.parquet'")
+    assert sorted(map(tuple, df.collect())) == sorted(c.sql(suite.ORACLES[name]).select(", ".join(df.columns)).fetchall())
+    assert 0 < sum(len(files) for _, _, files in os.walk(f"{tmp_path}/shared")) < 40
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
