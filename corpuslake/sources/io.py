@@ -53,14 +53,18 @@ def document_metadata(docs: DataFrame, json: str = "json") -> DataFrame:
     })
 
 
+def _row(text: Column, schema: T.StructType) -> Column:
+    """An object of the schema; BAD beside its fields holds a text that is none."""
+    return F.from_json(text, T.StructType([*schema.fields, T.StructField(BAD, T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})
+
+
 def json_lines(spark: SparkSession, path: str, schema: T.StructType, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rows of JSON lines and the lines that aren't rows, with their file; blank lines are skipped. strict raises at the first bad line."""
     reader = spark.read.option("mode", "FAILFAST") if strict else spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD)
     if strict:
         return reader.schema(schema).json(path), spark.createDataFrame([], f"source_file string, {BAD} string")
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("source_file"), "value").where(F.trim("value") != "")
-    wide = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
-    parsed = lines.withColumn("_row", F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}))
+    parsed = lines.withColumn("_row", _row(F.col("value"), schema))
     return parsed.where(f"_row.{BAD} is null").select("_row.*").drop(BAD), parsed.where(f"_row.{BAD} is not null").select("source_file", F.col("value").alias(BAD))
 
 
@@ -170,9 +174,15 @@ def template_parameters(block: Column) -> Column:
     return F.map_from_entries(last)
 
 
-def sessions(spark: SparkSession, path: str, schema: T.StructType, most: int = 20, tie: str = "session_file") -> DataFrame:
-    """Stored sessions of version 1 with messages, newest first (then the later file name, or another field); unreadable files are skipped."""
-    rows = spark.read.option("multiLine", True).option("mode", "DROPMALFORMED").schema(schema).json(path).select("*", F.col("_metadata.file_name").alias("session_file"))
+def sessions(spark: SparkSession, path: str, schema: T.StructType, most: int = 20, tie: str = "session_file", packed: bool = False) -> DataFrame:
+    """Stored sessions of version 1 with messages, newest first (then the later file name, or another field); unreadable files are skipped.
+    packed: the folder is one of write_packed()."""
+    if packed:
+        files = read_packed(spark, path).where(F.rlike("value", F.lit(r"\A\s*\{")))
+        parsed = files.select(F.substring_index("source_file", "/", -1).alias("session_file"), _row(F.col("value"), schema).alias("_row"))
+        rows = parsed.where(f"_row.{BAD} is null").select("_row.*", "session_file").drop(BAD)
+    else:
+        rows = spark.read.option("multiLine", True).option("mode", "DROPMALFORMED").schema(schema).json(path).select("*", F.col("_metadata.file_name").alias("session_file"))
     return rows.where("version = 1 and messages is not null").orderBy(F.desc("updated_at_ms"), F.desc(tie)).limit(most)
 
 

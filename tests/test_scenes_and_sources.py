@@ -100,6 +100,25 @@ def test_a_packed_tree_reads_as_its_files(spark, tmp_path):
     assert found == [(3, 1), (4, 1), (2, 0), (2, 1), (2, 0)]
 
 
+def test_packed_sessions_read_as_their_files(spark, tmp_path):
+    said = '"messages": [{"role": "user", "content": "a\\nb"}]'
+    files = {
+        "a/s1.json": f'{{"version": 1, {said}, "updated_at_ms": 5}}', "b/s3.json": f'\n{{"version": 1,\n{said}, "updated_at_ms": 5, "other": {{}}}}', "s2.json": f'{{"version": 1, {said}}}', "s4.json": f'{{"version": 2, {said}, "updated_at_ms": 9}}',
+        "s5.json": '{"version": 1, "updated_at_ms": 9}', "s6.json": '{"version": 1, "messages": 3, "updated_at_ms": 9}', "s7.json": f'{{"version": 1, {said}, "updated', "s8.json": "", "s9.json": '{"version": 1, "messages": [], "updated_at_ms": 6}',
+    }
+    for name, text in files.items():
+        (tmp_path / "root" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "root" / name).write_text(text)
+    # only an object is a session, as for the reference
+    more = {"t1.json": f'[{{"version": 1, {said}, "updated_at_ms": 9}}]', "t2.json": "null"}
+    io.write_packed(spark.createDataFrame([*files.items(), *more.items()], "name string, body string"), "name", "body", f"{tmp_path}/pack")
+    message = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())]))
+    schema = T.StructType([T.StructField("version", T.IntegerType()), T.StructField("messages", message), T.StructField("updated_at_ms", T.LongType())])
+    packed = io.sessions(spark, f"{tmp_path}/pack", schema, packed=True).collect()
+    assert [(r.session_file, r.updated_at_ms) for r in packed] == [("s9.json", 6), ("s3.json", 5), ("s1.json", 5), ("s2.json", None)] and packed[1].messages[0].content == "a\nb"
+    assert packed == io.sessions(spark, f"{tmp_path}/root/{{*.json,*/*.json}}", schema).collect()
+
+
 def test_a_failed_write_leaves_the_old_data(spark, tmp_path):
     import os
 

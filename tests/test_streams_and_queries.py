@@ -134,7 +134,7 @@ def test_shadowing_reads_the_texts_once(spark):
     assert "regexp_extract_all" not in suite.QUERIES["shadowed_matches"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["scan_report", "json_errors", "json_scan"])
+@pytest.mark.parametrize("name", ["scan_report", "json_errors", "json_scan", "stored_sessions"])
 def test_files_do_not_grow_with_conversations(spark, tmp_path, monkeypatch, name):
     """A file for each of the 400 took the time of these queries."""
     rows = [(i, k, ("system", "user", "assistant")[(i + k) % 3], f"t{i} {k}") for i in range(400) for k in range(1 + i % 3)]
